@@ -140,7 +140,7 @@ def passages(docs: DataFrame, items: Items, text: str = "text", key: str = "doc_
     return docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t")).mapInPandas(cut, "doc_id bigint, pos int, ids binary")
 
 
-def _summed(df: DataFrame, part_sum, shape: tuple[int, ...], width: int, groups: int = 16) -> np.ndarray:
+def _summed(df: DataFrame, part_sum, shape: tuple[int, ...], width: int, groups: int = 8) -> np.ndarray:
     """The sum over all passages of ``part_sum(ids)``: one array per task, added up in ``groups`` tasks, then on the driver (a fixed size)."""
 
     def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -178,7 +178,7 @@ def basis_of(found: DataFrame, idf: np.ndarray, width: int, rank: int, rounds: i
 
 
 def leaks(
-    docs: DataFrame, eval_rows: list[tuple[int, str | None, str | None]], run: int = 12, rank: int = 64, rounds: int = 2, paraphrase: float | None = None,
+    docs: DataFrame, eval_rows: list[tuple[int, str | None, str | None]], run: int = 12, rank: int = 256, rounds: int = 2, paraphrase: float | None = None,
     alike: float = 0.7, most_items: int = 20_000, seed: int = 7,
 ) -> DataFrame:
     """(doc_id, item_id, copied, common, answered): the items found in each document, one row per pair.
@@ -218,7 +218,8 @@ def leaks(
 
     def search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         windows, owner, item_words, answers, ids_of, query, norm2, basis, idf, longer, span_owner, spans_latent = shared.value
-        codes = [w.tobytes() for w in windows]
+        factors = np.random.default_rng(1).integers(1, 1 << 62, run, np.int64)
+        code = (windows * factors).sum(1)
         for d in parts:
             out: dict[tuple[int, int], list] = {}
             for k in range(0, len(d), 512):
@@ -227,11 +228,13 @@ def leaks(
                 x = latent(weights(ids, idf), basis)
                 # A passage that holds all words of a window has a product of at least the window's own square.
                 hit_p, hit_w = np.nonzero(x @ query >= norm2 * np.float32(0.999))
-                raw = list(b["ids"])
-                for p, w in zip(hit_p.tolist(), hit_w.tolist(), strict=True):
+                runs = np.lib.stride_tricks.sliding_window_view(ids, run, axis=1)
+                equal = ((runs * factors).sum(2)[hit_p] == code[hit_w][:, None]).any(1)
+                for p, w in zip(hit_p[equal].tolist(), hit_w[equal].tolist(), strict=True):
                     key = (int(docs_[p]), ids_of[owner[w]])
-                    if (key not in out or not out[key][0]) and codes[w] in raw[p] and any(raw[p][4 * j : 4 * (j + run)] == codes[w] for j in range(width - run + 1)):
-                        out[key] = [True, max(run, out.get(key, [0, 0])[1]), out.get(key, [0, 0, False])[2]]
+                    if (key not in out or not out[key][0]) and (runs[p] == windows[w]).all(1).any():
+                        old = out.get(key, [False, 0, False])
+                        out[key] = [True, max(run, old[1]), old[2]]
                 if spans_latent is not None:
                     xn = np.maximum(np.linalg.norm(x, axis=1), 1e-9)
                     sn = np.maximum(np.linalg.norm(spans_latent, axis=1), 1e-9)
