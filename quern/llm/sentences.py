@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A masked end mark, a stop kept back from the masks that follow, and the mark between pieces.
-MASK, KEEP, CUT = "\ue010", "\ue011", "\ue002"
+#: A masked end mark, and the mark between pieces.
+MASK, CUT = "\ue010", "\ue002"
 
 # Abbreviations by how a full stop after them is read.
 #: A word always follows.
@@ -38,55 +38,60 @@ _NO = r"(?<![\p{L}\p{M}\p{N}_.\ue010])"
 
 
 def _any(words: str) -> str:
-    return "|".join(sorted((w.replace(".", r"[.\ue010]" + _SP + "?") for w in words.split()), key=len, reverse=True))
+    return "|".join(sorted((w.replace(".", r"[.\ue010]" + _SP + "{0,2}") for w in words.split()), key=len, reverse=True))
 
 
 _FENCE = r"^[ \t]*(?:```|~~~)[\s\S]*?(?:^[ \t]*(?:```|~~~)[ \t]*$|\z)"
 _IMAGE = r"!\[[^\]\n]*\]\([^)\n]*\)"
 _MARKER = r"^\s*(?:>[ \t]?)*[ \t]*(?:#{1,6}[ \t]+|(?:[-*+]|\d+\.)[ \t]+)?"
 _UNSEEN = r"[\s\u00a0\u202f\u2009\u200b-\u200f\u2060-\u2064\u00ad\ufeff]"
-#: A sentence begins right behind the end mark, the space being left out: one capitalised word, or two letters of a script without case on either side.
-_STUCK = (
-    r"(?:(?:(?<=[\p{Ll}\p{N}][.!?…])|(?<=[\p{Ll}\p{N}][.!?…][\"”»’)]))(?=\p{Lu}\p{Ll}*(?:['’]\p{L}+)?(?:[\s,]|\.\s))"
-    r"|(?<=[\p{Lo}\p{M}]{2}[.!?؟।])(?=\p{Lo}[\p{Lo}\p{M}]))"
-)
 _ENDS = r"[.!?…؟۔।॥]"
+_NEXT = r"(?=\p{Lu}\p{Ll}*(?:['’]\p{L}+)?(?:[\s,]|\.\s))"
+
+
+def _before(words: str) -> str:
+    """Behind a stop: that it ends one of ``words``."""
+    return r"(?<=" + _NO + r"(?:" + _any(words) + r")\.)"
 
-#: (pattern, replacement): what is masked in a block, in this order.
+
+#: (pattern, replacement), in this order. Every pattern begins with the character it is about, so that most positions are passed over at once.
 MASKS = [
-    # No mask but a cut: a sentence that begins right behind the last one's end.
-    (_STUCK, CUT),
+    # No mask but a cut: a sentence that begins right behind the last one's end, the space being left out.
+    (r"([.!?…][\"”»’)]?)" + _NEXT + r"(?<=[\p{Ll}\p{N}][.!?…][\"”»’)]?)", "$1" + CUT),
     # Decimals, versions, file names, addresses: a stop before a letter or digit; a point that begins a number.
     (r"[.!?](?=[\p{L}\p{N}_/=&%])", MASK),
-    # The number of a heading or of an ordinal.
-    (r"^([ \t#]*\d{1,3})\.(?=" + _SP + r")", "$1" + MASK),
-    (r"(?i)" + _NO + r"(" + _any(BEFORE_ORDINAL) + r")(" + _SP + r"+\d{1,3})\.(?=" + _SP + r"+\p{L})", "$1$2" + MASK),
-    (r"(?<![\p{L}\p{N}])(\d{1,2})\.(?=" + _SP + r"+(?:" + _any(MONTHS) + r"))", "$1" + MASK),
-    # Abbreviations.
-    (_NO + r"(" + _any(ALWAYS) + r")\.(?=" + _SP + r")", "$1" + MASK),
-    (_NO + r"(" + _any(NUMBERED) + r")\.(?=" + _SP + r"*\d)", "$1" + MASK),
-    (_NO + r"(" + _any(EITHER) + r")\." + _LOWER, "$1" + MASK),
-    # Initials and single-letter abbreviations (J. R., z. B., p. ex., т. е., د.); т. д. and т. п. may end a sentence.
-    (_NO + r"(т[.\ue010]" + _SP + r"?[дп])\.(?=" + _SP + r"+[^\p{Ll}])", "$1" + KEEP),
-    (_NO + r"(\p{L})\.(?=" + _SP + r")", "$1" + MASK),
-    (r"(\p{Lu}\ue010\p{Lu})\.(?=" + _SP + r"+\p{Lu}\p{Ll})", "$1" + MASK),
-    (KEEP, "."),
-    # Quoted speech that begins a sentence, in scripts without case: what follows carries it on.
+    (
+        r"\.(?:(?=" + _SP + r")(?:"
+        # Initials and single-letter abbreviations (J. R., z. B., p. ex., т. е., д.), but т. д. and т. п. may end a sentence.
+        + r"(?<=" + _NO + r"\p{L}\.)(?!(?<=т[.\ue010]" + _SP + r"{0,2}[дп]\.)" + _SP + r"+[^\p{Ll}])"
+        + r"|(?<=\p{Lu}\ue010\p{Lu}\.)(?=" + _SP + r"+\p{Lu}\p{Ll})"
+        # Abbreviations and ordinals.
+        + r"|" + _before(ALWAYS) + r"|" + _before(EITHER) + _LOWER
+        + r"|(?<=^[ \t]{0,9}\d{1,3}\.)"
+        + r"|(?<=(?i:" + _NO + r"(?:" + _any(BEFORE_ORDINAL) + r"))" + _SP + r"{1,2}\d{1,3}\.)(?=" + _SP + r"+\p{L})"
+        + r"|(?<=" + _NO + r"\d{1,2}\.)(?=" + _SP + r"+(?:" + _any(MONTHS) + r"))"
+        + r")|(?=" + _SP + r"*\d)" + _before(NUMBERED) + r")",
+        MASK,
+    ),
+]
+#: For blocks with letters of scripts without case.
+MASKS_CASELESS = [
+    (r"([.!?؟।])(?=\p{Lo}[\p{Lo}\p{M}])(?<=[\p{Lo}\p{M}]{2}[.!?؟।])", "$1" + CUT),
+    # Quoted speech that begins a sentence: what follows carries it on.
     (r"(^" + _SP + r"*|[。！？।؟!?.…]" + _CLOSE + r"?" + _SP + r"*)([“«「『\"])([^“”«»「」『』\"]*)[?!？！؟](?=[”»」』\"]" + _SP + r"*\p{Lo})", "$1$2$3" + MASK),
     (r"[。．！？](?=[”」』]" + _SP + r"*(?:[他她它我你们]{1,2}|有人|大家)[^。！？，]{0,6}[说道问喊答写叫])", MASK),
     # A closing bracket followed by a particle.
     (r"[。！？](?=[」』][とはがをにのもやで、])", MASK),
     # An ellipsis between words of scripts written without spaces.
     (r"…(?=…*[\u3040-\u30ff\u3400-\u9fff])", MASK),
-    # End marks after which a comma, dash or small letter goes on with the sentence, also from behind quotes.
-    (_ENDS + r"(?=" + _ENDS + r"*(?:" + _SP + r"?" + _CLOSE + r")*" + _SP + r"*[,;:،؛、，；：—–])", MASK),
-    (_ENDS + r"(?=" + _ENDS + r"*(?:" + _SP + r"?" + _CLOSE + r")*" + _LOWER + r")", MASK),
 ]
+#: End marks after which a comma, a dash or a small letter goes on with the sentence, also from behind quotes.
+MASK_ON = (_ENDS + r"(?=" + _ENDS + r"*(?:" + _SP + r"?" + _CLOSE + r")*(?:" + _SP + r"*[,;:،؛、，；：—–]|" + _LOWER + r"))", MASK)
 #: Where a mark is put: after end marks and closing marks before a space, after full-width ones, and at spaces between Thai words.
-CUTS = [
-    (r"(" + _ENDS + r"+" + _CLOSE + r"*(?:" + _SP + r"?»)?" + _CLOSE + r"*)(?=" + _SP + r"+\S)", "$1" + CUT),
+CUTS = [(r"(" + _ENDS + r"+" + _CLOSE + r"*(?:" + _SP + r"?»)?" + _CLOSE + r"*)(?=" + _SP + r"+\S)", "$1" + CUT)]
+CUTS_CASELESS = [
     (r"([。！？．]+" + _CLOSE + r"*)(?=" + _SP + r"*[^\s。！？])", "$1" + CUT),
-    (r"(?<=[\u0e00-\u0e7f])(?=[ \u00a0]+[\u0e00-\u0e7f])", CUT),
+    (r"([ \u00a0]+)(?=[\u0e00-\u0e7f])(?<=[\u0e00-\u0e7f][ \u00a0]{1,9})", CUT + "$1"),
 ]
 
 
@@ -99,7 +104,7 @@ def _pieces(marked: Column) -> Column:
 
 def blocks(cell: Column) -> Column:
     """The blocks of a markdown cell as (start, text), markers included; code, tables and images are blocks of their own."""
-    clean = F.translate(cell, MASK + KEEP + CUT, "\ufffd" * 3)
+    clean = F.translate(cell, MASK + CUT, "\ufffd" * 2)
     apart = F.regexp_replace(clean, rf"(?m)({_FENCE}|{_IMAGE})", f"{CUT}$1{CUT}")
     line = r"[^\n]*\n"
     ends = "|".join([
@@ -109,18 +114,19 @@ def blocks(cell: Column) -> Column:
     return _pieces(F.regexp_replace(apart, rf"(?m)({ends})", f"$1{CUT}"))
 
 
-def mask(block: Column) -> Column:
-    for pattern, to in MASKS:
+def _replaced(block: Column, rules: list[tuple[str, str]]) -> Column:
+    for pattern, to in rules:
         block = F.regexp_replace(block, pattern, to)
     return block
 
 
 def cut(block: Column) -> Column:
     """The sentences of a block as (start, text) of the masked text, white space around them included."""
-    marked = mask(block)
-    for pattern, to in CUTS:
-        marked = F.regexp_replace(marked, pattern, to)
-    return _pieces(marked)
+    masked = _replaced(block, MASKS)
+    # Bound by a lambda, the masked text is made once and both branches read it.
+    caseless = lambda x: _replaced(_replaced(x, MASKS_CASELESS), [MASK_ON, *CUTS, *CUTS_CASELESS])
+    cased = lambda x: _replaced(x, [MASK_ON, *CUTS])
+    return _pieces(F.element_at(F.transform(F.array(masked), lambda x: F.when(x.rlike(r"\p{Lo}"), caseless(x)).otherwise(cased(x))), 1))
 
 
 def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text", cells: str = "cells") -> DataFrame:
