@@ -85,13 +85,12 @@ def rewritten_entries(entries: DataFrame, planned: DataFrame) -> DataFrame:
 
     A repeated entry_id is the same change and is kept once, as it arrived first (ties: any of the equal rows). Rows without an entry_id are kept.
     """
-    e = entries.withColumn("_path", location("manifest_path"))
-    named = e.where("entry_id is not null")
-    cols = [c for c in e.columns if c != "entry_id"]
-    once = named.groupBy("entry_id").agg(F.min_by(F.struct(*cols), F.coalesce("arrived_at", F.lit("9999-12-31").cast("timestamp_ntz"))).alias("_r")).select("entry_id", "_r.*").select(*e.columns)
-    every = once.unionByName(e.where("entry_id is null"))
+    cols = entries.columns
+    e = entries.select("entry_id", location("manifest_path").alias("_path"), F.coalesce("arrived_at", F.lit("9999-12-31").cast("timestamp_ntz")).alias("_at"), F.struct(*(f"`{c}`" for c in cols)).alias("r"))
+    once = e.where("entry_id is not null").groupBy("entry_id").agg(F.min_by(F.struct("_path", "r"), "_at").alias("x")).select("x._path", "x.r")
+    every = once.unionByName(e.where("entry_id is null").select("_path", "r"))
     to = planned.select(F.col("manifest_path").alias("_path"), F.when(F.col("level") > 0, F.col("txn")).alias("_txn"))
-    return every.join(to, "_path", "left").withColumn("output", F.coalesce("_txn", "_path")).drop("_path", "_txn")
+    return every.join(to, "_path", "left").select(*(F.col(f"r.`{c}`") for c in cols), F.coalesce("_txn", "_path").alias("output"))
 
 
 class CompactionJournal:

@@ -14,16 +14,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators.snapshot_tables import headers, with_numbers
+from quern.sources.storage import Storage
 
-#: Blocks of one level are _RADIX blocks of the level below; offsets are below _RADIX to the power _LEVELS.
-_RADIX, _LEVELS = 16, 11
+#: Blocks of one level are 2 ** _BITS blocks of the level below; with so many levels every bigint has its block.
+_BITS, _LEVELS = 4, 16
 _NONE = "cast(array() as array<struct<level:int,block:bigint>>)"
 
 
 def _ranges(runs: DataFrame) -> DataFrame:
     """(table_id, level, block, read_at): every run's range of offsets cut into aligned blocks, the block's latest time kept.
 
-    A range of any length has at most 2 * (_RADIX - 1) blocks per level, so a run costs a bounded number of rows, and a hot table's runs
+    A range of any length has at most 2 * (2 ** _BITS - 1) blocks per level, so a run costs a bounded number of rows, and a hot table's runs
     are combined map-side. ``lo`` is exclusive (null: none), ``hi`` inclusive.
     """
 
@@ -32,14 +33,15 @@ def _ranges(runs: DataFrame) -> DataFrame:
 
     def step(acc: Column, k: Column) -> Column:
         a, b = acc["a"], acc["b"]
-        left = F.least(F.pmod(_RADIX - a % _RADIX, F.lit(_RADIX)), b - a)
-        right = F.when(a + left < b, b % _RADIX).otherwise(F.lit(0))
+        low = F.lit((1 << _BITS) - 1).cast("bigint")
+        left = F.least((-a).bitwiseAND(low), b - a)
+        right = F.when(a + left < b, b.bitwiseAND(low)).otherwise(F.lit(0).cast("bigint"))
         done = a + left >= b - right
-        up = lambda x: F.when(done, F.lit(0)).otherwise(F.floor(x / _RADIX)).cast("bigint")
+        up = lambda x: F.when(done, F.lit(0)).otherwise(F.shiftright(x, _BITS)).cast("bigint")
         return F.struct(up(a + left).alias("a"), up(b - right).alias("b"), F.concat(acc["blocks"], blocks(k, a, left), blocks(k, b - right, right)).alias("blocks"))
 
     r = runs.where("hi >= 0").withColumn("lo", F.greatest(F.coalesce("lo", F.lit(-1)), F.lit(-1))).where("lo < hi")
-    start = F.struct((F.col("lo") + 1).cast("bigint").alias("a"), (F.col("hi") + 1).cast("bigint").alias("b"), F.expr(_NONE).alias("blocks"))
+    start = F.struct((F.col("lo") + 1).cast("bigint").alias("a"), (F.least(F.col("hi"), F.lit(1 << 62)) + 1).cast("bigint").alias("b"), F.expr(_NONE).alias("blocks"))
     cut = F.aggregate(F.sequence(F.lit(0), F.lit(_LEVELS - 1)), start, step, lambda acc: acc["blocks"])
     return r.select("table_id", "read_at", F.explode(cut).alias("b")).groupBy("table_id", "b.level", "b.block").agg(F.max("read_at").alias("read_at"))
 
@@ -61,7 +63,7 @@ def read_until(offsets: DataFrame, runs: DataFrame) -> DataFrame:
 
     An offset looks up the one block per level that holds it, so no range join pairs entries with runs.
     """
-    levels = F.posexplode(F.array(*(F.floor(F.col("sequence_number") / _RADIX**k) for k in range(_LEVELS))))
+    levels = F.posexplode(F.array(*(F.shiftright(F.col("sequence_number"), _BITS * k) for k in range(_LEVELS))))
     o = offsets.where("sequence_number >= 0").select("table_id", "sequence_number", levels.alias("level", "block"))
     hit = o.join(_ranges(runs), ["table_id", "level", "block"])
     return hit.groupBy("table_id", "sequence_number").agg(F.max("read_at").alias("read_at"))
@@ -97,28 +99,14 @@ class IncrementalReader:
 
     def __init__(self, spark: SparkSession, log: Callable[[], DataFrame], state: str, partition: str, offset: str, key: str):
         self.spark, self.log, self.state, self.partition, self.offset, self.key = spark, log, state.rstrip("/"), partition, offset, key
-
-    def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        self.storage = Storage(spark)
 
     def _names(self, part: str) -> list[int]:
-        p, fs = self._fs(f"{self.state}/{part}")
-        return sorted(int(s.getPath().getName().split(".")[0]) for s in fs.listStatus(p) if s.getPath().getName()[0].isdigit()) if fs.exists(p) else []
-
-    def _put(self, name: str, text: str) -> None:
-        """Written under another name first: a file that exists is whole."""
-        p, fs = self._fs(f"{self.state}/{name}")
-        tmp, _ = self._fs(f"{self.state}/tmp-{name.replace('/', '-')}")
-        fs.mkdirs(p.getParent())
-        out = fs.create(tmp, True)
-        out.write(bytearray(text.encode()))
-        out.close()
-        if not fs.rename(tmp, p):
-            raise RuntimeError(f"{name} is there already: another reader works on this state")
+        names = (p.rsplit("/", 1)[1].split(".")[0] for p, _, _ in self.storage.list(f"{self.state}/{part}"))
+        return sorted(int(n) for n in names if n.isdigit())
 
     def _get(self, name: str) -> dict:
-        return json.loads("\n".join(r.value for r in self.spark.read.text(f"{self.state}/{name}", wholetext=True).collect()))
+        return json.loads(self.storage.read(f"{self.state}/{name}"))
 
     def plan(self) -> int | None:
         """The number of the next batch: a plan left by a failed run, else a new one; None if nothing is new."""
@@ -131,7 +119,7 @@ class IncrementalReader:
         if until == read:
             return None
         n = plans[-1] + 1 if plans else 0
-        self._put(f"plans/{n}.json", json.dumps({"after": read, "until": until}))
+        self.storage.create(f"{self.state}/plans/{n}.json", json.dumps({"after": read, "until": until}).encode())
         return n
 
     def batch(self, n: int) -> DataFrame:
@@ -147,7 +135,7 @@ class IncrementalReader:
         n = self.plan()
         if n is not None:
             work(self.batch(n)).write.mode("overwrite").parquet(f"{self.state}/sink/batch={n}")
-            self._put(f"done/{n}", "")
+            self.storage.create(f"{self.state}/done/{n}", b"")
         return n
 
     def sink(self) -> DataFrame:

@@ -46,9 +46,8 @@ def with_numbers(entries: DataFrame, listed: DataFrame) -> DataFrame:
         listed.select(location("manifest_path").alias("_path"), "sequence_number", "added_snapshot_id")
         .groupBy("_path").agg(F.max("sequence_number").alias("_seq"), F.max("added_snapshot_id").alias("_snap"))
     )
-    filled = (
-        entries.where(lacking).withColumn("_path", location("manifest_path")).join(known, "_path", "left")
-        .withColumns({"sequence_number": F.coalesce("sequence_number", "_seq"), "snapshot_id": F.coalesce("snapshot_id", "_snap")})
-        .select(*entries.columns)
-    )
+    cols = entries.columns
+    r = entries.where(lacking).select(F.struct(*(f"`{c}`" for c in cols)).alias("r"), location("manifest_path").alias("_path")).join(known, "_path", "left")
+    fill = {"sequence_number": "_seq", "snapshot_id": "_snap"}
+    filled = r.select(*(F.coalesce(f"r.{c}", fill[c]).alias(c) if c in fill else F.col(f"r.`{c}`") for c in cols))
     return entries.where(~lacking).unionByName(filled)
