@@ -37,28 +37,38 @@ def _hash_text(values: pd.Series) -> pd.Series:
     return values.map(lambda x: None if x is None else murmur3(x.encode() if isinstance(x, str) else bytes(x))).astype("Int32")
 
 
-def _rotate(x: Column, by: int) -> Column:
-    return F.shiftleft(x, by).bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseOR(F.shiftrightunsigned(x, 32 - by))
+_M32 = 0xFFFFFFFF
 
 
-def _times(x: Column, factor: int) -> Column:
+def _bind(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of ``c`` with ``c`` computed once, however often ``f`` names it."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
+def _rotate(c: Column, by: int) -> Column:
+    return _bind(c, lambda x: F.shiftleft(x, by).bitwiseAND(F.lit(_M32)).bitwiseOR(F.shiftrightunsigned(x, 32 - by)))
+
+
+def _times(c: Column, factor: int) -> Column:
     """Product modulo 2**32 of an unsigned 32-bit value held in a bigint, in halves so that it never overflows."""
-    low, high = x.bitwiseAND(F.lit(0xFFFF)), F.shiftrightunsigned(x, 16)
-    return (low * F.lit(factor) + F.shiftleft((high * F.lit(factor)).bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseAND(F.lit(0xFFFFFFFF))
+    return _bind(c, lambda x: (x.bitwiseAND(F.lit(0xFFFF)) * F.lit(factor) + F.shiftleft((F.shiftrightunsigned(x, 16) * F.lit(factor)).bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseAND(F.lit(_M32)))
+
+
+def _shifted(c: Column, by: int) -> Column:
+    return _bind(c, lambda x: x.bitwiseXOR(F.shiftrightunsigned(x, by)))
 
 
 def hash_long(c: Column) -> Column:
     """``murmur3`` of a number's eight little-endian bytes, in JVM expressions only."""
     v = c.cast("bigint")
     h = F.lit(0).cast("bigint")
-    for part in (v.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(v, 32)):
+    for part in (v.bitwiseAND(F.lit(_M32)), F.shiftrightunsigned(v, 32)):
         k = _times(_rotate(_times(part, 0xCC9E2D51), 15), 0x1B873593)
-        h = (_rotate(h.bitwiseXOR(k), 13) * 5 + F.lit(0xE6546B64)).bitwiseAND(F.lit(0xFFFFFFFF))
+        h = (_rotate(h.bitwiseXOR(k), 13) * 5 + F.lit(0xE6546B64)).bitwiseAND(F.lit(_M32))
     h = h.bitwiseXOR(F.lit(8).cast("bigint"))
     for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
-        h = _times(h.bitwiseXOR(F.shiftrightunsigned(h, shift)), factor)
-    h = h.bitwiseXOR(F.shiftrightunsigned(h, 16))
-    return F.when(h >= F.lit(1 << 31), h - F.lit(1 << 32)).otherwise(h).cast("int")
+        h = _times(_shifted(h, shift), factor)
+    return _bind(_shifted(h, 16), lambda x: F.when(x >= F.lit(1 << 31), x - F.lit(1 << 32)).otherwise(x).cast("int"))
 
 
 def bucket(n: int, c: Column, kind: str = "long") -> Column:

@@ -262,7 +262,7 @@ class Query:
     def zip(self, other: Query, *cols: Column | str) -> Query:
         """Rows paired by position, as many as the shorter side has."""
         a, b = indexed(self.df, self._ordered(), "__i"), indexed(other.df, other._ordered(), "__i")
-        return self._new(a.alias("l").join(b.alias("r"), F.col("l._i") == F.col("r._i")).select(*cols))
+        return self._new(a.alias("l").join(b.alias("r"), F.col("l.__i") == F.col("r.__i")).select(*cols))
 
     def append(self, **row: Any) -> Query:
         return self._edge(1, row)
