@@ -41,7 +41,7 @@ def _any(words: str) -> str:
     return "|".join(sorted((w.replace(".", r"[.\ue010]" + _SP + "{0,2}") for w in words.split()), key=len, reverse=True))
 
 
-_FENCE = r"^[ \t]*(?:```|~~~)[\s\S]*?(?:^[ \t]*(?:```|~~~)[ \t]*$|\z)"
+_FENCE = r"^[ \t]*\ue002?[ \t]*(?:```|~~~)[\s\S]*?(?:^[ \t]*(?:```|~~~)[ \t]*\ue002?[ \t]*$|\z)"
 _IMAGE = r"!\[[^\]\n]*\]\([^)\n]*\)"
 _MARKER = r"^\s*(?:>[ \t]?)*[ \t]*(?:#{1,6}[ \t]+|(?:[-*+]|\d+\.)[ \t]+)?"
 _UNSEEN = r"[\s\u00a0\u202f\u2009\u200b-\u200f\u2060-\u2064\u00ad\ufeff]"
@@ -88,18 +88,33 @@ MASKS_CASELESS = [
 #: End marks after which a comma, a dash or a small letter goes on with the sentence, also from behind quotes.
 MASK_ON = (_ENDS + r"(?=" + _ENDS + r"*(?:" + _SP + r"?" + _CLOSE + r")*(?:" + _SP + r"*[,;:،؛、，；：—–]|" + _LOWER + r"))", MASK)
 #: Where a mark is put: after end marks and closing marks before a space, after full-width ones, and at spaces between Thai words.
-CUTS = [(r"(" + _ENDS + r"+" + _CLOSE + r"*(?:" + _SP + r"?»)?" + _CLOSE + r"*)(?=" + _SP + r"+\S)", "$1" + CUT)]
+CUTS = [(r"(" + _ENDS + r"++" + _CLOSE + r"*+(?:" + _SP + r"?»)?+" + _CLOSE + r"*+)(?=" + _SP + r"+\S)", "$1" + CUT)]
 CUTS_CASELESS = [
-    (r"([。！？．]+" + _CLOSE + r"*)(?=" + _SP + r"*[^\s。！？])", "$1" + CUT),
+    (r"([。！？．]++[”’」』）)】》]*+)(?=" + _SP + r"*[^\s。！？])", "$1" + CUT),
     (r"([ \u00a0]+)(?=[\u0e00-\u0e7f])(?<=[\u0e00-\u0e7f][ \u00a0]{1,9})", CUT + "$1"),
 ]
 
 
+_RUN = 64
+
+
+def _starts(lengths: Column) -> Column:
+    """The sum of the lengths before each one. Sums are built up by runs, so a cell of many thousand pieces doesn't cost their square."""
+    add = lambda a, x: a + x
+    total = lambda first, n: F.aggregate(F.slice(lengths, first, n), F.lit(0), add)
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _RUN).cast("int")), lambda r: total(r * _RUN + 1, F.lit(_RUN)))
+    before = F.aggregate(runs, F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out")), lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+    within = lambda run: F.transform(lengths, lambda _, i: F.get(run, (i / _RUN).cast("int")) + total((i - i % _RUN) + 1, i % _RUN))
+    return F.element_at(F.transform(F.array(before), within), 1)
+
+
 def _pieces(marked: Column) -> Column:
     """The pieces between marks as (start, text), with their position in the text without marks."""
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,text:string>>)").alias("out"))
-    step = lambda acc, x: F.struct((acc["at"] + F.length(x)).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), x.alias("text")))).alias("out"))
-    return F.aggregate(F.split(marked, CUT, -1), start, step, lambda acc: acc["out"])
+
+    def placed(parts: Column) -> Column:
+        return F.arrays_zip(F.element_at(F.transform(F.array(F.transform(parts, F.length)), _starts), 1).alias("start"), parts.alias("text"))
+
+    return F.element_at(F.transform(F.array(F.split(marked, CUT, -1)), placed), 1)
 
 
 def blocks(cell: Column) -> Column:
