@@ -20,7 +20,7 @@ from typing import Any, Protocol, TypeVar
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from quern.sources.types import FIELD_ID, SchemaError, from_spark, to_spark
+from quern.sources.types import FIELD_ID, Primitive, SchemaError, from_spark, to_spark
 
 R = TypeVar("R")
 
@@ -36,7 +36,8 @@ class Converter(Protocol):
 
 
 def column(name: str | None = None, order: int | None = None, type: T.DataType | str | None = None, ignore: bool = False, metadata: dict[str, str] | None = None, converter: Converter | None = None) -> dict:
-    return {"quern": {"name": name, "order": order, "type": T.DataType.fromDDL(type) if isinstance(type, str) else type, "ignore": ignore, "metadata": metadata or {}, "converter": converter}}
+    """``type``: a Spark type, or the name of a logical type such as decimal(10,2) or timestamptz."""
+    return {"quern": {"name": name, "order": order, "type": Primitive.parse(type).spark if isinstance(type, str) else type, "ignore": ignore, "metadata": metadata or {}, "converter": converter}}
 
 
 # The column type of each Python type.
@@ -221,9 +222,8 @@ def make_class(name: str, schema: T.StructType) -> type:
     fields = []
     for f in schema.fields:
         h = hint(f.dataType, f"{name}_{f.name}")
-        simple = not isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType))
         meta = {k: v for k, v in (f.metadata or {}).items() if k != FIELD_ID}
-        fields.append((f.name, h | None if f.nullable else h, dataclasses.field(metadata=column(type=f.dataType if simple else None, metadata=meta))))
+        fields.append((f.name, h | None if f.nullable else h, dataclasses.field(metadata=column(type=f.dataType, metadata=meta))))
     return dataclasses.make_dataclass(name, fields)
 
 

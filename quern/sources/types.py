@@ -180,7 +180,7 @@ def _from_spark(t: T.DataType, at: int, meta: dict) -> tuple[Any, int]:
         return MapOf(k, key, v, not t.valueContainsNull, value), at
     if isinstance(t, T.DecimalType):
         return Primitive(f"decimal({t.precision},{t.scale})"), at
-    widened = {T.ByteType: "int", T.ShortType: "int", T.VarcharType: "string", T.CharType: "string", T.DayTimeIntervalType: "long"}
+    widened = {T.ByteType: "int", T.ShortType: "int", T.VarcharType: "string", T.CharType: "string"}
     for cls, name in widened.items():
         if isinstance(t, cls):
             return Primitive(name), at
