@@ -93,7 +93,7 @@ def test_arithmetic_of_the_surface(spark):
 
 
 def test_bucket_values(spark):
-    """Values given with the format: the hash of 34, of "iceberg"-like text and of bytes is checked against the plain function."""
+    """Values given with the format: the hash of 34 is checked against the plain function."""
     assert tr.murmur3(struct.pack("<q", 34)) == 2017239379
     nums = [0, 1, -1, 34, 2**31, -(2**40), 2**63 - 1, -(2**63)]
     got = spark.createDataFrame([(n,) for n in nums], "n bigint").select("n", tr.hash_long(F.col("n")).alias("h"), tr.bucket(16, F.col("n")).alias("b")).collect()
@@ -566,3 +566,79 @@ def test_stream_into_a_table_and_back(spark, catalog, tmp_path):
     assert sorted(r.n for r in w) == [10] * 6
     s = streams.sessions(t.to_df().where("v < 20 or v > 40"), "ts", "1 hour", "5 minutes", ["k"], F.count("*").alias("n")).collect()
     assert sorted(r.n for r in s) == [19, 20]
+
+
+# Other files, metadata files, and the catalog protocol
+
+
+def test_other_formats(spark, tmp_path):
+    from quern.sources import files
+
+    df = spark.createDataFrame([(1, "a", [1, 2]), (2, None, [])], "i int, s string, a array<int>")
+    for kind in ("parquet", "orc", "json"):
+        files.write_files(df, f"{tmp_path}/{kind}", kind)
+        assert sorted(r.i for r in files.read_files(spark, f"{tmp_path}/{kind}", kind, df.schema).collect()) == [1, 2]
+    schema = {"type": "record", "name": "r", "fields": [{"name": "i", "type": "int"}, {"name": "s", "type": ["null", "string"]}, {"name": "a", "type": {"type": "array", "items": "int"}}]}
+    (tmp_path / "avro").mkdir()
+    for k in range(3):
+        (tmp_path / "avro" / f"{k}.avro").write_bytes(avrofile.encode(schema, [{"i": 10 * k + j, "s": None if j else "x", "a": [j]} for j in range(4)]))
+    got = files.read_files(spark, f"file://{tmp_path}/avro", "avro")
+    assert got.schema.simpleString() == df.schema.simpleString() and sorted(r.i for r in got.collect()) == sorted(10 * k + j for k in range(3) for j in range(4))
+    with pytest.raises(ValueError):
+        files.read_files(spark, "x", "blob")
+
+
+def test_metadata_files(catalog):
+    t = catalog.create_table("db.m", "id int")
+    path = md.write_file(catalog.storage, t.metadata, 7)
+    assert md.read_file(catalog.storage, path) == t.metadata and md.parse_file_name(path)[0] == 7
+    with pytest.raises(ValueError):
+        md.parse_file_name("v1.metadata.json")
+
+
+def test_catalog_protocol(spark, tmp_path):
+    from quern.sources.service import RestCatalog, Service, serve
+
+    service = Service(Catalog(spark, f"file://{tmp_path}/wh", {"s3.endpoint": "http://localhost:1"}), tasks_per_plan=2)
+    server = serve(service)
+    try:
+        c = RestCatalog(spark, f"http://127.0.0.1:{server.server_port}", f"file://{tmp_path}/wh")
+        c.create_namespace("a")
+        c.create_namespace("a", if_not_exists=True)
+        for k in range(13):
+            c.create_namespace(f"a.n{k:02d}")
+        assert len(c.list_namespaces("a")) == 13 and c.namespace_exists("a.n03") and not c.namespace_exists("b")
+        assert c.update_namespace_properties("a", {"x": "1"})["updated"] == ["x"] and c.namespace_properties("a") == {"x": "1"}
+        with pytest.raises(AlreadyExists):
+            c.create_namespace("a")
+        with pytest.raises(NoSuchTable):
+            c.load_table("a.none")
+        tx = Transaction(c, "a.t")
+        for k in range(5):
+            tx.append(spark.range(10 * k, 10 * k + 10), files=1).commit()
+        t = c.load_table("a.t")
+        assert t.to_df().count() == 50 and [i.name for i in c.list_tables("a")] == ["t"] and len(c.load_table("a.t", snapshots="refs").metadata["snapshots"]) == 1
+        p = c.plan_scan("a.t", filter=e.gt_eq("id", 10).to_json(), stats_fields=["id"])
+        assert p["status"] == "completed" and len(p["file-scan-tasks"]) == 2 and len(p["plan-tasks"]) == 1 and p["file-scan-tasks"][0]["data-file"]["value-counts"]["values"] == [10]
+        assert len(c.fetch_tasks("a.t", p["plan-tasks"][0])["file-scan-tasks"]) == 2 and c.fetch_plan("a.t", p["plan-id"])["status"] == "completed"
+        c.cancel_plan("a.t", p["plan-id"])
+        assert c.fetch_plan("a.t", p["plan-id"])["status"] == "cancelled"
+        s = [x["snapshot-id"] for x in t.metadata["snapshots"]]
+        assert len(c.plan_scan("a.t", start_snapshot_id=s[1], end_snapshot_id=s[2])["file-scan-tasks"]) == 1 and len(c.plan_scan("a.t", min_rows_requested=5)["file-scan-tasks"]) == 1
+        c.report("a.t", {"report-type": "scan-report"})
+        assert service.reports[0]["table"] == "a.t" and c.credentials("a.t")[0]["config"] == {"s3.endpoint": "http://localhost:1"}
+        with pytest.raises(md.CommitConflict):
+            c.commit(t, [], [{"type": "assert-current-schema-id", "current-schema-id": 99}])
+        c.rename_table("a.t", "a.u")
+        c.register_table("a.again", t.location)
+        c.commit_many([(c.load_table("a.u"), [{"action": "set-properties", "updates": {"k": "v"}}], [])])
+        assert c.load_table("a.again").metadata["properties"]["k"] == "v"
+        c.create_view("a.v", "SELECT 1 AS one")
+        c.create_view("a.v", "SELECT 2 AS two", replace=True)
+        c.rename_view("a.v", "a.w")
+        assert c.view("a.w").first().two == 2 and c.view_exists("a.w") and [i.name for i in c.list_views("a")] == ["w"]
+        c.drop_view("a.w")
+        c.drop_namespace("a", recursive=True)
+        assert c.list_namespaces() == []
+    finally:
+        server.shutdown()
