@@ -25,10 +25,15 @@ def _column(df: DataFrame, e) -> Column:
     return Classic(df.sparkSession._jvm.org.apache.spark.sql.classic.ExpressionUtils.column(e))
 
 
-def bloom(keys: DataFrame, *columns: str, expected: int = 4_000_000, max_bits: int = 1 << 25) -> DataFrame:
-    """One row, one column: the filter of the keys' 64-bit hashes, null where there are no keys."""
+def bloom(keys: DataFrame, *columns: str, max_bits: int = 1 << 26) -> DataFrame:
+    """One row, one column: the filter of the keys' 64-bit hashes, null where there are no keys.
+
+    Ten bits a key, so about one key in a hundred that isn't there must be verified, up to ``max_bits`` (8 MiB). The keys are counted first, a
+    scan without columns.
+    """
     jvm = keys.sparkSession._jvm
-    bits = min(max_bits, max(1024, 10 * expected))
+    expected = max(1000, keys.count())
+    bits = min(max_bits, 10 * expected)
     agg = jvm.org.apache.spark.sql.catalyst.expressions.aggregate.BloomFilterAggregate(
         _expr(keys, F.xxhash64(*columns)), _expr(keys, F.lit(expected).cast("bigint")), _expr(keys, F.lit(bits).cast("bigint"))
     )
