@@ -6,7 +6,7 @@ passages and item windows are compared as vectors in the latent space. Each vect
 of two vectors is an upper bound of the exact one and a search by it loses no pair. Candidates are then checked word by word: a run of
 consecutive words for copies, the longest common subsequence and the answer for paraphrases.
 
-The items are a fixed set, broadcast after a check of its size; the corpus is never gathered.
+The items are a fixed set, searched for in blocks whose windows are broadcast, each of a bounded size; the corpus is never gathered.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.session import materialise
@@ -81,6 +81,27 @@ class Items:
         self.windows = np.array([self.words[i][k : k + run] for i, k in wins], np.int32).reshape(len(wins), run)
 
 
+    def blocks(self, most: int) -> Iterator[list[int]]:
+        """The items' numbers in blocks of at most ``most`` windows, or of one item."""
+        block: list[int] = []
+        size = 0
+        for i, w in enumerate(self.words):
+            n = max(0, len(w) - self.run + 1)
+            if n and size + n > most and block:
+                yield block
+                block, size = [], 0
+            if n:
+                block.append(i)
+                size += n
+        if block:
+            yield block
+
+
+_PAIRS = "doc_id bigint, item_id bigint, copied boolean, common int, answered boolean"
+#: Bytes of item windows that one search broadcasts.
+BLOCK_BYTES = 64 << 20
+
+
 def weights(ids: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """TF-IDF rows (n, terms) of id windows (n, k); id -1 stands for a word no item uses."""
     n, k = ids.shape
@@ -190,10 +211,9 @@ def leaks(
     """
     items = Items(eval_rows, run, most_items)
     width = 2 * run
-    schema = "doc_id bigint, item_id bigint, copied boolean, common int, answered boolean"
     spark = docs.sparkSession
     if not len(items.windows):
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], _PAIRS)
     terms = len(items.vocab)
     found = materialise(passages(docs, items), "passages")
 
@@ -205,19 +225,32 @@ def leaks(
     counts = _summed(found, df_part, (terms + 1,), width)
     idf = (np.log((1 + counts[-1]) / (1 + counts[:-1])) + 1).astype(np.float32)
     basis = basis_of(found, idf, width, rank, rounds, seed)
-    own = weights(items.windows, idf)
+    per_block = max(1, BLOCK_BYTES // (4 * (rank + 1 + run)))
+    pairs = None
+    for block in items.blocks(per_block):
+        part = found.mapInPandas(_searcher(spark, items, block, idf, basis, paraphrase, alike), _PAIRS)
+        pairs = part if pairs is None else pairs.unionByName(part)
+    return pairs.groupBy("doc_id", "item_id").agg(F.max("copied").alias("copied"), F.max("common").alias("common"), F.max("answered").alias("answered"))
+
+
+def _searcher(spark: SparkSession, items: Items, block: list[int], idf: np.ndarray, basis: np.ndarray, paraphrase: float | None, alike: float):
+    """The search for the items numbered ``block``, as a function over passages. What it broadcasts has a bound: the block's windows in the latent space."""
+    run, width = items.run, 2 * items.run
+    mine = np.isin(items.owner, block)
+    windows, owner = items.windows[mine], items.owner[mine]
+    own = weights(windows, idf)
     norm2 = (own * own).sum(1).astype(np.float32)
     query = np.ascontiguousarray(latent(own, basis).T)
-    spans = [(i, k) for i, w in enumerate(items.words) for k in range(0, max(1, len(w) - run), run)] if paraphrase else []
+    spans = [(i, k) for i in block for k in range(0, max(1, len(items.words[i]) - run), run)] if paraphrase else []
     longer = np.full((len(spans), width), -1, np.int32)
     for j, (i, k) in enumerate(spans):
         w = items.words[i][k : k + width]
         longer[j, : len(w)] = w
-    stretch = weights(longer, idf) if spans else None
-    shared = spark.sparkContext.broadcast((items.windows, items.owner, items.words, items.answers, items.ids, query, norm2, basis, idf, longer, [i for i, _ in spans], None if stretch is None else latent(stretch, basis)))
+    known = {i: (items.ids[i], items.words[i], items.answers[i]) for i in block}
+    shared = spark.sparkContext.broadcast((windows, owner, known, query, norm2, basis, idf, [i for i, _ in spans], latent(weights(longer, idf), basis) if spans else None))
 
     def search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        windows, owner, item_words, answers, ids_of, query, norm2, basis, idf, longer, span_owner, spans_latent = shared.value
+        windows, owner, known, query, norm2, basis, idf, span_owner, spans_latent = shared.value
         factors = np.random.default_rng(1).integers(1, 1 << 62, run, np.int64)
         code = (windows * factors).sum(1)
         for d in parts:
@@ -231,25 +264,24 @@ def leaks(
                 runs = np.lib.stride_tricks.sliding_window_view(ids, run, axis=1)
                 equal = ((runs * factors).sum(2)[hit_p] == code[hit_w][:, None]).any(1)
                 for p, w in zip(hit_p[equal].tolist(), hit_w[equal].tolist(), strict=True):
-                    key = (int(docs_[p]), ids_of[owner[w]])
+                    key = (int(docs_[p]), known[owner[w]][0])
                     if (key not in out or not out[key][0]) and (runs[p] == windows[w]).all(1).any():
                         old = out.get(key, [False, 0, False])
                         out[key] = [True, max(run, old[1]), old[2]]
                 if spans_latent is not None:
                     xn = np.maximum(np.linalg.norm(x, axis=1), 1e-9)
                     sn = np.maximum(np.linalg.norm(spans_latent, axis=1), 1e-9)
-                    for p, s in zip(*(v.tolist() for v in np.nonzero(x @ spans_latent.T >= alike * xn[:, None] * sn[None, :])), strict=True):
-                        item = span_owner[s]
-                        n = lcs(ids[p], item_words[item])
-                        key = (int(docs_[p]), ids_of[item])
+                    near = np.nonzero(x @ spans_latent.T >= alike * xn[:, None] * sn[None, :])
+                    for p, i in sorted({(p, span_owner[s]) for p, s in zip(*(v.tolist() for v in near), strict=True)}):
+                        item_id, item_words, answer = known[i]
+                        n, key = lcs(ids[p], item_words), (int(docs_[p]), item_id)
                         if n >= paraphrase * width or key in out:
                             old = out.get(key, [False, 0, False])
-                            answer = answers[item]
                             out[key] = [old[0], max(old[1], n), old[2] or bool(len(answer) and np.isin(answer, ids[p]).all())]
-            yield pd.DataFrame([(*k, *v) for k, v in out.items()], columns=["doc_id", "item_id", "copied", "common", "answered"]).astype({"doc_id": "int64", "item_id": "int64", "copied": bool, "common": "int32", "answered": bool})
+            rows = [(*k, *v) for k, v in out.items()]
+            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "copied", "common", "answered"]).astype({"doc_id": "int64", "item_id": "int64", "copied": bool, "common": "int32", "answered": bool})
 
-    pairs = found.mapInPandas(search, schema)
-    return pairs.groupBy("doc_id", "item_id").agg(F.max("copied").alias("copied"), F.max("common").alias("common"), F.max("answered").alias("answered"))
+    return search
 
 
 def eval_rows(items: DataFrame, most: int = 20_000) -> list[tuple[int, str | None, str | None]]:

@@ -112,7 +112,9 @@ def test_disguises_are_read(spark):
         assert any(x[k : k + len(want)] == want for k in range(len(x))), t
 
 
-def test_leaks_equal_brute_force(spark):
+@pytest.mark.parametrize("block", [leakage.BLOCK_BYTES, 20_000])
+def test_leaks_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(leakage, "BLOCK_BYTES", block)
     rnd = random.Random(1)
     vocab = [f"w{i}" for i in range(60)]
     items = [(1, ITEM, None), *((i, " ".join(rnd.choices(vocab, k=30)), " ".join(rnd.choices(vocab, k=5))) for i in range(2, 30)), (90, "too short", None), (91, None, None), (None, ITEM, None), (92, ITEM, "same item twice")]
