@@ -46,7 +46,7 @@ _IMAGE = r"!\[[^\]\n]*\]\([^)\n]*\)"
 _MARKER = r"^\s*(?:>[ \t]?)*[ \t]*(?:#{1,6}[ \t]+|(?:[-*+]|\d+\.)[ \t]+)?"
 _UNSEEN = r"[\s\u00a0\u202f\u2009\u200b-\u200f\u2060-\u2064\u00ad\ufeff]"
 _ENDS = r"[.!?…؟۔।॥]"
-_NEXT = r"(?=\p{Lu}\p{Ll}*(?:['’]\p{L}+)?(?:[\s,]|\.\s))"
+_NEXT = r"(?=\p{Lu}\p{Ll}*(?:['’]\p{L}+)?(?:[\s,\u00a0]|\.\s|\z))"
 
 
 def _before(words: str) -> str:
