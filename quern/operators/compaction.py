@@ -147,7 +147,8 @@ def compact_parquet(spark: SparkSession, source: str, target: str, journal: str,
     if not todo.isEmpty():
         todo.write.parquet(at := fresh_dir(spark, "todo"))
         todo = spark.read.parquet(at)
-        own = spark.read.option("recursiveFileLookup", True).parquet(source)
+        # Files of target size and more are left out when the scan is planned, not when it runs.
+        own = spark.read.option("recursiveFileLookup", True).parquet(source).where(F.col("_metadata.file_size") < policy.target)
         rows = own.select(F.struct(*own.columns).alias("_row"), F.col("_metadata.file_path").alias("input"))
         moved = rows.join(todo, "input").select("txn", "_row.*").repartition("txn")
         moved.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("txn").parquet(target)

@@ -24,7 +24,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_dir(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/quern/{label}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/quern/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def drop_intermediates(spark: SparkSession) -> None:
+    """Delete what this application has kept in the shared folder; results that still read it must have been written before."""
+    drop_dir(spark, f"{shared_dir(spark)}/quern/{spark.sparkContext.applicationId}")
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
