@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import scalars as fn
@@ -216,14 +216,19 @@ simple("sql_sum_length", "SELECT CAST(sum(length(p_name)) AS BIGINT) AS len, CAS
 simple("sql_text", "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1", lambda t: t.spark.sql("SELECT n_regionkey, count(*) AS n FROM {nation} GROUP BY n_regionkey", nation=t.nation.df))
 simple("columnar_aggregate", "SELECT CAST(sum(l_linenumber) AS BIGINT) AS s, count(*) FILTER (substr(l_returnflag, 1, 1) = 'A') AS n, round(avg(l_quantity), 6) AS a FROM lineitem", lambda t: t.lineitem.df.agg(F.sum("l_linenumber").alias("s"), F.count_if(fn.char_at(c("l_returnflag"), 0) == "A").alias("n"), F.round(F.avg("l_quantity"), 6).alias("a")))
 _NET = "l_extendedprice * (1 - l_discount)"
-_net = c("l_extendedprice") * (1 - c("l_discount"))
+
+
+def _net() -> Column:
+    return c("l_extendedprice") * (1 - c("l_discount"))
+
+
 simple("tpch_q1_like", f"SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum({_NET}), 2) AS sum_net, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '2001-01-01' GROUP BY 1, 2",
-       lambda t: t.lineitem.where(c("l_shipdate") <= F.lit("2001-01-01").cast("timestamp_ntz")).group_by("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(_net), 2).alias("sum_net"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count("*").alias("n")))
+       lambda t: t.lineitem.where(c("l_shipdate") <= F.lit("2001-01-01").cast("timestamp_ntz")).group_by("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(_net()), 2).alias("sum_net"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count("*").alias("n")))
 simple("tpch_q3_like", f"SELECT o_orderkey, round(sum({_NET}), 2) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE c_mktsegment = 'BUILDING' AND o_orderdate < TIMESTAMP '1998-01-01' GROUP BY 1 ORDER BY revenue DESC, o_orderkey LIMIT 10",
-       lambda t: t.lineitem.join(t.orders.where(c("o_orderdate") < F.lit("1998-01-01").cast("timestamp_ntz")).semi_join(t.customer.where(e.eq("c_mktsegment", "BUILDING")), [("o_custkey", "c_custkey")]), [("l_orderkey", "o_orderkey")], "r.o_orderkey", "l.l_extendedprice", "l.l_discount").group_by("o_orderkey").agg(F.round(F.sum(_net), 2).alias("revenue")).order_by(c("revenue").desc(), "o_orderkey").take(10))
+       lambda t: t.lineitem.join(t.orders.where(c("o_orderdate") < F.lit("1998-01-01").cast("timestamp_ntz")).semi_join(t.customer.where(e.eq("c_mktsegment", "BUILDING")), [("o_custkey", "c_custkey")]), [("l_orderkey", "o_orderkey")], "r.o_orderkey", "l.l_extendedprice", "l.l_discount").group_by("o_orderkey").agg(F.round(F.sum(_net()), 2).alias("revenue")).order_by(c("revenue").desc(), "o_orderkey").take(10))
 simple("tpch_q5_like", f"SELECT n_name, round(sum({_NET}), 2) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' GROUP BY 1",
        lambda t: t.lineitem.join(t.orders.join(t.customer, [("o_custkey", "c_custkey")], "l.o_orderkey", "r.c_nationkey"), [("l_orderkey", "o_orderkey")], "l.*", "r.c_nationkey").join(t.supplier, [("l_suppkey", "s_suppkey"), ("c_nationkey", "s_nationkey")], "l.l_extendedprice", "l.l_discount", "r.s_nationkey", composite=False)
-       .join(t.nation.semi_join(t.region.where(e.eq("r_name", "ASIA")), [("n_regionkey", "r_regionkey")]), [("s_nationkey", "n_nationkey")], "r.n_name", "l.l_extendedprice", "l.l_discount").group_by("n_name").agg(F.round(F.sum(_net), 2).alias("revenue")))
+       .join(t.nation.semi_join(t.region.where(e.eq("r_name", "ASIA")), [("n_regionkey", "r_regionkey")]), [("s_nationkey", "n_nationkey")], "r.n_name", "l.l_extendedprice", "l.l_discount").group_by("n_name").agg(F.round(F.sum(_net()), 2).alias("revenue")))
 simple("tpch_q6_like", "SELECT round(sum(l_extendedprice * l_discount), 2) AS revenue FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-01-01' AND l_shipdate < TIMESTAMP '1998-01-01' AND l_discount BETWEEN 0.03 AND 0.07 AND l_quantity < 24",
        lambda t: t.lineitem.where(c("l_shipdate") >= F.lit("1997-01-01").cast("timestamp_ntz")).where(c("l_shipdate") < F.lit("1998-01-01").cast("timestamp_ntz")).where(e.gt_eq("l_discount", 0.03) & e.lt_eq("l_discount", 0.07) & e.lt("l_quantity", 24.0)).df.agg(F.round(F.sum(c("l_extendedprice") * c("l_discount")), 2).alias("revenue")))
 

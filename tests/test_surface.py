@@ -642,3 +642,13 @@ def test_catalog_protocol(spark, tmp_path):
         assert c.list_namespaces() == []
     finally:
         server.shutdown()
+
+
+def test_queries_are_listed_without_a_session():
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q); print(len(q))"
+    assert int(subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout) > 100
