@@ -30,7 +30,7 @@ BEFORE_ORDINAL = "der die das dem den des am im vom zum zur beim seit bis ab jed
 MONTHS = "Januar Februar März April Mai Juni Juli August September Oktober November Dezember"
 
 _SP = r"[\s\u00a0\u202f\u2009]"
-_CLOSE = r"[\"”“»’')\]）」』】›]"
+_CLOSE = r"[\"”“»’')\]）」』】›*]"
 _OPEN = r"[\"“„«‘‹(\[（「『【¿¡]"
 #: A lower-case word goes on with the sentence; an identifier such as df_x or v0.8 may begin one.
 _LOWER = r"(?=" + _SP + r"+\p{Ll}[\p{L}\p{M}’'\-]*(?![\p{L}\p{M}\p{N}_]))"
