@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quern.functions import scalars as fn
 from quern.functions import transforms as tr
 from quern.plans import expr as e
-from quern.plans.query import Query, sum_or_zero
+from quern.plans.query import Query, nan_low, sum_or_zero
 from quern.session import fresh_dir
 from quern.sources.catalog import Catalog
 from quern.sources.transaction import Transaction
@@ -103,6 +103,7 @@ simple("join_group", "SELECT c_custkey, count(o_orderkey) AS n, coalesce(round(s
 simple("join_semi", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)", lambda t: t.customer.semi_join(t.orders.where(e.gt("o_totalprice", 400000)), [("c_custkey", "o_custkey")]).select("c_custkey"))
 simple("join_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)", lambda t: t.customer.anti_join(t.orders.where(e.gt("o_totalprice", 400000)), [("c_custkey", "o_custkey")]).select("c_custkey"))
 simple("join_theta", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey", lambda t: t.nation.theta_join(t.nation, c("l.n_nationkey") < c("r.n_nationkey"), c("l.n_nationkey").alias("a"), c("r.n_nationkey").alias("b"), equal=[("n_regionkey", "n_regionkey")]))
+simple("join_cross_filter", "SELECT r_regionkey, n_nationkey FROM region, nation WHERE n_nationkey % 5 < r_regionkey", lambda t: t.region.theta_join(t.nation, c("r.n_nationkey") % 5 < c("l.r_regionkey"), "l.r_regionkey", "r.n_nationkey"))
 simple("join_range", "SELECT p_partkey, s_suppkey FROM part JOIN supplier ON p_retailprice BETWEEN s_acctbal AND s_acctbal + 50", lambda t: t.part.range_join(Query(t.supplier.df.withColumn("hi", c("s_acctbal") + 50)), "p_retailprice", "s_acctbal", "hi", 50, "l.p_partkey", "r.s_suppkey"))
 simple("join_in_memory", "SELECT o_orderkey, w AS weight FROM orders JOIN (VALUES ('O', 1), ('F', 2)) v(k, w) ON o_orderstatus = k", lambda t: t.orders.join_local([("O", 1), ("F", 2)], "k string, weight int", [("o_orderstatus", "k")], "l.o_orderkey", "r.weight"))
 
@@ -169,6 +170,8 @@ simple("skip", f"{_O} OFFSET 1000", lambda t: _orders(t).skip(1000).select("o_or
 simple("take_last", "SELECT o_orderkey FROM orders ORDER BY o_totalprice, o_orderkey DESC LIMIT 100", lambda t: _orders(t).take_last(100).select("o_orderkey"))
 simple("skip_last", "SELECT o_orderkey FROM orders ORDER BY o_totalprice, o_orderkey DESC OFFSET 100", lambda t: _orders(t).skip_last(100).select("o_orderkey"))
 simple("order_nulls", f"SELECT p_partkey, row_number() OVER (ORDER BY s ASC NULLS FIRST, p_partkey) - 1 AS i FROM {_PART}", lambda t: _part(t).order_by(c("s").asc(), "p_partkey").index("i").select("p_partkey", "i"))
+simple("order_nan_low", f"SELECT p_partkey, row_number() OVER (ORDER BY x IS NOT NULL, coalesce(isnan(x), false) DESC, x, p_partkey) - 1 AS i FROM {_PART}", lambda t: _part(t).order_by(*nan_low("x"), "p_partkey").index("i").select("p_partkey", "i"))
+simple("apply_function", "SELECT o_orderkey, o_totalprice * 2 AS value FROM orders", lambda t: t.orders.apply(lambda x: x * 2, "double", "o_totalprice").select("o_orderkey", "value"))
 simple("reverse_index", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey DESC) - 1 AS i FROM orders", lambda t: t.orders.order_by("o_orderkey").reverse(c("o_orderkey").desc()).index("i").select("o_orderkey", "i"))
 simple("top_n_per_group", "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 3", lambda t: _orders(t).top_by_group(3, "o_custkey").select("o_custkey", "o_orderkey"))
 _STOP = "(SELECT coalesce(min(event_id), 9223372036854775807) FROM events WHERE NOT value < 60)"

@@ -87,6 +87,10 @@ def unread(entries: DataFrame, listed: DataFrame, manifest_lists: DataFrame, run
     return j.where(~F.coalesce(F.col("arrived_at") <= F.col("read_at"), F.lit(False))).select("entry_id", "table_id", "sequence_number", "arrived_at")
 
 
+#: Ranges of a batch plan that are broadcast: some ten million bytes.
+RANGES_BROADCAST = 100_000
+
+
 class IncrementalReader:
     """Batches over a growing log, each record once, whatever fails in between.
 
@@ -128,7 +132,7 @@ class IncrementalReader:
         ranges = self.spark.createDataFrame(rows, "_p string, _after bigint, _until bigint")
         log = self.log()
         on = (F.col(self.partition).cast("string") == F.col("_p")) & (F.col(self.offset) <= F.col("_until")) & (F.col("_after").isNull() | (F.col(self.offset) > F.col("_after")))
-        return log.join(F.broadcast(ranges), on, "left_semi")
+        return log.join(F.broadcast(ranges) if len(rows) <= RANGES_BROADCAST else ranges, on, "left_semi")
 
     def run(self, work: Callable[[DataFrame], DataFrame]) -> int | None:
         """Carry out one batch; gives its number, or None if nothing is new."""

@@ -107,6 +107,14 @@ class Query:
         one = self.df.sparkSession.range(1).select(*(F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in self.df.schema))
         return self._new(self.df.unionByName(one.where(~self.df.limit(1).select(F.lit(1).alias("x")).exists())))
 
+    def map_batches(self, work: Callable[[Any], Any], schema: str) -> Query:
+        """Escape hatch for what no expression gives: ``work`` gets an iterator of pandas frames and yields such frames, in Arrow batches."""
+        return self._new(self.df.mapInPandas(work, schema))
+
+    def apply(self, f: Callable[..., Any], kind: str, *cols: Column | str, name: str = "value") -> Query:
+        """Escape hatch for scalars: a function over pandas series as one more column."""
+        return self._new(self.df.withColumn(name, F.pandas_udf(f, kind)(*cols)), True)
+
     # Joins
 
     def _on(self, other: DataFrame, keys: Sequence[tuple[str, str]], composite: bool | None) -> Column:
@@ -180,7 +188,7 @@ class Query:
         return self._new(self.df.distinct())
 
     def distinct_by(self, *keys: str) -> Query:
-        """The first row of each key in the order; combined map-side, no window over a hot key."""
+        """The first row of each key in the order. Spark's group limit leaves one row per key and task before the shuffle, so a hot key costs no more than any."""
         return self._new(_first_by(self.df, keys, self._ordered()))
 
     def concat(self, other: Query) -> Query:
@@ -444,5 +452,11 @@ class Grouped:
         return Query(self.df, order).top_by_group(n, key)
 
 
+def nan_low(c: Column | str) -> list[Column]:
+    """Ascending order keys with null first, then NaN, then the numbers."""
+    c = _col(c)
+    return [c.isNotNull().asc(), F.isnan(c).desc(), c.asc()]
+
+
 def sum_or_zero(c: Column | str) -> Column:
     return F.coalesce(F.sum(c), F.lit(0))

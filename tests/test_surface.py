@@ -392,6 +392,12 @@ def test_views_and_many_commits(spark, catalog):
     assert catalog.load_table("db.other").metadata["properties"]["x"] == "1"
 
 
+def test_batches(spark, catalog):
+    t = Transaction(catalog, "db.b").append(spark.createDataFrame([(i, [i], {"k": i}, (i,)) for i in range(10)], "i int, a array<int>, m map<string,int>, s struct<q: int>")).commit()
+    got = list(t.batches(4, select=["i", "a", "m", "s"]))
+    assert [b.num_rows for b in got] == [4, 4, 2] and sorted(r["s"]["q"] for b in got for r in b.to_pylist()) == list(range(10))
+
+
 def test_partitioned_and_sorted_writes(spark, catalog):
     schema = T.DataType.fromDDL("id bigint, k string")
     spec = {"spec-id": 1, "fields": [{"source-id": 2, "field-id": 1000, "name": "k", "transform": "identity"}]}
