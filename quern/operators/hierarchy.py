@@ -159,37 +159,68 @@ def path_segments(trees: DataFrame, length: int = 64) -> DataFrame:
     return t
 
 
-def full_paths(segments: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, path): for each id in ``nodes`` (column node) the ids from its root down to itself; a walk along anchors."""
-    index = materialise(segments.select("node", "anchor", "segment"), "segments")
-    cur = nodes.select("node").distinct().join(index, "node").select("node", "anchor", F.col("segment").alias("path"))
-    done = cur.where("anchor is null")
-    cur = cur.where("anchor is not null")
-    while not cur.isEmpty():
-        up = index.select(F.col("node").alias("anchor"), F.col("anchor").alias("a2"), F.col("segment").alias("s2"))
-        cur = materialise(cur.join(up, "anchor").select("node", F.col("a2").alias("anchor"), F.concat("path", "s2").alias("path")), "walk")
-        done = done.unionByName(cur.where("anchor is null"))
-        cur = cur.where("anchor is not null")
-    return done.select("node", F.reverse("path").alias("path"))
-
-
-def descendants(segments: DataFrame, roots: DataFrame) -> DataFrame:
-    """(ancestor, node): all proper descendants of the ids in ``roots`` (column node), found from the paths of the nodes.
-
-    A node's ancestors are the ids on its segments, so a node is given to every queried id on its own segment and, through its anchor, to those
-    above. Nodes on loops have no descendants.
+def _contracted(segments: DataFrame, length: int) -> DataFrame:
+    """The tree of the anchors: each points to its own anchor, so it is ``length`` times as flat and about that much smaller."""
+    a = segments.where((F.col("depth") >= 0) & (F.col("depth") % length == 0))
+    return path_segments(a.select("node", F.col("anchor").alias("parent"), "root", (F.col("depth") / length).cast("int").alias("depth")), length)
+
+
+def full_paths(trees: DataFrame, nodes: DataFrame, length: int = 64) -> DataFrame:
+    """(node, path): for each id in ``nodes`` (column node) the ids from its root down to itself.
+
+    The anchors on the way are found in the tree of anchors, by the same means, so the number of joins grows with the logarithm of the depth. A node on or
+    below a loop has a path of itself. Ids that are not in ``trees`` give nothing; repeated ids one row.
     """
-    index = materialise(segments.where("depth >= 0").select("node", "anchor", "segment"), "segments")
-    asked = roots.select(F.col("node").alias("ancestor")).distinct()
-    own = index.select("node", "anchor", F.explode("segment").alias("ancestor"))
-    hits = own.join(asked, "ancestor").select("ancestor", "node")
-    # Anchors below a queried id: everything anchored at one of them, or at the queried id itself, is below it too.
-    heads = hits.select("ancestor", F.col("node").alias("anchor")).unionByName(asked.select("ancestor", F.col("ancestor").alias("anchor")))
-    anchors = index.select("anchor").where("anchor is not null").distinct()
-    front = materialise(heads.join(anchors, "anchor", "left_semi").distinct(), "front")
-    found = hits.where("ancestor <> node")
-    while not front.isEmpty():
-        below = materialise(index.join(front, "anchor").select("ancestor", "node").distinct(), "below")
-        found = found.unionByName(below)
-        front = materialise(below.select("ancestor", F.col("node").alias("anchor")).join(anchors, "anchor", "left_semi"), "front")
-    return found.distinct()
+    return _paths(materialise(path_segments(trees, length), "segments"), nodes.select("node").distinct(), length)
+
+
+def _paths(segments: DataFrame, asked: DataFrame, length: int) -> DataFrame:
+    own = materialise(asked.join(segments.select("node", "anchor", "segment"), "node"), "asked")
+    above = own.where("anchor is not null").select(F.col("anchor").alias("node")).distinct()
+    if above.isEmpty():
+        return own.select("node", F.reverse("segment").alias("path"))
+    anchors = _paths(materialise(_contracted(segments, length), "anchors"), above, length)
+    step = anchors.select(F.col("node").alias("anchor"), F.posexplode("path").alias("_at", "_a"))
+    part = step.join(segments.select(F.col("node").alias("_a"), F.reverse("segment").alias("_s")), "_a")
+    to_anchor = part.groupBy("anchor").agg(F.array_sort(F.collect_list(F.struct("_at", "_s"))).alias("_p")).select("anchor", F.flatten(F.transform("_p", lambda x: x["_s"])).alias("_p"))
+    none = F.expr("cast(array() as array<bigint>)")
+    return own.join(to_anchor, "anchor", "left").select("node", F.concat(F.coalesce("_p", none), F.reverse("segment")).alias("path"))
+
+
+def descendants(trees: DataFrame, roots: DataFrame, length: int = 64) -> DataFrame:
+    """(ancestor, node): all proper descendants of the ids in ``roots`` (column node). Nodes on or below loops have none and are none."""
+    seg = materialise(path_segments(trees, length).where("depth >= 0"), "segments")
+    return _below(seg, roots.select(F.col("node").alias("ancestor")).distinct(), length).where("ancestor <> node")
+
+
+def _below(segments: DataFrame, asked: DataFrame, length: int) -> DataFrame:
+    """(ancestor, node) of the nodes whose path holds the asked id, itself included: it stands in their own segment, or at or above their anchor."""
+    own = segments.select("node", "depth", F.explode("segment").alias("ancestor")).join(asked, "ancestor")
+    hits = materialise(own.select("ancestor", "node", (F.col("depth") % length == 0).alias("_is_anchor")), "hits")
+    heads = hits.where("_is_anchor").select("ancestor", F.col("node").alias("_head"))
+    hits = hits.select("ancestor", "node")
+    below = segments.select("anchor", "node").where("anchor is not null")
+    if heads.isEmpty() or below.isEmpty():
+        return hits
+    anchors = _below(materialise(_contracted(segments, length), "anchors"), heads.select(F.col("_head").alias("ancestor")).distinct(), length)
+    reach = heads.join(anchors.select(F.col("ancestor").alias("_head"), F.col("node").alias("anchor")), "_head").select("ancestor", "anchor")
+    return hits.unionByName(below.join(reach, "anchor").select("ancestor", "node"))
+
+
+def subtree_sizes(trees: DataFrame, length: int = 64) -> DataFrame:
+    """(node, descendants): how many proper descendants every node has; 0 on and below loops. Linear in the number of nodes, whatever their depth."""
+    seg = materialise(path_segments(trees, length), "segments")
+    sums = _sums(seg.where("depth >= 0"), seg.where("depth >= 0").select("node", F.lit(1).cast("bigint").alias("w")), length)
+    return seg.select("node").join(sums, "node", "left").select("node", (F.coalesce("w", F.lit(1)) - 1).alias("descendants"))
+
+
+def _sums(segments: DataFrame, weights: DataFrame, length: int) -> DataFrame:
+    """(node, w): the sum of the weights in each node's subtree, itself included."""
+    s = materialise(segments.join(weights, "node"), "weighted")
+    own = s.select(F.explode("segment").alias("node"), "w")
+    by_anchor = s.where("anchor is not null").groupBy(F.col("anchor").alias("node")).agg(F.sum("w").alias("w"))
+    if not by_anchor.isEmpty():
+        tree = materialise(_contracted(segments, length), "anchors")
+        upper = _sums(tree, tree.select("node").join(by_anchor, "node", "left").select("node", F.coalesce("w", F.lit(0).cast("bigint")).alias("w")), length)
+        own = own.unionByName(segments.join(upper, "node").select(F.explode("segment").alias("node"), "w"))
+    return own.groupBy("node").agg(F.sum("w").alias("w"))

@@ -48,6 +48,11 @@ def p3_paths(spark: SparkSession, sf: str) -> DataFrame:
     return hierarchy.path_segments(_trees(spark, sf)).withColumnsRenamed({"node": "snapshot_id", "root": "root_snapshot_id", "anchor": "anchor_snapshot_id"})
 
 
+def p3_descendants(spark: SparkSession, sf: str) -> DataFrame:
+    """How many descendants every snapshot has."""
+    return hierarchy.subtree_sizes(_trees(spark, sf)).withColumnRenamed("node", "snapshot_id")
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     t = lambda n: table(spark, sf, n)
     return incremental.unread(t("manifest_entries"), t("manifest_list_entries"), t("manifest_lists"), t("run_log")).select("entry_id")
@@ -76,7 +81,7 @@ def p6_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_outputs, p2_found, p2_current, p3_found, p3_paths, p4_found, p5_found, p5_report, p6_found, p6_rows)
+    f.__name__: f for f in (p1_found, p1_outputs, p2_found, p2_current, p3_found, p3_paths, p3_descendants, p4_found, p5_found, p5_report, p6_found, p6_rows)
 }
 
 _LOC = "CASE WHEN regexp_matches({0}, '^s3[an]?:/') THEN 's3://' || regexp_replace(regexp_replace({0}, '^s3[an]?:/+', ''), '/+', '/', 'g') ELSE {0} END"
@@ -109,6 +114,10 @@ ORACLE: dict[str, str] = {
  onloop AS (SELECT start, min(here) low FROM w WHERE start IN (SELECT start FROM w w2 WHERE w2.here = w2.start) GROUP BY 1)
  SELECT id AS snapshot_id, root AS root_snapshot_id, CAST(depth AS INTEGER) AS depth FROM t
  UNION ALL SELECT w.start, min(o.low), -1 FROM w JOIN onloop o ON w.here = o.start GROUP BY 1""",
+    "p3_descendants": f"""WITH RECURSIVE {_HEADS}, l AS (SELECT h.id, p.id par FROM heads h LEFT JOIN heads p ON h.par = p.id),
+ t AS (SELECT id FROM l WHERE par IS NULL UNION ALL SELECT l.id FROM l JOIN t ON l.par = t.id), g AS (SELECT * FROM l WHERE id IN (SELECT id FROM t)),
+ a AS (SELECT id, par anc FROM g WHERE par IS NOT NULL UNION ALL SELECT a.id, g.par FROM a JOIN g ON a.anc = g.id WHERE g.par IS NOT NULL)
+ SELECT l.id AS snapshot_id, count(a.id) AS descendants FROM l LEFT JOIN a ON a.anc = l.id GROUP BY 1""",
     "p4_found": f"""WITH {_NUMBERS}, {_HEADS},
  e AS (SELECT entry_id, max(table_id) table_id, max(coalesce(sequence_number, s)) q, min(arrived_at) a FROM manifest_entries LEFT JOIN nums ON p = {_LOC.format('manifest_path')} GROUP BY 1),
  r AS (SELECT DISTINCT table_id, CASE WHEN start_snapshot_id IS NULL THEN -1 ELSE b.seq END lo, f.seq hi, read_at FROM run_log

@@ -171,19 +171,21 @@ def test_compress_long_chain_and_loop():
     assert set(top) == {2500} and set(kind) == {hierarchy.LOOP} and set(dist) == {-1}
 
 
-def test_paths_and_descendants(spark):
-    links = [(1, None), *((i, i - 1) for i in range(2, 200)), *((1000 + i, 150) for i in range(5)), (2000, None), (3000, 3001), (3001, 3000)]
+@pytest.mark.parametrize("length", [4, 256])
+def test_paths_and_descendants(spark, length):
+    links = [(1, None), *((i, i - 1) for i in range(2, 200)), *((1000 + i, 150) for i in range(5)), (2000, None), (3000, 3001), (3001, 3000), (3002, 3000)]
     trees = hierarchy.forest(spark.createDataFrame(links, "n bigint, p bigint"), "n", "p")
-    seg = hierarchy.path_segments(trees, 16)
-    assert max(len(r.segment) for r in seg.collect()) <= 16
-    want = {1: [1], 40: list(range(1, 41)), 1003: [*range(1, 151), 1003], 2000: [2000]}
-    got = {r.node: r.path for r in hierarchy.full_paths(seg, spark.createDataFrame([(k,) for k in want], "node bigint")).collect()}
-    assert got == want
+    assert max(len(r.segment) for r in hierarchy.path_segments(trees, length).collect()) <= length
+    want = {1: [1], 2: [1, 2], 40: list(range(1, 41)), 199: list(range(1, 200)), 1003: [*range(1, 151), 1003], 2000: [2000], 3000: [3000]}
+    asked = spark.createDataFrame([(k,) for k in [*want, 40, 77777]], "node bigint")
+    assert {r.node: r.path for r in hierarchy.full_paths(trees, asked, length).collect()} == want
     down = {}
-    for r in hierarchy.descendants(seg, spark.createDataFrame([(1,), (148,), (199,), (2000,), (3000,)], "node bigint")).collect():
-        down.setdefault(r.ancestor, set()).add(r.node)
-    below = set(range(149, 200)) | set(range(1000, 1005))
-    assert down == {1: set(range(2, 200)) | set(range(1000, 1005)), 148: below}
+    for r in hierarchy.descendants(trees, spark.createDataFrame([(1,), (148,), (199,), (2000,), (3000,), (1,)], "node bigint"), length).collect():
+        assert r.node not in down.setdefault(r.ancestor, set())
+        down[r.ancestor].add(r.node)
+    assert down == {1: set(range(2, 200)) | set(range(1000, 1005)), 148: set(range(149, 200)) | set(range(1000, 1005))}
+    sizes = {r.node: r.descendants for r in hierarchy.subtree_sizes(trees, length).collect()}
+    assert sizes == {i: 199 - i + (5 if i <= 150 else 0) for i in range(1, 200)} | dict.fromkeys([*range(1000, 1005), 2000, 3000, 3001, 3002], 0)
 
 
 # Incremental
