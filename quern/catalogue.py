@@ -208,7 +208,7 @@ simple("array_functions", """SELECT vec_id, len(embedding) AS n, list_contains(e
  round(embedding[1], 5) AS first, round(list_max(embedding), 5) AS high, round(list_sort(embedding)[1], 5) AS low FROM embeddings""",
        lambda t: t.embeddings.select("vec_id", fn.count(c("embedding")).cast("bigint").alias("n"), fn.array_contains("embedding", fn.element_at(c("embedding"), 2)).alias("has"), F.size(fn.array_where("embedding", lambda x: x > 0)).cast("bigint").alias("pos"), fn.any_of(c("embedding"), lambda x: x > 0.25).alias("some"),
                                      fn.all_of(c("embedding"), lambda x: x > -1).alias("every"), F.round(fn.first_or_default(c("embedding")), 5).alias("first"), F.round(fn.array_max("embedding"), 5).alias("high"), F.round(fn.element_at(fn.array_order("embedding"), 0), 5).alias("low")))
-simple("map_functions", "SELECT snapshot_id, sequence_number, cardinality(summary) AS n, map_contains(summary, 'added-records') AS has, summary['operation'] AS op, summary['engine-name'] AS engine FROM snapshots",
+simple("map_functions", "SELECT snapshot_id, sequence_number, CAST(cardinality(summary) AS BIGINT) AS n, map_contains(summary, 'added-records') AS has, summary['operation'] AS op, summary['engine-name'] AS engine FROM snapshots",
        lambda t: t.snapshots.select("snapshot_id", "sequence_number", F.size("summary").cast("bigint").alias("n"), fn.contains_key("summary", "added-records").alias("has"), fn.try_value_of(c("summary"), "operation").alias("op"), fn.try_value_of(c("summary"), "engine-name").alias("engine")))
 simple("conditional", f"SELECT p_partkey, CASE WHEN s > 25 THEN 'big' ELSE 'small' END AS size, coalesce(n, 'none') AS name, s IS NOT NULL AS known FROM {_PART}", lambda t: _part(t).select("p_partkey", fn.choose(c("s") > 25, F.lit("big"), F.lit("small")).alias("size"), fn.first_known("n", F.lit("none")).alias("name"), fn.has_value(c("s")).alias("known")))
 simple("json_props", "SELECT event_id, CAST(props->>'k' AS INTEGER) AS k FROM events", lambda t: t.events.select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k")))

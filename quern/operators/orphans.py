@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.classic.column import _to_java_column
 
 from quern.operators.snapshot_tables import location
+from quern.session import materialise
 
 
 def _expr(df: DataFrame, c: Column):
@@ -29,7 +30,7 @@ def bloom(keys: DataFrame, *columns: str, max_bits: int = 1 << 26) -> DataFrame:
     """One row, one column: the filter of the keys' 64-bit hashes, null where there are no keys.
 
     Ten bits a key, so about one key in a hundred that isn't there must be verified, up to ``max_bits`` (8 MiB). The keys are counted first, a
-    scan without columns.
+    scan without columns. The filter is built once and kept in a file of its one row: a plan may name its subquery several times.
     """
     jvm = keys.sparkSession._jvm
     expected = max(1000, keys.count())
@@ -37,7 +38,7 @@ def bloom(keys: DataFrame, *columns: str, max_bits: int = 1 << 26) -> DataFrame:
     agg = jvm.org.apache.spark.sql.catalyst.expressions.aggregate.BloomFilterAggregate(
         _expr(keys, F.xxhash64(*columns)), _expr(keys, F.lit(expected).cast("bigint")), _expr(keys, F.lit(bits).cast("bigint"))
     )
-    return keys.agg(_column(keys, agg.toAggregateExpression()).alias("filter"))
+    return materialise(keys.agg(_column(keys, agg.toAggregateExpression()).alias("filter")), "bloom")
 
 
 def might_contain(df: DataFrame, filter: DataFrame, *columns: str) -> Column:
