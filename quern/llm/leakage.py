@@ -36,7 +36,8 @@ _ESCAPE = re.compile(r"\\+(?:u([0-9a-fA-F]{4})|x([0-9a-fA-F]{2})|[nrtfvb\"'/])")
 _TEX = re.compile(r"\\(?:textbf|textit|texttt|textsc|text|emph|underline|mathbf|mathrm)\s*\{")
 _INLINE = re.compile(rf"</?(?:{'|'.join(INLINE.split())})(?:\s[^<>]*)?/?>", re.I)
 _BLOCK = re.compile(rf"</?(?:{'|'.join(TAGS.split())})(?:\s[^<>]*)?/?>", re.I)
-_EMPHASIS = re.compile(r"[*_~`]+")
+#: What may stand inside a word; underscores and backquotes stand around words and part them like punctuation.
+_EMPHASIS = re.compile(r"\*+|~~")
 
 
 def _unescape(m: re.Match) -> str:

@@ -124,7 +124,7 @@ def blocks(cell: Column) -> Column:
     line = r"[^\n]*\n"
     ends = "|".join([
         _FENCE, r"\n(?=[ \t]*\n)", r"\n(?=[ \t]*(?:#{1,6}[ \t]|>|\||[-*+][ \t]|```|~~~))",
-        rf"^[ \t]*(?:#{{1,6}}[ \t]|>|\|){line}", rf"^[ \t]*(?:[-*+]|\d+\.)[ \t]{line}(?=[ \t]*\d+\.[ \t])",
+        r"\n(?=[ \t]*(?:={3,}|-{3,})[ \t]*(?:\n|\z))", r"^[ \t]*(?:={3,}|-{3,})[ \t]*\n", rf"^[ \t]*(?:#{{1,6}}[ \t]|>|\|){line}", rf"^[ \t]*(?:[-*+]|\d+\.)[ \t]{line}(?=[ \t]*\d+\.[ \t])",
     ])
     return _pieces(F.regexp_replace(apart, rf"(?m)({ends})", f"$1{CUT}"))
 

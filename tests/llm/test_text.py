@@ -184,6 +184,7 @@ CASES = {
     " ​ Spaced out.  Next  ": ["Spaced out.", "Next"],
     "日志写着：“旧的数值。”": ["日志写着：“旧的数值。”"],
     "Le journal dit : « La fin. »": ["Le journal dit : « La fin. »"],
+    "Title here\n=====\nBody one. Two\n---\nThree\n  - sub one\n  - sub two. End": ["Title here", "Body one.", "Two", "Three", "sub one", "sub two.", "End"],
     "**All of it.** Next *one?* Last": ["**All of it.**", "Next *one?*", "Last"],
     "": [], "   \n ": [], "...": [], "```\nopen fence. Never. Closed": [],
 }
