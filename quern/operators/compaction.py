@@ -7,6 +7,7 @@ inputs, so a plan made again after a failure names the same outputs and what the
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.operators.snapshot_tables import location
-from quern.session import fresh_dir
+from quern.session import materialise
 
 
 @dataclass(frozen=True)
@@ -94,37 +95,39 @@ def rewritten_entries(entries: DataFrame, planned: DataFrame) -> DataFrame:
 
 
 class CompactionJournal:
-    """Transactions in a shared folder: ``intents`` (txn, input) are written before the work, ``done`` (txn) after it.
+    """Transactions in a shared folder: ``intents`` (txn, input) are written before the work, ``done`` (txn, folder) after it.
 
-    Both only grow. A transaction counts as done when its row is in ``done``; a repeated row means nothing more.
+    Both only grow. A transaction counts as done when it has a row in ``done``, which names the folder that holds its output; what a failed run
+    left in other folders is never read.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
     def _read(self, part: str, schema: str) -> DataFrame:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{part}")
-        if not hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop):
+        if not _there(self.spark, f"{self.path}/{part}"):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.path}/{part}")
 
     def done(self) -> DataFrame:
-        return self._read("done", "txn string").distinct()
+        return self._read("done", "txn string, folder string").groupBy("txn").agg(F.min("folder").alias("folder"))
 
     def intents(self) -> DataFrame:
         return self._read("intents", "txn string, input string").distinct()
 
     def begin(self, planned: DataFrame, item: str) -> DataFrame:
-        """Record the merges of ``planned`` that are neither done nor recorded; gives those still to be done."""
+        """Record the merges of ``planned`` that are neither done nor recorded; gives (txn, input) of all that is still to be done."""
         merges = planned.where("level > 0").select("txn", F.col(item).alias("input"))
         merges.join(self.intents().select("txn").distinct(), "txn", "left_anti").write.mode("append").parquet(f"{self.path}/intents")
-        return self.pending()
-
-    def pending(self) -> DataFrame:
         return self.intents().join(self.done(), "txn", "left_anti")
 
-    def commit(self, txns: DataFrame) -> None:
-        txns.select("txn").distinct().write.mode("append").parquet(f"{self.path}/done")
+    def commit(self, txns: DataFrame, folder: str) -> None:
+        txns.select("txn").distinct().withColumn("folder", F.lit(folder)).write.mode("append").parquet(f"{self.path}/done")
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
@@ -132,31 +135,36 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path).select("path", "length")
 
 
+def live_files(spark: SparkSession, source: str, target: str, journal: str) -> DataFrame:
+    """(path, length) of the files that make up the table: sources and outputs that no finished transaction has merged."""
+    log = CompactionJournal(spark, journal)
+    files = list_files(spark, source)
+    if _there(spark, target):
+        made = list_files(spark, target).withColumns({"txn": F.regexp_extract("path", r"/quern_txn=([^/]*)/", 1), "folder": F.regexp_extract("path", r"/run-([^/]*)/", 1)})
+        files = files.unionByName(made.join(log.done(), ["txn", "folder"], "left_semi").select("path", "length"))
+    merged = log.intents().join(log.done(), "txn", "left_semi").select(F.col("input").alias("path"))
+    return files.join(merged, "path", "left_anti")
+
+
 def compact_parquet(spark: SparkSession, source: str, target: str, journal: str, policy: Policy = Policy(target=128 << 20)) -> DataFrame:
-    """Merge the small Parquet files below ``source`` into ``target``; gives the files that now make up the table: (path).
+    """Merge the small Parquet files of a table; gives the files that make it up afterwards: (path, length).
 
-    Source files are left in place, since readers may hold them: the result lists outputs plus the sources that weren't merged. A run that
-    failed is finished by calling again: recorded transactions are carried out first, their output folders overwritten whole. Large sources
-    stay as they are. Each output is written by one task, at most about twice ``policy.target`` large.
+    ``source``: where new files arrive, with all columns in the files and of one schema. Outputs go below ``target``; an output that is still small is merged on with
+    others of its size by a later call, so files climb from tier to tier as data arrives. No file is deleted, since readers may hold it: ``live_files`` says what
+    counts. A run that failed is finished by calling again: recorded transactions come first, and only the folder of the run that finishes is ever read. Files of
+    target size and more are never read. Each output is written by one task, at most about twice ``policy.target`` large.
     """
     log = CompactionJournal(spark, journal)
-    files = list_files(spark, source)
     taken = log.intents().select(F.col("input").alias("path"))
-    fresh = files.join(taken, "path", "left_anti").withColumn("folder", F.regexp_replace("path", r"/[^/]*$", ""))
-    todo = log.begin(plan(fresh, ["folder"], "path", "length", F.col("length") < policy.target, policy), "path")
+    fresh = live_files(spark, source, target, journal).join(taken, "path", "left_anti").withColumn("table", F.lit(""))
+    todo = log.begin(plan(fresh, ["table"], "path", "length", F.col("length") < policy.target, policy), "path")
     if not todo.isEmpty():
-        todo.write.parquet(at := fresh_dir(spark, "todo"))
-        todo = spark.read.parquet(at)
-        # Files of target size and more are left out when the scan is planned, not when it runs.
-        own = spark.read.option("recursiveFileLookup", True).parquet(source).where(F.col("_metadata.file_size") < policy.target)
-        rows = own.select(F.struct(*own.columns).alias("_row"), F.col("_metadata.file_path").alias("input"))
-        moved = rows.join(todo, "input").select("txn", "_row.*").repartition("txn")
-        moved.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("txn").parquet(target)
-        log.commit(todo)
-    gone = log.intents().join(log.done(), "txn", "left_semi").select(F.col("input").alias("path"))
-    kept = files.join(gone, "path", "left_anti").select("path")
-    out = spark._jvm.org.apache.hadoop.fs.Path(target)
-    if not out.getFileSystem(spark._jsc.hadoopConfiguration()).exists(out):
-        return kept
-    made = list_files(spark, target).withColumn("txn", F.regexp_extract("path", r"/txn=([^/]*)/", 1)).join(log.done(), "txn", "left_semi")
-    return kept.unionByName(made.select("path"))
+        todo = materialise(todo, "todo")
+        own = spark.read.option("recursiveFileLookup", True).parquet(source, *([target] if _there(spark, target) else []))
+        # Large files are left out when the scan is planned, not when it runs.
+        rows = own.where(F.col("_metadata.file_size") < policy.target).select(F.struct(*own.columns).alias("_row"), F.col("_metadata.file_path").alias("input"))
+        moved = rows.join(todo, "input").select(F.col("txn").alias("quern_txn"), "_row.*").repartition("quern_txn")
+        run = uuid.uuid4().hex
+        moved.write.partitionBy("quern_txn").parquet(f"{target}/run-{run}")
+        log.commit(todo, run)
+    return live_files(spark, source, target, journal)

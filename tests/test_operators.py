@@ -112,18 +112,23 @@ def test_manifests_take_values_any_row_knows(spark):
 
 def test_real_files_are_merged_once_even_after_a_failure(spark, tmp_path):
     src, dst, log = (f"file://{tmp_path}/{n}" for n in ("src", "dst", "log"))
-    spark.range(1000).repartition(40).write.parquet(src)
     policy = compaction.Policy(target=1 << 20)
-    p = compaction.CompactionJournal(spark, log)
-    files = compaction.list_files(spark, src).withColumn("folder", F.lit("x"))
-    p.begin(compaction.plan(files, ["folder"], "path", "length", F.lit(True), policy), "path")  # recorded, then "failed"
+    ids = lambda files: sorted(r.id for r in spark.read.parquet(*(f.path for f in files)).select("id").collect())
+    spark.range(1000).withColumn("txn", F.lit("clash")).repartition(40).write.parquet(src)
+    j = compaction.CompactionJournal(spark, log)
+    files = compaction.live_files(spark, src, dst, log).withColumn("table", F.lit(""))
+    todo = j.begin(compaction.plan(files, ["table"], "path", "length", F.lit(True), policy), "path")
+    # The first run fails after it has written, before it commits.
+    spark.range(5).withColumn("quern_txn", F.lit(todo.first().txn)).write.partitionBy("quern_txn").parquet(f"{dst}/run-dead")
     for _ in range(2):
-        left = [r.path for r in compaction.compact_parquet(spark, src, dst, log, policy).collect()]
-        assert len(left) <= 2
-        assert sorted(r.id for r in spark.read.parquet(*left).select("id").collect()) == list(range(1000))
-    spark.range(1000, 1200).repartition(20).write.mode("append").parquet(src)
-    left = [r.path for r in compaction.compact_parquet(spark, src, dst, log, policy).collect()]
-    assert sorted(r.id for r in spark.read.parquet(*left).select("id").collect()) == list(range(1200)) and len(left) < 6
+        left = compaction.compact_parquet(spark, src, dst, log, policy).collect()
+        assert len(left) <= 2 and ids(left) == list(range(1000))
+    for k in range(1, 4):  # more files arrive: outputs are merged on with new ones
+        spark.range(1000 * k, 1000 * k + 1000).withColumn("txn", F.lit("clash")).repartition(20).write.mode("append").parquet(src)
+        left = compaction.compact_parquet(spark, src, dst, log, policy).collect()
+        assert ids(left) == list(range(1000 * k + 1000)) and len(left) <= 4
+    spark.range(1, 2).coalesce(1).write.parquet(f"file://{tmp_path}/big")
+    assert compaction.compact_parquet(spark, f"file://{tmp_path}/big", dst + "2", log + "2", policy).count() == 1
 
 
 # Hierarchies
