@@ -125,6 +125,24 @@ class CompactionJournal:
         txns.select("txn").distinct().withColumn("folder", F.lit(folder)).write.mode("append").parquet(f"{self.path}/done")
 
 
+def compact_manifests(spark: SparkSession, entries: DataFrame, listed: DataFrame, target: str, journal: str, policy: Policy = Policy()) -> DataFrame:
+    """Carry the plan for small manifests out: their entries, each once, are written below ``target`` with ``output`` naming the new manifest.
+
+    Gives the entries of all finished transactions. What the journal holds as done is not written again; a run that failed is finished by calling again.
+    """
+    log = CompactionJournal(spark, journal)
+    todo = log.begin(plan_manifests(listed, policy), "manifest_path")
+    if not todo.isEmpty():
+        todo = materialise(todo, "todo")
+        moved = rewritten_entries(entries, todo.select(F.col("input").alias("manifest_path"), "txn", F.lit(1).alias("level")))
+        run = uuid.uuid4().hex
+        moved.join(todo.select(F.col("txn").alias("output")).distinct(), "output", "left_semi").repartition("output").sortWithinPartitions("output").write.parquet(f"{target}/run-{run}")
+        log.commit(todo, run)
+    runs = [r.folder for r in log.done().select("folder").distinct().collect()]  # one for each call that did something
+    empty = entries.withColumn("output", F.lit(None).cast("string")).limit(0)
+    return spark.read.schema(empty.schema).parquet(*(f"{target}/run-{r}" for r in runs)) if runs else empty
+
+
 def _there(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

@@ -110,6 +110,16 @@ def test_manifests_take_values_any_row_knows(spark):
     assert set(out) == {"first", "o", "n"} and out["o"] == "s3://b/other" and out["first"] == out["n"]
 
 
+def test_manifests_are_rewritten_once(spark, tmp_path):
+    cols = "table_id bigint, manifest_path string, partition_spec_id int, content int, manifest_length bigint, added_files_count int, added_rows_count bigint, written_at timestamp_ntz"
+    listed = spark.createDataFrame([(1, f"s3://b/{i}", 0, 0, 100, 1, 1, at(0)) for i in range(8)] + [(1, "s3://b/big", 0, 0, 9999, 1, 9999, at(0))], cols)
+    entries = spark.createDataFrame([(k, f"s3a://b//{k % 9 if k % 9 < 8 else 'big'}", at(k % 5)) for k in range(90)] + [(3, "s3://b/3", at(9))], "entry_id bigint, manifest_path string, arrived_at timestamp_ntz")
+    for _ in range(2):
+        got = compaction.compact_manifests(spark, entries, listed, f"file://{tmp_path}/out", f"file://{tmp_path}/log").collect()
+        assert sorted(r.entry_id for r in got) == [k for k in range(90) if k % 9 < 8] and len({r.output for r in got}) == 1
+    assert compaction.compact_manifests(spark, entries, listed.limit(0), f"file://{tmp_path}/o2", f"file://{tmp_path}/l2").count() == 0
+
+
 def test_real_files_are_merged_once_even_after_a_failure(spark, tmp_path):
     src, dst, log = (f"file://{tmp_path}/{n}" for n in ("src", "dst", "log"))
     policy = compaction.Policy(target=1 << 20)
