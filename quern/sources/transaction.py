@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 import uuid
 from typing import Any
@@ -13,7 +14,7 @@ from quern.functions.transforms import transform
 from quern.sources import manifest as mf
 from quern.sources import metadata as md
 from quern.sources.catalog import Catalog, NoSuchTable, Table
-from quern.sources.types import Schema
+from quern.sources.types import Schema, name_mapping, sql_literal
 
 
 class Transaction:
@@ -45,18 +46,19 @@ class Transaction:
             return self._new_table
 
     def _write(self, df: DataFrame, table: Table, schema: Schema, files: int | None = None) -> list[dict]:
-        """Rows to new Parquet files of the table, written by the tasks that hold them; gives their records. Columns are taken by name, absent ones become null."""
+        """Rows to new Parquet files of the table, written by the tasks that hold them; gives their records. Columns are taken by name, absent ones get their default, else null."""
         have = {f.name for f in df.schema}
         extra = have - {f.name for f in schema.struct.fields}
         if extra:
             raise ValueError(f"the table has no columns {sorted(extra)}")
-        missing = [f.name for f in schema.struct.fields if f.required and f.name not in have]
+        absent = {f.name: F.expr(sql_literal(f.write_default, f.type.spark)) if f.write_default is not None else F.lit(None) for f in schema.struct.fields if f.name not in have}
+        missing = [f.name for f in schema.struct.fields if f.required and f.name not in have and f.write_default is None]
         if missing:
             raise ValueError(f"required columns are absent: {missing}")
         kind = schema.spark()
         if not kind.fields:
             return []
-        rows = df.select(*((F.col(f"`{f.name}`") if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name, metadata=f.metadata) for f in kind.fields))
+        rows = df.select(*(absent.get(f.name, F.col(f"`{f.name}`")).cast(f.dataType).alias(f.name, metadata=f.metadata) for f in kind.fields))
         spec = next(s for s in table.metadata["partition-specs"] if s["spec-id"] == table.metadata["default-spec-id"])
         if spec["fields"]:  # rows of one partition value come together
             by_id = {f.id: f.name for f in schema.struct.fields}
@@ -89,6 +91,17 @@ class Transaction:
             self._staged.append(("data", f))
         return self
 
+    def import_files(self, paths: list[str], mapping: list[dict] | None = None) -> Transaction:
+        """Append the rows of Parquet files that carry no field ids: columns are found by a name mapping (by default the table's property
+        schema.name-mapping.default, else the present names); they are written anew, with ids."""
+        table = self._table()
+        kept = table.metadata["properties"].get("schema.name-mapping.default")
+        mapping = mapping or (json.loads(kept) if kept else name_mapping(table.schema))
+        names = {m["field-id"]: m["names"] for m in mapping if m.get("field-id") is not None}
+        df = self.catalog.spark.read.parquet(*paths)
+        found = [(next((n for n in names.get(f.id, []) if n in df.columns), None), f.name) for f in table.schema.struct.fields]
+        return self.append(df.select(*(F.col(f"`{old}`").alias(new) for old, new in found if old)))
+
     def overwrite(self, df: DataFrame) -> Transaction:
         self._staged.append(("replace", {}))
         return self.append(df)

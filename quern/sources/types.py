@@ -150,7 +150,28 @@ def to_spark(t: Any) -> T.DataType:
         if isinstance(t.key, MapOf):
             raise SchemaError("type", "a map can't be the key of a map")
         return T.MapType(to_spark(t.key), to_spark(t.value), not t.value_required)
-    return T.StructType([T.StructField(f.name, to_spark(f.type), not f.required, {FIELD_ID: f.id} | ({LOGICAL: f.type.name} if isinstance(f.type, Primitive) and f.type.name in ("time", "uuid", "timestamp_ns", "timestamptz_ns") or isinstance(f.type, Primitive) and f.type.name.startswith("fixed") else {})) for f in t.fields])
+    return T.StructType([T.StructField(f.name, to_spark(f.type), not f.required, _field_metadata(f)) for f in t.fields])
+
+
+#: Where Spark looks for the value of a column that a file doesn't have.
+EXISTS_DEFAULT = "EXISTS_DEFAULT"
+
+
+def _field_metadata(f: Field) -> dict:
+    own: dict[str, Any] = {FIELD_ID: f.id}
+    if isinstance(f.type, Primitive):
+        if f.type.name in ("time", "uuid", "timestamp_ns", "timestamptz_ns") or f.type.name.startswith("fixed"):
+            own[LOGICAL] = f.type.name
+        if f.initial_default is not None:
+            own[EXISTS_DEFAULT] = sql_literal(f.initial_default, f.type.spark)
+    return own
+
+
+def sql_literal(value: Any, kind: T.DataType) -> str:
+    if isinstance(value, bool) or isinstance(kind, T.BooleanType):
+        return str(value).lower()
+    text = "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return text if isinstance(kind, T.StringType) else f"CAST({text} AS {kind.simpleString()})"
 
 
 def from_spark(t: T.DataType, start: int = 1) -> tuple[Any, int]:
@@ -237,11 +258,12 @@ def name_mapping(schema: Schema) -> list[dict]:
 _WIDER = {("int", "long"), ("float", "double")}
 
 
-def add_column(s: Schema, name: str, kind: Any, last_id: int, required: bool = False, doc: str | None = None) -> tuple[Schema, int]:
+def add_column(s: Schema, name: str, kind: Any, last_id: int, required: bool = False, doc: str | None = None, default: Any = None) -> tuple[Schema, int]:
+    """``default``: what rows written before have in the column, and rows written without it from now on. Gives the schema and its last id."""
     if any(f.name == name for f in s.struct.fields):
         raise SchemaError("name", f"{name} is there already")
     t, nxt = (kind, last_id + 2) if not isinstance(kind, T.DataType) else from_spark(kind, last_id + 2)
-    f = Field(last_id + 1, name, required, Primitive.parse(t) if isinstance(t, str) else t, doc)
+    f = Field(last_id + 1, name, required, Primitive.parse(t) if isinstance(t, str) else t, doc, default, default)
     return replace(s, struct=Struct((*s.struct.fields, f)), schema_id=s.schema_id + 1), nxt - 1
 
 

@@ -188,7 +188,7 @@ def test_catalogue_matches_its_sql(spark):
 # Types and codec
 
 
-def test_types_parse_and_convert():
+def test_types_parse_and_convert(spark):
     for t in ("boolean", "int", "long", "float", "double", "date", "time", "timestamp", "timestamptz", "timestamp_ns", "timestamptz_ns", "string", "uuid", "binary", "decimal(9,2)", "fixed[6]"):
         p = qt.Primitive.parse(t)
         assert qt.type_from_json(qt.type_to_json(p)) == p and qt.to_spark(p) is not None
@@ -392,6 +392,20 @@ def test_views_and_many_commits(spark, catalog):
     assert catalog.load_table("db.other").metadata["properties"]["x"] == "1"
 
 
+def test_defaults_and_foreign_files(spark, catalog, tmp_path):
+    t = Transaction(catalog, "db.d").append(spark.createDataFrame([(1,), (2,)], "id int")).commit()
+    s, last = qt.add_column(t.schema, "label", "string", t.metadata["last-column-id"], default="it's")
+    s, last = qt.add_column(s, "price", "decimal(9,2)", last, default="1.50")
+    t = t.evolve(s)
+    assert {tuple(r) for r in t.to_df().collect()} == {(1, "it's", decimal.Decimal("1.50")), (2, "it's", decimal.Decimal("1.50"))}
+    t = Transaction(catalog, "db.d").append(spark.createDataFrame([(3, None), (4, "x")], "id int, label string")).commit()
+    assert {tuple(r) for r in t.to_df(where=e.gt("id", 2)).collect()} == {(3, None, decimal.Decimal("1.50")), (4, "x", decimal.Decimal("1.50"))}
+    spark.createDataFrame([(5, "old name", 9)], "nr int, tag string, other int").write.parquet(f"{tmp_path}/foreign")
+    mapping = [{"field-id": 1, "names": ["id", "nr"]}, {"field-id": 2, "names": ["label", "tag"]}]
+    t = Transaction(catalog, "db.d").import_files([f"file://{tmp_path}/foreign"], mapping).commit()
+    assert [tuple(r) for r in t.to_df(where=e.eq("id", 5)).collect()] == [(5, "old name", decimal.Decimal("1.50"))]
+
+
 def test_batches(spark, catalog):
     t = Transaction(catalog, "db.b").append(spark.createDataFrame([(i, [i], {"k": i}, (i,)) for i in range(10)], "i int, a array<int>, m map<string,int>, s struct<q: int>")).commit()
     got = list(t.batches(4, select=["i", "a", "m", "s"]))
