@@ -4,7 +4,7 @@ Latent semantic retrieval. Texts are reduced to words; passages are windows of w
 leaked run). TF-IDF weights come from all passages, a randomised SVD of the passage-term matrix is summed up over the partitions, and
 passages and item windows are compared as vectors in the latent space. Each vector also carries the length of its part outside that space, so the product
 of two vectors is an upper bound of the exact one and a search by it loses no pair. Candidates are then checked word by word: a run of
-consecutive words for copies, the longest common subsequence and the answer for paraphrases.
+consecutive words for copies, the longest common subsequence for paraphrases. Answers are looked up in the whole text of the documents found.
 
 The items are a fixed set, searched for in blocks whose windows are broadcast, each of a bounded size; the corpus is never gathered.
 """
@@ -12,6 +12,7 @@ The items are a fixed set, searched for in blocks whose windows are broadcast, e
 from __future__ import annotations
 
 import html
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -136,26 +137,37 @@ def _rows_to_array(d: pd.DataFrame, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(d["ids"]), np.int32).reshape(len(d), width)
 
 
-def passages(docs: DataFrame, items: Items, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, pos, ids): every window of 2 * run words, one each run words, with at least run words known to the items. Whole texts are read.
+def passages(docs: DataFrame, items: Items, text: str = "text", key: str = "doc_id", steps: int = 2, least: int | None = None) -> DataFrame:
+    """(doc_id, pos, ids): every window of steps * run words, one each run words, with at least run words known to the items. Whole texts are read.
 
-    Any run of ``run`` consecutive words lies in one window. The last window is filled up with unknown words.
+    Any (steps - 1) * run consecutive words lie in one window. The last windows are filled up with unknown words. With ``least`` only windows are given that
+    hold what a pair needs: run known words in a row, or ``least`` of them within (steps - 1) * run words.
     """
     run, vocab = items.run, items.vocab
+    fewest = run if least is None else min(run, least)
+
+    def kept(known: np.ndarray) -> np.ndarray:
+        enough = np.flatnonzero(known.sum(1) >= fewest)
+        if least is None or not len(enough):
+            return enough
+        upto = np.zeros((len(enough), steps * run + 1), np.int32)
+        np.cumsum(known[enough], axis=1, out=upto[:, 1:])
+        row, near = ((upto[:, n:] - upto[:, :-n]).max(1) for n in (run, (steps - 1) * run))
+        return enough[(row >= run) | (near >= least)]
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in parts:
             out: list[tuple] = []
             for k, t in zip(d["k"].tolist(), d["t"].tolist(), strict=True):
                 w = words(t)
-                if len(w) < run:
+                if len(w) < fewest:
                     continue
                 ids = np.fromiter((vocab.get(x, -1) for x in w), np.int32, len(w))
                 n = -(-len(w) // run)
-                grid = np.full((n + 1) * run, -1, np.int32)
+                grid = np.full((n + steps - 1) * run, -1, np.int32)
                 grid[: len(w)] = ids
-                wins = np.lib.stride_tricks.sliding_window_view(grid, 2 * run)[::run]
-                for i in np.flatnonzero((wins >= 0).sum(1) >= run):
+                wins = np.lib.stride_tricks.sliding_window_view(grid, steps * run)[::run]
+                for i in kept(wins >= 0):
                     out.append((k, int(i), wins[i].tobytes()))
             yield pd.DataFrame(out, columns=["doc_id", "pos", "ids"]).astype({"doc_id": "int64", "pos": "int32"})
 
@@ -201,22 +213,25 @@ def basis_of(found: DataFrame, idf: np.ndarray, width: int, rank: int, rounds: i
 
 def leaks(
     docs: DataFrame, eval_rows: list[tuple[int, str | None, str | None]], run: int = 12, rank: int = 256, rounds: int = 2, paraphrase: float | None = None,
-    alike: float = 0.7, most_items: int = 20_000, seed: int = 7,
+    most_items: int = 20_000, seed: int = 7,
 ) -> DataFrame:
     """(doc_id, item_id, copied, common, answered): the items found in each document, one row per pair.
 
     ``copied``: at least ``run`` consecutive words of the item (prompt, then answer) stand in the document in order. With ``paraphrase``: pairs are also given
-    whose passage and a stretch of the item have a cosine of ``alike`` or more and a common subsequence of at least that part of the words of a window
-    (``common``: its length at most, of 2 * run); ``answered``: the item has an answer and the passage holds all of its words. Items with fewer than ``run`` words,
-    null texts and ids match nothing. Empty inputs give no rows.
+    where 2 * run words of the document, wherever they begin, and the item have a common subsequence of at least that part of 2 * run words, or of the item's
+    words if it has fewer (``common``: its greatest length, at least ``run`` for copies); ``answered``: the item has an answer and the document holds all of its words,
+    in any place. Items with fewer than ``run`` words, null texts and ids match nothing. Empty inputs give no rows.
     """
     items = Items(eval_rows, run, most_items)
-    width = 2 * run
     spark = docs.sparkSession
     if not len(items.windows):
         return spark.createDataFrame([], _PAIRS)
     terms = len(items.vocab)
-    found = materialise(passages(docs, items), "passages")
+    # Paraphrases stretch over 2 * run words, which only windows of one more step hold wherever they begin.
+    steps = 3 if paraphrase else 2
+    width = steps * run
+    least = min(needed(min(len(w), 2 * run), paraphrase) for w in items.words if len(w) >= run) if paraphrase else None
+    found = materialise(passages(docs, items, steps=steps, least=least), "passages")
 
     def df_part(ids: np.ndarray) -> np.ndarray:
         seen = np.zeros((len(ids), terms + 1), bool)
@@ -229,29 +244,73 @@ def leaks(
     per_block = max(1, BLOCK_BYTES // (4 * (rank + 1 + run)))
     pairs = None
     for block in items.blocks(per_block):
-        part = found.mapInPandas(_searcher(spark, items, block, idf, basis, paraphrase, alike), _PAIRS)
+        part = found.mapInPandas(_searcher(spark, items, block, idf, basis, width, paraphrase), "doc_id bigint, item_id bigint, copied boolean, common int")
         pairs = part if pairs is None else pairs.unionByName(part)
-    return pairs.groupBy("doc_id", "item_id").agg(F.max("copied").alias("copied"), F.max("common").alias("common"), F.max("answered").alias("answered"))
+    pairs = pairs.groupBy("doc_id", "item_id").agg(F.max("copied").alias("copied"), F.max("common").alias("common"))
+    if not paraphrase:
+        return pairs.withColumn("answered", F.lit(False))
+    pairs = materialise(pairs, "pairs")
+    return pairs.join(_answers(docs, pairs, items), ["doc_id", "item_id"], "left").withColumn("answered", F.coalesce("answered", F.lit(False)))
+
+
+def needed(n: int, part: float) -> int:
+    """How many of ``n`` words are ``part`` of them."""
+    return max(1, math.ceil(part * n - 1e-9))
 
 
-def _searcher(spark: SparkSession, items: Items, block: list[int], idf: np.ndarray, basis: np.ndarray, paraphrase: float | None, alike: float):
-    """The search for the items numbered ``block``, as a function over passages. What it broadcasts has a bound: the block's windows in the latent space."""
-    run, width = items.run, 2 * items.run
+def _answers(docs: DataFrame, pairs: DataFrame, items: Items, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(doc_id, item_id, answered): the pairs whose document holds all words of the item's answer. Only texts of documents in ``pairs`` are read again."""
+    vocab, run = items.vocab, items.run
+    answers: dict[int, list[np.ndarray]] = {}
+    for i, w, a in zip(items.ids, items.words, items.answers, strict=True):
+        if len(a) and len(w) >= run:
+            answers.setdefault(i, []).append(np.unique(a))
+
+    def look(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in parts:
+            out = []
+            for k, t, ids in zip(d["k"].tolist(), d["t"].tolist(), d["ids"], strict=True):
+                held = {vocab[w] for w in words(t) if w in vocab}
+                out += [(k, i, True) for i in map(int, ids) if any(held.issuperset(a.tolist()) for a in answers.get(i, []))]
+            yield pd.DataFrame(out, columns=["doc_id", "item_id", "answered"]).astype({"doc_id": "int64", "item_id": "int64", "answered": bool})
+
+    here = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t")).where("k is not null and t is not null")
+    wanted = pairs.groupBy(F.col("doc_id").alias("k")).agg(F.collect_set("item_id").alias("ids"))  # at most all items
+    return here.join(wanted, "k").select("k", "t", "ids").mapInPandas(look, "doc_id bigint, item_id bigint, answered boolean").distinct()
+
+
+def _searcher(spark: SparkSession, items: Items, block: list[int], idf: np.ndarray, basis: np.ndarray, width: int, paraphrase: float | None):
+    """The search for the items numbered ``block``, as a function over passages of ``width`` words. What it broadcasts has a bound: the block's windows in the latent space."""
+    run, reach = items.run, 2 * items.run
     mine = np.isin(items.owner, block)
     windows, owner = items.windows[mine], items.owner[mine]
     own = weights(windows, idf)
     norm2 = (own * own).sum(1).astype(np.float32)
     query = np.ascontiguousarray(latent(own, basis).T)
-    spans = [(i, k) for i in block for k in range(0, max(1, len(items.words[i]) - run), run)] if paraphrase else []
-    longer = np.full((len(spans), width), -1, np.int32)
-    for j, (i, k) in enumerate(spans):
-        w = items.words[i][k : k + width]
-        longer[j, : len(w)] = w
-    known = {i: (items.ids[i], items.words[i], items.answers[i]) for i in block}
-    shared = spark.sparkContext.broadcast((windows, owner, known, query, norm2, basis, idf, [i for i, _ in spans], latent(weights(longer, idf), basis) if spans else None))
+    # For paraphrases: which of the block's words each item has, and how many of them have to be found.
+    short, has, col, need, whole = sorted(block), None, None, None, None
+    if paraphrase:
+        mine_words = np.unique(np.concatenate([items.words[i] for i in short]))
+        col = np.zeros(len(idf) + 1, np.int32)  # 0: no word of the block; also what id -1 gets
+        col[mine_words] = np.arange(1, len(mine_words) + 1)
+        has = np.zeros((len(short), len(mine_words) + 1), bool)
+        for j, i in enumerate(short):
+            has[j, col[items.words[i]]] = True
+        need = np.array([needed(min(len(items.words[i]), reach), paraphrase) for i in short], np.int32)
+        whole = np.vstack([latent(np.where(np.isin(np.arange(len(idf)), items.words[i]), idf, 0).astype(np.float32)[None, :], basis) for i in short]).T.copy()
+    known = {i: items.ids[i] for i in block}
+    texts = [items.words[i] for i in short]
+    shared = spark.sparkContext.broadcast((windows, owner, known, query, norm2, basis, idf, short, texts, has, col, need, whole))
+
+    def common(ids: np.ndarray, text: np.ndarray, least: int) -> int:
+        """The longest common subsequence of ``text`` and ``reach`` words of ``ids``; 0 if below ``least``."""
+        if lcs(ids, text) < least:
+            return 0
+        best = max(lcs(ids[k : k + reach], text) for k in range(width - reach + 1))
+        return best if best >= least else 0
 
     def search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        windows, owner, known, query, norm2, basis, idf, span_owner, spans_latent = shared.value
+        windows, owner, known, query, norm2, basis, idf, short, texts, has, col, need, whole = shared.value
         factors = np.random.default_rng(1).integers(1, 1 << 62, run, np.int64)
         code = (windows * factors).sum(1)
         for d in parts:
@@ -265,22 +324,29 @@ def _searcher(spark: SparkSession, items: Items, block: list[int], idf: np.ndarr
                 runs = np.lib.stride_tricks.sliding_window_view(ids, run, axis=1)
                 equal = ((runs * factors).sum(2)[hit_p] == code[hit_w][:, None]).any(1)
                 for p, w in zip(hit_p[equal].tolist(), hit_w[equal].tolist(), strict=True):
-                    key = (int(docs_[p]), known[owner[w]][0])
+                    key = (int(docs_[p]), known[owner[w]])
                     if (key not in out or not out[key][0]) and (runs[p] == windows[w]).all(1).any():
-                        old = out.get(key, [False, 0, False])
-                        out[key] = [True, max(run, old[1]), old[2]]
-                if spans_latent is not None:
-                    xn = np.maximum(np.linalg.norm(x, axis=1), 1e-9)
-                    sn = np.maximum(np.linalg.norm(spans_latent, axis=1), 1e-9)
-                    near = np.nonzero(x @ spans_latent.T >= alike * xn[:, None] * sn[None, :])
-                    for p, i in sorted({(p, span_owner[s]) for p, s in zip(*(v.tolist() for v in near), strict=True)}):
-                        item_id, item_words, answer = known[i]
-                        n, key = lcs(ids[p], item_words), (int(docs_[p]), item_id)
-                        if n >= paraphrase * width or key in out:
-                            old = out.get(key, [False, 0, False])
-                            out[key] = [old[0], max(old[1], n), old[2] or bool(len(answer) and np.isin(answer, ids[p]).all())]
+                        out[key] = [True, max(run, out.get(key, [False, 0])[1])]
+                if whole is None:
+                    continue
+                # A passage that shares so many words with an item has a product, the item's words counted once, of at least its least so many squares.
+                squares = np.sort(np.where(ids >= 0, np.append(idf, 0)[ids] ** 2, np.inf), axis=1)
+                floor = squares[:, : int(need.min())].sum(1, dtype=np.float32) * np.float32(0.999)
+                near_p, near_i = np.nonzero(x @ whole >= floor[:, None])
+                for c in range(0, len(near_p), 1 << 16):
+                    ps, js = near_p[c : c + (1 << 16)], near_i[c : c + (1 << 16)]
+                    upto = np.zeros((len(ps), width + 1), np.int32)
+                    np.cumsum(has[js[:, None], col[ids[ps]]], axis=1, out=upto[:, 1:])
+                    have = (upto[:, reach:] - upto[:, :-reach]).max(1)
+                    at = np.flatnonzero(have >= need[js])
+                    at = at[np.argsort(-have[at], kind="stable")]
+                    for p, j, most in zip(ps[at].tolist(), js[at].tolist(), have[at].tolist(), strict=True):
+                        key = (int(docs_[p]), known[short[j]])
+                        old = out.get(key, [False, 0])
+                        if most > old[1] and (n := common(ids[p], texts[j], max(int(need[j]), old[1] + 1))):
+                            out[key] = [old[0], n]
             rows = [(*k, *v) for k, v in out.items()]
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "copied", "common", "answered"]).astype({"doc_id": "int64", "item_id": "int64", "copied": bool, "common": "int32", "answered": bool})
+            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "copied", "common"]).astype({"doc_id": "int64", "item_id": "int64", "copied": bool, "common": "int32"})
 
     return search
 

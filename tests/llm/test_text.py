@@ -163,6 +163,21 @@ def test_paraphrases_are_found(spark):
     assert set(got) == {1, 3} and not got[1].copied and got[1].common >= 19 and got[3].copied and not got[3].answered
 
 
+def test_paraphrases_are_found_wherever_they_begin(spark):
+    w = [f"w{i}" for i in range(80)]
+    items = [(7, " ".join(w[:60]), " ".join(w[60:])), (8, " ".join(f"v{i}" for i in range(15)), None)]
+    part = lambda k, n: " ".join(x if i % 11 != 8 else "other" for i, x in enumerate(w[k : k + n]))  # noqa: E731  no twelve words in a row, 22 of 24 kept
+    docs = [(12 * k + pad, "pad " * pad + part(k, 24) + " pad" * 30) for k in range(12) for pad in range(12)]
+    docs += [(1000 + pad, "pad " * pad + " ".join(f"v{i}" if i != 7 else "other" for i in range(15))) for pad in range(12)]
+    docs += [(500 + pad, "pad " * pad + " ".join(x for i, x in enumerate(w[10:46]) if i % 3 != 2)) for pad in range(12)]  # every third word left out
+    docs += [(2000, part(3, 24) + " pad" * 90 + " " + " ".join(w[60:]))]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r for r in leakage.leaks(df, items, paraphrase=0.85).collect()}
+    assert set(got) == {(k, 8 if 1000 <= k < 2000 else 7) for k, _ in docs}
+    assert all(r.common == 22 for r in got.values() if r.doc_id < 500) and all(r.common == 24 for r in got.values() if 500 <= r.doc_id < 1000) and all(r.common == 14 for r in got.values() if 1000 <= r.doc_id < 2000)
+    assert {k for k, r in got.items() if r.answered} == {(2000, 7)}
+
+
 # Sentences
 
 CASES = {
