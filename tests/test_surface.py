@@ -335,6 +335,18 @@ def test_skipping_deletes_and_evolution(spark, catalog):
     assert t.to_df(snapshot_id=t.metadata["current-snapshot-id"], use_snapshot_schema=True).columns == ["id", "s", "x"]
 
 
+def test_long_texts_are_not_skipped_by_their_cut_bounds(spark, catalog):
+    texts = ["曲" * 40, "é" * 33 + "x", "a" + "д" * 40, "ab" + "🚀" * 17, "x" * 70]
+    for k, s in enumerate(texts):
+        tx = Transaction(catalog, f"db.cut{k}")
+        tx.append(spark.createDataFrame([(1, s), (2, s + "z")], "id int, s string").coalesce(1)).commit()
+        t = catalog.load_table(f"db.cut{k}")
+        for p in (e.eq("s", s), e.is_in("s", [s]), e.lt_eq("s", s), e.starts_with("s", s)):
+            assert 1 in {r.id for r in t.query(where=p).to_df().collect()}, (s, p)
+        Transaction(catalog, f"db.cut{k}").delete_where(e.eq("s", s)).commit()
+        assert [r.id for r in catalog.load_table(f"db.cut{k}").to_df().collect()] == [2]
+
+
 def test_commits_conflict_and_are_tried_again(spark, catalog):
     Transaction(catalog, "db.t").append(spark.range(1)).commit()
     stale = catalog.load_table("db.t")
