@@ -13,6 +13,29 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def _has_map(t: T.DataType) -> bool:
+    if isinstance(t, T.StructType):
+        return any(_has_map(f.dataType) for f in t)
+    return isinstance(t, T.MapType) or (isinstance(t, T.ArrayType) and _has_map(t.elementType))
+
+
+def _plain(c: Column, t: T.DataType) -> Column:
+    """``c`` with maps as sorted entries, whatever order they were written in."""
+    if not _has_map(t):
+        return c
+    if isinstance(t, T.MapType):
+        return F.array_sort(F.transform(F.map_entries(c), lambda e: F.struct(e["key"].alias("key"), _plain(e["value"], t.valueType).alias("value"))))
+    if isinstance(t, T.ArrayType):
+        return F.transform(c, lambda x: _plain(x, t.elementType))
+    return F.struct(*(_plain(c[f.name], f.dataType).alias(f.name) for f in t))
+
+
+def _rank(at: Column, values: Sequence[tuple[Column, T.DataType]]) -> Column:
+    """What images are compared by: their position, then their values; Spark doesn't order maps, so a hash stands for values that hold any."""
+    return F.struct(at.alias("_at"), *((F.xxhash64(_plain(c, t)) if _has_map(t) else c).alias(f"_{k}") for k, (c, t) in enumerate(values)))
 
 
 def _position(order: str, deletes: Column) -> Column:
@@ -28,19 +51,24 @@ def compose(
     ``partial=False``: every change carries the whole row; the one with the highest ``order`` holds, deletions first among equals,
     whenever it arrived. ``partial=True``: a null value leaves the column as it was; each column holds its latest value after the last
     deletion. Repeated changes change nothing. Changes with a null ``order`` have no place in the sequence and are ignored; null keys
-    are keys of their own. Equal numbers with different values: the greatest value holds, so results don't depend on the input's order.
+    are keys of their own. Equal numbers with different values: the greatest value holds (of values that hold maps, the one with the greatest hash), so results don't depend on the input's order.
     ``chunk``: how many neighbouring numbers make one range chunk of a key.
     """
     at = _position(order, deletes)
     rows = changes.select(*(F.col(k) for k in keys), at.alias("_at"), *(F.col(v).alias(v) for v in values)).where("_at is not null")
     chunked = rows.withColumn("_chunk", F.floor(F.col("_at") / (2 * chunk)))
+    kinds = {v: rows.schema[v].dataType for v in values}
     if not partial:
         image = F.struct("_at", *values)
+        ordered = not any(_has_map(t) for t in kinds.values())
 
         def reduce(df: DataFrame, by: list[str], first: bool) -> DataFrame:
             if not values:
                 return df.groupBy(*by).agg(F.max("_at").alias("_at"))  # fixed width: stays in the hash aggregate
-            return df.groupBy(*by).agg(F.max(image if first else F.col("_image")).alias("_image"))
+            if ordered:
+                return df.groupBy(*by).agg(F.max(image if first else F.col("_image")).alias("_image"))
+            of = (lambda c: F.col(c)) if first else (lambda c: F.col("_image")[c])
+            return df.groupBy(*by).agg(F.max_by(image if first else F.col("_image"), _rank(of("_at"), [(of(v), t) for v, t in kinds.items()])).alias("_image"))
 
         once = reduce(reduce(chunked, [*keys, "_chunk"], True), list(keys), False)
         if values:
@@ -49,9 +77,9 @@ def compose(
     gone = F.max(F.when(F.col("_at") % 2 == 1, F.col("_at")))
     first = chunked.groupBy(*keys, "_chunk").agg(
         F.max("_at").alias("_at"), gone.alias("_gone"),
-        *(F.max(F.when((F.col("_at") % 2 == 0) & F.col(v).isNotNull(), F.struct("_at", v))).alias(v) for v in values),
+        *(F.max_by(F.struct("_at", v), F.when((F.col("_at") % 2 == 0) & F.col(v).isNotNull(), _rank(F.col("_at"), [(F.col(v), kinds[v])]))).alias(v) for v in values),
     )
-    last = first.groupBy(*keys).agg(F.max("_at").alias("_at"), F.max("_gone").alias("_gone"), *(F.max(v).alias(v) for v in values))
+    last = first.groupBy(*keys).agg(F.max("_at").alias("_at"), F.max("_gone").alias("_gone"), *(F.max_by(v, F.when(F.col(v).isNotNull(), _rank(F.col(v)["_at"], [(F.col(v)[v], kinds[v])]))).alias(v) for v in values))
     since = F.coalesce("_gone", F.lit(-(1 << 62)))
     return last.select(
         *keys, "_at", (F.col("_at") % 2 == 1).alias("_deleted"), F.col("_gone").isNotNull().alias("_reset"),

@@ -31,10 +31,17 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_current(spark: SparkSession, sf: str) -> DataFrame:
-    """The current files with their current values."""
+    """The current files with the two values that the SQL has; ``p2_files`` has all."""
     return changefeed.current_files(table(spark, sf, "manifest_entries"), table(spark, sf, "manifest_list_entries"), ["record_count", "file_size_in_bytes"])
 
 
+def p2_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The current files with every field of their data_file. At equal numbers the values that ``p2_current`` compares come first."""
+    e = table(spark, sf, "manifest_entries")
+    first = ["record_count", "file_size_in_bytes"]
+    return changefeed.current_files(e, table(spark, sf, "manifest_list_entries"), [*first, *(n for n in e.schema["data_file"].dataType.names if n not in ("file_path", *first))])
+
+
 def _trees(spark: SparkSession, sf: str) -> DataFrame:
     return hierarchy.forest(headers(table(spark, sf, "manifest_lists")), "snapshot_id", "parent_snapshot_id", ["table_id", "sequence_number"])
 
@@ -81,7 +88,7 @@ def p6_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_outputs, p2_found, p2_current, p3_found, p3_paths, p3_descendants, p4_found, p5_found, p5_report, p6_found, p6_rows)
+    f.__name__: f for f in (p1_found, p1_outputs, p2_found, p2_current, p2_files, p3_found, p3_paths, p3_descendants, p4_found, p5_found, p5_report, p6_found, p6_rows)
 }
 
 _LOC = "CASE WHEN regexp_matches({0}, '^s3[an]?:/') THEN 's3://' || regexp_replace(regexp_replace({0}, '^s3[an]?:/+', ''), '/+', '/', 'g') ELSE {0} END"

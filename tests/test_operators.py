@@ -306,3 +306,24 @@ def test_consistent_rows(spark):
     assert t.schema["A"].dataType.simpleString() == "bigint" and sorted(r.A for r in t.collect() if r.A) == [5]
     stats = {tuple(r) for r in drift.path_statistics(rows).collect()}
     assert ("s3://b/0", "a", "integer", 1) in stats and ("s3://b/1", "A", "string", 1) in stats
+
+
+@pytest.mark.parametrize("partial", [False, True])
+def test_changes_carry_maps(spark, partial):
+    rows = [(1, 1, {1: 5}, False), (1, 70, {2: 6, 3: 7}, False), (1, 70, {3: 7, 2: 6}, False), (2, 3, {1: 1}, False), (2, 4, None, True), (3, 2, {9: 9}, False), (3, 2, {8: 8}, False)]
+    df = spark.createDataFrame(rows, "k int, n bigint, m map<int,bigint>, gone boolean")
+    got = [{r.k: r.m for r in changefeed.compose(d, ["k"], "n", F.col("gone"), ["m"], partial).where("not _deleted").collect()} for d in (df, df.orderBy(F.desc("n")).coalesce(1))]
+    assert got[0] == got[1] and set(got[0]) == {1, 3} and got[0][1] == {2: 6, 3: 7}
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_current_files_have_every_field(spark):
+    from quern import queries
+
+    full, two = queries.p2_files(spark, SF), queries.p2_current(spark, SF)
+    fields = set(spark.read.parquet(f"{SF}/manifest_entries.parquet").schema["data_file"].dataType.names) - {"file_path"}
+    assert set(full.columns) == {"table_id", "file_path", "sequence_number"} | fields
+    assert sorted(map(str, full.select(two.columns).collect())) == sorted(map(str, two.collect()))
+    assert full.where("lower_bounds is not null and column_sizes is not null").count() > 0
