@@ -147,7 +147,9 @@ def containers(docs: DataFrame, kinds: list[tuple[str, int]], tokenizer: str | N
     return docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t")).mapInPandas(run, OUT)
 
 
-def container_kinds(spark: SparkSession, path: str) -> list[tuple[str, int]]:
-    """The kinds of a containers table; a handful of rows, read by the driver."""
-    rows = spark.read.parquet(path).where("capacity_tokens > 0").select("container_kind", "capacity_tokens").limit(1000).collect()
+def container_kinds(spark: SparkSession, path: str, most: int = 1000) -> list[tuple[str, int]]:
+    """The distinct kinds of a containers table for the driver, which refuses more than ``most``."""
+    rows = spark.read.parquet(path).where("capacity_tokens > 0").select("container_kind", "capacity_tokens").distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} kinds of containers")
     return [(r[0], r[1]) for r in rows]

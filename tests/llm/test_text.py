@@ -20,6 +20,15 @@ KINDS = [("big", 100), ("mid", 40), ("small", 10)]
 # Packing
 
 
+def test_no_container_kind_is_dropped(spark, tmp_path):
+    kinds = lambda n: spark.createDataFrame([("small", 10)] * 1500 + [(f"k{i}", 20 + i) for i in range(n)], "container_kind string, capacity_tokens int").coalesce(1)
+    kinds(999).write.parquet(f"{tmp_path}/a")
+    assert set(packing.container_kinds(spark, f"{tmp_path}/a")) == {("small", 10), *((f"k{i}", 20 + i) for i in range(999))}
+    kinds(1000).write.parquet(f"{tmp_path}/b")
+    with pytest.raises(ValueError):
+        packing.container_kinds(spark, f"{tmp_path}/b")
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 250), max_size=120), st.integers(1, 8))
 def test_pack_keeps_every_token_once(sizes, most_open):
