@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.operators import changefeed, compaction, drift, hierarchy, incremental, orphans
 from quern.operators.snapshot_tables import headers
+from quern.session import fresh_dir, materialise
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -16,14 +17,34 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    return compaction.plan_manifests(table(spark, sf, "manifest_list_entries")).select("table_id", "manifest_path")
+    """The manifests that the journal of a compaction names as inputs, once it is written ahead."""
+    return compaction.recorded_manifests(spark, table(spark, sf, "manifest_list_entries")).select("table_id", "manifest_path")
 
 
 def p1_outputs(spark: SparkSession, sf: str) -> DataFrame:
-    """The manifests after compaction, with the entries each holds."""
-    planned = compaction.plan_manifests(table(spark, sf, "manifest_list_entries"))
-    e = table(spark, sf, "manifest_entries").select("entry_id", "table_id", "manifest_path", "arrived_at", F.col("data_file.record_count").alias("record_count"))
-    return compaction.rewritten_entries(e, planned).groupBy("table_id", "output").agg(F.count("*").alias("entries"), F.sum("record_count").alias("records"))
+    """What each table's manifests hold after compaction in three rounds: over the first half of the time, over all of it, and once more with nothing to do."""
+    listed = table(spark, sf, "manifest_list_entries")
+    fields = table(spark, sf, "manifest_entries").select("entry_id", "table_id", "manifest_path", "arrived_at", F.col("data_file.record_count").alias("record_count"))
+    entries = materialise(compaction.single_entries(fields), "entries")
+    low, high = listed.agg(F.min("written_at"), F.max("written_at")).first()
+    work = compaction.ManifestCompaction(spark, fresh_dir(spark, "manifests"), fresh_dir(spark, "journal"))
+    if low is not None:
+        half = F.lit(low + (high - low) / 2)
+        work.run(entries.where(F.col("arrived_at") <= half), listed.where(F.col("written_at") <= half))
+    for _ in range(2):
+        work.run(entries, listed)
+    return work.entries(entries).groupBy("table_id").agg(F.count("*").alias("entries"), F.sum("record_count").alias("records"))
+
+
+def p1_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of orders, written as many small files that arrive in two lots, each followed by a compaction, as the live files then hold them."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    at, to, log = (fresh_dir(spark, n) for n in ("small", "merged", "journal"))
+    policy = compaction.Policy(target=4 << 20)
+    for lot in (0, 1):
+        orders.where(F.pmod(F.hash("o_orderkey"), F.lit(2)) == lot).repartition(24, "o_custkey").write.mode("append").parquet(at)
+        files = compaction.compact_parquet(spark, at, to, log, policy)
+    return spark.read.schema(orders.schema).parquet(*(r.path for r in files.select("path").collect()))  # as many as the merged files
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -88,7 +109,7 @@ def p6_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_outputs, p2_found, p2_current, p2_files, p3_found, p3_paths, p3_descendants, p4_found, p5_found, p5_report, p6_found, p6_rows)
+    f.__name__: f for f in (p1_found, p1_outputs, p1_files, p2_found, p2_current, p2_files, p3_found, p3_paths, p3_descendants, p4_found, p5_found, p5_report, p6_found, p6_rows)
 }
 
 _LOC = "CASE WHEN regexp_matches({0}, '^s3[an]?:/') THEN 's3://' || regexp_replace(regexp_replace({0}, '^s3[an]?:/+', ''), '/+', '/', 'g') ELSE {0} END"
@@ -112,6 +133,9 @@ o AS (SELECT k ref_kind, table_id, key missing_key, strftime(min(t), '%Y-%m-%d')
 
 ORACLE: dict[str, str] = {
     "p1_found": f"WITH {_P1_MEMBERS} SELECT table_id, manifest_path FROM s QUALIFY count(*) OVER (PARTITION BY table_id, spec, d) >= 6",
+    "p1_outputs": """SELECT table_id, count(*) AS entries, CAST(sum(rc) AS BIGINT) AS records FROM (SELECT entry_id, arg_min(table_id, arrived_at) table_id, arg_min(data_file.record_count, arrived_at) rc
+ FROM manifest_entries GROUP BY 1) GROUP BY 1""",
+    "p1_files": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders",
     "p2_found": f"{_P2} SELECT table_id, file_path, q AS sequence_number FROM h WHERE n = 1 AND status <> 2",
     "p2_current": f"{_P2} SELECT table_id, file_path, q AS sequence_number, rc AS record_count, sz AS file_size_in_bytes FROM h WHERE n = 1 AND status <> 2",
     "p3_found": f"""WITH RECURSIVE {_HEADS}, l AS (SELECT h.id, p.id par FROM heads h LEFT JOIN heads p ON h.par = p.id),
