@@ -1,19 +1,20 @@
 """Processing only new or changed records.
 
 The log is read by offsets: a partition of the log is a table, an offset a sequence number. ``read_until`` turns the successful
-runs into one time per (table, offset), ``unread`` keeps the entries that arrived after it. ``IncrementalReader`` plans a batch as ranges of
-offsets, writes that plan ahead, replays it after a failure, and appends to a sink that keeps one row per key and offset.
+runs into one time per (table, offset), ``unread`` keeps the entries that arrived after it. ``IncrementalReader`` plans a batch by
+offsets, writes that plan ahead, replays it after a failure, and appends to a sink that keeps one row per key and offset; ``unread_entries``
+starts it from where the runs of a log have left off.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators.snapshot_tables import headers, with_numbers
+from quern.session import fresh_dir, materialise
 from quern.sources.storage import Storage
 
 #: Blocks of one level are 2 ** _BITS blocks of the level below; with so many levels every bigint has its block.
@@ -63,9 +64,16 @@ def read_until(offsets: DataFrame, runs: DataFrame) -> DataFrame:
 
     An offset looks up the one block per level that holds it, so no range join pairs entries with runs.
     """
-    levels = F.posexplode(F.array(*(F.shiftright(F.col("sequence_number"), _BITS * k) for k in range(_LEVELS))))
+    return _lookup(offsets, _ranges(runs))
+
+
+def _lookup(offsets: DataFrame, ranges: DataFrame) -> DataFrame:
+    """``read_until`` for ranges already cut into blocks. Only levels on which some range has a block are looked up."""
+    per_level = F.array(*(F.shiftright(F.col("sequence_number"), _BITS * k) for k in range(_LEVELS)))
+    present = F.coalesce(ranges.agg(F.max("level").alias("n")).scalar() + 1, F.lit(0)).cast("int")
+    levels = F.posexplode(F.slice(per_level, F.lit(1), present))
     o = offsets.where("sequence_number >= 0").select("table_id", "sequence_number", levels.alias("level", "block"))
-    hit = o.join(_ranges(runs), ["table_id", "level", "block"])
+    hit = o.join(ranges, ["table_id", "level", "block"])
     return hit.groupBy("table_id", "sequence_number").agg(F.max("read_at").alias("read_at"))
 
 
@@ -87,55 +95,103 @@ def unread(entries: DataFrame, listed: DataFrame, manifest_lists: DataFrame, run
     return j.where(~F.coalesce(F.col("arrived_at") <= F.col("read_at"), F.lit(False))).select("entry_id", "table_id", "sequence_number", "arrived_at")
 
 
-#: Ranges of a batch plan that are broadcast: some ten million bytes.
-RANGES_BROADCAST = 100_000
-
-
 class IncrementalReader:
-    """Batches over a growing log, each record once, whatever fails in between.
-
-    ``log``: DataFrame factory with ``partition``, ``offset`` and ``key`` columns. In ``state`` (a shared folder): ``plans/N.json`` is the batch plan,
-    written before any work with the range of offsets for each partition; ``done/N`` marks it as carried out. A run begins by replaying a plan
-    without mark. The sink is a folder of batches, overwritten whole on replay, and is read as one row per key and offset. The plan holds one
-    range per partition of the log (tables, not records). Offsets within a partition only grow; records that come late under an offset that
-    was read are the business of ``unread``, which compares arrivals.
+    """Batches over a growing log, each record once, whatever fails in between and however late a record comes.
+
+    ``log``: a frame, or a function that gives it anew, with columns ``partition``, ``offset``, ``key`` and, if there is one, ``arrival``.
+    What was read is known by partition and offset: how many rows the log held there when a batch was planned. An offset that holds more by now,
+    because it is new or because rows came late, is read again, and the sink keeps one row per key and offset.
+
+    In ``state`` (a shared folder): ``plans/N`` is the write-ahead plan of batch N as rows (partition, offset, n, after), ``keys/N`` its rows without
+    a place, both marked by ``planned/N`` once they are whole; ``done/N`` marks the batch as carried out. A run begins by replaying a plan without that mark. ``sink/batch=N`` is overwritten
+    whole on replay. ``seed`` takes over what other runs have read, as ranges of offsets with the time up to which they read arrivals: of those offsets only
+    rows that arrived after it are read (``after``); rows of unknown arrival are read. Rows without partition or offset have no place in a plan by offsets:
+    they are compared with the sink by key. Plans, marks and batches are tables of commits, never of the driver; only their numbers are listed,
+    and every ``fold`` batches the offsets read so far are written together, so a plan looks at a bounded number of folders.
     """
 
-    def __init__(self, spark: SparkSession, log: Callable[[], DataFrame], state: str, partition: str, offset: str, key: str):
-        self.spark, self.log, self.state, self.partition, self.offset, self.key = spark, log, state.rstrip("/"), partition, offset, key
+    def __init__(
+        self, spark: SparkSession, log: DataFrame | Callable[[], DataFrame], state: str, partition: str, offset: str, key: str, arrival: str | None = None, fold: int = 32
+    ):
+        self.spark, self.state, self.partition, self.offset, self.key, self.arrival, self.fold = spark, state.rstrip("/"), partition, offset, key, arrival, fold
+        self.log = log if callable(log) else lambda: log
         self.storage = Storage(spark)
 
     def _names(self, part: str) -> list[int]:
-        names = (p.rsplit("/", 1)[1].split(".")[0] for p, _, _ in self.storage.list(f"{self.state}/{part}"))
+        names = (p.rsplit("/", 1)[1].split("=")[-1] for p, _, _ in self.storage.list(f"{self.state}/{part}"))
         return sorted(int(n) for n in names if n.isdigit())
 
-    def _get(self, name: str) -> dict:
-        return json.loads(self.storage.read(f"{self.state}/{name}"))
+    def _placed(self) -> DataFrame:
+        """The log's rows with a partition and an offset, as _p and _o."""
+        return self.log().withColumns({"_p": F.col(self.partition).cast("string"), "_o": F.col(self.offset).cast("bigint")}).where("_p is not null and _o is not null")
+
+    def seed(self, runs: DataFrame) -> None:
+        """``runs``: (partition column, lo, hi, read_at), ``lo`` exclusive or null, as ``succeeded_runs`` gives them. To be called before the first batch."""
+        ranges = _ranges(runs.withColumnRenamed(self.partition, "table_id") if self.partition != "table_id" else runs)
+        ranges.select(F.col("table_id").cast("string").alias("table_id"), "level", "block", "read_at").write.mode("overwrite").parquet(f"{self.state}/seeded")
+
+    def _read(self) -> DataFrame | None:
+        """(_p, _o, _n): how many rows earlier plans have seen under each offset."""
+        folds, plans = self._names("folded"), self._names("planned")
+        paths = ([f"{self.state}/folded/{folds[-1]}"] if folds else []) + [f"{self.state}/plans/{n}" for n in plans if not folds or n > folds[-1]]
+        if not paths:
+            return None
+        return self.spark.read.schema("_p string, _o bigint, _n bigint").parquet(*paths).groupBy("_p", "_o").agg(F.max("_n").alias("_n"))
+
+    def _news(self) -> DataFrame:
+        """(_p, _o, _n, _after): the offsets with rows that no batch and no seeded run has read."""
+        last = F.max(F.col(self.arrival)) if self.arrival else F.lit(None).cast("timestamp_ntz")
+        unknown = F.count_if(F.col(self.arrival).isNull()) if self.arrival else F.count("*")
+        here = self._placed().groupBy("_p", "_o").agg(F.count("*").alias("_n"), last.alias("_last"), unknown.alias("_unknown"))
+        none = F.lit(None).cast("timestamp_ntz")
+        if self.storage.exists(f"{self.state}/seeded/_SUCCESS"):
+            seeded = self.spark.read.parquet(f"{self.state}/seeded")
+            until = _lookup(here.select(F.col("_p").alias("table_id"), F.col("_o").alias("sequence_number")), seeded).toDF("_p", "_o", "_after")
+            here = here.join(until, ["_p", "_o"], "left")
+            here = here.where("_after is null or _unknown > 0 or _last > _after")
+        else:
+            here = here.withColumn("_after", none)
+        read = self._read()
+        if read is not None:
+            here = here.join(read.withColumnRenamed("_n", "_seen"), ["_p", "_o"], "left").where("_seen is null or _n > _seen")
+        return here.select("_p", "_o", "_n", "_after")
+
+    def _unplaced(self) -> DataFrame:
+        """Rows without partition or offset, with their key as _k, that no finished batch has delivered."""
+        rows = self.log().where(F.col(self.partition).isNull() | F.col(self.offset).isNull()).withColumn("_k", F.coalesce(F.col(self.key).cast("string"), F.lit("\0")))
+        done = self._names("done")
+        if not done:
+            return rows
+        return rows.join(self.spark.read.parquet(*(f"{self.state}/keys/{n}" for n in done)).distinct(), "_k", "left_anti")
 
     def plan(self) -> int | None:
         """The number of the next batch: a plan left by a failed run, else a new one; None if nothing is new."""
-        plans, done = self._names("plans"), self._names("done")
+        plans, done = self._names("planned"), self._names("done")
         if plans and (not done or plans[-1] != done[-1]):
             return plans[-1]
-        read = self._get(f"plans/{plans[-1]}.json")["until"] if plans else {}
-        top = self.log().groupBy(self.partition).agg(F.max(self.offset).alias("hi")).where(f"{self.partition} is not null and hi is not null").collect()
-        until = read | {str(r[0]): r.hi for r in top}
-        if until == read:
-            return None
         n = plans[-1] + 1 if plans else 0
-        self.storage.create(f"{self.state}/plans/{n}.json", json.dumps({"after": read, "until": until}).encode())
+        if n and n % self.fold == 0 and (read := self._read()) is not None:
+            read.write.mode("overwrite").parquet(f"{self.state}/folding")
+            self.spark.read.parquet(f"{self.state}/folding").write.mode("overwrite").parquet(f"{self.state}/folded/{n - 1}")
+        # A plan without its mark is what a failed planner left: it is planned anew.
+        self._news().write.mode("overwrite").parquet(f"{self.state}/plans/{n}")
+        self._unplaced().select("_k").distinct().write.mode("overwrite").parquet(f"{self.state}/keys/{n}")
+        if all(self.spark.read.parquet(f"{self.state}/{part}/{n}").isEmpty() for part in ("plans", "keys")):
+            return None
+        self.storage.create(f"{self.state}/planned/{n}", b"")
         return n
 
     def batch(self, n: int) -> DataFrame:
-        p = self._get(f"plans/{n}.json")
-        rows = [(k, p["after"].get(k), v) for k, v in p["until"].items() if p["after"].get(k) != v]
-        ranges = self.spark.createDataFrame(rows, "_p string, _after bigint, _until bigint")
-        log = self.log()
-        on = (F.col(self.partition).cast("string") == F.col("_p")) & (F.col(self.offset) <= F.col("_until")) & (F.col("_after").isNull() | (F.col(self.offset) > F.col("_after")))
-        return log.join(F.broadcast(ranges) if len(rows) <= RANGES_BROADCAST else ranges, on, "left_semi")
-
-    def run(self, work: Callable[[DataFrame], DataFrame]) -> int | None:
-        """Carry out one batch; gives its number, or None if nothing is new."""
+        """The rows of plan ``n``, by one join on partition and offset. Replayed, it gives the same rows and those that came under its offsets since."""
+        p = self.spark.read.schema("_p string, _o bigint, _after timestamp_ntz").parquet(f"{self.state}/plans/{n}")
+        rows = self._placed().join(p, ["_p", "_o"])
+        if self.arrival:
+            rows = rows.where(F.col("_after").isNull() | F.col(self.arrival).isNull() | (F.col(self.arrival) > F.col("_after")))
+        other = self._unplaced().join(self.spark.read.parquet(f"{self.state}/keys/{n}"), "_k", "left_semi")
+        return rows.select(*self.log().columns).unionByName(other.drop("_k"))
+
+    def run(self, work: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> int | None:
+        """Carry out one batch; gives its number, or None if nothing is new. ``work`` keeps the key and offset columns."""
         n = self.plan()
         if n is not None:
             work(self.batch(n)).write.mode("overwrite").parquet(f"{self.state}/sink/batch={n}")
@@ -147,3 +203,18 @@ class IncrementalReader:
         done = self._names("done")
         paths = [f"{self.state}/sink/batch={n}" for n in done]
         return self.spark.read.parquet(*paths).dropDuplicates([self.key, self.offset]) if paths else self.log().limit(0)
+
+
+def unread_entries(
+    spark: SparkSession, entries: DataFrame, listed: DataFrame, manifest_lists: DataFrame, run_log: DataFrame, state: str | None = None
+) -> DataFrame:
+    """The rows of ``unread``, as the reader delivers them: the log of arrivals is read from where the successful runs left it.
+
+    ``state``: the reader's folder; by default a new one in the shared folder. A later call with the same folder carries on from the batches done.
+    """
+    log = materialise(arrivals(entries, listed), "arrivals")
+    reader = IncrementalReader(spark, log, state or fresh_dir(spark, "reader"), "table_id", "sequence_number", "entry_id", "arrived_at")
+    if not reader.storage.exists(f"{reader.state}/seeded/_SUCCESS"):
+        reader.seed(succeeded_runs(run_log, headers(manifest_lists)))
+    reader.run()
+    return reader.sink()
