@@ -1,82 +1,216 @@
 """Schemas that drift between files: one consistent layout per table, and every change of a field.
 
-Rows are loaded as maps from path to raw value, statistics of paths and raw types are aggregated by file, and the columns of the layout are projected
-with a cast each; a value that its column can't take is reported, not dropped. Schemas are parsed once per distinct text.
+Documents, rows and schemas alike, are loaded as maps from path to value with the raw JSON type kept. Statistics of paths and types
+are aggregated by file, or by version of a schema, and typed columns are projected from the maps: ids, names and types of
+fields from schemas, the columns of the layout from rows. What a cast can't take is reported with its raw value, not dropped.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 import re
-from collections.abc import Iterator
+from typing import Any
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.operators.snapshot_tables import location, number
+from quern.session import materialise
 
-_FIELDS = "array<struct<field_id:int,parent_id:int,path:string,name:string,type:string>>"
+# Path-value maps
 
 
-def parse_schema(text: str | None) -> tuple[int | None, list[tuple[int, int | None, str, str, str]]] | None:
-    """(schema-id or None, nodes as (field id, parent's id or None, path, name, type)); None if the text is no readable schema.
+class _Whole(str):
+    """A JSON number without fraction or exponent, as written."""
 
-    Lists have a node ``element``, maps ``key`` and ``value``. The type of a struct, list or map is only its kind; blanks inside a type are dropped.
+
+class _Number(str):
+    """Any other JSON number, as written."""
+
+
+def read_json(text: str | None) -> Any:
+    """``text`` as Python values with numbers as written; text that holds JSON text is read again. ValueError if it is none."""
+    if text is None:
+        raise ValueError("no text")
+    try:
+        top = json.loads(text, parse_int=_Whole, parse_float=_Number, parse_constant=_Number)
+        while type(top) is str:
+            top = json.loads(top, parse_int=_Whole, parse_float=_Number, parse_constant=_Number)
+    except RecursionError as e:
+        raise ValueError("nested too deep") from e
+    return top
+
+
+def kind_of(x: Any) -> str:
+    if x is None:
+        return "null"
+    if isinstance(x, bool):
+        return "boolean"
+    names = {_Whole: "integer", _Number: "number", str: "string", dict: "object", list: "array"}
+    return names[type(x)]
+
+
+def text_of(x: Any) -> str | None:
+    """A value as text: strings and numbers as written, objects and arrays as JSON, null as None."""
+    if x is None:
+        return None
+    if isinstance(x, bool):
+        return "true" if x else "false"
+    if isinstance(x, (dict, list)):
+        return to_json(x)
+    return str(x)
+
+
+def to_json(x: Any) -> str:
+    """JSON text without blanks, numbers as written."""
+    if isinstance(x, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{to_json(v)}" for k, v in x.items()) + "}"
+    if isinstance(x, list):
+        return "[" + ",".join(map(to_json, x)) + "]"
+    if isinstance(x, (_Whole, _Number)):
+        return str(x)
+    return json.dumps(x, ensure_ascii=False)
+
+
+def _step(name: str) -> str:
+    return re.sub(r"([\\.\[\]{}])", r"\\\1", name)
+
+
+def flatten(text: str | None) -> list[tuple[str, str, str | None]] | None:
+    """(path, kind, value) of all that the JSON object ``text`` holds; None if it is no JSON object.
+
+    Paths are like ``a.b[0].c``; what would be read as part of a path is escaped by a backslash in names. Objects and arrays have a row without value.
     """
     try:
-        top = json.loads(text)
-        while isinstance(top, str):
-            top = json.loads(top)
-        if not isinstance(top, dict) or not isinstance(top.get("fields"), list):
-            return None
-        out: list[tuple[int, int | None, str, str, str]] = []
-
-        todo: list[tuple] = [(f["id"], None, "", f["name"], f["type"]) for f in reversed(top["fields"])]
-        while todo:
-            fid, parent, above, name, kind = todo.pop()
-            path = f"{above}.{name}" if above else name
-            if isinstance(kind, str):
-                out.append((int(fid), parent, path, name, re.sub(r"\s+", "", kind)))
-                continue
-            fid = int(fid)
-            out.append((fid, parent, path, name, kind["type"]))
-            if kind["type"] == "struct":
-                todo += [(f["id"], fid, path, f["name"], f["type"]) for f in reversed(kind["fields"])]
-            elif kind["type"] == "list":
-                todo.append((kind["element-id"], fid, path, "element", kind["element"]))
-            elif kind["type"] == "map":
-                todo += [(kind["value-id"], fid, path, "value", kind["value"]), (kind["key-id"], fid, path, "key", kind["key"])]
-            else:
-                return None
-        sid = top.get("schema-id")
-        return (int(sid) if sid is not None and re.fullmatch(r"\s*-?\d+\s*", str(sid)) else None), out
-    except (ValueError, TypeError, KeyError, RecursionError, AttributeError):
+        top = read_json(text)
+    except ValueError:
+        return None
+    if not isinstance(top, dict):
         return None
+    out, todo = [], [(_step(k), v) for k, v in reversed(top.items())]
+    while todo:
+        path, x = todo.pop()
+        nested = isinstance(x, (dict, list))
+        out.append((path, kind_of(x), None if nested else text_of(x)))
+        if isinstance(x, dict):
+            todo += [(f"{path}.{_step(k)}", v) for k, v in reversed(x.items())]
+        elif nested:
+            todo += [(f"{path}[{i}]", v) for i, v in reversed(list(enumerate(x)))]
+    return out
+
+
+_VALUES = "map<string,struct<kind:string,value:string>>"
+
+
+def _flattened(texts):
+    import pyarrow as pa
+
+    offsets: list[int | None] = []
+    paths, kinds, values = [], [], []
+    seen: dict[str | None, list | None] = {}
+    for t in texts.to_pylist():
+        if t not in seen:
+            seen[t] = flatten(t)
+        got = seen[t]
+        offsets.append(None if got is None else len(paths))
+        for p, k, v in got or ():
+            paths.append(p)
+            kinds.append(k)
+            values.append(v)
+    offsets.append(len(paths))
+    items = pa.StructArray.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.string())], ["kind", "value"])
+    return pa.MapArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(paths, pa.string()), items)
+
+
+def path_map(text: Column | str) -> Column:
+    """The path-value map of JSON text, from path to (kind, value); null where it is no JSON object. Equal texts of a batch are read once."""
+    return F.arrow_udf(_flattened, _VALUES)(text)
+
+
+def path_values(rows: DataFrame) -> DataFrame:
+    """``rows`` as (manifest_path, row_pos, payload, values): the payload and its path-value map; repeated rows are kept once."""
+    at = rows.select(location("manifest_path").alias("manifest_path"), "row_pos", "payload", F.xxhash64("payload").alias("_h"))
+    once = at.dropDuplicates(["manifest_path", "row_pos", "_h"]).drop("_h")
+    return once.withColumn("values", path_map("payload"))
+
+
+def path_statistics(rows: DataFrame) -> DataFrame:
+    """(manifest_path, path, raw_type, n): how often each path holds which raw type, by file. Positions in arrays count as one path, ``[]``."""
+    e = path_values(rows).select("manifest_path", F.explode("values").alias("path", "x"))
+    path = F.regexp_replace("path", r"(?<!\\)\[\d+\]", "[]")
+    return e.groupBy("manifest_path", path.alias("path"), F.col("x.kind").alias("raw_type")).agg(F.count("*").alias("n"))
+
+
+# Schemas
+
+#: Where the path-value map of a schema has fields, types that are objects, and ids of elements, keys and values.
+_FIELD = r"fields\[\d+\](?:\.type(?:\.(?:element|key|value))*\.fields\[\d+\])*"
+_TYPE = rf"{_FIELD}\.type(?:\.(?:element|key|value))*"
+
 
+def schema_documents(manifests: DataFrame) -> DataFrame:
+    """(manifest_path, table_id, schema_id, schema, fields, failed): each header's schema projected from its path-value map.
 
-def _parse_parts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for d in parts:
-        got = [parse_schema(x) for x in d["schema"]]
-        keep = [i for i, g in enumerate(got) if g is not None]
-        yield pd.DataFrame({
-            "table_id": d["table_id"].iloc[keep].to_numpy(), "header_id": d["header_id"].iloc[keep].astype("Int64").to_numpy(),
-            "json_id": pd.array([got[i][0] for i in keep], dtype="Int64"),
-            "fields": [[{"field_id": f, "parent_id": p, "path": a, "name": n, "type": t} for f, p, a, n, t in got[i][1]] for i in keep],
-        })
+    ``fields``: array of (field_id, name, type). Lists have a field ``element``, maps ``key`` and ``value``; the type of a struct, list or map is only
+    its kind; blanks inside a type are dropped. ``failed``: the paths at which a schema needs what isn't there or can't be cast (``$``: it is no
+    JSON object with fields). The id is the header's, else that in the JSON. Headers without table_id are left out.
+    """
+    m = manifests.where("table_id is not null").select(
+        location("manifest_path").alias("manifest_path"), F.col("table_id").cast("bigint").alias("table_id"), number("schema_id").alias("header_id"), "schema", path_map("schema").alias("values")
+    )
+    at = lambda p: F.try_element_at("values", p)
+    has = lambda p, *kinds: F.coalesce(at(p)["kind"].isin(*kinds), F.lit(False))
+    whole = lambda p: at(p)["value"].try_cast("int").isNotNull()
+    more = lambda p, s: F.concat(p, F.lit(s))
+    kind = lambda p: F.when(has(p, "object"), at(more(p, ".type"))["value"]).otherwise(F.regexp_replace(at(p)["value"], r"\s+", ""))
+
+    def node(p: Column) -> Column:
+        field = p.endswith(".id")
+        base = F.regexp_replace(p, r"[.-]id$", "")
+        return F.struct(
+            at(p)["value"].try_cast("int").alias("field_id"), F.when(field, at(more(base, ".name"))["value"]).otherwise(F.regexp_extract(base, r"(\w+)$", 1)).alias("name"),
+            F.when(field, kind(more(base, ".type"))).otherwise(kind(base)).alias("type"),
+        )
+
+    def bad(p: Column) -> Column:
+        field = ~(has(p, "object") & whole(more(p, ".id")) & has(more(p, ".name"), "string") & has(more(p, ".type"), "string", "object"))
+        part = lambda n: whole(more(p, f".{n}-id")) & has(more(p, f".{n}"), "string", "object")
+        own = at(more(p, ".type"))["value"]
+        good = F.when(own == "struct", has(more(p, ".fields"), "array")).when(own == "list", part("element")).when(own == "map", part("key") & part("value"))
+        return F.when(p.rlike(rf"^{_FIELD}$"), field).when(p.rlike(rf"^{_TYPE}$"), has(p, "object") & ~F.coalesce(good, F.lit(False))).otherwise(False)
+
+    paths = F.map_keys("values")
+    ids = F.filter(paths, lambda p: p.rlike(rf"^(?:{_FIELD}\.id|{_TYPE}\.(?:element|key|value)-id)$"))
+    failed = F.when(F.coalesce(at(F.lit("fields"))["kind"] == "array", F.lit(False)), F.filter(paths, bad)).otherwise(F.array(F.lit("$")))
+    sid = F.coalesce("header_id", F.trim(at(F.lit("schema-id"))["value"]).try_cast("bigint"))
+    return m.select("manifest_path", "table_id", sid.alias("schema_id"), "schema", F.transform(ids, node).alias("fields"), failed.alias("failed"))
+
+
+def unreadable_schemas(manifests: DataFrame) -> DataFrame:
+    """(manifest_path, table_id, failed): the headers whose schema couldn't be read, and where."""
+    return schema_documents(manifests).where("size(failed) > 0").select("manifest_path", "table_id", "failed")
+
+
+def field_statistics(manifests: DataFrame) -> DataFrame:
+    """(table_id, schema_id, field_id, name, type, files): in how many headers each version has a field under which name and type.
+
+    Only readable schemas with an id count. A version without fields has a row without field_id.
+    """
+    d = schema_documents(manifests).where("size(failed) = 0 and schema_id is not null")
+    f = d.select("table_id", "schema_id", F.explode_outer("fields").alias("f")).select("table_id", "schema_id", "f.*")
+    return f.groupBy("table_id", "schema_id", "field_id", "name", "type").agg(F.count("*").alias("files"))
 
 
 def versions(manifests: DataFrame) -> DataFrame:
-    """(table_id, schema_id, fields): each readable schema version of a table once.
+    """(table_id, schema_id, field_id, name, type): the fields of each version of a table's schema, from ``field_statistics``.
 
-    The id is the header's, else the one in the JSON; a header without either is left out. Where headers differ about the same id, the
-    smallest reading (in the order of its nodes) is taken. Equal texts are parsed once per table and id.
+    Where headers of one version differ about a field, the reading of most headers is taken, the greatest among equals.
     """
-    texts = manifests.select("table_id", number("schema_id").alias("header_id"), "schema").where("schema is not null and table_id is not null").distinct()
-    parsed = texts.mapInPandas(_parse_parts, f"table_id bigint, header_id bigint, json_id bigint, fields {_FIELDS}")
-    v = parsed.select("table_id", F.coalesce("header_id", "json_id").alias("schema_id"), "fields").where("schema_id is not null")
-    return v.groupBy("table_id", "schema_id").agg(F.min("fields").alias("fields"))
+    s = field_statistics(manifests)
+    best = s.groupBy("table_id", "schema_id", "field_id").agg(F.max(F.struct("files", "name", "type")).alias("x"))
+    return best.select("table_id", "schema_id", "field_id", "x.name", "x.type")
 
 
 def changes(manifests: DataFrame) -> DataFrame:
@@ -84,93 +218,222 @@ def changes(manifests: DataFrame) -> DataFrame:
 
     A window over the versions of a table finds the neighbours (versions, not files: few per table); fields are compared by id.
     """
-    v = versions(manifests)
+    v = materialise(versions(manifests), "versions")
     after = Window.partitionBy("table_id").orderBy("schema_id")
-    v = v.select("table_id", "schema_id", F.lag("schema_id").over(after).alias("from_schema_id"), F.lead("schema_id").over(after).alias("next_id"), "fields")
-    f = v.select("table_id", "schema_id", "from_schema_id", "next_id", F.explode("fields").alias("f")).select("table_id", "schema_id", "from_schema_id", "next_id", "f.field_id", "f.name", "f.type")
-    new = f.where("from_schema_id is not null").select("table_id", "from_schema_id", F.col("schema_id").alias("to_schema_id"), "field_id", "name", "type", F.lit(True).alias("new"))
+    near = v.select("table_id", "schema_id").distinct().select("table_id", "schema_id", F.lag("schema_id").over(after).alias("before_id"), F.lead("schema_id").over(after).alias("next_id"))
+    f = v.where("field_id is not null").join(near, ["table_id", "schema_id"])
+    new = f.where("before_id is not null").select("table_id", F.col("before_id").alias("from_schema_id"), F.col("schema_id").alias("to_schema_id"), "field_id", "name", "type", F.lit(True).alias("new"))
     old = f.where("next_id is not null").select("table_id", F.col("schema_id").alias("from_schema_id"), F.col("next_id").alias("to_schema_id"), "field_id", "name", "type", F.lit(False).alias("new"))
     pair = new.unionByName(old).groupBy("table_id", "from_schema_id", "to_schema_id", "field_id").agg(
         *(F.max(F.when(F.col("new") == side, F.col(c))).alias(f"{c}_{side}".lower()) for c in ("name", "type") for side in (True, False))
     )
-    kinds = F.when(F.col("name_false").isNull(), F.array(F.lit("added"))).when(F.col("name_true").isNull(), F.array(F.lit("removed"))).otherwise(
-        F.filter(F.array(F.when(F.col("name_true") != F.col("name_false"), "renamed"), F.when(F.col("type_true") != F.col("type_false"), "retyped")), lambda x: x.isNotNull())
-    )
+    both = F.array(F.when(F.col("name_true") != F.col("name_false"), "renamed"), F.when(F.col("type_true") != F.col("type_false"), "retyped"))
+    kinds = F.when(F.col("name_false").isNull(), F.array(F.lit("added"))).when(F.col("name_true").isNull(), F.array(F.lit("removed"))).otherwise(F.filter(both, lambda x: x.isNotNull()))
     return pair.select("table_id", "from_schema_id", "to_schema_id", "field_id", F.explode(kinds).alias("change"))
 
 
+# Rows in one layout
+
+
+def _tree(kind: Any) -> Any:
+    """A type of a schema document: its name, or [kind, {role or field id: (id, name, type)}]."""
+    if isinstance(kind, str):
+        return re.sub(r"\s+", "", kind)
+    if kind["type"] == "struct":
+        return ["struct", {str(f["id"]): (str(f["id"]), f["name"], _tree(f["type"])) for f in kind["fields"]}]
+    parts = ("element",) if kind["type"] == "list" else ("key", "value")
+    return [kind["type"], {p: (str(kind[f"{p}-id"]), p, _tree(kind[p])) for p in parts}]
+
+
+def _routes(own: Any, latest: Any) -> Any:
+    """How values of type ``own`` are laid out as ``latest``: a type name for leaves, else [kind, parts]; ``latest`` None: the field is gone, its own type stays."""
+    if latest is None:
+        latest = own
+    if isinstance(own, str) or isinstance(latest, str) or own[0] != latest[0]:
+        return latest if isinstance(latest, str) else latest[0]
+    if own[0] == "struct":
+        parts = []
+        for key, (fid, name, kind) in own[1].items():
+            now = latest[1].get(key)
+            parts.append([name, now[1] if now else f"{name}#{fid}", _routes(kind, now[2] if now else None)])
+        gone = {p[1] for p in parts}
+        return ["struct", parts, [n for k, (_, n, _) in latest[1].items() if k not in own[1] and n not in gone]]
+    return [own[0], *(_routes(own[1][p][2], latest[1][p][2]) for p in own[1])]
+
+
+def route_of(own: str | None, latest: str | None) -> str | None:
+    """The way from the layout of one schema text to that of another, as JSON; None if ``own`` is no readable schema."""
+    try:
+        a = _tree(read_json(own) | {"type": "struct"})
+        b = _tree(read_json(latest) | {"type": "struct"}) if latest is not None else None
+        return json.dumps(_routes(a, b))
+    except (ValueError, TypeError, KeyError, AttributeError, RecursionError):
+        return None
+
+
+@functools.lru_cache(4096)
+def _route(text: str) -> Any:
+    return json.loads(text)
+
+
+_NESTED = ("struct", "list", "map")
+
+
+def lay_out(text: str | None, route: str | None) -> tuple[list[tuple], dict[str, str | None]]:
+    """(leaves, columns) of a payload: leaves as (path, type, kind, raw, is a map's key), columns as JSON text by name.
+
+    Paths have the names of the layout: ``a.b`` for members, ``a[0]`` for elements, ``a{key}`` for the values of maps.
+    """
+    try:
+        top = read_json(text)
+    except ValueError:
+        top = None
+    if not isinstance(top, dict):
+        top = {}
+    leaves: list[tuple] = []
+
+    def put(path: str, x: Any, way: Any) -> Any:
+        """``x`` with the names of the layout; its leaves are noted."""
+        if x is None:
+            leaves.append((path, None, "null", None, False))
+            return None
+        if isinstance(way, list) and way[0] == "struct" and isinstance(x, dict):
+            out = {}
+            for old, new, w in way[1]:
+                out[new] = put(f"{path}.{new}" if path else new, x.get(old), w)
+            for new in way[2]:
+                out[new] = put(f"{path}.{new}" if path else new, None, None)
+            return out
+        if isinstance(way, list) and way[0] == "list" and isinstance(x, list):
+            return [put(f"{path}[{i}]", v, way[1]) for i, v in enumerate(x)]
+        if isinstance(way, list) and way[0] == "map" and isinstance(x, dict):
+            out = {}
+            for k, v in x.items():
+                if isinstance(way[1], str):
+                    leaves.append((f"{path}{{{k}}}", way[1], "string", k, True))
+                out[k] = put(f"{path}{{{k}}}", v, way[2])
+            return out
+        kind = way if isinstance(way, str) else way[0]
+        leaves.append((path, kind, kind_of(x), text_of(x), False))
+        return x
+
+    if route is None:
+        for k, v in top.items():
+            leaves.append((k, None, kind_of(v), text_of(v), False))
+        return leaves, {k: text_of(v) for k, v in top.items()}
+    laid = put("", top, _route(route)) if top or route else {}
+    return leaves, {k: text_of(v) for k, v in (laid or {}).items()}
+
+
+_LAID = "struct<leaves:array<struct<path:string,type:string,kind:string,raw:string,is_key:boolean>>,columns:map<string,string>>"
+
+
+def _laid_out(texts, routes):
+    import pyarrow as pa
+
+    rows = [lay_out(t, r) for t, r in zip(texts.to_pylist(), routes.to_pylist(), strict=True)]
+    leaf = pa.struct([("path", pa.string()), ("type", pa.string()), ("kind", pa.string()), ("raw", pa.string()), ("is_key", pa.bool_())])
+    names = [f.name for f in leaf]
+    leaves = pa.array([[dict(zip(names, x, strict=True)) for x in a] for a, _ in rows], pa.list_(leaf))
+    columns = pa.array([list(b.items()) for _, b in rows], pa.map_(pa.string(), pa.string()))
+    return pa.StructArray.from_arrays([leaves, columns], ["leaves", "columns"])
+
+
+def _routed(own, latest):
+    import pyarrow as pa
+
+    return pa.array([route_of(a, b) for a, b in zip(own.to_pylist(), latest.to_pylist(), strict=True)], pa.string())
+
+
 def _casts(value: Column, kind: Column) -> Column:
-    """``value`` (raw text) in the canonical text of ``kind``; null where it can't be cast. Nested kinds and text stay as they are."""
+    """``value`` (raw text) in the canonical text of ``kind``; null where it can't be cast. Text stays as it is; a nested kind takes no leaf."""
     whole = F.regexp_replace(value, r"^(-?\d+)\.0+$", "$1")
+    plain = F.when(value.rlike(r"^-?\d+(\.\d+)?$"), value).otherwise(value.try_cast("decimal(38,18)").cast("string"))
+    digits = F.ltrim(F.regexp_extract(plain, r"^-?(\d+)", 1), F.lit("0"))
+    part = F.rtrim(F.regexp_extract(plain, r"\.(\d+)$", 1), F.lit("0"))
+    limits = [F.regexp_extract(kind, r"\((\d+),(\d+)\)", g).try_cast("int") for g in (1, 2)]
+    fits = plain.isNotNull() & (F.length(digits) <= limits[0] - limits[1]) & (F.length(part) <= limits[1])
+    number_ = F.concat(
+        F.when(plain.startswith("-") & (F.length(F.concat(digits, part)) > 0), "-").otherwise(""), F.when(digits == "", "0").otherwise(digits),
+        F.when(limits[1] > 0, F.concat(F.lit("."), F.rpad(part, limits[1], F.lit("0")))).otherwise(""),
+    )
     return (
-        F.when(kind.isin("int"), whole.try_cast("int").cast("string")).when(kind == "long", whole.try_cast("bigint").cast("string"))
+        F.when(kind == "int", whole.try_cast("int").cast("string")).when(kind == "long", whole.try_cast("bigint").cast("string"))
         .when(kind == "float", value.try_cast("float").cast("string")).when(kind == "double", value.try_cast("double").cast("string"))
         .when(kind == "boolean", value.try_cast("boolean").cast("string")).when(kind == "date", value.try_cast("date").cast("string"))
         .when(kind.isin("timestamp", "timestamp_ns"), value.try_cast("timestamp_ntz").cast("string"))
         .when(kind.isin("timestamptz", "timestamptz_ns"), value.try_cast("timestamp").cast("string"))
-        .when(kind.startswith("decimal"), value.try_cast("decimal(38,10)").cast("string")).otherwise(value)
-    )
-
-
-def _raw_type(value: Column) -> Column:
-    """The JSON type of a raw value kept as text by a schema-less map."""
-    return (
-        F.when(value.isNull(), "null").when(value.rlike(r"^-?\d+$"), "integer").when(value.rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"), "number")
-        .when(value.isin("true", "false"), "boolean").when(value.startswith("{"), "object").when(value.startswith("["), "array").otherwise("string")
+        .when(kind.startswith("decimal"), F.when(fits, number_)).when(kind.isin(*_NESTED), F.lit(None).cast("string")).otherwise(value)
     )
 
 
-def path_values(rows: DataFrame) -> DataFrame:
-    """``rows`` as (manifest_path, row_pos, values map<string, string>); an unreadable payload gives null, repeated rows are kept once."""
-    at = rows.select(location("manifest_path").alias("manifest_path"), "row_pos", F.from_json("payload", "map<string,string>").alias("values"), F.xxhash64("payload").alias("_h"))
-    return at.dropDuplicates(["manifest_path", "row_pos", "_h"]).drop("_h")
-
-
-def path_statistics(rows: DataFrame) -> DataFrame:
-    """(manifest_path, path, raw_type, n): how often each path holds which raw type, by file."""
-    e = path_values(rows).select("manifest_path", F.explode("values").alias("path", "value"))
-    return e.groupBy("manifest_path", "path", _raw_type(F.col("value")).alias("raw_type")).agg(F.count("*").alias("n"))
+def _latest_texts(manifests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(manifest_path, table_id, schema_id) of every manifest, and (table_id, schema_id, route) of every readable version."""
+    d = materialise(schema_documents(manifests).select("manifest_path", "table_id", "schema_id", "schema", (F.size("failed") == 0).alias("good")), "schemas")
+    m = d.groupBy("manifest_path").agg(F.max("table_id").alias("table_id"), F.max("schema_id").alias("schema_id"))
+    texts = d.where("good and schema_id is not null").groupBy("table_id", "schema_id").agg(F.min("schema").alias("own"))
+    last = texts.groupBy("table_id").agg(F.max_by("own", "schema_id").alias("latest"))
+    return m, texts.join(last, "table_id").select("table_id", "schema_id", F.arrow_udf(_routed, "string")("own", "latest").alias("route"))
 
 
 def consistent_rows(rows: DataFrame, manifests: DataFrame) -> DataFrame:
-    """(table_id, manifest_path, row_pos, values map<string,string>, failed array<string>): the rows in the layout of their table's latest version.
+    """(table_id, manifest_path, row_pos, values, failed, columns): the rows in the layout of their table's latest version, at all levels.
 
-    A value is found under the name its field id had in the schema the file was written with, and is given under the field's latest name, as
-    the canonical text of its latest type. A field that the latest version no longer has is given as ``name#id``. ``failed`` names the fields whose
-    value couldn't be cast; absent and null values are null. Rows of a manifest without a readable schema keep their own names. Only
-    top-level fields are columns; nested values are JSON text.
+    A value is found under the name its field id had in the schema the file was written with, and is given under the field's latest name, as the
+    canonical text of its latest type; so are members of structs, elements of lists and values of maps. ``values``: map from path to text, of all leaves. A
+    field that the latest version no longer has is given as ``name#id`` in its own type. ``failed``: array of (path, type, kind, raw) of the leaves that couldn't be
+    cast, their JSON type and their value as it was; their value is null. ``columns``: the same layout as JSON text per column, values as they were. Absent
+    and null values are null. Rows of a manifest without a readable schema keep their own names. An unreadable payload has no values but its fields' nulls.
     """
-    v = versions(manifests)
-    top = F.filter("fields", lambda f: f["parent_id"].isNull())
-    last = v.groupBy("table_id").agg(F.max_by(top, "schema_id").alias("latest"))
-    m = manifests.select(location("manifest_path").alias("manifest_path"), "table_id", number("schema_id").alias("header_id"), F.get_json_object("schema", "$.schema-id").try_cast("bigint").alias("json_id"))
-    m = m.groupBy("manifest_path").agg(F.max("table_id").alias("table_id"), F.max(F.coalesce("header_id", "json_id")).alias("schema_id"))
-    written = m.join(v.select("table_id", "schema_id", top.alias("own")), ["table_id", "schema_id"], "left").join(last, "table_id", "left")
-    r = path_values(rows).join(written, "manifest_path", "left")
-    none = F.expr("cast(array() as array<struct<field_id:int,parent_id:int,path:string,name:string,type:string>>)")
-    own, latest = F.coalesce("own", none), F.coalesce("latest", none)
-
-    def cell(f: Column) -> Column:
-        now = F.filter(latest, lambda g: g["field_id"] == f["field_id"])
-        raw = F.try_element_at("values", f["name"])
-        kind = F.coalesce(F.get(now, F.lit(0))["type"], f["type"])
-        name = F.coalesce(F.get(now, F.lit(0))["name"], F.concat(f["name"], F.lit("#"), f["field_id"].cast("string")))
-        return F.struct(name.alias("name"), _casts(raw, kind).alias("value"), raw.alias("raw"))
-
-    cells = F.when(F.size(own) > 0, F.transform(own, cell)).otherwise(F.transform(F.map_entries(F.coalesce("values", F.expr("cast(map() as map<string,string>)"))), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("value"), e["value"].alias("raw"))))
-    r = r.withColumn("_cells", cells)
-    values = F.map_from_entries(F.array_distinct(F.transform("_cells", lambda c: F.struct(c["name"], c["value"]))))
-    failed = F.transform(F.filter("_cells", lambda c: c["raw"].isNotNull() & c["value"].isNull()), lambda c: c["name"])
-    return r.select("table_id", "manifest_path", "row_pos", values.alias("values"), failed.alias("failed"))
-
-
-_SPARK = {"int": "int", "long": "bigint", "float": "float", "double": "double", "boolean": "boolean", "date": "date", "timestamp": "timestamp_ntz", "timestamptz": "timestamp", "timestamp_ns": "timestamp_ntz", "timestamptz_ns": "timestamp"}
+    m, routes = _latest_texts(manifests)
+    written = m.join(routes, ["table_id", "schema_id"], "left")
+    at = rows.select(location("manifest_path").alias("manifest_path"), "row_pos", "payload", F.xxhash64("payload").alias("_h"))
+    once = at.dropDuplicates(["manifest_path", "row_pos", "_h"]).drop("_h")
+    r = once.join(written, "manifest_path", "left").withColumn("_laid", F.arrow_udf(_laid_out, _LAID)("payload", "route"))
+    cast = lambda x: F.struct(x["path"].alias("path"), F.when(x["type"].isNull(), x["raw"]).otherwise(_casts(x["raw"], x["type"])).alias("value"), x["type"].alias("type"), x["kind"].alias("kind"), x["raw"].alias("raw"), x["is_key"].alias("is_key"))
+    r = r.withColumn("_cells", F.transform("_laid.leaves", cast))
+    values = F.map_from_entries(F.array_distinct(F.transform(F.filter("_cells", lambda c: ~c["is_key"]), lambda c: F.struct(c["path"], c["value"]))))
+    bad = F.filter("_cells", lambda c: c["raw"].isNotNull() & c["value"].isNull())
+    failed = F.transform(bad, lambda c: F.struct(c["path"].alias("path"), c["type"].alias("type"), c["kind"].alias("kind"), c["raw"].alias("raw")))
+    return r.select("table_id", "manifest_path", "row_pos", values.alias("values"), failed.alias("failed"), F.col("_laid.columns").alias("columns"))
+
+
+def failed_casts(consistent: DataFrame) -> DataFrame:
+    """(table_id, path, type, kind, n, example): failed casts by table, path (positions and keys left out), type asked for and JSON type found."""
+    f = consistent.select("table_id", F.explode("failed").alias("f"))
+    path = F.regexp_replace(F.regexp_replace("f.path", r"\[\d+\]", "[]"), r"\{[^}]*\}", "{}")
+    return f.groupBy("table_id", path.alias("path"), "f.type", "f.kind").agg(F.count("*").alias("n"), F.min("f.raw").alias("example"))
+
+
+# Names of the format's types in Spark.
+_SPARK = {
+    "int": "int", "long": "bigint", "float": "float", "double": "double", "boolean": "boolean", "date": "date", "timestamp": "timestamp_ntz",
+    "timestamptz": "timestamp", "timestamp_ns": "timestamp_ntz", "timestamptz_ns": "timestamp",
+}
+
+
+def spark_type(kind: Any) -> str:
+    """A type of ``_tree`` as DDL."""
+    if isinstance(kind, str):
+        return kind if kind.startswith("decimal") else _SPARK.get(kind, "string")
+    if kind[0] == "struct":
+        return "struct<" + ",".join(f"`{n}`:{spark_type(t)}" for _, n, t in kind[1].values()) + ">"
+    parts = [spark_type(t) for _, _, t in kind[1].values()]
+    return f"array<{parts[0]}>" if kind[0] == "list" else f"map<string,{parts[1]}>"
 
 
 def typed_table(consistent: DataFrame, manifests: DataFrame, table_id: int) -> DataFrame:
-    """The rows of one table as typed columns of its latest version (row_pos and failed beside them). The driver reads that one schema."""
-    v = versions(manifests.where(F.col("table_id") == table_id)).orderBy(F.desc("schema_id")).limit(1).collect()
-    fields = [f for f in v[0].fields if f.parent_id is None] if v else []
-    kind = lambda t: re.sub(r"^decimal.*", lambda m: m[0], t) if t.startswith("decimal") else _SPARK.get(t, "string")
-    cols = [F.col("values")[f.name].try_cast(T.DataType.fromDDL(kind(f.type))).alias(f.name) for f in fields]
+    """The rows of one table as typed columns of its latest version, nested ones included (keys of maps as text), with _row_pos and _failed beside them.
+
+    The driver reads that one schema. A leaf that couldn't be cast is null in its column and named in _failed.
+    """
+    own = schema_documents(manifests.where(F.col("table_id") == table_id)).where("size(failed) = 0 and schema_id is not null")
+    last = own.orderBy(F.desc("schema_id"), "schema").limit(1).select("schema").collect()
+    fields = _tree(read_json(last[0].schema) | {"type": "struct"})[1].values() if last else []
+    cols = []
+    for _, name, kind in fields:
+        path, raw = F.col("values")[name], F.col("columns")[name]
+        typed = path.try_cast(T.DataType.fromDDL(spark_type(kind))) if isinstance(kind, str) else F.from_json(raw, spark_type(kind))
+        cols.append(typed.alias(name))
     return consistent.where(F.col("table_id") == table_id).select(*cols, F.col("row_pos").alias("_row_pos"), F.col("failed").alias("_failed"))
+

@@ -82,8 +82,9 @@ def p3_descendants(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    t = lambda n: table(spark, sf, n)
-    return incremental.unread(t("manifest_entries"), t("manifest_list_entries"), t("manifest_lists"), t("run_log")).select("entry_id")
+    """The entries that the reader delivers when it starts from where the successful runs have left off."""
+    tables = (table(spark, sf, n) for n in ("manifest_entries", "manifest_list_entries", "manifest_lists", "run_log"))
+    return incremental.unread_entries(spark, *tables).select("entry_id")
 
 
 def _orphans(spark: SparkSession, sf: str) -> DataFrame:
@@ -103,13 +104,24 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """file_rows in one layout per table; the map as sorted JSON text, so that results compare."""
+    """file_rows in one layout per table, at all levels; the map as sorted JSON text, so that results compare."""
     r = drift.consistent_rows(table(spark, sf, "file_rows"), table(spark, sf, "manifests"))
-    return r.select("table_id", "manifest_path", "row_pos", F.to_json("values").alias("values"), F.array_join("failed", ",").alias("failed"))
+    by_path = F.map_from_entries(F.array_sort(F.map_entries("values")))
+    return r.select("table_id", "manifest_path", "row_pos", F.to_json(by_path).alias("values"), F.to_json(F.array_sort("failed")).alias("failed"))
+
+
+def p6_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """How often each path of a file's rows holds which raw type."""
+    return drift.path_statistics(table(spark, sf, "file_rows"))
+
+
+def p6_casts(spark: SparkSession, sf: str) -> DataFrame:
+    """The casts that failed, by table, path and types."""
+    return drift.failed_casts(drift.consistent_rows(table(spark, sf, "file_rows"), table(spark, sf, "manifests")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_outputs, p1_files, p2_found, p2_current, p2_files, p3_found, p3_paths, p3_descendants, p4_found, p5_found, p5_report, p6_found, p6_rows)
+    f.__name__: f for f in (p1_found, p1_outputs, p1_files, p2_found, p2_current, p2_files, p3_found, p3_paths, p3_descendants, p4_found, p5_found, p5_report, p6_found, p6_rows, p6_paths, p6_casts)
 }
 
 _LOC = "CASE WHEN regexp_matches({0}, '^s3[an]?:/') THEN 's3://' || regexp_replace(regexp_replace({0}, '^s3[an]?:/+', ''), '/+', '/', 'g') ELSE {0} END"
@@ -172,4 +184,7 @@ ORACLE: dict[str, str] = {
   FROM o FULL JOIN w ON o.table_id = w.table_id AND o.sid = w.sid AND o.id = w.id)
  SELECT table_id, a AS from_schema_id, b AS to_schema_id, id AS field_id, unnest(CASE WHEN n1 IS NULL THEN ['added'] WHEN n2 IS NULL THEN ['removed']
   ELSE list_filter([CASE WHEN n1 <> n2 THEN 'renamed' END, CASE WHEN t1 <> t2 THEN 'retyped' END], lambda x: x IS NOT NULL) END) AS change FROM c""",
+    "p6_paths": f"""WITH f AS (SELECT DISTINCT {_LOC.format('manifest_path')} manifest_path, row_pos, payload FROM file_rows WHERE json_valid(payload) AND json_type(payload) = 'OBJECT')
+ SELECT manifest_path, regexp_replace(replace(substr(fullkey, 3), '"', ''), '\\[[0-9]+\\]', '[]', 'g') AS path, CASE WHEN j.type = 'VARCHAR' THEN 'string' WHEN j.type IN ('BIGINT', 'UBIGINT', 'HUGEINT') THEN 'integer'
+ WHEN j.type = 'DOUBLE' THEN 'number' ELSE lower(j.type) END AS raw_type, count(*) AS n FROM f, json_tree(payload) j WHERE fullkey <> '$' GROUP BY ALL""",
 }
