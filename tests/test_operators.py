@@ -1,6 +1,7 @@
 """The operators for snapshot-table data: brute force on small inputs, and the odd cases each docstring defines."""
 
 import datetime as dt
+import json
 import random
 
 import numpy as np
@@ -95,6 +96,7 @@ def test_plan_merges_each_small_item_once(spark):
         sizes.setdefault((r.g, r.txn), []).append(r.size)
     assert all(sum(s) < 2 * 1000 + 900 for s in sizes.values())
     assert len([s for k, s in sizes.items() if k[0] == "g"]) < 150
+    assert all(r.merges[-1].txn == r.txn if r.level else not r.merges for r in got)
     again = compaction.plan(df.repartition(7), ["g"], "f", "size", F.col("small"), p).collect()
     assert {(r.f, r.txn) for r in got} == {(r.f, r.txn) for r in again}
     assert compaction.plan(df.limit(0), ["g"], "f", "size", F.col("small")).count() == 0
@@ -105,19 +107,84 @@ def test_manifests_take_values_any_row_knows(spark):
     rows = [(1, f"s3://b/{i}", 0, 0, None, 2, 1999, at(i)) for i in range(6)] + [(1, "s3a://b//0", 0, 0, 9000, None, None, at(30)), (1, "s3://b/del", 0, 1, 10, 1, 1, at(0)), (1, None, 0, 0, 1, 1, 1, at(0)), (1, "s3://b/zero", 0, 0, None, 0, 0, at(0))]
     got = compaction.plan_manifests(spark.createDataFrame(rows, cols)).collect()
     assert sorted(r.manifest_path for r in got) == [f"s3://b/{i}" for i in range(6)]
-    e = spark.createDataFrame([(7, "s3a://b/0", at(2), "late"), (7, "s3a://b/0", at(1), "first"), (8, "s3://b/other", at(1), "o"), (None, "s3://b/1", None, "n")], "entry_id bigint, manifest_path string, arrived_at timestamp_ntz, _path string")
-    out = {r._path: r.output for r in compaction.rewritten_entries(e, compaction.plan_manifests(spark.createDataFrame(rows, cols))).collect()}
-    assert set(out) == {"first", "o", "n"} and out["o"] == "s3://b/other" and out["first"] == out["n"]
+    e = spark.createDataFrame([(7, "s3a://b/0", at(2), "late"), (7, "s3a://b/0", at(1), "first"), (8, "s3://b/other", at(1), "o"), (None, "s3://b/1", None, "n")], "entry_id bigint, manifest_path string, arrived_at timestamp_ntz, x string")
+    assert sorted((r.x, r._path) for r in compaction.single_entries(e).collect()) == [("first", "s3://b/0"), ("n", "s3://b/1"), ("o", "s3://b/other")]
 
 
-def test_manifests_are_rewritten_once(spark, tmp_path):
-    cols = "table_id bigint, manifest_path string, partition_spec_id int, content int, manifest_length bigint, added_files_count int, added_rows_count bigint, written_at timestamp_ntz"
-    listed = spark.createDataFrame([(1, f"s3://b/{i}", 0, 0, 100, 1, 1, at(0)) for i in range(8)] + [(1, "s3://b/big", 0, 0, 9999, 1, 9999, at(0))], cols)
-    entries = spark.createDataFrame([(k, f"s3a://b//{k % 9 if k % 9 < 8 else 'big'}", at(k % 5)) for k in range(90)] + [(3, "s3://b/3", at(9))], "entry_id bigint, manifest_path string, arrived_at timestamp_ntz")
+LISTED = "table_id bigint, manifest_path string, partition_spec_id int, content int, manifest_length bigint, added_files_count int, added_rows_count bigint, written_at timestamp_ntz"
+ENTRIES = "entry_id bigint, manifest_path string, arrived_at timestamp_ntz"
+
+
+def manifest(i, length=100, rows=1):
+    return (1, f"s3://b/{i}", 0, 0, length, 1, rows, at(0))
+
+
+def test_journal_names_every_level(spark, tmp_path):
+    rows = [("g", f"f{i}", size) for i, size in enumerate([10, 11, 12, 900, 901, 1000, 30_000])]
+    df = spark.createDataFrame(rows, "g string, f string, size bigint")
+    p = compaction.Policy(target=20_000, fan=4, alone=True)
+    log = compaction.CompactionJournal(spark, f"file://{tmp_path}/log", "g string")
     for _ in range(2):
-        got = compaction.compact_manifests(spark, entries, listed, f"file://{tmp_path}/out", f"file://{tmp_path}/log").collect()
-        assert sorted(r.entry_id for r in got) == [k for k in range(90) if k % 9 < 8] and len({r.output for r in got}) == 1
-    assert compaction.compact_manifests(spark, entries, listed.limit(0), f"file://{tmp_path}/o2", f"file://{tmp_path}/l2").count() == 0
+        log.begin(compaction.plan(df, ["g"], "f", "size", F.lit(True), p), "f")
+        steps = log.intents().collect()
+        assert sorted(r.input for r in steps if r.leaf) == sorted(f for _, f, _ in rows)
+        assert {r.level for r in steps} == {1, 3}  # the tiers first, then what is left of all tiers
+        made = {r.txn for r in steps}
+        assert all(r.input in made for r in steps if not r.leaf) and len({r.final for r in steps}) == 2
+        for txn in made:
+            assert len([r for r in steps if r.txn == txn]) > 1 or [r.input for r in steps if r.txn == txn] == ["f6"]
+    assert log.done().count() == 0 and log.live().count() == 0
+
+
+def test_manifests_are_rewritten_once(spark, tmp_path):
+    work = lambda n: compaction.ManifestCompaction(spark, f"file://{tmp_path}/out{n}", f"file://{tmp_path}/log{n}")
+    listed = spark.createDataFrame([manifest(i) for i in range(8)] + [manifest("big", 9999, 9999)], LISTED)
+    rows = [(k, f"s3a://b//{k % 9 if k % 9 < 8 else 'big'}", at(k % 5)) for k in range(90)] + [(3, "s3://b/3", at(9)), (None, "s3://b/3", None), (None, "s3://b/3", None)]
+    entries = compaction.single_entries(spark.createDataFrame(rows, ENTRIES).withColumn("output", F.lit("clash")).drop("output"))
+    w = work(1)
+    assert w.run(entries, listed) and not w.run(entries, listed)
+    got = w.entries(entries).collect()
+    assert sorted((r.entry_id if r.entry_id is not None else -1) for r in got) == [-1, *range(90)]
+    assert {r.output for r in got if (r.entry_id or 0) % 9 == 8} == {"s3://b/big"} and len({r.output for r in got}) == 2
+    assert not work(2).run(entries, listed.limit(0)) and work(2).entries(entries.limit(0)).count() == 0
+
+
+def test_transactions_done_twice_are_read_once(spark, tmp_path):
+    listed = spark.createDataFrame([manifest(i) for i in range(8)], LISTED)
+    entries = compaction.single_entries(spark.createDataFrame([(k, f"s3://b/{k % 8}", at(0)) for k in range(40)], ENTRIES))
+    w = compaction.ManifestCompaction(spark, f"file://{tmp_path}/out", f"file://{tmp_path}/log")
+    todo = w.log.begin(compaction.plan(w._items(listed, None), w.log.group.names, "item", "size", F.col("small"), w.policy), "item").collect()
+    final = todo[0].final
+    for run in ("aa", "bb"):  # two runs finish the same transaction
+        entries.withColumn("output", F.lit(final)).write.parquet(f"file://{tmp_path}/out/run-{run}")
+        w.log.commit(spark.createDataFrame([(final, run)], "final string, folder string"))
+    assert sorted(r.entry_id for r in w.entries(entries).collect()) == list(range(40))
+
+
+def test_new_manifests_and_late_entries_join_later_rounds(spark, tmp_path):
+    w = compaction.ManifestCompaction(spark, f"file://{tmp_path}/out", f"file://{tmp_path}/log")
+    rows, listed = [(k, f"s3://b/{k % 8}", at(0)) for k in range(40)], [manifest(i) for i in range(8)]
+    frame = lambda: (compaction.single_entries(spark.createDataFrame(rows, ENTRIES)), spark.createDataFrame(listed, LISTED))
+    assert w.run(*frame())
+    rows += [(100 + k, f"s3://b/{k}", at(9)) for k in range(3)]  # late, for manifests already taken
+    listed.append(manifest(8))
+    rows += [(200, "s3://b/8", at(9))]
+    check = lambda: sorted(r.entry_id for r in w.entries(frame()[0]).collect()) == sorted({r[0] for r in rows})
+    assert check() and not w.run(*frame())  # an output, three late parts and a new manifest: too few
+    listed.append(manifest(9))
+    rows += [(201, "s3://b/9", at(9))]
+    assert w.run(*frame()) and check()
+    assert len({r.output for r in w.entries(frame()[0]).collect()}) == 1
+    assert not w.run(*frame())
+
+
+def test_failed_round_is_finished(spark, tmp_path):
+    listed = spark.createDataFrame([manifest(i) for i in range(8)], LISTED)
+    entries = compaction.single_entries(spark.createDataFrame([(k, f"s3://b/{k % 8}", at(0)) for k in range(40)], ENTRIES))
+    w = compaction.ManifestCompaction(spark, f"file://{tmp_path}/out", f"file://{tmp_path}/log")
+    w.log.begin(compaction.plan(w._items(listed, None), w.log.group.names, "item", "size", F.col("small"), w.policy), "item")  # and no more
+    assert sorted(r.output for r in w.entries(entries).select("output").distinct().collect()) == [f"s3://b/{i}" for i in range(8)]
+    assert w.run(entries, listed) and len({r.output for r in w.entries(entries).collect()}) == 1
 
 
 def test_real_files_are_merged_once_even_after_a_failure(spark, tmp_path):
@@ -125,18 +192,21 @@ def test_real_files_are_merged_once_even_after_a_failure(spark, tmp_path):
     policy = compaction.Policy(target=1 << 20)
     ids = lambda files: sorted(r.id for r in spark.read.parquet(*(f.path for f in files)).select("id").collect())
     spark.range(1000).withColumn("txn", F.lit("clash")).repartition(40).write.parquet(src)
-    j = compaction.CompactionJournal(spark, log)
-    files = compaction.live_files(spark, src, dst, log).withColumn("table", F.lit(""))
-    todo = j.begin(compaction.plan(files, ["table"], "path", "length", F.lit(True), policy), "path")
-    # The first run fails after it has written, before it commits.
-    spark.range(5).withColumn("quern_txn", F.lit(todo.first().txn)).write.partitionBy("quern_txn").parquet(f"{dst}/run-dead")
+    spark.range(1000, 1100).withColumn("txn", F.lit("clash")).repartition(5).write.parquet(f"{src}/day=1")
+    assert compaction.list_files(spark, src).count() == 45 and compaction.list_files(spark, src + "/none").count() == 0
     for _ in range(2):
         left = compaction.compact_parquet(spark, src, dst, log, policy).collect()
-        assert len(left) <= 2 and ids(left) == list(range(1000))
-    for k in range(1, 4):  # more files arrive: outputs are merged on with new ones
-        spark.range(1000 * k, 1000 * k + 1000).withColumn("txn", F.lit("clash")).repartition(20).write.mode("append").parquet(src)
+        assert len(left) == 1 and ids(left) == list(range(1100))
+    # A run that failed before its commit: what it wrote is never read, what it recorded is done by the next.
+    spark.range(2000, 2100).withColumn("txn", F.lit("clash")).repartition(10).write.mode("append").parquet(src)
+    j = compaction.CompactionJournal(spark, log, compaction.FILE_GROUP)
+    fresh = compaction.list_files(spark, src).join(j.taken().withColumnRenamed("input", "path"), "path", "left_anti").withColumn("source", F.lit(src))
+    assert j.begin(compaction.plan(fresh, ["source"], "path", "length", F.lit(True), policy), "path").count() == 10
+    spark.range(5).withColumn("txn", F.lit("dead")).write.parquet(f"{dst}/run-dead")
+    for k in range(1, 4):
         left = compaction.compact_parquet(spark, src, dst, log, policy).collect()
-        assert ids(left) == list(range(1000 * k + 1000)) and len(left) <= 4
+        assert ids(left) == [*range(1100), *range(2000, 2000 + 100 * k)] and len(left) <= 4
+        spark.range(2000 + 100 * k, 2100 + 100 * k).withColumn("txn", F.lit("clash")).repartition(20).write.mode("append").parquet(src)
     spark.range(1, 2).coalesce(1).write.parquet(f"file://{tmp_path}/big")
     assert compaction.compact_parquet(spark, f"file://{tmp_path}/big", dst + "2", log + "2", policy).count() == 1
 
@@ -228,22 +298,50 @@ def test_unread(spark):
     ).withColumn("_path", F.lit(0))
     log = spark.createDataFrame([(1, None, 20, at(5), " SUCCEEDED "), (1, 20, 30, at(5), "failed"), (1, 77, 30, at(50), "succeeded"), (1, 20, 30, at(50), None), (1, None, 20, at(5), "succeeded")], "table_id bigint, start_snapshot_id bigint, end_snapshot_id bigint, read_at timestamp_ntz, outcome string")
     assert sorted(r.entry_id for r in incremental.unread(entries, listed, heads, log).collect()) == [3, 4, 5, 6]
+    assert sorted(r.entry_id for r in incremental.unread_entries(spark, entries, listed, heads, log).collect()) == [3, 4, 5, 6]
+    assert sorted(r.entry_id for r in incremental.unread_entries(spark, entries, listed, heads, log.limit(0)).collect()) == [1, 2, 3, 4, 5, 6]
+    assert incremental.unread_entries(spark, entries.limit(0), listed, heads, log).count() == 0
     assert sorted(r.entry_id for r in incremental.unread(entries, listed, heads, log.limit(0)).collect()) == [1, 2, 3, 4, 5, 6]
 
 
+LOG = "p string, o bigint, k string"
+
+
 def test_reader_replays_and_skips_nothing(spark, tmp_path):
     rows = [(p, o, f"{p}-{o}") for p in ("a", "b") for o in range(5)]
     state = f"file://{tmp_path}/state"
-    make = lambda n: incremental.IncrementalReader(spark, lambda: spark.createDataFrame([r for r in rows if r[1] < n], "p string, o bigint, k string"), state, "p", "o", "k")
-    assert make(2).run(lambda d: d) == 0
+    make = lambda n: incremental.IncrementalReader(spark, lambda: spark.createDataFrame([r for r in rows if r[1] < n], LOG), state, "p", "o", "k", fold=2)
+    assert make(2).run() == 0
     with pytest.raises(Exception, match="boom"):
         make(4).run(lambda d: d.withColumn("k", F.raise_error(F.lit("boom"))))
-    assert make(5).run(lambda d: d) == 1  # the plan of the failed run, as it was
+    assert make(5).run() == 1  # the plan of the failed run, as it was
     assert make(5).sink().count() == 8
-    assert make(5).run(lambda d: d) == 2
-    assert make(5).run(lambda d: d) is None
+    assert make(5).run() == 2
+    assert make(5).run() is None
     assert sorted(r.k for r in make(5).sink().collect()) == sorted(r[2] for r in rows)
-    assert incremental.IncrementalReader(spark, lambda: spark.createDataFrame([], "p string, o bigint, k string"), state + "2", "p", "o", "k").run(lambda d: d) is None
+    assert incremental.IncrementalReader(spark, spark.createDataFrame([], LOG), state + "2", "p", "o", "k").run() is None
+
+
+def test_reader_delivers_late_repeated_and_unplaced_records(spark, tmp_path):
+    rows, state = [("a", 1, "k1"), ("a", 2, "k2"), ("a", 1, "k1"), (None, 7, "nowhere")], f"file://{tmp_path}/state"
+    make = lambda: incremental.IncrementalReader(spark, spark.createDataFrame(rows, LOG).withColumn("_n", F.lit(0)), state, "p", "o", "k", fold=2)
+    keys = lambda: sorted(r.k for r in make().sink().collect())
+    assert make().run() == 0 and make().run() is None and keys() == ["k1", "k2", "nowhere"]
+    rows += [("a", 2, "late"), ("a", 3, "k3"), ("b", None, "no offset"), ("a", 2, "late")]
+    assert make().run() == 1 and make().run() is None
+    for n in range(2, 6):
+        rows.append(("a", 0, f"earlier {n}"))
+        assert make().run() == n
+    assert make().run() is None and keys() == sorted({r[2] for r in rows})
+
+
+def test_reader_starts_where_others_left_off(spark, tmp_path):
+    rows = [("a", 1, "old", at(1)), ("a", 1, "late", at(9)), ("a", 5, "new", at(1)), ("a", 2, "unknown", None), ("b", 1, "other", at(1))]
+    log = spark.createDataFrame(rows, LOG + ", t timestamp_ntz")
+    r = incremental.IncrementalReader(spark, log, f"file://{tmp_path}/state", "p", "o", "k", "t")
+    r.seed(spark.createDataFrame([("a", None, 3, at(5))], "p string, lo bigint, hi bigint, read_at timestamp_ntz"))
+    assert r.run() == 0 and r.run() is None
+    assert sorted(x.k for x in r.sink().collect()) == ["late", "new", "other", "unknown"]
 
 
 # Orphans
@@ -292,20 +390,68 @@ def test_changes_of_fields(spark):
     assert drift.changes(manifests(spark).limit(0)).count() == 0
 
 
+def test_unreadable_schemas_are_reported(spark):
+    bad = {r.manifest_path: r.failed for r in drift.unreadable_schemas(manifests(spark)).collect()}
+    assert bad == {"s3://b/bad": ["$"], "s3://b/none": ["$"], "s3://b/arr": ["$"], "s3://b/odd": ["fields[0]"]}
+    inner = [('{"fields":[{"id":1,"name":"a","type":{"type":"list","element":"int"}}]}', ["fields[0].type"]), ('{"fields":[{"id":"x","name":"a","type":"int"}]}', ["fields[0]"]), ('{"fields":[]}', []), ('{"fields":[{"id":1,"name":"a","type":"int","doc":{"id":[1]}}]}', [])]
+    df = spark.createDataFrame([(f"s3://b/{i}", 1, s, "1") for i, (s, _) in enumerate(inner)], "manifest_path string, table_id bigint, schema string, schema_id string")
+    assert [r.failed for r in drift.schema_documents(df).orderBy("manifest_path").collect()] == [f for _, f in inner]
+
+
+def test_path_values_keep_json_types(spark):
+    text = '{"a.b":"123","n":123,"x":1.50,"t":true,"z":null,"l":[1,"2",{"y":[]}],"e":{}}'
+    rows = spark.createDataFrame([("m", 0, text), ("m", 0, text), ("m", 1, "[1]"), ("m", 2, None), ("m", 3, "{")], "manifest_path string, row_pos int, payload string")
+    got = {r.row_pos: r["values"] for r in drift.path_values(rows).collect()}
+    assert {k: tuple(v) for k, v in got[0].items()} == {
+        "a\\.b": ("string", "123"), "n": ("integer", "123"), "x": ("number", "1.50"), "t": ("boolean", "true"), "z": ("null", None), "l": ("array", None), "l[0]": ("integer", "1"),
+        "l[1]": ("string", "2"), "l[2]": ("object", None), "l[2].y": ("array", None), "e": ("object", None),
+    }
+    assert got[1] is None and got[2] is None and got[3] is None
+    stats = {(r.path, r.raw_type): r.n for r in drift.path_statistics(rows).collect()}
+    assert stats["l[]", "integer"] == 1 and stats["l[]", "string"] == 1 and stats["a\\.b", "string"] == 1
+
+
 def test_consistent_rows(spark):
     rows = spark.createDataFrame(
         [("s3://b/0", 0, '{"a": 5, "gone": "2020-01-02"}'), ("s3://b/0", 0, '{"a": 5, "gone": "2020-01-02"}'), ("s3://b/1", 1, '{"A": "many"}'), ("s3://b/1", 2, "not json"), ("s3://b/1", 3, None), ("s3://b/bad", 4, '{"q": "1"}')], "manifest_path string, row_pos int, payload string"
     ).withColumn("values", F.lit(1))
     got = {r.row_pos: r for r in drift.consistent_rows(rows, manifests(spark)).collect()}
     assert len(got) == 5
-    assert got[0]["values"] == {"A": "5", "m": None, "gone#5": "2020-01-02"} and got[0].failed == []
-    assert got[1]["values"]["A"] is None and got[1].failed == ["A"]
+    assert got[0]["values"] == {"A": "5", "m": None, "gone#5": "2020-01-02", "l": None} and got[0].failed == []
+    assert got[1]["values"]["A"] is None and [tuple(f) for f in got[1].failed] == [("A", "long", "string", "many")]
     assert got[2]["values"]["A"] is None and got[3].failed == []
     assert got[4]["values"] == {"q": "1"}
     t = drift.typed_table(drift.consistent_rows(rows, manifests(spark)), manifests(spark), 1)
     assert t.schema["A"].dataType.simpleString() == "bigint" and sorted(r.A for r in t.collect() if r.A) == [5]
-    stats = {tuple(r) for r in drift.path_statistics(rows).collect()}
-    assert ("s3://b/0", "a", "integer", 1) in stats and ("s3://b/1", "A", "string", 1) in stats
+    assert drift.consistent_rows(rows.limit(0), manifests(spark)).count() == 0 and drift.consistent_rows(rows, manifests(spark).limit(0)).count() == 5
+
+
+def test_nested_fields_follow_their_ids(spark):
+    def doc(*fields):
+        return json.dumps({"fields": [{"id": 1, "name": "s", "type": {"type": "struct", "fields": [{"id": i, "name": n, "type": k} for i, n, k in fields]}}, {"id": 9, "name": "m", "type": {"type": "map", "key-id": 10, "key": "int", "value-id": 11, "value": {"type": "list", "element-id": 12, "element": fields[0][2]}}}]})
+
+    old, new = doc((2, "weight", "int"), (3, "flag", "string"), (4, "gone", "string")), doc((2, "flag", "decimal(20,15)"), (3, "weight", "string"), (5, "more", "date"))
+    m = spark.createDataFrame([("s3://b/0", 1, old, "0"), ("s3://b/1", 1, new, "1")], "manifest_path string, table_id bigint, schema string, schema_id string")
+    rows = spark.createDataFrame(
+        [("s3://b/0", 0, '{"s":{"weight":7,"flag":"f","gone":"g"},"m":{"1":[1,2],"x":[null]}}'), ("s3://b/1", 1, '{"s":{"flag":0.123456789012345},"m":{}}'), ("s3://b/1", 2, '{"s":{"flag":99999,"more":"2020-02-30"}}'), ("s3://b/1", 3, '{"s":5}')],
+        "manifest_path string, row_pos int, payload string",
+    )
+    c = drift.consistent_rows(rows, m)
+    got = {r.row_pos: r for r in c.collect()}
+    assert got[0]["values"] == {"s.flag": "7.000000000000000", "s.weight": "f", "s.gone#4": "g", "s.more": None, "m{1}[0]": "1.000000000000000", "m{1}[1]": "2.000000000000000", "m{x}[0]": None}
+    assert [tuple(f) for f in got[0].failed] == [("m{x}", "int", "string", "x")]
+    assert got[1]["values"]["s.flag"] == "0.123456789012345"
+    assert got[2]["values"]["s.flag"] == "99999.000000000000000" and [f.path for f in got[2].failed] == ["s.more"]
+    assert [tuple(f) for f in got[3].failed] == [("s", "struct", "integer", "5")]
+    t = {r._row_pos: r for r in drift.typed_table(c, m, 1).collect()}
+    assert t[0].s.flag == 7 and t[0].s.weight == "f" and t[0].m["1"][1] == 2 and t[2].s.more is None
+    assert {(r.path, r.type, r.n) for r in drift.failed_casts(c).collect()} == {("m{}", "int", 1), ("s.more", "date", 1), ("s", "struct", 1)}
+
+
+def test_decimals_keep_their_scale_or_fail(spark):
+    cases = [("12.345", "decimal(5,2)", None), ("12.3400", "decimal(5,2)", "12.34"), ("99999", "decimal(3,0)", None), ("-0.00", "decimal(3,1)", "0.0"), ("1e2", "decimal(3,0)", "100"), ("-999", "decimal(3,0)", "-999"), ("abc", "decimal(3,0)", None), ("9" * 38, "decimal(38,0)", "9" * 38), (None, "decimal(3,0)", None)]
+    df = spark.createDataFrame([(v, k) for v, k, _ in cases], "v string, k string")
+    assert [r[0] for r in df.select(drift._casts(F.col("v"), F.col("k"))).collect()] == [w for _, _, w in cases]
 
 
 @pytest.mark.parametrize("partial", [False, True])
