@@ -1,10 +1,12 @@
 """Parent-child links to full hierarchies: roots, depths, loops, paths, descendants.
 
-Every node has at most one parent, so the links are a forest plus loops. Each task builds a weighted disjoint-set forest over its range
-of links: a node points to the top of its chain within the range, with the distance to it as weight and the smallest id on the way. Only
-tops whose own link lies in another range go on to the next level, where wider ranges are merged in the same way, until one range holds
-what is left or a level no longer shrinks it; then pointers are doubled by joins, which needs no task to hold it all. Going back
-down, each level looks up its tops: distances add, roots and loops are inherited.
+Every node has at most one parent, so the links are a forest plus loops. Each task unites the links of its range in a weighted disjoint-set forest:
+a node's weight is its distance to the node it points to, finding compresses paths and adds the weights up, and a set's representative is the top of
+its chain, so a node ends with the distance to its top (the root's offset) and the smallest id on the way. A link whose both ends have the same representative
+closes a loop. Only tops whose own link lies elsewhere go on to the next level, where they are united in the same way, until one range holds what is
+left. The first level cuts by locality; above it a coin by node and level decides whether a link goes where its node or where its parent goes, so
+that a share of all links meets its parent whatever the shape of the forest. Going back down, each level looks up its tops: distances add,
+roots and loops are inherited.
 """
 
 from __future__ import annotations
@@ -23,90 +25,112 @@ OPEN, ROOT, LOOP = 0, 1, 2
 _STATE = "node bigint, top bigint, dist bigint, low bigint, kind int"
 
 
-def compress(node: np.ndarray, to: np.ndarray, dist: np.ndarray, low: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Find with path compression over one range of links, for all nodes at once.
+class WeightedSets:
+    """Disjoint sets over positions 0..n-1 with weights: ``up`` leads towards a set's representative over ``weight`` steps, ``low`` is the smallest id
+    from the position up to, not including, the one it leads to."""
+
+    def __init__(self, weight: list[int], low: list[int]):
+        self.up, self.weight, self.low = [-1] * len(weight), weight, low
+
+    def find(self, x: int) -> tuple[int, int, int | None]:
+        """(representative of x, steps to it, smallest id on the way or None if x is it); the way is compressed."""
+        up, weight, low = self.up, self.weight, self.low
+        way = []
+        while up[x] >= 0:
+            way.append(x)
+            x = up[x]
+        if not way:
+            return x, 0, None
+        steps, least = weight[way[-1]], low[way[-1]]
+        for y in reversed(way[:-1]):
+            steps += weight[y]
+            least = min(least, low[y])
+            up[y], weight[y], low[y] = x, steps, least
+        return x, steps, least
+
+    def union(self, x: int, y: int) -> int | None:
+        """Let representative ``x`` lead to ``y``, over its own weight; if both are one set, gives the smallest id of the loop that closes."""
+        top, steps, least = self.find(y)
+        own = self.low[x] if least is None else min(self.low[x], least)
+        if top == x:
+            return own
+        self.up[x], self.low[x] = top, own
+        self.weight[x] += steps
+        return None
+
+
+def unite(node: np.ndarray, to: np.ndarray, dist: np.ndarray, low: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Follow all chains within one range of links. Gives top, dist, low, kind.
 
     ``node`` (unique) points to ``to`` over ``dist`` steps; ``low`` is the smallest id from node up to, not including, ``to``. Links of kind ROOT
-    or LOOP are ended already (``to`` is the root, or the smallest id of the loop). Gives top, dist, low, kind.
+    or LOOP are ended already (``to`` is the root, or the smallest id of the loop).
     """
     n = len(node)
     if n == 0:
         return to, dist, low, kind
     order = np.argsort(node, kind="stable")
     at = np.searchsorted(node, to, sorter=order)
-    at = np.where(at < n, at, 0)
-    nxt = order[at]
-    inside = (node[nxt] == to) & (kind == OPEN)
-    top, dist, low, kind = to.copy(), dist.copy(), low.copy(), kind.copy()
-    ptr = np.where(inside, nxt, -1)
-    for _ in range(int(n).bit_length() + 1):
-        live = np.flatnonzero(ptr >= 0)
-        if not len(live):
-            break
-        p = ptr[live]
-        dist_p, low_p, top_p, ptr_p = dist[p], low[p], top[p], ptr[p]
-        dist[live] += dist_p
-        low[live] = np.minimum(low[live], low_p)
-        top[live] = top_p
-        ended = ptr_p < 0
-        kind[live[ended]] = kind[p[ended]]
-        ptr[live] = ptr_p
-    looped = np.flatnonzero(ptr >= 0)
-    if len(looped):  # 2**k steps, more than there are nodes, lead onto the loop; another such walk round it meets its smallest id
-        top[looped] = low[ptr[looped]]
-        kind[looped] = LOOP
-        dist[looped] = -1
-    return top, dist, low, kind
-
-
-def _compress_parts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    got = list(parts)
-    if not got:
-        return
-    d = pd.concat(got, ignore_index=True)
-    cols = [d[c].to_numpy(np.int64) for c in ("node", "top", "dist", "low")]
-    top, dist, low, kind = compress(*cols, d["kind"].to_numpy(np.int32))
-    yield pd.DataFrame({"node": cols[0], "top": top, "dist": dist, "low": low, "kind": kind})
-
-
-def _doubled(state: DataFrame) -> DataFrame:
-    """Pointer doubling by joins, for links that no level shrinks; ends after log2(longest chain) rounds."""
-    rounds = max(1, int(state.count()).bit_length() + 1)
-    for _ in range(rounds):
-        up = state.select(F.col("node").alias("top"), F.col("top").alias("t2"), F.col("dist").alias("d2"), F.col("low").alias("l2"), F.col("kind").alias("k2"))
-        j = state.where(f"kind = {OPEN}").join(up, "top", "left")
-        moved = j.select(
-            "node", F.coalesce("t2", "top").alias("top"), F.when(F.col("k2") == LOOP, -1).otherwise(F.col("dist") + F.coalesce("d2", F.lit(0))).alias("dist"),
-            F.least("low", F.coalesce("l2", "low")).alias("low"), F.coalesce("k2", "kind").alias("kind"),
-        )
-        state = materialise(state.where(f"kind <> {OPEN}").unionByName(moved), "forest-doubled")
-        if state.where(f"kind = {OPEN}").isEmpty():
-            return state
-    up = state.select(F.col("node").alias("top"), F.col("low").alias("l2"))
-    looped = state.where(f"kind = {OPEN}").join(up, "top", "left").select("node", F.coalesce("l2", "low").alias("top"), F.lit(-1).cast("bigint").alias("dist"), "low", F.lit(LOOP).alias("kind"))
-    return state.where(f"kind <> {OPEN}").unionByName(looped)
-
-
-def _solve(state: DataFrame, sort: list[str], rows: int, most: int, level: int) -> DataFrame:
-    """``state`` (with ``sort`` columns) with every chain followed to its end. ``rows``: how many links there are."""
-    cut = state.repartition(1) if rows <= most else state.repartitionByRange(-(-rows // most), *sort)
-    done = materialise(cut.drop(*[c for c in sort if c != "node"]).mapInPandas(_compress_parts, _STATE), f"forest-{level}")
-    if rows <= most:
-        return done
+    parent = order[np.where(at < n, at, 0)]
+    inside = (node[parent] == to) & (kind == OPEN)
+    sets, loops = WeightedSets(dist.tolist(), low.tolist()), {}
+    for x, y in zip(np.flatnonzero(inside).tolist(), parent[inside].tolist(), strict=True):
+        least = sets.union(x, y)
+        if least is not None:
+            loops[x] = least
+    found = [sets.find(x) for x in range(n)]
+    rep = np.fromiter((f[0] for f in found), np.int64, n)
+    steps = np.fromiter((f[1] for f in found), np.int64, n)
+    least = np.fromiter((low_ if f[2] is None else f[2] for f, low_ in zip(found, low.tolist(), strict=True)), np.int64, n)
+    top, kind_, dist_ = to[rep], kind[rep].copy(), steps + dist[rep]
+    low_ = np.minimum(least, low[rep])
+    if loops:
+        looped = np.fromiter((x in loops for x in rep.tolist()), bool, n)
+        top = np.where(looped, [loops.get(x, 0) for x in rep.tolist()], top)
+        kind_[looped], dist_[looped] = LOOP, -1
+    dist_[kind_ == LOOP] = -1
+    return top, dist_, low_, kind_
+
+
+def _unite_parts(most: int):
+    """Unite at most about ``most`` links at a time: a larger share of a task is united in parts, and links between these stay open."""
+
+    def done(got: list[pd.DataFrame]) -> pd.DataFrame:
+        d = pd.concat(got, ignore_index=True)
+        cols = [d[c].to_numpy(np.int64) for c in ("node", "top", "dist", "low")]
+        top, dist, low, kind = unite(*cols, d["kind"].to_numpy(np.int32))
+        return pd.DataFrame({"node": cols[0], "top": top, "dist": dist, "low": low, "kind": kind})
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got, held = [], 0
+        for d in parts:
+            got.append(d)
+            held += len(d)
+            if held >= most:
+                yield done(got)
+                got, held = [], 0
+        if got:
+            yield done(got)
+
+    return run
+
+
+def _solve(state: DataFrame, sort: list[str], rows: int, most: int, level: int = 0) -> DataFrame:
+    """``state`` with every chain followed to its end. ``rows``: how many links there are; ``sort``: the first level's locality."""
+    ranges = max(1, -(-rows // most))
+    if level == 0:
+        cut = state.repartitionByRange(ranges, *sort).drop(*[c for c in sort if c != "node"])
+    else:
+        heads = (F.pmod(F.xxhash64("node", F.lit(level)), F.lit(2)) == 0) & (F.col("kind") == OPEN)
+        cut = state.repartition(ranges, F.xxhash64(F.when(heads, F.col("top")).otherwise(F.col("node")), F.lit(level)))
+    done = materialise(cut.mapInPandas(_unite_parts(4 * most), _STATE), f"forest-{level}")
     tops = done.where(f"kind = {OPEN}").select(F.col("top").alias("node")).distinct()
-    key = state.select("node", *[c for c in sort if c != "node"])
-    left = materialise(done.join(tops, "node", "left_semi").join(key, "node"), f"tops-{level}")
+    left = materialise(done.join(tops, "node", "left_semi"), f"tops-{level}")
     n = left.count()
     if n == 0:
         return done
-    if n > most and n > rows // 2:
-        above = materialise(_doubled(left.select("node", "top", "dist", "low", "kind")), f"tops-doubled-{level}")
-    else:
-        above = _solve(left, sort, n, most, level + 1)
+    above = _solve(left, sort, n, most, level + 1)
     up = above.select(F.col("node").alias("top"), F.col("top").alias("t2"), F.col("dist").alias("d2"), F.col("kind").alias("k2"))
-    if n <= 500_000:  # 8 million bytes or so; beyond that Spark chooses, and splits a top that many nodes share
-        up = F.broadcast(up)
-    j = done.join(up, "top", "left")
+    j = done.join(up, "top", "left")  # Spark chooses how, and splits a top that many nodes share
     followed = (F.col("kind") == OPEN) & F.col("k2").isNotNull()
     return j.select(
         "node", F.when(followed, F.col("t2")).otherwise(F.col("top")).alias("top"),
@@ -115,7 +139,7 @@ def _solve(state: DataFrame, sort: list[str], rows: int, most: int, level: int)
     )
 
 
-def forest(links: DataFrame, node: str, parent: str, locality: list[str] | None = None, most: int = 2_000_000) -> DataFrame:
+def forest(links: DataFrame, node: str, parent: str, locality: list[str] | None = None, most: int = 16_384) -> DataFrame:
     """(node, parent, root, depth): one row per node; ``parent`` null for roots.
 
     ``links``: one row per node (a repeated node keeps its greatest parent). A null node is left out. A node whose parent is null or has no row of
@@ -134,16 +158,28 @@ def forest(links: DataFrame, node: str, parent: str, locality: list[str] | None
         "node", F.coalesce("parent", "node").alias("top"), F.when(rooted, 0).otherwise(1).cast("bigint").alias("dist"), F.col("node").alias("low"),
         F.when(rooted, ROOT).otherwise(OPEN).cast("int").alias("kind"), *sort,
     )
-    done = _solve(state, [*sort, "node"], own.count(), most, 0)
+    done = _solve(state, [*sort, "node"], own.count(), most)
     return done.join(own.select("node", "parent"), "node").select("node", "parent", F.col("top").alias("root"), F.when(F.col("kind") == LOOP, -1).otherwise(F.col("dist")).cast("int").alias("depth"))
 
 
+def cut_loops(trees: DataFrame, most: int = 16_384) -> DataFrame:
+    """``trees`` with each loop cut above its smallest id, and ``looped``: nodes on and below loops hang below that id, so they have depths and paths too.
+
+    The path of such a node leads from the smallest id of the loop along the links round the loop, then down to the node.
+    """
+    trees = materialise(trees, "trees")
+    looped = trees.where("depth < 0").select("node", F.when(F.col("node") != F.col("root"), F.col("parent")).alias("parent"))
+    again = forest(looped, "node", "parent", most=most)
+    return trees.where("depth >= 0").withColumn("looped", F.lit(False)).unionByName(again.withColumn("looped", F.lit(True)))
+
+
 def path_segments(trees: DataFrame, length: int = 64) -> DataFrame:
     """``trees`` with its path, stored in pieces: (node, root, depth, anchor, segment).
 
     ``segment`` lists the ids from the node (inclusive) up to, not including, ``anchor``: the nearest proper ancestor whose depth is a multiple of
     ``length`` (null above the first). The path of a node is its segment followed by that of its anchor and so on, so all paths together take at
-    most ``length`` ids a node instead of the square of a long history. Nodes on or below loops have a segment of themselves only.
+    most ``length`` ids a node instead of the square of a long history. Nodes on or below loops have a segment of themselves only, unless ``cut_loops``
+    has given them depths.
     The index by node is walked upwards by doubling, log2(length) joins.
     """
     t = trees.select("node", "root", "depth", F.when(F.col("depth") >= 0, F.col("parent")).alias("anchor"), F.array("node").alias("segment"))

@@ -63,6 +63,33 @@ def p2_files(spark: SparkSession, sf: str) -> DataFrame:
     return changefeed.current_files(e, table(spark, sf, "manifest_list_entries"), [*first, *(n for n in e.schema["data_file"].dataType.names if n not in ("file_path", *first))])
 
 
+def p2_increments(spark: SparkSession, sf: str) -> DataFrame:
+    """The same files, from the patches of the first half of the numbers, kept, and those of all entries from a table's last eighth on, which repeats some."""
+    values = ["record_count", "file_size_in_bytes"]
+    c = changefeed.file_changes(table(spark, sf, "manifest_entries"), table(spark, sf, "manifest_list_entries"), values)
+    top = c.agg(F.max("sequence_number")).first()[0] or 0
+    some = lambda rows: changefeed.patches(rows, changefeed.FILE_KEYS, "sequence_number", F.col("status") == 2, values)
+    kept = materialise(some(c.where(F.col("sequence_number") <= top // 2)), "patches")
+    late = some(c.where(F.col("sequence_number") > top // 2 - top // 8))
+    both = changefeed.combine([late, kept], changefeed.FILE_KEYS)
+    got = changefeed.apply_patches(changefeed.no_files(c, values), both, changefeed.FILE_KEYS, values, position="sequence_number")
+    return got.select(*changefeed.FILE_KEYS, "sequence_number", *values)
+
+
+def p2_on_base(spark: SparkSession, sf: str) -> DataFrame:
+    """The same files, from a base that holds what was added up to the middle number, with all changes applied to it: those that the base has seen change nothing."""
+    values = ["record_count", "file_size_in_bytes"]
+    e, listed = table(spark, sf, "manifest_entries"), table(spark, sf, "manifest_list_entries")
+    top = e.agg(F.max("sequence_number")).first()[0] or 0
+    base = materialise(changefeed.current_files(e.where(F.col("sequence_number") <= top // 2), listed, values), "base")
+    return changefeed.current_files(e, listed, values, base)
+
+
+def p2_partial(spark: SparkSession, sf: str) -> DataFrame:
+    """The files where a null value leaves what an earlier change has set since the last deletion."""
+    return changefeed.current_files(table(spark, sf, "manifest_entries"), table(spark, sf, "manifest_list_entries"), ["record_count", "file_size_in_bytes"], partial=True)
+
+
 def _trees(spark: SparkSession, sf: str) -> DataFrame:
     return hierarchy.forest(headers(table(spark, sf, "manifest_lists")), "snapshot_id", "parent_snapshot_id", ["table_id", "sequence_number"])
 
@@ -72,8 +99,29 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_paths(spark: SparkSession, sf: str) -> DataFrame:
-    """Every snapshot's path, in segments that its anchor carries on."""
-    return hierarchy.path_segments(_trees(spark, sf)).withColumnsRenamed({"node": "snapshot_id", "root": "root_snapshot_id", "anchor": "anchor_snapshot_id"})
+    """Every snapshot's path, in segments that its anchor carries on; loops are cut above their smallest id."""
+    trees = materialise(hierarchy.cut_loops(_trees(spark, sf)), "cut")
+    s = hierarchy.path_segments(trees).join(trees.select("node", "looped"), "node")
+    return s.select(
+        F.col("node").alias("snapshot_id"), F.col("root").alias("root_snapshot_id"), "depth", "looped", F.col("anchor").alias("anchor_snapshot_id"), F.array_join("segment", ",").alias("segment")
+    )
+
+
+def _asked(trees: DataFrame) -> DataFrame:
+    """The snapshots whose whole paths and descendants are given: all paths together would take the square of a long history."""
+    return trees.where("node % 100 = 0").select("node")
+
+
+def p3_full_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole path, from the root down, of the snapshots whose id is divisible by 100."""
+    trees = materialise(_trees(spark, sf), "trees")
+    return hierarchy.full_paths(trees, _asked(trees)).select(F.col("node").alias("snapshot_id"), F.array_join("path", ",").alias("path"))
+
+
+def p3_below(spark: SparkSession, sf: str) -> DataFrame:
+    """All descendants of the snapshots whose id is divisible by 100."""
+    trees = materialise(_trees(spark, sf), "trees")
+    return hierarchy.descendants(trees, _asked(trees)).select(F.col("ancestor").alias("snapshot_id"), F.col("node").alias("descendant_id"))
 
 
 def p3_descendants(spark: SparkSession, sf: str) -> DataFrame:
@@ -121,12 +169,18 @@ def p6_casts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_outputs, p1_files, p2_found, p2_current, p2_files, p3_found, p3_paths, p3_descendants, p4_found, p5_found, p5_report, p6_found, p6_rows, p6_paths, p6_casts)
+    f.__name__: f for f in (p1_found, p1_outputs, p1_files, p2_found, p2_current, p2_files, p2_increments, p2_on_base, p2_partial, p3_found, p3_paths, p3_full_paths, p3_below, p3_descendants, p4_found, p5_found, p5_report, p6_found, p6_rows, p6_paths, p6_casts)
 }
 
 _LOC = "CASE WHEN regexp_matches({0}, '^s3[an]?:/') THEN 's3://' || regexp_replace(regexp_replace({0}, '^s3[an]?:/+', ''), '/+', '/', 'g') ELSE {0} END"
 _NUMBERS = f"nums AS (SELECT {_LOC.format('manifest_path')} p, max(sequence_number) s, max(added_snapshot_id) a FROM manifest_list_entries GROUP BY 1)"
 _HEADS = "heads AS (SELECT CAST(trim(snapshot_id) AS BIGINT) id, max(TRY_CAST(trim(parent_snapshot_id) AS BIGINT)) par, max(CAST(trim(sequence_number) AS BIGINT)) seq FROM manifest_lists GROUP BY 1)"
+_CUT = f"""{_HEADS}, l AS (SELECT h.id, p.id par FROM heads h LEFT JOIN heads p ON h.par = p.id),
+ t AS (SELECT id FROM l WHERE par IS NULL UNION ALL SELECT l.id FROM l JOIN t ON l.par = t.id),
+ b AS (SELECT id, par FROM l WHERE id NOT IN (SELECT id FROM t)), r AS (SELECT id start, par here FROM b UNION SELECT r.start, b.par FROM r JOIN b ON r.here = b.id),
+ onloop AS (SELECT start, min(here) low FROM r WHERE start IN (SELECT start FROM r r2 WHERE r2.here = r2.start) GROUP BY 1),
+ cut AS (SELECT id, CASE WHEN id NOT IN (SELECT low FROM onloop) THEN par END par FROM l),
+ w AS (SELECT id, 0 d, [id] p, id IN (SELECT id FROM b) looped FROM cut WHERE par IS NULL UNION ALL SELECT cut.id, d + 1, list_append(p, cut.id), looped FROM cut JOIN w ON cut.par = w.id)"""
 _P1_MEMBERS = f"""
 m AS (SELECT table_id, {_LOC.format('manifest_path')} manifest_path, max(partition_spec_id) spec, max(content) content, max(manifest_length) len, max(added_files_count) af,
  max(added_rows_count) ar, CAST(min(written_at) AS DATE) d FROM manifest_list_entries GROUP BY 1, 2),
@@ -149,7 +203,11 @@ ORACLE: dict[str, str] = {
  FROM manifest_entries GROUP BY 1) GROUP BY 1""",
     "p1_files": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders",
     "p2_found": f"{_P2} SELECT table_id, file_path, q AS sequence_number FROM h WHERE n = 1 AND status <> 2",
-    "p2_current": f"{_P2} SELECT table_id, file_path, q AS sequence_number, rc AS record_count, sz AS file_size_in_bytes FROM h WHERE n = 1 AND status <> 2",
+    **dict.fromkeys(("p2_current", "p2_increments", "p2_on_base"), f"{_P2} SELECT table_id, file_path, q AS sequence_number, rc AS record_count, sz AS file_size_in_bytes FROM h WHERE n = 1 AND status <> 2"),
+    "p2_partial": f"""{_P2}, g AS (SELECT table_id, file_path, max(q) FILTER (status = 2) gone FROM e GROUP BY ALL),
+ x AS (SELECT table_id, file_path, arg_max(rc, (q, rc)) FILTER (rc IS NOT NULL AND status <> 2 AND q > coalesce(gone, -1)) rc, arg_max(sz, (q, sz)) FILTER (sz IS NOT NULL AND status <> 2 AND q > coalesce(gone, -1)) sz
+  FROM e JOIN g USING (table_id, file_path) GROUP BY ALL)
+ SELECT table_id, file_path, q AS sequence_number, x.rc AS record_count, x.sz AS file_size_in_bytes FROM h JOIN x USING (table_id, file_path) WHERE n = 1 AND status <> 2""",
     "p3_found": f"""WITH RECURSIVE {_HEADS}, l AS (SELECT h.id, p.id par FROM heads h LEFT JOIN heads p ON h.par = p.id),
  t AS (SELECT id, id root, 0 depth FROM l WHERE par IS NULL UNION ALL SELECT l.id, t.root, t.depth + 1 FROM l JOIN t ON l.par = t.id),
  b AS (SELECT id, par FROM l WHERE id NOT IN (SELECT id FROM t)),
@@ -157,6 +215,11 @@ ORACLE: dict[str, str] = {
  onloop AS (SELECT start, min(here) low FROM w WHERE start IN (SELECT start FROM w w2 WHERE w2.here = w2.start) GROUP BY 1)
  SELECT id AS snapshot_id, root AS root_snapshot_id, CAST(depth AS INTEGER) AS depth FROM t
  UNION ALL SELECT w.start, min(o.low), -1 FROM w JOIN onloop o ON w.here = o.start GROUP BY 1""",
+    "p3_paths": f"""WITH RECURSIVE {_CUT}, s AS (SELECT *, CASE WHEN d > 0 THEN (d - 1) // 64 * 64 END a FROM w)
+ SELECT id AS snapshot_id, p[1] AS root_snapshot_id, CAST(d AS INTEGER) AS depth, looped, p[a + 1] AS anchor_snapshot_id,
+ array_to_string(list_reverse(p[coalesce(a + 2, 1):]), ',') AS segment FROM s""",
+    "p3_full_paths": f"""WITH RECURSIVE {_CUT} SELECT id AS snapshot_id, CASE WHEN looped THEN CAST(id AS VARCHAR) ELSE array_to_string(p, ',') END AS path FROM w WHERE id % 100 = 0""",
+    "p3_below": f"""WITH RECURSIVE {_CUT} SELECT anc AS snapshot_id, id AS descendant_id FROM (SELECT id, unnest(p) anc FROM w WHERE NOT looped) WHERE anc % 100 = 0 AND anc <> id""",
     "p3_descendants": f"""WITH RECURSIVE {_HEADS}, l AS (SELECT h.id, p.id par FROM heads h LEFT JOIN heads p ON h.par = p.id),
  t AS (SELECT id FROM l WHERE par IS NULL UNION ALL SELECT l.id FROM l JOIN t ON l.par = t.id), g AS (SELECT * FROM l WHERE id IN (SELECT id FROM t)),
  a AS (SELECT id, par anc FROM g WHERE par IS NOT NULL UNION ALL SELECT a.id, g.par FROM a JOIN g ON a.anc = g.id WHERE g.par IS NOT NULL)
