@@ -61,6 +61,12 @@ class Query:
     def _new(self, df: DataFrame, keep_order: bool = False) -> Query:
         return Query(df, self.order if keep_order else ())
 
+    def _without(self, name: str) -> Query:
+        """A column that only orders: it is dropped when the rows are read."""
+        q = Query(self.df, self.order)
+        q.hidden = [*getattr(self, "hidden", []), name]
+        return q
+
     def _ordered(self) -> list[Column]:
         if not self.order:
             raise ValueError("this operator depends on positions: give an order with order_by")
@@ -224,8 +230,11 @@ class Query:
         return Query(self.df, [*self._ordered(), *(_col(k) for k in keys)])
 
     def reverse(self, *keys: Column) -> Query:
-        """``keys``: the present order's keys, each turned round."""
-        return Query(self.df, list(keys))
+        """The rows in the opposite order, ties included: by their positions. ``keys``, the present order's keys each turned round, spare finding these."""
+        if keys:
+            return Query(self.df, list(keys))
+        i = indexed(self.df, self._ordered(), "__i").select(F.struct(*self.df.columns).alias("__row"), "__i")
+        return Query(i.select("__row.*", (-F.col("__i")).alias("__i")), [F.col("__i")])._without("__i")
 
     def shuffle(self, seed: int | None = None) -> Query:
         return Query(self.df, [F.rand(seed)] if seed is not None else [F.rand()])

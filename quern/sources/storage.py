@@ -9,13 +9,19 @@ from urllib.parse import unquote, urlparse
 from pyspark.sql import SparkSession
 
 
+#: What the S3 file system says of stores with conditional puts.
+_CONDITIONAL = "fs.option.create.conditional.overwrite"
+
+
 class AlreadyExists(FileExistsError):
     pass
 
 
 class Storage:
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
+    """Files by path. ``single_writer``: the caller vouches that nobody else writes, so that stores without exclusive creation may be used."""
+
+    def __init__(self, spark: SparkSession, single_writer: bool = False):
+        self.spark, self.single_writer = spark, single_writer
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -43,7 +49,7 @@ class Storage:
 
     def create(self, path: str, data: bytes) -> None:
         """Write a new file; AlreadyExists if there is one. Of writers at the same time exactly one succeeds: locally by a hard link, elsewhere
-        by the file system's create without overwriting (a rename on HDFS, a conditional put on object stores that offer it)."""
+        by the file system's create without overwriting. Where an S3 store doesn't offer conditional puts this is refused, unless ``single_writer``."""
         if (own := self.local(path)) is not None:
             os.makedirs(os.path.dirname(own), exist_ok=True)
             tmp = f"{os.path.dirname(own)}/.{uuid.uuid4().hex}"
@@ -59,14 +65,25 @@ class Storage:
                 os.unlink(tmp)
             return
         p, fs = self._fs(path)
+        conditional = urlparse(path).scheme in ("s3", "s3a", "s3n") and fs.hasPathCapability(p, _CONDITIONAL)
+        if not conditional and not self.exclusive(path):
+            raise NotImplementedError(f"{path}: this store can't create files exclusively, so two commits could both succeed; turn on conditional puts or name a single writer")
         try:
-            out = fs.create(p, False)
+            out = fs.createFile(p).overwrite(False).must(_CONDITIONAL, "true").build() if conditional else fs.create(p, False)
+            out.write(bytearray(data))
+            out.close()  # a conditional put is decided here
         except Exception as e:
             if fs.exists(p):
                 raise AlreadyExists(path) from e
             raise
-        out.write(bytearray(data))
-        out.close()
+
+    def exclusive(self, path: str) -> bool:
+        """Whether ``create`` lets exactly one of several writers succeed there."""
+        scheme = urlparse(path).scheme
+        if self.single_writer or scheme not in ("s3", "s3a", "s3n"):
+            return True
+        p, fs = self._fs(path)
+        return fs.hasPathCapability(p, _CONDITIONAL)
 
     def replace(self, path: str, data: bytes) -> None:
         if (own := self.local(path)) is not None:

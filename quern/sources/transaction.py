@@ -125,11 +125,11 @@ class Transaction:
         return self
 
     def _stage_deletes(self, folder: str, content: int, ids: list[int] | None) -> None:
-        for p, size, d in self.catalog.storage.list(folder):
-            if not d and p.endswith(".parquet"):
-                n = self.catalog.spark.read.parquet(p).count()
-                if n:
-                    self._staged.append(("deletes", {"content": content, "file_path": p, "file_format": "parquet", "partition": {}, "record_count": n, "file_size_in_bytes": size, "equality_ids": ids}))
+        paths = [p for p, _, d in self.catalog.storage.list(folder) if not d and p.endswith(".parquet")]
+        for f in mf.collect_stats(self.catalog.spark, paths, self._table().schema):  # counts and sizes from the footers
+            if f["record_count"]:
+                kept = {k: f[k] for k in ("file_path", "file_format", "record_count", "file_size_in_bytes")}
+                self._staged.append(("deletes", kept | {"content": content, "partition": {}, "equality_ids": ids}))
 
     def delete_where(self, p: Any) -> Transaction:
         """Rows that satisfy the predicate, as position deletes; files that can't hold any aren't read."""
@@ -186,19 +186,22 @@ class Transaction:
             gone = mf.live_entries(self.catalog.spark, storage, old)
         entry = lambda f: {"status": mf.ADDED, "snapshot_id": sid, "sequence_number": None, "file_sequence_number": None, "data_file": f}
         new = [(entries, content) for entries, content in (([entry(f) for f in groups["data"]], mf.DATA), ([entry(f) for f in groups["deletes"]], mf.DELETES)) if entries]
-        if gone:
-            new.append(([e | {"status": mf.DELETED, "snapshot_id": sid} for e in gone], mf.DATA))
+        for content in (mf.DATA, mf.DELETES):  # what an overwrite removes, data files and delete files each in a manifest of their kind
+            removed = [e | {"status": mf.DELETED, "snapshot_id": sid} for e in gone if (e["data_file"]["content"] != mf.DATA) == (content == mf.DELETES)]
+            if removed:
+                new.append((removed, content))
         for n, (entries, content) in enumerate(new):
             rows.append(mf.write_manifest(storage, f"{base}/{uuid.uuid4()}-m{n}.avro", entries, table.schema, sid, seq, content, spec))
         path = f"{base}/snap-{sid}-{seq}-{uuid.uuid4()}.avro"
         mf.write_list(storage, path, [*rows, *kept], sid, parent, seq)
         total = lambda fs, key: sum(f[key] for f in fs)
-        gone_files = [e["data_file"] for e in gone]
+        gone_files = [e["data_file"] for e in gone if e["data_file"]["content"] == mf.DATA]
         before = (md.snapshot_by_id(meta, parent).get("summary") or {}) if parent is not None else {}
         summary = {"operation": "overwrite" if replace else "delete" if groups["deletes"] and not groups["data"] else "append"}
         summary |= {"added-data-files": len(groups["data"]), "added-records": total(groups["data"], "record_count"), "added-files-size": total(groups["data"], "file_size_in_bytes"), "added-delete-files": len(groups["deletes"])}
-        summary |= {"deleted-data-files": len(gone_files), "deleted-records": total(gone_files, "record_count")}
-        for name, added, removed in (("data-files", "added-data-files", "deleted-data-files"), ("records", "added-records", "deleted-records")):
+        summary |= {"deleted-data-files": len(gone_files), "deleted-records": total(gone_files, "record_count"), "removed-delete-files": len(gone) - len(gone_files)}
+        totals = (("data-files", "added-data-files", "deleted-data-files"), ("records", "added-records", "deleted-records"), ("delete-files", "added-delete-files", "removed-delete-files"))
+        for name, added, removed in totals:
             summary[f"total-{name}"] = int(before.get(f"total-{name}", 0)) + summary[added] - summary[removed]
         summary = {k: v if k == "operation" else str(v) for k, v in summary.items() if v or k.startswith("total") or k == "operation"}
         out = {"snapshot-id": sid, "sequence-number": seq, "timestamp-ms": md.now_ms(), "manifest-list": path, "summary": summary, "schema-id": meta["current-schema-id"]}

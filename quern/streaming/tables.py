@@ -12,16 +12,20 @@ from quern.sources.catalog import Catalog
 from quern.sources.transaction import Transaction
 
 
-def append_sink(catalog: Catalog, ident: Any) -> Callable[[DataFrame, int], None]:
-    """For ``writeStream.foreachBatch``: each micro-batch is one snapshot. A batch that is run again finds its number in the table's properties and does nothing."""
+def append_sink(catalog: Catalog, ident: Any, stream: str) -> Callable[[DataFrame, int], None]:
+    """For ``writeStream.foreachBatch``: each micro-batch is one snapshot. A batch that is run again finds its number in the table's properties and does nothing.
+
+    ``stream`` names the stream for good: streams into one table count their batches apart, and one that is started anew with its checkpoint keeps its name.
+    """
+    key = f"stream.batch.{stream}"
 
     def write(batch: DataFrame, number: int) -> None:
-        done = catalog.load_table(ident).metadata["properties"].get("stream.batch") if catalog.table_exists(ident) else None
+        done = catalog.load_table(ident).metadata["properties"].get(key) if catalog.table_exists(ident) else None
         if done is not None and int(done) >= number:
             return
         tx = Transaction(catalog, ident)
         tx.append(batch)
-        tx.set_properties(**{"stream.batch": str(number)})
+        tx.set_properties(**{key: str(number)})
         tx.commit()
 
     return write
