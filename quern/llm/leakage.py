@@ -3,10 +3,11 @@
 Latent semantic retrieval. Texts are reduced to words; passages are windows of words with at least ``run`` words that some item uses (less can't hold a
 leaked run). TF-IDF weights come from all passages, a randomised SVD of the passage-term matrix is summed up over the partitions, and
 passages and item windows are compared as vectors in the latent space. Each vector also carries the length of its part outside that space, so the product
-of two vectors is an upper bound of the exact one and a search by it loses no pair. Candidates are then checked word by word: a run of
-consecutive words for copies, the longest common subsequence for paraphrases. Answers are looked up in the whole text of the documents found.
+of two vectors is an upper bound of the exact one and a search by it loses no pair. An index from the rarest word of each item window to the window
+says which pairs are compared. Candidates are then checked word by word: a run of consecutive words for copies, the longest common
+subsequence for paraphrases. Answers are looked up in the whole text of the documents found.
 
-The items are a fixed set, searched for in blocks whose windows are broadcast, each of a bounded size; the corpus is never gathered.
+Items are searched for in blocks whose windows are broadcast, each of a bounded size; the corpus is never gathered.
 """
 
 from __future__ import annotations
@@ -63,25 +64,28 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(_EMPHASIS.sub("", text).casefold())
 
 
+#: Most columns of the passages' matrix. Where there are more words, some share a column, which only makes products greater: the search still
+#: loses nothing, and what is summed up and broadcast keeps its bound whatever the number of items.
+COLUMNS = 1 << 14
+
+
 class Items:
-    """The evaluation items as word ids, with their windows of ``run`` words. ``most``: items accepted; the set is held by every task."""
+    """A block of evaluation items as word ids, with their windows of ``run`` words."""
 
-    def __init__(self, rows: list[tuple[int, str | None, str | None]], run: int, most: int):
-        if len(rows) > most:
-            raise ValueError(f"{len(rows)} items; at most {most} are compared at once: pass them in blocks")
+    def __init__(self, rows: list[tuple[int, str | None, str | None]], run: int):
         self.run, self.vocab = run, {}
         self.words, self.answers, self.ids = [], [], []
         for item, prompt, answer in rows:
             p, a = words(prompt), words(answer)
-            at = [self.vocab.setdefault(w, len(self.vocab)) for w in p + a]
             if item is not None:
+                at = [self.vocab.setdefault(w, len(self.vocab)) for w in p + a]
                 self.ids.append(int(item))
                 self.words.append(np.array(at, np.int32))
                 self.answers.append(np.array(at[len(p):], np.int32))
         wins = [(i, k) for i, w in enumerate(self.words) for k in range(len(w) - run + 1)]
         self.owner = np.array([i for i, _ in wins], np.int32)
         self.windows = np.array([self.words[i][k : k + run] for i, k in wins], np.int32).reshape(len(wins), run)
-
+        self.columns = max(1, min(len(self.vocab), COLUMNS))
 
     def blocks(self, most: int) -> Iterator[list[int]]:
         """The items' numbers in blocks of at most ``most`` windows, or of one item."""
@@ -104,21 +108,45 @@ _PAIRS = "doc_id bigint, item_id bigint, copied boolean, common int, answered bo
 BLOCK_BYTES = 64 << 20
 
 
-def weights(ids: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """TF-IDF rows (n, terms) of id windows (n, k); id -1 stands for a word no item uses."""
-    n, k = ids.shape
-    out = np.zeros((n, len(idf) + 1), np.float32)
-    np.add.at(out, (np.repeat(np.arange(n), k), ids.ravel()), 1.0)  # -1 counts in the last column
-    return out[:, :-1] * idf
+def column_sets(ids: np.ndarray, columns: int) -> np.ndarray:
+    """The distinct columns of the words in each row of ``ids``, -1 elsewhere: a sparse row of the matrix (an id of -1 stands for a word no item uses)."""
+    s = np.sort(np.where(ids >= 0, ids % columns, -1), axis=1)
+    again = s[:, 1:] == s[:, :-1]
+    s[:, 1:][again] = -1
+    return s
+
+
+def projected(sets: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The sums of the rows of ``m`` that each row of ``sets`` names. The last row of ``m``, of zeros, is that of column -1."""
+    out = np.zeros((len(sets), m.shape[1]), np.float32)
+    for k in range(sets.shape[1]):
+        own = sets[:, k]
+        if (own >= 0).any():
+            out += m[own]
+    return out
 
 
-def latent(x: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """``x`` in the space of ``basis`` with the length of what lies outside as one more coordinate: products are upper bounds of exact ones."""
-    inside = x @ basis
-    rest = np.maximum((x * x).sum(1) - (inside * inside).sum(1), 0.0)
+def weighted(m: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """``m`` with its rows weighted by ``idf``, and the row of zeros for column -1."""
+    return np.vstack([m * idf[:, None], np.zeros((1, m.shape[1]))]).astype(np.float32)
+
+
+def latent(sets: np.ndarray, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """TF-IDF rows in the space of ``basis`` (already ``weighted``) with the length of what lies outside as one more coordinate: products are upper bounds of exact ones."""
+    inside = projected(sets, basis)
+    squares = np.append(idf * idf, 0).astype(np.float32)[sets].sum(1)
+    rest = np.maximum(squares - (inside * inside).sum(1), 0.0)
     return np.hstack([inside, np.sqrt(rest)[:, None]]).astype(np.float32)
 
 
+def shares(ids: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Each word's share of its column's square, least first; words no item uses have infinite ones. The least n add up to no more than the product with any
+    row that n of the words, repeated ones counted, are in."""
+    at = np.where(ids >= 0, ids % len(idf), -1)
+    times = (at[:, :, None] == at[:, None, :]).sum(2)
+    return np.sort(np.where(at >= 0, np.append(idf, 0)[at] ** 2 / times, np.inf), axis=1)
+
+
 def lcs(a: np.ndarray, b: np.ndarray) -> int:
     """Length of the longest common subsequence, ids below 0 never match; bit-parallel over ``a``."""
     masks: dict[int, int] = {}
@@ -175,58 +203,79 @@ def passages(docs: DataFrame, items: Items, text: str = "text", key: str = "doc_
 
 
 def _summed(df: DataFrame, part_sum, shape: tuple[int, ...], width: int, groups: int = 8) -> np.ndarray:
-    """The sum over all passages of ``part_sum(ids)``: one array per task, added up in ``groups`` tasks, then on the driver (a fixed size)."""
+    """The sum over all passages of ``part_sum(ids)``: one array per task, added up in ``groups`` tasks, then in one, which sends the driver one array.
+
+    Its size is bounded by COLUMNS, whatever the numbers of tasks, passages and items.
+    """
 
     def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         total = np.zeros(shape, np.float64)
         for d in parts:
-            for k in range(0, len(d), 4096):
-                total += part_sum(_rows_to_array(d.iloc[k : k + 4096], width))
+            for k in range(0, len(d), 1024):
+                total += part_sum(_rows_to_array(d.iloc[k : k + 1024], width))
         yield pd.DataFrame({"g": [TaskContext.get().partitionId() % groups], "v": [total.tobytes()]})
 
-    def add(d: pd.DataFrame) -> pd.DataFrame:
+    def add(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(shape, np.float64)
-        for v in d["v"]:
-            total += np.frombuffer(v, np.float64).reshape(shape)
-        return pd.DataFrame({"v": [total.tobytes()]})
+        for d in parts:
+            for v in d["v"]:
+                total += np.frombuffer(v, np.float64).reshape(shape)
+        yield pd.DataFrame({"g": [0], "v": [total.tobytes()]})
 
-    got = df.mapInPandas(each, "g int, v binary").groupBy("g").applyInPandas(add, "v binary").collect()
-    return sum((np.frombuffer(r.v, np.float64).reshape(shape) for r in got), np.zeros(shape))
+    sums = df.mapInPandas(each, "g int, v binary")
+    for tasks in (groups, 1):
+        sums = sums.repartition(tasks, "g").mapInPandas(add, "g int, v binary")
+    total = sums.first()
+    return np.zeros(shape) if total is None else np.frombuffer(total.v, np.float64).reshape(shape)
 
 
 def basis_of(found: DataFrame, idf: np.ndarray, width: int, rank: int, rounds: int, seed: int) -> np.ndarray:
-    """The leading right singular vectors of the passages' TF-IDF matrix by randomised SVD: products with a thin matrix, summed over partitions."""
-    terms = len(idf)
-    thin = min(terms, rank + 8)
-    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((terms, thin)))[0]
+    """The leading right singular vectors of the passages' TF-IDF matrix by randomised SVD: sparse rows times a thin matrix, summed over partitions."""
+    columns = len(idf)
+    thin = min(columns, rank + 8)
+
+    def step(m: np.ndarray):
+        def part(ids: np.ndarray) -> np.ndarray:
+            sets = column_sets(ids, columns)
+            z = projected(sets, m)
+            flat = sets.ravel()
+            at = np.flatnonzero(flat >= 0)
+            at = at[np.argsort(flat[at], kind="stable")]
+            out = np.zeros((columns, thin))
+            if len(at):
+                own, first = np.unique(flat[at], return_index=True)
+                out[own] = np.add.reduceat(z[at // sets.shape[1]], first, axis=0) * idf[own][:, None]
+            return out
+
+        return part
+
+    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((columns, thin)))[0]
     for _ in range(rounds):
-        m = q.astype(np.float32)
-        y = _summed(found, lambda ids, m=m: (lambda x: x.T @ (x @ m))(weights(ids, idf)), (terms, thin), width)
-        q = np.linalg.qr(y + 1e-12 * q)[0]
-    m = q.astype(np.float32)
-    gram = _summed(found, lambda ids: (lambda z: z.T @ z)(weights(ids, idf) @ m), (thin, thin), width)
+        q = np.linalg.qr(_summed(found, step(weighted(q, idf)), (columns, thin), width) + 1e-12 * q)[0]
+    m = weighted(q, idf)
+    gram = _summed(found, lambda ids: (lambda z: z.T @ z)(projected(column_sets(ids, columns), m)), (thin, thin), width)
     _, vectors = np.linalg.eigh(gram)
     return (q @ vectors[:, ::-1][:, : min(rank, thin)]).astype(np.float32)
 
 
 def leaks(
-    docs: DataFrame, eval_rows: list[tuple[int, str | None, str | None]], run: int = 12, rank: int = 256, rounds: int = 2, paraphrase: float | None = None,
-    most_items: int = 20_000, seed: int = 7,
+    docs: DataFrame, eval_rows: list[tuple[int, str | None, str | None]], run: int = 12, rank: int = 256, rounds: int = 2, paraphrase: float | None = None, seed: int = 7
 ) -> DataFrame:
     """(doc_id, item_id, copied, common, answered): the items found in each document, one row per pair.
 
     ``copied``: at least ``run`` consecutive words of the item (prompt, then answer) stand in the document in order. With ``paraphrase``: pairs are also given
     where 2 * run words of the document, wherever they begin, and the item have a common subsequence of at least that part of 2 * run words, or of the item's
     words if it has fewer (``common``: its greatest length, at least ``run`` for copies); ``answered``: the item has an answer and the document holds all of its words,
-    in any place. Items with fewer than ``run`` words, null texts and ids match nothing. Empty inputs give no rows.
+    in any place. Items with fewer than ``run`` words, null texts and ids match nothing. Empty inputs give no rows. ``eval_rows`` is one block of items, which each
+    task holds; ``leaks_of`` makes blocks of any number of items.
     """
-    items = Items(eval_rows, run, most_items)
+    items = Items(eval_rows, run)
     spark = docs.sparkSession
     if not len(items.windows):
         return spark.createDataFrame([], _PAIRS)
-    terms = len(items.vocab)
+    columns = items.columns
     # Paraphrases stretch over 2 * run words, which only windows of one more step hold wherever they begin.
     steps = 3 if paraphrase else 2
     width = steps * run
@@ -234,11 +283,10 @@ def leaks(
     found = materialise(passages(docs, items, steps=steps, least=least), "passages")
 
     def df_part(ids: np.ndarray) -> np.ndarray:
-        seen = np.zeros((len(ids), terms + 1), bool)
-        seen[np.repeat(np.arange(len(ids)), ids.shape[1]), ids.ravel()] = True
-        return np.append(seen[:, :-1].sum(0), len(ids)).astype(np.float64)
+        sets = column_sets(ids, columns)
+        return np.append(np.bincount(sets[sets >= 0], minlength=columns), len(ids)).astype(np.float64)
 
-    counts = _summed(found, df_part, (terms + 1,), width)
+    counts = _summed(found, df_part, (columns + 1,), width)
     idf = (np.log((1 + counts[-1]) / (1 + counts[:-1])) + 1).astype(np.float32)
     basis = basis_of(found, idf, width, rank, rounds, seed)
     per_block = max(1, BLOCK_BYTES // (4 * (rank + 1 + run)))
@@ -280,27 +328,35 @@ def _answers(docs: DataFrame, pairs: DataFrame, items: Items, text: str = "text"
 
 
 def _searcher(spark: SparkSession, items: Items, block: list[int], idf: np.ndarray, basis: np.ndarray, width: int, paraphrase: float | None):
-    """The search for the items numbered ``block``, as a function over passages of ``width`` words. What it broadcasts has a bound: the block's windows in the latent space."""
-    run, reach = items.run, 2 * items.run
+    """The search for the items numbered ``block``, as a function over passages of ``width`` words. What it broadcasts has a bound: the block's windows in the latent space.
+
+    A window is looked at only in passages that hold its rarest word, by an index from word to windows, and there by the cosine search.
+    """
+    run, reach, columns = items.run, 2 * items.run, items.columns
     mine = np.isin(items.owner, block)
     windows, owner = items.windows[mine], items.owner[mine]
-    own = weights(windows, idf)
-    norm2 = (own * own).sum(1).astype(np.float32)
-    query = np.ascontiguousarray(latent(own, basis).T)
+    rarest = windows[np.arange(len(windows)), idf[windows % columns].argmax(1)]
+    order = np.argsort(rarest, kind="stable")
+    windows, owner, rarest = windows[order], owner[order], rarest[order]
+    first = np.searchsorted(rarest, np.arange(len(items.vocab) + 1)).astype(np.int64)  # where each word's windows begin
+    space = weighted(basis, idf)
+    sets = column_sets(windows, columns)
+    query = latent(sets, idf, space)
+    norm2 = np.append(idf * idf, 0).astype(np.float32)[sets].sum(1)
     # For paraphrases: which of the block's words each item has, and how many of them have to be found.
     short, has, col, need, whole = sorted(block), None, None, None, None
     if paraphrase:
         mine_words = np.unique(np.concatenate([items.words[i] for i in short]))
-        col = np.zeros(len(idf) + 1, np.int32)  # 0: no word of the block; also what id -1 gets
+        col = np.zeros(len(items.vocab) + 1, np.int32)  # 0: no word of the block; also what id -1 gets
         col[mine_words] = np.arange(1, len(mine_words) + 1)
         has = np.zeros((len(short), len(mine_words) + 1), bool)
         for j, i in enumerate(short):
             has[j, col[items.words[i]]] = True
         need = np.array([needed(min(len(items.words[i]), reach), paraphrase) for i in short], np.int32)
-        whole = np.vstack([latent(np.where(np.isin(np.arange(len(idf)), items.words[i]), idf, 0).astype(np.float32)[None, :], basis) for i in short]).T.copy()
+        whole = np.vstack([latent(column_sets(items.words[i][None, :], columns), idf, space) for i in short]).T.copy()
     known = {i: items.ids[i] for i in block}
     texts = [items.words[i] for i in short]
-    shared = spark.sparkContext.broadcast((windows, owner, known, query, norm2, basis, idf, short, texts, has, col, need, whole))
+    shared = spark.sparkContext.broadcast((windows, owner, known, first, query, norm2, space, idf, short, texts, has, col, need, whole))
 
     def common(ids: np.ndarray, text: np.ndarray, least: int) -> int:
         """The longest common subsequence of ``text`` and ``reach`` words of ``ids``; 0 if below ``least``."""
@@ -309,8 +365,25 @@ def _searcher(spark: SparkSession, items: Items, block: list[int], idf: np.ndarr
         best = max(lcs(ids[k : k + reach], text) for k in range(width - reach + 1))
         return best if best >= least else 0
 
+    def indexed(ids: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(passages, windows) by rarest words, some 16 thousand pairs at a time."""
+        own = np.sort(ids, axis=1)
+        own[:, 1:][own[:, 1:] == own[:, :-1]] = -1
+        row, _ = at = np.nonzero(own >= 0)
+        word = own[at]
+        n = first[word + 1] - first[word]
+        row, word, n = row[n > 0], word[n > 0], n[n > 0]
+        upto = np.cumsum(n)
+        start = 0
+        while start < len(n):
+            end = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + (1 << 14), side="right")))
+            k = n[start:end]
+            before = np.repeat(np.cumsum(k) - k, k)
+            yield np.repeat(row[start:end], k), np.repeat(first[word[start:end]], k) + np.arange(k.sum()) - before
+            start = end
+
     def search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        windows, owner, known, query, norm2, basis, idf, short, texts, has, col, need, whole = shared.value
+        windows, owner, known, first, query, norm2, space, idf, short, texts, has, col, need, whole = shared.value
         factors = np.random.default_rng(1).integers(1, 1 << 62, run, np.int64)
         code = (windows * factors).sum(1)
         for d in parts:
@@ -318,20 +391,22 @@ def _searcher(spark: SparkSession, items: Items, block: list[int], idf: np.ndarr
             for k in range(0, len(d), 512):
                 b = d.iloc[k : k + 512]
                 ids, docs_ = _rows_to_array(b, width), b["doc_id"].to_numpy()
-                x = latent(weights(ids, idf), basis)
-                # A passage that holds all words of a window has a product of at least the window's own square.
-                hit_p, hit_w = np.nonzero(x @ query >= norm2 * np.float32(0.999))
+                x = latent(column_sets(ids, len(idf)), idf, space)
                 runs = np.lib.stride_tricks.sliding_window_view(ids, run, axis=1)
-                equal = ((runs * factors).sum(2)[hit_p] == code[hit_w][:, None]).any(1)
-                for p, w in zip(hit_p[equal].tolist(), hit_w[equal].tolist(), strict=True):
-                    key = (int(docs_[p]), known[owner[w]])
-                    if (key not in out or not out[key][0]) and (runs[p] == windows[w]).all(1).any():
-                        out[key] = [True, max(run, out.get(key, [False, 0])[1])]
+                codes = (runs * factors).sum(2)
+                for ps, ws in indexed(ids, first):
+                    # A passage that holds all words of a window has a product of at least the window's own square.
+                    near = np.einsum("ij,ij->i", x[ps], query[ws]) >= norm2[ws] * np.float32(0.999)
+                    ps, ws = ps[near], ws[near]
+                    equal = (codes[ps] == code[ws][:, None]).any(1)
+                    for p, w in zip(ps[equal].tolist(), ws[equal].tolist(), strict=True):
+                        key = (int(docs_[p]), known[owner[w]])
+                        if (key not in out or not out[key][0]) and (runs[p] == windows[w]).all(1).any():
+                            out[key] = [True, max(run, out.get(key, [False, 0])[1])]
                 if whole is None:
                     continue
-                # A passage that shares so many words with an item has a product, the item's words counted once, of at least its least so many squares.
-                squares = np.sort(np.where(ids >= 0, np.append(idf, 0)[ids] ** 2, np.inf), axis=1)
-                floor = squares[:, : int(need.min())].sum(1, dtype=np.float32) * np.float32(0.999)
+                # A passage that shares so many words with an item has a product with it of at least the least so many shares.
+                floor = shares(ids, idf)[:, : int(need.min())].sum(1, dtype=np.float32) * np.float32(0.999)
                 near_p, near_i = np.nonzero(x @ whole >= floor[:, None])
                 for c in range(0, len(near_p), 1 << 16):
                     ps, js = near_p[c : c + (1 << 16)], near_i[c : c + (1 << 16)]
@@ -351,7 +426,22 @@ def _searcher(spark: SparkSession, items: Items, block: list[int], idf: np.ndarr
     return search
 
 
-def eval_rows(items: DataFrame, most: int = 20_000) -> list[tuple[int, str | None, str | None]]:
-    """The items for the driver, which refuses more than ``most``."""
-    rows = items.select("item_id", "prompt", "answer").limit(most + 1).collect()
-    return [(r[0], r[1], r[2]) for r in rows]
+def leaks_of(docs: DataFrame, items: DataFrame, block: int = 20_000, **more) -> DataFrame:
+    """``leaks`` for a table of items (item_id, prompt, answer) of any size, ``block`` of them at a time: the driver and the tasks hold one block.
+
+    Each block reads the corpus once. An item_id that is there several times counts as all of its texts.
+    """
+    rows, parts = [], []
+    for r in items.select("item_id", "prompt", "answer").toLocalIterator():
+        rows.append((r[0], r[1], r[2]))
+        if len(rows) == block:
+            parts.append(leaks(docs, rows, **more))
+            rows = []
+    if rows or not parts:
+        parts.append(leaks(docs, rows, **more))
+    if len(parts) == 1:
+        return parts[0]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every.groupBy("doc_id", "item_id").agg(F.max("copied").alias("copied"), F.max("common").alias("common"), F.max("answered").alias("answered"))

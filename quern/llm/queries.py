@@ -17,15 +17,14 @@ def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
     return packing.containers(_docs(spark, sf), packing.container_kinds(spark, f"{sf}/containers.parquet"))
 
 
-def p8_found(spark: SparkSession, sf: str) -> DataFrame:
-    items = leakage.eval_rows(spark.read.parquet(f"{sf}/eval_items.parquet"))
-    return leakage.leaks(_docs(spark, sf), items).where("copied").select("doc_id", "item_id")
-
-
 def p8_leaks(spark: SparkSession, sf: str) -> DataFrame:
     """Copies and paraphrases, with the words in common and whether the answer leaked too."""
-    items = leakage.eval_rows(spark.read.parquet(f"{sf}/eval_items.parquet"))
-    return leakage.leaks(_docs(spark, sf), items, paraphrase=0.85)
+    return leakage.leaks_of(_docs(spark, sf), spark.read.parquet(f"{sf}/eval_items.parquet"), paraphrase=0.85)
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The pairs of ``p8_leaks`` that are copies: twelve words in a row."""
+    return p8_leaks(spark, sf).where("copied").select("doc_id", "item_id")
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -121,9 +121,10 @@ def test_disguises_are_read(spark):
         assert any(x[k : k + len(want)] == want for k in range(len(x))), t
 
 
-@pytest.mark.parametrize("block", [leakage.BLOCK_BYTES, 20_000])
-def test_leaks_equal_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "columns"), [(leakage.BLOCK_BYTES, leakage.COLUMNS), (20_000, 8)])
+def test_leaks_equal_brute_force(spark, monkeypatch, block, columns):
     monkeypatch.setattr(leakage, "BLOCK_BYTES", block)
+    monkeypatch.setattr(leakage, "COLUMNS", columns)  # words that share columns lose nothing
     rnd = random.Random(1)
     vocab = [f"w{i}" for i in range(60)]
     items = [(1, ITEM, None), *((i, " ".join(rnd.choices(vocab, k=30)), " ".join(rnd.choices(vocab, k=5))) for i in range(2, 30)), (90, "too short", None), (91, None, None), (None, ITEM, None), (92, ITEM, "same item twice")]
@@ -142,15 +143,37 @@ def test_leaks_equal_brute_force(spark, monkeypatch, block):
     assert {(r.doc_id, r.item_id) for r in got.where("copied").collect()} == brute(docs, [i for i in items if i[0] is not None])
     assert got.count() == got.distinct().count()
     assert leakage.leaks(df.limit(0), items).count() == 0 and leakage.leaks(df, []).count() == 0
-    with pytest.raises(ValueError):
-        leakage.leaks(df, items, most_items=3)
+    table = spark.createDataFrame(items, "item_id bigint, prompt string, answer string")
+    in_blocks = leakage.leaks_of(df, table, block=11)
+    assert {(r.doc_id, r.item_id) for r in in_blocks.where("copied").collect()} == brute(docs, [i for i in items if i[0] is not None])
+    assert leakage.leaks_of(df, table.limit(0)).count() == 0
 
 
 def test_latent_products_are_upper_bounds():
     rnd = np.random.default_rng(0)
-    x, y = rnd.random((50, 40), dtype=np.float32), rnd.random((30, 40), dtype=np.float32)
-    basis = np.linalg.qr(rnd.standard_normal((40, 6)))[0].astype(np.float32)
-    assert (leakage.latent(x, basis) @ leakage.latent(y, basis).T >= x @ y.T - 1e-3).all()
+    columns = 40
+    a, b = rnd.integers(-1, 60, (50, 9)).astype(np.int32), rnd.integers(-1, 60, (30, 12)).astype(np.int32)
+    idf = rnd.random(columns).astype(np.float32) + 1
+    space = leakage.weighted(np.linalg.qr(rnd.standard_normal((columns, 6)))[0], idf)
+    sa, sb = (leakage.column_sets(x, columns) for x in (a, b))
+    exact = np.array([[sum(idf[c] ** 2 for c in set(p) & set(q) if c >= 0) for q in sb.tolist()] for p in sa.tolist()])
+    assert (leakage.latent(sa, idf, space) @ leakage.latent(sb, idf, space).T >= exact - 1e-3).all()
+    for p, q in zip(a, b, strict=False):  # any n words, repeated ones counted, have at least the least n shares
+        held = [c % columns for c in p.tolist() if c >= 0 and c % columns in {x % columns for x in q.tolist() if x >= 0}]
+        assert leakage.shares(p[None, :], idf)[0, : len(held)].sum() <= sum(idf[c] ** 2 for c in set(held)) + 1e-3
+
+
+def test_paraphrases_of_all_lengths_are_found(spark):
+    """Every ninth word of an item replaced, so that no run of twelve is left; the rest of the document is other text."""
+    rnd = random.Random(4)
+    vocab = [f"w{i}" for i in range(3000)]
+    items = [(k, " ".join(rnd.choices(vocab, k=n)), None) for k, n in enumerate(n for n in (12, 15, 18, 20, 24, 27, 30, 40, 60) for _ in range(12))]
+    docs = []
+    for k, text, _ in items:
+        w = [x if i % 9 != 8 else f"other{rnd.randrange(999)}" for i, x in enumerate(text.split())]
+        docs.append((k, " ".join([*rnd.choices(vocab, k=rnd.randrange(200)), *w, *rnd.choices(vocab, k=rnd.randrange(200))])))
+    got = {(r.doc_id, r.item_id) for r in leakage.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), items, paraphrase=0.85).collect()}
+    assert got == {(k, k) for k, _, _ in items}
 
 
 @settings(max_examples=200, deadline=None)
