@@ -126,7 +126,12 @@ def _flattened(texts):
 
 def path_map(text: Column | str) -> Column:
     """The path-value map of JSON text, from path to (kind, value); null where it is no JSON object. Equal texts of a batch are read once."""
-    return F.arrow_udf(_flattened, _VALUES)(text)
+    return _once(_flattened, _VALUES)(text)
+
+
+def _once(function: Any, kind: str) -> Any:
+    """An Arrow function that the optimiser neither repeats nor moves, say below an aggregate that leaves fewer rows."""
+    return F.arrow_udf(function, kind).asNondeterministic()
 
 
 def path_values(rows: DataFrame) -> DataFrame:
@@ -150,17 +155,21 @@ _FIELD = r"fields\[\d+\](?:\.type(?:\.(?:element|key|value))*\.fields\[\d+\])*"
 _TYPE = rf"{_FIELD}\.type(?:\.(?:element|key|value))*"
 
 
-def schema_documents(manifests: DataFrame) -> DataFrame:
-    """(manifest_path, table_id, schema_id, schema, fields, failed): each header's schema projected from its path-value map.
+def schema_texts(manifests: DataFrame) -> DataFrame:
+    """(table_id, header_id, schema, files): the distinct schema texts with the number of headers that have them. Headers without table_id are left out."""
+    m = manifests.where("table_id is not null").select(F.col("table_id").cast("bigint").alias("table_id"), number("schema_id").alias("header_id"), "schema")
+    return m.groupBy("table_id", "header_id", "schema").agg(F.count("*").alias("files"))
+
+
+def schema_documents(texts: DataFrame) -> DataFrame:
+    """``texts`` (with header_id and schema) with ``schema_id``, ``fields`` and ``failed``: each schema projected from its path-value map.
 
     ``fields``: array of (field_id, name, type). Lists have a field ``element``, maps ``key`` and ``value``; the type of a struct, list or map is only
     its kind; blanks inside a type are dropped. ``failed``: the paths at which a schema needs what isn't there or can't be cast (``$``: it is no
-    JSON object with fields). The id is the header's, else that in the JSON. Headers without table_id are left out.
+    JSON object with fields). The id is the header's, else that in the JSON.
     """
-    m = manifests.where("table_id is not null").select(
-        location("manifest_path").alias("manifest_path"), F.col("table_id").cast("bigint").alias("table_id"), number("schema_id").alias("header_id"), "schema", path_map("schema").alias("values")
-    )
-    at = lambda p: F.try_element_at("values", p)
+    m = texts.withColumn("_values", path_map("schema"))
+    at = lambda p: F.try_element_at("_values", p)
     has = lambda p, *kinds: F.coalesce(at(p)["kind"].isin(*kinds), F.lit(False))
     whole = lambda p: at(p)["value"].try_cast("int").isNotNull()
     more = lambda p, s: F.concat(p, F.lit(s))
@@ -179,18 +188,21 @@ def schema_documents(manifests: DataFrame) -> DataFrame:
         part = lambda n: whole(more(p, f".{n}-id")) & has(more(p, f".{n}"), "string", "object")
         own = at(more(p, ".type"))["value"]
         good = F.when(own == "struct", has(more(p, ".fields"), "array")).when(own == "list", part("element")).when(own == "map", part("key") & part("value"))
-        return F.when(p.rlike(rf"^{_FIELD}$"), field).when(p.rlike(rf"^{_TYPE}$"), has(p, "object") & ~F.coalesce(good, F.lit(False))).otherwise(False)
-
-    paths = F.map_keys("values")
-    ids = F.filter(paths, lambda p: p.rlike(rf"^(?:{_FIELD}\.id|{_TYPE}\.(?:element|key|value)-id)$"))
-    failed = F.when(F.coalesce(at(F.lit("fields"))["kind"] == "array", F.lit(False)), F.filter(paths, bad)).otherwise(F.array(F.lit("$")))
+        return F.when(p.endswith("]"), p.rlike(rf"^{_FIELD}$") & field).otherwise(has(p, "object") & p.rlike(rf"^{_TYPE}$") & ~F.coalesce(good, F.lit(False)))
+
+    # What ends otherwise is neither a field nor a type nor an id; the patterns are matched only against the rest.
+    paths = F.map_keys("_values")
+    ends = lambda p, *s: F.substring_index(p, ".", -1).isin(*s)
+    ids = F.filter(paths, lambda p: ends(p, "id", "element-id", "key-id", "value-id") & p.rlike(rf"^(?:{_FIELD}\.id|{_TYPE}\.(?:element|key|value)-id)$"))
+    failed = F.filter(paths, lambda p: (p.endswith("]") | ends(p, "type", "element", "key", "value")) & bad(p))
+    m = m.withColumn("failed", F.when(F.coalesce(at(F.lit("fields"))["kind"] == "array", F.lit(False)), failed).otherwise(F.array(F.lit("$"))))
     sid = F.coalesce("header_id", F.trim(at(F.lit("schema-id"))["value"]).try_cast("bigint"))
-    return m.select("manifest_path", "table_id", sid.alias("schema_id"), "schema", F.transform(ids, node).alias("fields"), failed.alias("failed"))
+    return m.select(*texts.columns, sid.alias("schema_id"), F.transform(ids, node).alias("fields"), "failed")
 
 
 def unreadable_schemas(manifests: DataFrame) -> DataFrame:
-    """(manifest_path, table_id, failed): the headers whose schema couldn't be read, and where."""
-    return schema_documents(manifests).where("size(failed) > 0").select("manifest_path", "table_id", "failed")
+    """(table_id, header_id, schema, files, failed): the schema texts that couldn't be read, in how many headers they are, and what failed."""
+    return schema_documents(schema_texts(manifests)).where("size(failed) > 0").drop("schema_id", "fields")
 
 
 def field_statistics(manifests: DataFrame) -> DataFrame:
@@ -198,9 +210,9 @@ def field_statistics(manifests: DataFrame) -> DataFrame:
 
     Only readable schemas with an id count. A version without fields has a row without field_id.
     """
-    d = schema_documents(manifests).where("size(failed) = 0 and schema_id is not null")
-    f = d.select("table_id", "schema_id", F.explode_outer("fields").alias("f")).select("table_id", "schema_id", "f.*")
-    return f.groupBy("table_id", "schema_id", "field_id", "name", "type").agg(F.count("*").alias("files"))
+    d = schema_documents(schema_texts(manifests)).where("size(failed) = 0 and schema_id is not null")
+    f = d.select("table_id", "schema_id", "files", F.explode_outer("fields").alias("f")).select("table_id", "schema_id", "files", "f.*")
+    return f.groupBy("table_id", "schema_id", "field_id", "name", "type").agg(F.sum("files").alias("files"))
 
 
 def versions(manifests: DataFrame) -> DataFrame:
@@ -369,11 +381,16 @@ def _casts(value: Column, kind: Column) -> Column:
 
 def _latest_texts(manifests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(manifest_path, table_id, schema_id) of every manifest, and (table_id, schema_id, route) of every readable version."""
-    d = materialise(schema_documents(manifests).select("manifest_path", "table_id", "schema_id", "schema", (F.size("failed") == 0).alias("good")), "schemas")
-    m = d.groupBy("manifest_path").agg(F.max("table_id").alias("table_id"), F.max("schema_id").alias("schema_id"))
+    read = schema_documents(schema_texts(manifests)).select("table_id", "header_id", "schema", F.md5("schema").alias("_text"), "schema_id", (F.size("failed") == 0).alias("good"))
+    d = materialise(read, "schemas")
+    own = manifests.select(
+        location("manifest_path").alias("manifest_path"), F.col("table_id").cast("bigint").alias("table_id"), number("schema_id").alias("header_id"), F.md5("schema").alias("_text")
+    ).where("table_id is not null")
+    same = [F.col(f"m.{c}").eqNullSafe(F.col(f"d.{c}")) for c in ("table_id", "header_id", "_text")]
+    m = own.alias("m").join(d.alias("d"), same, "left").groupBy("m.manifest_path").agg(F.max("m.table_id").alias("table_id"), F.max("d.schema_id").alias("schema_id"))
     texts = d.where("good and schema_id is not null").groupBy("table_id", "schema_id").agg(F.min("schema").alias("own"))
     last = texts.groupBy("table_id").agg(F.max_by("own", "schema_id").alias("latest"))
-    return m, texts.join(last, "table_id").select("table_id", "schema_id", F.arrow_udf(_routed, "string")("own", "latest").alias("route"))
+    return m, texts.join(last, "table_id").select("table_id", "schema_id", _once(_routed, "string")("own", "latest").alias("route"))
 
 
 def consistent_rows(rows: DataFrame, manifests: DataFrame) -> DataFrame:
@@ -389,7 +406,7 @@ def consistent_rows(rows: DataFrame, manifests: DataFrame) -> DataFrame:
     written = m.join(routes, ["table_id", "schema_id"], "left")
     at = rows.select(location("manifest_path").alias("manifest_path"), "row_pos", "payload", F.xxhash64("payload").alias("_h"))
     once = at.dropDuplicates(["manifest_path", "row_pos", "_h"]).drop("_h")
-    r = once.join(written, "manifest_path", "left").withColumn("_laid", F.arrow_udf(_laid_out, _LAID)("payload", "route"))
+    r = once.join(written, "manifest_path", "left").withColumn("_laid", _once(_laid_out, _LAID)("payload", "route"))
     cast = lambda x: F.struct(x["path"].alias("path"), F.when(x["type"].isNull(), x["raw"]).otherwise(_casts(x["raw"], x["type"])).alias("value"), x["type"].alias("type"), x["kind"].alias("kind"), x["raw"].alias("raw"), x["is_key"].alias("is_key"))
     r = r.withColumn("_cells", F.transform("_laid.leaves", cast))
     values = F.map_from_entries(F.array_distinct(F.transform(F.filter("_cells", lambda c: ~c["is_key"]), lambda c: F.struct(c["path"], c["value"]))))
@@ -427,7 +444,7 @@ def typed_table(consistent: DataFrame, manifests: DataFrame, table_id: int) -> D
 
     The driver reads that one schema. A leaf that couldn't be cast is null in its column and named in _failed.
     """
-    own = schema_documents(manifests.where(F.col("table_id") == table_id)).where("size(failed) = 0 and schema_id is not null")
+    own = schema_documents(schema_texts(manifests.where(F.col("table_id") == table_id))).where("size(failed) = 0 and schema_id is not null")
     last = own.orderBy(F.desc("schema_id"), "schema").limit(1).select("schema").collect()
     fields = _tree(read_json(last[0].schema) | {"type": "struct"})[1].values() if last else []
     cols = []

@@ -248,12 +248,32 @@ def test_forest_empty(spark):
     assert hierarchy.forest(spark.createDataFrame([], "n bigint, p bigint"), "n", "p").count() == 0
 
 
-def test_compress_long_chain_and_loop():
+def test_unite_long_chain_and_loop():
     n = 5000
-    node = np.arange(n)
-    to = np.append(np.arange(1, n), 2500)
-    top, dist, low, kind = hierarchy.compress(node, to, np.ones(n, np.int64), node.copy(), np.zeros(n, np.int32))
+    node = np.random.default_rng(1).permutation(n)
+    to = np.where(node == n - 1, 2500, node + 1)
+    top, dist, low, kind = hierarchy.unite(node, to, np.ones(n, np.int64), node.copy(), np.zeros(n, np.int32))
     assert set(top) == {2500} and set(kind) == {hierarchy.LOOP} and set(dist) == {-1}
+    to = np.where(node == n - 1, 10**9, node + 1)
+    top, dist, low, kind = hierarchy.unite(node, to, np.ones(n, np.int64), node.copy(), np.zeros(n, np.int32))
+    assert set(top) == {10**9} and (dist == n - node).all() and (low == node).all() and set(kind) == {hierarchy.OPEN}
+
+
+@pytest.mark.parametrize("step", [1, 7919])
+def test_forest_without_locality(spark, step):
+    n = 3000  # a long chain and a long loop whose neighbours lie far apart
+    links = [((i * step) % 3001, ((i - 1) * step) % 3001 if i > 1 else None) for i in range(1, 3001)]
+    links += [(10_000 + (i * step) % 997, 10_000 + ((i + 1) * step) % 997) for i in range(997)] + [(20_000, 10_005)]
+    got = {tuple(r) for r in hierarchy.forest(spark.createDataFrame(links, "n bigint, p bigint"), "n", "p", most=200).collect()}
+    assert len(got) == n + 998 and got == brute_forest(links)
+
+
+def test_loops_are_cut_above_their_smallest_id(spark):
+    links = [(1, 3), (2, 1), (3, 2), (4, 3), (5, 4), (6, None), (7, 6), (8, 8)]
+    trees = hierarchy.cut_loops(hierarchy.forest(spark.createDataFrame(links, "n bigint, p bigint"), "n", "p"))
+    paths = {r.node: r.path for r in hierarchy.full_paths(trees, trees.select("node")).collect()}
+    assert paths == {1: [1], 2: [1, 2], 3: [1, 2, 3], 4: [1, 2, 3, 4], 5: [1, 2, 3, 4, 5], 6: [6], 7: [6, 7], 8: [8]}
+    assert {r.node for r in trees.where("looped").collect()} == {1, 2, 3, 4, 5, 8}
 
 
 @pytest.mark.parametrize("length", [4, 256])
@@ -391,11 +411,11 @@ def test_changes_of_fields(spark):
 
 
 def test_unreadable_schemas_are_reported(spark):
-    bad = {r.manifest_path: r.failed for r in drift.unreadable_schemas(manifests(spark)).collect()}
-    assert bad == {"s3://b/bad": ["$"], "s3://b/none": ["$"], "s3://b/arr": ["$"], "s3://b/odd": ["fields[0]"]}
+    bad = {(r.table_id, r.header_id): (r.failed, r.files) for r in drift.unreadable_schemas(manifests(spark)).collect()}
+    assert bad == {(1, 2): (["$"], 1), (1, 3): (["$"], 1), (3, 0): (["$"], 1), (3, 1): (["fields[0]"], 1)}
     inner = [('{"fields":[{"id":1,"name":"a","type":{"type":"list","element":"int"}}]}', ["fields[0].type"]), ('{"fields":[{"id":"x","name":"a","type":"int"}]}', ["fields[0]"]), ('{"fields":[]}', []), ('{"fields":[{"id":1,"name":"a","type":"int","doc":{"id":[1]}}]}', [])]
-    df = spark.createDataFrame([(f"s3://b/{i}", 1, s, "1") for i, (s, _) in enumerate(inner)], "manifest_path string, table_id bigint, schema string, schema_id string")
-    assert [r.failed for r in drift.schema_documents(df).orderBy("manifest_path").collect()] == [f for _, f in inner]
+    df = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(inner)], "header_id bigint, schema string")
+    assert [r.failed for r in drift.schema_documents(df).orderBy("header_id").collect()] == [f for _, f in inner]
 
 
 def test_path_values_keep_json_types(spark):
