@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import re
+import struct
 from collections.abc import Callable
+from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,9 +36,38 @@ def murmur3(data: bytes) -> int:
     return h - (1 << 32) if h >> 31 else h
 
 
+def murmur3_many(values: list[bytes]) -> np.ndarray:
+    """``murmur3`` of many values at once: those of one length are hashed together, word by word."""
+    out = np.zeros(len(values), np.int32)
+    sizes = np.fromiter(map(len, values), np.int64, len(values))
+    rotate = lambda x, by: (x << np.uint32(by)) | (x >> np.uint32(32 - by))
+    for size in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == size)
+        padded = -(-size // 4) * 4
+        raw = np.zeros((len(at), padded), np.uint8)
+        if size:
+            raw[:, :size] = np.frombuffer(b"".join(values[i] for i in at.tolist()), np.uint8).reshape(len(at), size)
+        k = raw.view("<u4").astype(np.uint32)
+        k = rotate(k * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+        h = np.zeros(len(at), np.uint32)
+        for w in range(size // 4):
+            h = rotate(h ^ k[:, w], 13) * np.uint32(5) + np.uint32(0xE6546B64)
+        if size % 4:
+            h ^= k[:, -1]
+        h ^= np.uint32(size & 0xFFFFFFFF)
+        for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+            h = (h ^ (h >> np.uint32(shift))) * np.uint32(factor)
+        out[at] = (h ^ (h >> np.uint32(16))).view(np.int32)
+    return out
+
+
 @F.pandas_udf(T.IntegerType())
 def _hash_text(values: pd.Series) -> pd.Series:
-    return values.map(lambda x: None if x is None else murmur3(x.encode() if isinstance(x, str) else bytes(x))).astype("Int32")
+    known = values.notna()
+    out = pd.Series(pd.NA, index=values.index, dtype="Int32")
+    if known.any():
+        out[known] = murmur3_many([x.encode() if isinstance(x, str) else bytes(x) for x in values[known]])
+    return out
 
 
 _M32 = 0xFFFFFFFF
@@ -115,3 +148,70 @@ def transform(name: str, c: Column, kind: str | None = None) -> Column:
     if m[1] == "bucket":
         return bucket(n, c, "text" if text else "long")
     return truncate_text(n, c) if text else truncate_int(n, c)
+
+
+# The same for single values, for pruning by partitions
+
+EPOCH = dt.datetime(1970, 1, 1)
+
+
+def physical(kind: str) -> str | None:
+    """How values of a logical type are kept in partitions: int, long, float, double, boolean or string; None for those without bounds."""
+    if kind in ("date", "int"):
+        return "int"
+    if kind in ("long", "time") or kind.startswith("timestamp"):
+        return "long"
+    return kind if kind in ("float", "double", "boolean", "string") else "string" if kind == "uuid" else None
+
+
+def result_kind(name: str, kind: str) -> str | None:
+    """``physical`` of what the transform called ``name`` makes of a ``kind``."""
+    return physical(kind) if name == "identity" or name.startswith("truncate") else None if name == "void" else "int"
+
+
+def physical_value(kind: str, v: Any) -> Any:
+    """A literal as it is kept in partitions: dates as days, times as microseconds."""
+    if kind == "date":
+        v = dt.date.fromisoformat(v) if isinstance(v, str) else v
+        return (v.date() if isinstance(v, dt.datetime) else v).toordinal() - EPOCH.date().toordinal() if isinstance(v, dt.date) else v
+    if kind in ("timestamp", "timestamptz"):
+        v = dt.datetime.fromisoformat(v) if isinstance(v, str) else v
+        if isinstance(v, dt.datetime):
+            v = (v.astimezone(dt.UTC) if v.tzinfo else v).replace(tzinfo=None)
+            return (v - EPOCH) // dt.timedelta(microseconds=1)
+    return str(v) if kind == "uuid" else v
+
+
+def physical_column(kind: str, c: Column) -> Column:
+    """``physical_value`` of a column."""
+    if kind == "date":
+        return F.datediff(c, F.lit("1970-01-01").cast("date"))
+    if kind == "timestamptz":
+        return F.unix_micros(c)
+    if kind == "timestamp":
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), c)
+    return c
+
+
+def apply_value(name: str, kind: str, v: Any) -> Any:
+    """The transform called ``name`` of one value of a ``kind``, as it is kept in partitions. TypeError where it can't be told."""
+    if v is None:
+        return None
+    v = physical_value(kind, v)
+    if name == "identity":
+        return v
+    if name in ("year", "month", "day", "hour"):
+        if not isinstance(v, int):
+            raise TypeError(name)
+        at = EPOCH + (dt.timedelta(days=v) if kind == "date" else dt.timedelta(microseconds=v))
+        return {"year": at.year - 1970, "month": (at.year - 1970) * 12 + at.month - 1, "day": (at - EPOCH).days, "hour": (at - EPOCH) // dt.timedelta(hours=1)}[name]
+    m = re.fullmatch(r"(bucket|truncate)\[(\d+)\]", name)
+    if not m:
+        raise TypeError(name)
+    n = int(m[2])
+    if m[1] == "truncate":
+        return v[:n] if isinstance(v, str) else v - v % n
+    if isinstance(v, bool) or not isinstance(v, (int, str, bytes)):
+        raise TypeError(name)
+    data = struct.pack("<q", v) if isinstance(v, int) else v.encode() if isinstance(v, str) else v
+    return (murmur3(data) & 0x7FFFFFFF) % n

@@ -10,40 +10,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions.blocks import block_at, blocks_of
 from quern.operators.snapshot_tables import headers, with_numbers
 from quern.session import fresh_dir, materialise
 from quern.sources.storage import Storage
 
-#: Blocks of one level are 2 ** _BITS blocks of the level below; with so many levels every bigint has its block.
-_BITS, _LEVELS = 4, 16
-_NONE = "cast(array() as array<struct<level:int,block:bigint>>)"
-
-
 def _ranges(runs: DataFrame) -> DataFrame:
     """(table_id, level, block, read_at): every run's range of offsets cut into aligned blocks, the block's latest time kept.
 
-    A range of any length has at most 2 * (2 ** _BITS - 1) blocks per level, so a run costs a bounded number of rows, and a hot table's runs
-    are combined map-side. ``lo`` is exclusive (null: none), ``hi`` inclusive.
+    A run costs a bounded number of rows, and a hot table's runs are combined map-side. ``lo`` is exclusive (null: none), ``hi`` inclusive.
     """
-
-    def blocks(k: Column, first: Column, n: Column) -> Column:
-        return F.when(n > 0, F.transform(F.sequence(first, first + n - 1), lambda b: F.struct(k.alias("level"), b.alias("block")))).otherwise(F.expr(_NONE))
-
-    def step(acc: Column, k: Column) -> Column:
-        a, b = acc["a"], acc["b"]
-        low = F.lit((1 << _BITS) - 1).cast("bigint")
-        left = F.least((-a).bitwiseAND(low), b - a)
-        right = F.when(a + left < b, b.bitwiseAND(low)).otherwise(F.lit(0).cast("bigint"))
-        done = a + left >= b - right
-        up = lambda x: F.when(done, F.lit(0)).otherwise(F.shiftright(x, _BITS)).cast("bigint")
-        return F.struct(up(a + left).alias("a"), up(b - right).alias("b"), F.concat(acc["blocks"], blocks(k, a, left), blocks(k, b - right, right)).alias("blocks"))
-
     r = runs.where("hi >= 0").withColumn("lo", F.greatest(F.coalesce("lo", F.lit(-1)), F.lit(-1))).where("lo < hi")
-    start = F.struct((F.col("lo") + 1).cast("bigint").alias("a"), (F.least(F.col("hi"), F.lit(1 << 62)) + 1).cast("bigint").alias("b"), F.expr(_NONE).alias("blocks"))
-    cut = F.aggregate(F.sequence(F.lit(0), F.lit(_LEVELS - 1)), start, step, lambda acc: acc["blocks"])
+    cut = blocks_of(F.col("lo") + 1, F.least(F.col("hi"), F.lit(1 << 62)) + 1)
     return r.select("table_id", "read_at", F.explode(cut).alias("b")).groupBy("table_id", "b.level", "b.block").agg(F.max("read_at").alias("read_at"))
 
 
@@ -69,9 +50,8 @@ def read_until(offsets: DataFrame, runs: DataFrame) -> DataFrame:
 
 def _lookup(offsets: DataFrame, ranges: DataFrame) -> DataFrame:
     """``read_until`` for ranges already cut into blocks. Only levels on which some range has a block are looked up."""
-    per_level = F.array(*(F.shiftright(F.col("sequence_number"), _BITS * k) for k in range(_LEVELS)))
     present = F.coalesce(ranges.agg(F.max("level").alias("n")).scalar() + 1, F.lit(0)).cast("int")
-    levels = F.posexplode(F.slice(per_level, F.lit(1), present))
+    levels = F.posexplode(block_at(F.col("sequence_number"), present))
     o = offsets.where("sequence_number >= 0").select("table_id", "sequence_number", levels.alias("level", "block"))
     hit = o.join(ranges, ["table_id", "level", "block"])
     return hit.groupBy("table_id", "sequence_number").agg(F.max("read_at").alias("read_at"))

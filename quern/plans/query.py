@@ -10,9 +10,10 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quern.functions.blocks import block_at, blocks_of
 from quern.plans.expr import Predicate, same, truth
 from quern.session import materialise
 
@@ -40,6 +41,18 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def turned(c: Column) -> Column:
+    """An order key the other way round, nulls included. A key without a direction ascends with nulls first."""
+    node = c._jc.node()
+    if not node.getClass().getSimpleName() == "SortOrder":
+        return c.desc_nulls_last()
+    key = type(c)(SparkSession.active()._jvm.org.apache.spark.sql.Column(node.child()))
+    down, last = " DESC " in str(c), " NULLS LAST" in str(c)
+    if down:
+        return key.asc_nulls_first() if last else key.asc_nulls_last()
+    return key.desc_nulls_first() if last else key.desc_nulls_last()
+
+
 def indexed(df: DataFrame, order: Sequence[Column], name: str = "index") -> DataFrame:
     """``df`` with its position (bigint from 0) in ``order``.
 
@@ -61,12 +74,6 @@ class Query:
     def _new(self, df: DataFrame, keep_order: bool = False) -> Query:
         return Query(df, self.order if keep_order else ())
 
-    def _without(self, name: str) -> Query:
-        """A column that only orders: it is dropped when the rows are read."""
-        q = Query(self.df, self.order)
-        q.hidden = [*getattr(self, "hidden", []), name]
-        return q
-
     def _ordered(self) -> list[Column]:
         if not self.order:
             raise ValueError("this operator depends on positions: give an order with order_by")
@@ -113,6 +120,22 @@ class Query:
         one = self.df.sparkSession.range(1).select(*(F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in self.df.schema))
         return self._new(self.df.unionByName(one.where(~self.df.limit(1).select(F.lit(1).alias("x")).exists())))
 
+    def select_many_with(self, work: Callable[..., Any], schema: str, *args: Column | str, keep: Sequence[str] = ()) -> Query:
+        """Escape hatch for flattening: ``work(*values)`` of each row yields tuples of ``schema``, each beside the row's ``keep``. Rows cross to Python in Arrow batches."""
+        import pandas as pd
+        from pyspark.sql import types as T
+
+        names = [f"_a{k}" for k in range(len(args))]
+        src = self.df.select(*keep, *(_col(c).alias(n) for c, n in zip(args, names, strict=True)))
+        out = T.StructType([*(src.schema[k] for k in keep), *T.StructType.fromDDL(schema)])
+
+        def run(parts):
+            for d in parts:
+                rows = [(*own, *made) for own, values in zip(d[list(keep)].itertuples(index=False, name=None), d[names].itertuples(index=False, name=None), strict=True) for made in work(*values)]
+                yield pd.DataFrame(rows, columns=out.names)
+
+        return self._new(src.mapInPandas(run, out))
+
     def map_batches(self, work: Callable[[Any], Any], schema: str) -> Query:
         """Escape hatch for what no expression gives: ``work`` gets an iterator of pandas frames and yields such frames, in Arrow batches."""
         return self._new(self.df.mapInPandas(work, schema))
@@ -153,15 +176,27 @@ class Query:
         return self._new(self._joined(other, keys, "left_anti", composite), True)
 
     def theta_join(self, other: Query, on: Column, *cols: Column | str, equal: Sequence[tuple[str, str]] = ()) -> Query:
-        """Any condition. ``equal`` pairs make it an equi join with a residual; without them Spark pairs all rows, which suits small sides only."""
-        cond = on & self._on(other.df, equal, False) if equal else on
-        return self._new(self.df.alias("l").join(other.df.alias("r"), cond).select(*cols))
-
-    def range_join(self, other: Query, point: str, low: str, high: str, width: int, *cols: Column | str) -> Query:
-        """Rows whose ``point`` lies in [low, high] of ``other``: both sides are cut into cells of ``width``, so that equal cells are joined by hash."""
-        mine = self.df.withColumn("_cell", F.floor(F.col(point) / width))
-        theirs = other.df.where(F.col(low) <= F.col(high)).withColumn("_cell", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
-        on = (F.col("l._cell") == F.col("r._cell")) & (F.col(f"l.{point}") >= F.col(f"r.{low}")) & (F.col(f"l.{point}") <= F.col(f"r.{high}"))
+        """Any condition. ``equal`` pairs make it an equi join with a residual; without them one side must have at most LOCAL_ROWS rows: it is counted, then broadcast."""
+        if equal:
+            return self._new(self.df.alias("l").join(other.df.alias("r"), on & self._on(other.df, equal, False)).select(*cols))
+        left, right = self.df, other.df
+        if right.limit(LOCAL_ROWS + 1).count() <= LOCAL_ROWS:
+            right = F.broadcast(right)
+        elif left.limit(LOCAL_ROWS + 1).count() <= LOCAL_ROWS:
+            left = F.broadcast(left)
+        else:
+            raise ValueError(f"both sides have more than {LOCAL_ROWS} rows: name equal columns, or use range_join")
+        return self._new(left.alias("l").join(right.alias("r"), on).select(*cols))
+
+    def range_join(self, other: Query, point: str, low: str, high: str, width: float, *cols: Column | str) -> Query:
+        """Rows whose ``point`` lies in [low, high] of ``other``, by hash. Numbers are counted in cells of ``width``; a range of any length is cut into a bounded number of
+        aligned blocks of cells, and a point looks up the one block of each level that holds it. Nulls match nothing."""
+        cell = lambda c: F.floor(F.col(c) / width)
+        theirs = other.df.where(F.col(low) <= F.col(high)).withColumn("_b", F.explode(blocks_of(cell(low), cell(high) + 1))).select("*", F.col("_b.level").alias("_level"), F.col("_b.block").alias("_block")).drop("_b")
+        present = theirs.select("_level").distinct()
+        levels = self.df.where(F.col(point).isNotNull()).select("*", F.posexplode(block_at(cell(point))).alias("_level", "_block"))
+        mine = levels.join(F.broadcast(present), "_level", "left_semi")  # at most one row per level
+        on = (F.col("l._level") == F.col("r._level")) & (F.col("l._block") == F.col("r._block")) & (F.col(f"l.{point}") >= F.col(f"r.{low}")) & (F.col(f"l.{point}") <= F.col(f"r.{high}"))
         return self._new(mine.alias("l").join(theirs.alias("r"), on).select(*cols))
 
     def join_local(self, rows: Sequence[Any], schema: str, keys: Any, *cols: Column | str) -> Query:
@@ -170,13 +205,21 @@ class Query:
         return self.join(Query(F.broadcast(r) if len(rows) <= LOCAL_ROWS else r), keys, *cols)
 
     def group_join(self, other: Query, keys: Any, group: str, *elements: str, composite: bool | None = None) -> Query:
-        """Every row once, with the array of its matches' ``elements``; an empty array if there are none."""
+        """Every row once, with the array of its matches' ``elements``; an empty array if there are none. The array is one cell: for groups that fit one;
+        where the group is only summed up, ``group_join_agg`` does it with no array at all."""
         pairs = [(k, k) if isinstance(k, str) else k for k in ([keys] if isinstance(keys, str) else keys)]
         g = other.df.groupBy(*(F.col(b).alias(b) for _, b in pairs)).agg(F.collect_list(F.struct(*elements)).alias("_g"))
         j = self.df.alias("l").join(g.alias("r"), self._on(g, pairs, composite), "left")
         empty = F.filter(F.array(F.struct(*(F.lit(None).cast(other.df.schema[e].dataType).alias(e) for e in elements))), lambda x: F.lit(False))
         return self._new(j.select("l.*", F.coalesce("_g", empty).alias(group)))
 
+    def group_join_agg(self, other: Query, keys: Any, composite: bool | None = None, **aggs: Column) -> Query:
+        """Every row once, with aggregates of its matches: combined map-side before anything is shuffled, whatever the size of a group. Null where there is no match."""
+        pairs = [(k, k) if isinstance(k, str) else k for k in ([keys] if isinstance(keys, str) else keys)]
+        g = other.df.groupBy(*(F.col(b).alias(b) for _, b in pairs)).agg(*(c.alias(f"_g_{n}") for n, c in aggs.items()))
+        j = self.df.alias("l").join(g.alias("r"), self._on(g, pairs, composite), "left")
+        return self._new(j.select("l.*", *(F.col(f"_g_{n}").alias(n) for n in aggs)))
+
     # Groups and sets
 
     def group_by(self, *keys: Column | str) -> Grouped:
@@ -230,11 +273,8 @@ class Query:
         return Query(self.df, [*self._ordered(), *(_col(k) for k in keys)])
 
     def reverse(self, *keys: Column) -> Query:
-        """The rows in the opposite order, ties included: by their positions. ``keys``, the present order's keys each turned round, spare finding these."""
-        if keys:
-            return Query(self.df, list(keys))
-        i = indexed(self.df, self._ordered(), "__i").select(F.struct(*self.df.columns).alias("__row"), "__i")
-        return Query(i.select("__row.*", (-F.col("__i")).alias("__i")), [F.col("__i")])._without("__i")
+        """The rows in the opposite order: each key of the order is turned round. ``keys`` name the turned ones, if given."""
+        return Query(self.df, list(keys) or [turned(c) for c in self._ordered()])
 
     def shuffle(self, seed: int | None = None) -> Query:
         return Query(self.df, [F.rand(seed)] if seed is not None else [F.rand()])

@@ -346,6 +346,35 @@ def df_to_stream(df: DataFrame, out: io.IOBase) -> None:
         w.write_table(t)
 
 
+class CStream:
+    """A frame's rows through Arrow's C stream interface (``__arrow_c_stream__``), for other libraries in the process: batches come as they are asked for, a partition at a time."""
+
+    def __init__(self, df: DataFrame):
+        self.df = df
+
+    def batches(self):
+        import pyarrow as pa
+
+        def packed(parts):  # each batch as one cell, in Arrow's own format
+            for b in parts:
+                out = pa.BufferOutputStream()
+                with pa.ipc.new_stream(out, b.schema) as w:
+                    w.write_batch(b)
+                yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], ["b"])
+
+        for r in self.df.mapInArrow(packed, "b binary").toLocalIterator(prefetchPartitions=True):
+            yield from pa.ipc.open_stream(bytes(r.b))
+
+    def reader(self):
+        import pyarrow as pa
+
+        schema = to_arrow_schema(self.df.schema)
+        return pa.RecordBatchReader.from_batches(schema, (b.cast(schema) for b in self.batches()))
+
+    def __arrow_c_stream__(self, requested_schema: Any = None):
+        return self.reader().__arrow_c_stream__(requested_schema)
+
+
 def foreach_batch(df: DataFrame, work: Callable[[Any], Iterable[Any]], schema: str):
     """Arrow batches of ``df`` through ``work`` on the executors."""
     return df.mapInArrow(lambda it: (b for x in it for b in work(x)), schema)

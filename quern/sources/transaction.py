@@ -5,18 +5,45 @@ from __future__ import annotations
 import json
 import random
 import uuid
+from collections.abc import Iterator
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.transforms import transform
+from quern.functions.transforms import physical_column, transform
 from quern.sources import manifest as mf
 from quern.sources import metadata as md
 from quern.sources.catalog import Catalog, NoSuchTable, Table
+from quern.sources.storage import Storage
 from quern.sources.types import Schema, name_mapping, sql_literal
 
 
+def _partition_text(name: str, kind: str, c: Column) -> Column:
+    """A partition value as a folder's name: a letter and the value's text in hex, so that any text is a name; null stays null."""
+    source = physical_column(kind, c) if name == "identity" or name.startswith(("bucket", "truncate")) else c
+    text = "text" if kind in ("string", "uuid", "binary") or kind.startswith("fixed") else None
+    v = transform(name, source, text).cast("string")
+    long = F.raise_error(F.lit("a partition value is longer than 100 bytes: truncate[W] or bucket[N] keep it short")).cast("string")
+    return F.when(F.octet_length(v) > 100, long).otherwise(F.concat(F.lit("v"), F.hex(F.encode(v, "UTF-8"))))
+
+
+def _parquet(storage: Storage, folder: str) -> list[str]:
+    return [p for p, _, d in storage.list(folder) if not d and p.endswith(".parquet")]
+
+
+def _folders(storage: Storage, folder: str, depth: int) -> Iterator[tuple[list[str | None], str]]:
+    """(partition values, path) of the files that a partitioned write left below ``folder``."""
+    if depth == 0:
+        yield from (([], p) for p in _parquet(storage, folder))
+        return
+    for p, _, d in storage.list(folder):
+        if d and "=" in (name := p.rstrip("/").rsplit("/", 1)[1]):
+            text = name.split("=", 1)[1]
+            for more, path in _folders(storage, p, depth - 1):
+                yield [None if text == "__HIVE_DEFAULT_PARTITION__" else bytes.fromhex(text[1:]).decode(), *more], path
+
+
 class Transaction:
     """Collects changes to one table and commits them once; as a context manager it commits on leaving, unless an error leaves it."""
 
@@ -60,13 +87,14 @@ class Transaction:
             return []
         rows = df.select(*(absent.get(f.name, F.col(f"`{f.name}`")).cast(f.dataType).alias(f.name, metadata=f.metadata) for f in kind.fields))
         spec = next(s for s in table.metadata["partition-specs"] if s["spec-id"] == table.metadata["default-spec-id"])
-        if spec["fields"]:  # rows of one partition value come together
+        parts = mf.partition_fields(spec, schema)
+        names = [f"_p{i}" for i in range(len(parts))]
+        if parts:  # rows of one partition value come together, and into files of their own
             by_id = {f.id: f.name for f in schema.struct.fields}
-            cols = [transform(p["transform"], F.col(f"`{by_id[p['source-id']]}`"), "text" if kind[by_id[p["source-id"]]].dataType.simpleString() == "string" else None) for p in spec["fields"]]
-            # Rows of one value come together; adaptive execution splits a value that is too large for one task.
-            names = [f"_p{i}" for i in range(len(cols))]
-            rows = rows.withColumns(dict(zip(names, cols, strict=True)))
-            rows = (rows.hint("rebalance", *names) if files is None else rows.repartition(files, *names)).drop(*names)
+            for name, (p, kind, _) in zip(names, parts, strict=True):
+                rows = rows.withColumn(name, _partition_text(p["transform"], kind, F.col(f"`{by_id[p['source-id']]}`")))
+            # Adaptive execution splits a value that is too large for one task.
+            rows = rows.hint("rebalance", *names) if files is None else rows.repartition(files, *names)
         order = next(o for o in table.metadata["sort-orders"] if o["order-id"] == table.metadata["default-sort-order-id"])
         if order["fields"]:
             by_id = {f.id: f.name for f in schema.struct.fields}
@@ -74,14 +102,17 @@ class Transaction:
             for o in order["fields"]:
                 c = transform(o.get("transform", "identity"), F.col(f"`{by_id[o['source-id']]}`"))
                 keys.append(getattr(c, f"{o.get('direction', 'asc')}_{o.get('null-order', 'nulls-first').replace('-', '_')}")())
-            rows = rows.sortWithinPartitions(*keys)
+            rows = rows.sortWithinPartitions(*names, *keys)
         if files is not None and not spec["fields"]:
             rows = rows.coalesce(files)
         folder = f"{table.location}/data/{uuid.uuid4().hex}"
         # A required column stays required in the files; the check is the writer's.
-        rows.write.option("compression", "zstd").parquet(folder)
-        paths = [p for p, size, d in self.catalog.storage.list(folder) if not d and p.endswith(".parquet")]
-        records = mf.collect_stats(self.catalog.spark, paths, schema)
+        w = rows.write.option("compression", "zstd")
+        (w.partitionBy(*names) if names else w).parquet(folder)
+        paths = [(p, []) for p in _parquet(self.catalog.storage, folder)] if not names else [(p, v) for v, p in _folders(self.catalog.storage, folder, len(names))]
+        records, values = mf.collect_stats(self.catalog.spark, [p for p, _ in paths], schema), dict(paths)
+        for r in records:
+            r["partition"] = {p["name"]: mf.partition_value(kind, x) for (p, _, kind), x in zip(parts, values[r["file_path"]], strict=True) if kind}
         return [r for r in records if r["record_count"]]
 
     def append(self, df: DataFrame, files: int | None = None) -> Transaction:
@@ -183,15 +214,19 @@ class Transaction:
         rows, kept, gone = [], old, []
         if replace:
             kept = []
-            gone = mf.live_entries(self.catalog.spark, storage, old)
+            gone, _ = mf.live_entries(self.catalog.spark, storage, old)
         entry = lambda f: {"status": mf.ADDED, "snapshot_id": sid, "sequence_number": None, "file_sequence_number": None, "data_file": f}
-        new = [(entries, content) for entries, content in (([entry(f) for f in groups["data"]], mf.DATA), ([entry(f) for f in groups["deletes"]], mf.DELETES)) if entries]
-        for content in (mf.DATA, mf.DELETES):  # what an overwrite removes, data files and delete files each in a manifest of their kind
-            removed = [e | {"status": mf.DELETED, "snapshot_id": sid} for e in gone if (e["data_file"]["content"] != mf.DATA) == (content == mf.DELETES)]
-            if removed:
-                new.append((removed, content))
-        for n, (entries, content) in enumerate(new):
-            rows.append(mf.write_manifest(storage, f"{base}/{uuid.uuid4()}-m{n}.avro", entries, table.schema, sid, seq, content, spec))
+        specs = {s["spec-id"]: s for s in meta["partition-specs"]}
+        whole = next((s for s in specs.values() if not s["fields"]), {"spec-id": 0, "fields": []})  # delete files concern all partitions
+        new = [([entry(f) for f in groups["data"]], mf.DATA, spec), ([entry(f) for f in groups["deletes"]], mf.DELETES, whole)]
+        # What an overwrite removes: data files and delete files each in manifests of their kind, by the spec they were written with.
+        for content in (mf.DATA, mf.DELETES):
+            for k in sorted({e["spec_id"] for e in gone}):
+                removed = [e | {"status": mf.DELETED, "snapshot_id": sid} for e in gone if e["spec_id"] == k and (e["data_file"]["content"] != mf.DATA) == (content == mf.DELETES)]
+                new.append((removed, content, specs.get(k, whole)))
+        for n, (entries, content, own) in enumerate(new):
+            if entries:
+                rows.append(mf.write_manifest(storage, f"{base}/{uuid.uuid4()}-m{n}.avro", entries, table.schema, sid, seq, content, own))
         path = f"{base}/snap-{sid}-{seq}-{uuid.uuid4()}.avro"
         mf.write_list(storage, path, [*rows, *kept], sid, parent, seq)
         total = lambda fs, key: sum(f[key] for f in fs)

@@ -584,12 +584,12 @@ def test_stream_into_a_table_and_back(spark, catalog, tmp_path):
     src = f"file://{tmp_path}/in"
     spark.createDataFrame([(dt.datetime(2020, 1, 1, 0, m), "a", m) for m in range(60)], "ts timestamp, k string, v int").repartition(3).write.parquet(src)
     stream = streams.file_stream(spark, src, "ts timestamp, k string, v int", per_batch=1)
-    q = stream.writeStream.foreachBatch(streams.append_sink(catalog, "db.live")).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q = stream.writeStream.foreachBatch(streams.append_sink(catalog, "db.live", "s")).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert q.exception() is None
     t = catalog.load_table("db.live")
     assert t.to_df().count() == 60 and len(t.metadata["snapshots"]) == 3
-    streams.append_sink(catalog, "db.live")(spark.createDataFrame([(None, "x", 1)], "ts timestamp, k string, v int"), 2)  # batch 2 again
+    streams.append_sink(catalog, "db.live", "s")(spark.createDataFrame([(None, "x", 1)], "ts timestamp, k string, v int"), 2)  # batch 2 again
     assert catalog.load_table("db.live").to_df().count() == 60
     first = t.metadata["snapshots"][0]["snapshot-id"]
     rows, end = streams.changed_since(catalog, "db.live", first)
