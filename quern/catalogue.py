@@ -191,7 +191,31 @@ simple("shuffle", "SELECT r_regionkey FROM region", lambda t: t.region.shuffle(3
 simple("transform_dates", "SELECT event_id, year(ts) - 1970 AS y, (year(ts) - 1970) * 12 + month(ts) - 1 AS m, date_diff('day', DATE '1970-01-01', ts::DATE) AS d, epoch_us(ts) // 3600000000 AS h FROM events",
        lambda t: t.events.select("event_id", tr.years(c("ts")).cast("bigint").alias("y"), tr.months(c("ts")).cast("bigint").alias("m"), tr.days(c("ts")).cast("bigint").alias("d"), tr.hours(c("ts")).cast("bigint").alias("h")))
 simple("transform_truncate", "SELECT o_orderkey, o_orderkey - o_orderkey % 100 AS t, substr(o_orderpriority, 1, 3) AS p FROM orders", lambda t: t.orders.select("o_orderkey", tr.transform("truncate[100]", c("o_orderkey")).alias("t"), tr.transform("truncate[3]", c("o_orderpriority"), "text").alias("p")))
-query("transform_bucket")(lambda t: t.orders.select("o_orderkey", tr.bucket(16, c("o_orderkey")).alias("b"), tr.bucket(16, c("o_orderpriority"), "text").alias("p")))
+def _murmur_mix(k: str) -> str:
+    """One word of the hash in SQL over unsigned 64-bit numbers."""
+    m = f"(({k} * 3432918353) & 4294967295)"
+    return f"((((({m} << 15) | ({m} >> 17)) & 4294967295) * 461845907) & 4294967295)"
+
+
+def _murmur_step(h: str, k: str) -> str:
+    x = f"xor({h}, {_murmur_mix(k)})"
+    return f"((((({x} << 13) | ({x} >> 19)) & 4294967295) * 5 + 3864292196) & 4294967295)"
+
+
+_U = "CAST({0} AS UBIGINT)"
+_BYTE = "CAST(ascii(substr(p, {0}, 1)) AS UBIGINT)"
+_WORD4 = " + ".join(f"{_BYTE.format(f'4 * i + {b + 1}')} * {256 ** b}" for b in range(4))
+_TAIL = " + ".join(f"(CASE WHEN length(p) % 4 > {b} THEN {_BYTE.format(f'length(p) // 4 * 4 + {b + 1}')} ELSE 0 END) * {256 ** b}" for b in range(3))
+_BUCKET = f"""WITH l AS (SELECT o_orderkey, o_orderpriority, {_murmur_step(_murmur_step('0::UBIGINT', _U.format('o_orderkey & 4294967295')), _U.format('(o_orderkey >> 32) & 4294967295'))} h, 8::UBIGINT n FROM orders),
+ p AS (SELECT p, list_reduce(list_prepend(0::UBIGINT, list_transform(range(0, length(p) // 4), lambda i: {_WORD4})), lambda h, k: {_murmur_step('h', 'k')}) h0, {_TAIL} t, CAST(length(p) AS UBIGINT) n
+  FROM (SELECT DISTINCT o_orderpriority p FROM orders)),
+ q AS (SELECT p, CASE WHEN n % 4 = 0 THEN h0 ELSE xor(h0, {_murmur_mix('t')}) END h, n FROM p),
+ e AS (SELECT 'l' k, o_orderkey key, o_orderpriority p, h, n FROM l UNION ALL SELECT 'p', NULL, p, h, n FROM q),
+ f AS (SELECT k, key, p, xor(h, n) h FROM e), g AS (SELECT k, key, p, (xor(h, h >> 16) * 2246822507) & 4294967295 h FROM f),
+ i AS (SELECT k, key, p, (xor(h, h >> 13) * 3266489909) & 4294967295 h FROM g), j AS (SELECT k, key, p, CAST((xor(h, h >> 16) & 2147483647) % 16 AS INTEGER) b FROM i)
+ SELECT x.key AS o_orderkey, x.b AS b, y.b AS p FROM j x JOIN j y ON x.p = y.p WHERE x.k = 'l' AND y.k = 'p'"""
+
+query("transform_bucket", _BUCKET)(lambda t: t.orders.select("o_orderkey", tr.bucket(16, c("o_orderkey")).alias("b"), tr.bucket(16, c("o_orderpriority"), "text").alias("p")))
 simple("str_functions", """SELECT p_partkey, length(p_name) AS len, substr(p_name, 3, 4) AS sub, CAST(instr(p_name, 'r') - 1 AS INTEGER) AS idx, contains(p_name, 'ring') AS has, starts_with(p_name, 'red') AS starts, ends_with(p_name, 'ring') AS ends,
  upper(p_name) AS up, trim('  ' || p_name || ' ') AS tr, replace(p_name, 'e', 'E') AS rep, CASE WHEN length(p_name) >= 14 THEN p_name ELSE lpad(p_name, 14, '*') END AS pad, p_brand || '' || p_type AS cat, substr(p_name, 2, 1) AS ch,
  regexp_matches(p_name, '^[a-m]') AS rx, regexp_replace(p_name, '[aeiou]', '_', 'g') AS rr FROM part""",
