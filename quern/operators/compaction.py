@@ -251,8 +251,11 @@ class ManifestCompaction:
             open_ = self.log.intents().where("leaf").join(self.log.done(), "final", "left_anti").select(F.regexp_replace("input", r"#\d+$", "").alias("_path"))
             finished = self._leaves().select("_path").distinct().join(open_, "_path", "left_anti")
             late = every.join(finished, "_path", "left_semi").join(written.select("_key"), "_key", "left_anti")
-        todo = self.log.begin(plan(self._items(listed, late), self.log.group.names, "item", "size", F.col("small"), self.policy), "item")
-        todo = materialise(todo, "todo")
+        g = self.log.group.names
+        items = materialise(self._items(listed, late), "items")
+        enough = items.where("small").groupBy(*g).agg(F.count("*").alias("_n")).where(F.col("_n") >= self.policy.least_inputs)
+        open_ = self.log.intents().where("leaf").join(self.log.done(), "final", "left_anti").select("input", "final")
+        todo = materialise(open_ if enough.isEmpty() else self.log.begin(plan(items, g, "item", "size", F.col("small"), self.policy), "item"), "todo")
         if todo.isEmpty():
             return False
         by_path = todo.select(F.regexp_replace("input", r"#\d+$", "").alias("_path"), F.col("final").alias("output")).distinct()
