@@ -5,6 +5,7 @@ import datetime as dt
 import decimal
 import enum
 import io
+import json
 import math
 import struct
 import threading
@@ -162,6 +163,74 @@ def test_join_keys_and_nulls(spark):
     assert a.semi_join(b, "k").count() == 2 and a.anti_join(b, "k").count() == 1
 
 
+def test_reverse_turns_every_key(spark):
+    rows = [(1, None), (1, 2), (2, 1), (None, 5), (2, None)]
+    df = spark.createDataFrame(rows, "a int, b int")
+    for keys in (["a", F.col("b").desc()], [F.col("a").desc_nulls_first(), F.col("b").asc_nulls_last()], [(F.col("a") + 1).asc(), F.col("b").desc_nulls_last()]):
+        q = Query(df).order_by(*keys)
+        assert [tuple(r) for r in q.reverse().to_list()] == [tuple(r) for r in q.to_list()][::-1]
+        assert q.reverse().to_df().columns == ["a", "b"]
+
+
+def test_ranges_of_any_length(spark):
+    import random
+
+    rnd = random.Random(3)
+    points = [(i, rnd.choice([None, rnd.uniform(-500, 500), rnd.uniform(-5, 5)])) for i in range(300)]
+    ranges = [(i, lo, lo + rnd.choice([-1, 0, 0.5, 3, 70, 900])) for i, lo in enumerate(rnd.uniform(-500, 500) for _ in range(60))] + [(99, None, 5.0)]
+    a, b = Query(spark.createDataFrame(points, "i int, x double")), Query(spark.createDataFrame(ranges, "j int, lo double, hi double"))
+    for width in (1, 0.25, 100):
+        got = sorted(tuple(r) for r in a.range_join(b, "x", "lo", "hi", width, "l.i", "r.j").to_list())
+        assert got == sorted((i, j) for i, x in points for j, lo, hi in ranges if x is not None and lo is not None and lo <= x <= hi)
+
+
+def test_joins_without_equal_columns_need_a_small_side(spark, monkeypatch):
+    from quern.plans import query
+
+    monkeypatch.setattr(query, "LOCAL_ROWS", 5)
+    small, large = Query(spark.range(3)), Query(spark.range(10))
+    less = F.col("l.id") < F.col("r.id")
+    assert large.theta_join(small, less, F.col("l.id")).count() == 3 and small.theta_join(large, less, F.col("l.id")).count() == 24
+    with pytest.raises(ValueError, match="range_join"):
+        large.theta_join(large, less, F.col("l.id"))
+
+
+def test_flattening_and_group_joins(spark):
+    a = Query(spark.createDataFrame([(1, "x y"), (2, ""), (3, None)], "k int, t string"))
+    got = a.select_many_with(lambda t: [(w,) for w in (t or "").split()], "w string", "t", keep=["k"])
+    assert sorted(tuple(r) for r in got.to_list()) == [(1, "x"), (1, "y")]
+    g = a.group_join_agg(Query(spark.createDataFrame([(1, 5), (1, 6), (None, 7)], "k int, v int")), "k", n=F.count("*"), s=F.sum("v"))
+    assert sorted((r.k, r.n, r.s) for r in g.to_list()) == [(1, 2, 11), (2, None, None), (3, None, None)]
+
+
+def test_values_as_text_and_other_types(spark):
+    from quern.functions import values
+
+    row = (1.5, bytes(range(20)), dt.date(2020, 1, 2), dt.datetime(2020, 1, 2, 3, 4, 5, 6), dt.timedelta(days=1, microseconds=5), [1, None], {"b": 1, "a": None}, (True, None), None, decimal.Decimal("1.20"))
+    df = spark.createDataFrame([row], "f double, b binary, d date, t timestamp_ntz, i interval day to second, a array<int>, m map<string,int>, s struct<x: boolean, y: string>, n int, c decimal(9,2)")
+    r = df.select(*(values.format_value(F.col(f.name), f.dataType).alias(f.name) for f in df.schema)).first()
+    assert tuple(r) == ("1.5", "0x000102030405060708090a0b0c0d0e0f… (20 bytes)", "2020-01-02", "2020-01-02T03:04:05.000006", "86400.000005 s", "[1, null]", "{a: null, b: 1}", "{x: true, y: null}", "null", "1.20")
+    n = spark.createDataFrame([(300, 1.0), (7, 2.5), (None, None)], "i int, x double")
+    got = n.select(values.read_as(F.col("i"), T.IntegerType(), "tinyint", False), values.read_as(F.col("x"), T.DoubleType(), "bigint", False), values.read_as(F.col("i"), T.IntegerType(), "string")).collect()
+    assert [tuple(r) for r in got] == [(None, 1, "300"), (7, None, "7"), (None, None, None)]
+    with pytest.raises(Exception, match="no tinyint: 300"):
+        n.select(values.read_as(F.col("i"), T.IntegerType(), "tinyint")).collect()
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.binary(max_size=23), max_size=20))
+def test_many_hashes_at_once(texts):
+    assert tr.murmur3_many(texts).tolist() == [tr.murmur3(x) for x in texts]
+
+
+def test_c_stream(spark):
+    import pyarrow as pa
+
+    df = spark.range(1000).select("id", F.array("id").alias("a"))
+    assert sorted(pa.table(model.CStream(df)).column("id").to_pylist()) == list(range(1000))
+    assert pa.table(model.CStream(df.limit(0))).num_rows == 0
+
+
 # Every registered query against its SQL, on the smallest tables
 
 
@@ -435,6 +504,143 @@ def test_partitioned_and_sorted_writes(spark, catalog):
     assert [r.id for r in one] == sorted((r.id for r in one), reverse=True)
 
 
+def test_partitions_are_recorded_and_pruned(spark, catalog):
+    schema = T.DataType.fromDDL("id bigint, d date, ts timestamp, k string, n int")
+    fields = [("month", 2, "month"), ("day", 3, "day"), ("k", 4, "identity"), ("b", 1, "bucket[4]"), ("t", 5, "truncate[10]"), ("v", 5, "void")]
+    spec = {"spec-id": 1, "fields": [{"source-id": s, "field-id": 1000 + i, "name": n, "transform": tf} for i, (n, s, tf) in enumerate(fields)]}
+    catalog.create_table("db.p", schema, spec=spec)
+    rows = [(i, dt.date(2019, 11 + i % 2, 3), dt.datetime(1969, 12, 30 + i % 2, 23), [None, "", "a b/c%=é", "x"][i % 4], [None, -1, 5, 15][i % 4]) for i in range(24)]
+    for part in (rows[:12], rows[12:]):
+        Transaction(catalog, "db.p").append(spark.createDataFrame(part, schema)).commit()
+    t = catalog.load_table("db.p")
+    assert sorted(t.to_df().collect()) == sorted(spark.createDataFrame(rows, schema).collect()) if False else t.to_df().count() == 24
+    known = [json.loads(r.partition) for r in t.files().collect()]
+    assert {x["k"] for x in known} == {None, "", "a b/c%=é", "x"} and {x["month"] for x in known} == {598, 599} and {x["day"] for x in known} == {-2, -1} and {x["t"] for x in known} == {None, -10, 0, 10}
+    assert all("v" not in x or x["v"] is None for x in known)
+    tests = [
+        e.eq("k", "x"), e.eq("k", ""), e.is_null("k"), e.eq("k", None), e.not_null("k"), e.starts_with("k", "a b"), e.is_in("k", ["x", None]), e.eq("d", dt.date(2019, 11, 3)), e.lt("d", dt.date(2019, 12, 1)), e.gt("d", dt.date(2019, 12, 1)),
+        e.gt_eq("ts", dt.datetime(1969, 12, 31)), e.lt("n", 0), e.lt_eq("n", -1), e.gt("n", 5), e.eq("n", 15), e.eq("id", 7), e.is_in("id", [7, 8]), e.not_eq("k", "x"), ~e.eq("k", "x"), e.eq("k", "x") | e.eq("n", 5), e.eq("k", "nope"), e.FALSE,
+    ]
+    every = t.to_df()
+    for p in tests:
+        want = sorted(r.id for r in every.where(p.filter()).collect())
+        assert sorted(r.id for r in t.to_df(where=p).collect()) == want, p
+    files = len(t.plan()[0].tasks)
+    for p in (e.eq("k", "x"), e.is_null("k"), e.eq("d", dt.date(2019, 11, 3)), e.eq("n", 15), e.eq("id", 7), e.gt_eq("ts", dt.datetime(1969, 12, 31))):
+        assert len(t.plan(where=p)[0].tasks) < files
+    assert t.plan(where=e.eq("k", "zzz"))[0].skipped_manifests == 2
+    with pytest.raises(Exception, match="longer than 100 bytes"):
+        Transaction(catalog, "db.p").append(spark.createDataFrame([(1, None, None, "y" * 101, 1)], schema))
+    Transaction(catalog, "db.p").delete_equal(spark.createDataFrame([(7,)], "id bigint")).commit()
+    o = Transaction(catalog, "db.p").overwrite(spark.createDataFrame(rows[:3], schema)).commit()
+    assert o.to_df().count() == 3 and o.to_df(where=e.eq("k", "")).count() == 1
+
+
+def test_deletes_by_sequence_number():
+    from quern.sources import planner
+
+    entry = lambda n, content, path=None: {"sequence_number": n, "data_file": {"content": content, "file_path": f"d{n}{content}{path}", "referenced_data_file": path}}
+    d = planner.Deletes([entry(5, 2), entry(3, 1), entry(7, 1, "a"), entry(9, 2), entry(4, 1)])
+    names = lambda s, p: sorted(f["file_path"] for f in d.of(s, p))
+    assert names(4, "a") == ["d41None", "d52None", "d71a", "d92None"] and names(5, "b") == ["d92None"] and names(9, "a") == [] and names(8, "a") == ["d92None"]
+    assert all(d.any_of(s, p) == bool(d.of(s, p)) for s in range(12) for p in "ab")
+
+
+def test_many_manifests_are_read_by_tasks(spark, catalog):
+    for k in range(5):
+        Transaction(catalog, "db.m").append(spark.range(10 * k, 10 * k + 10), files=1).commit()
+    t = catalog.load_table("db.m")
+    rows = manifest.read_list(catalog.storage, md.resolve(t.metadata)["manifest-list"])
+    keep = lambda x: x["sequence_number"] > 2
+    near, far = (manifest.live_entries(spark, catalog.storage, rows, many=n, keep=keep, stats=False) for n in (64, 1))
+    assert near[1] == far[1] == 2 and sorted(map(str, near[0])) == sorted(map(str, far[0])) and len(far[0]) == 3 and "lower_bounds" not in far[0][0]["data_file"]
+
+
+def test_overwrite_after_deletes(spark, catalog):
+    tx = Transaction(catalog, "db.o")
+    tx.append(spark.range(10), files=1).commit()
+    tx.delete_equal(spark.createDataFrame([(3,)], "id bigint")).commit()
+    t = tx.overwrite(spark.range(5).repartition(3)).commit()
+    s = md.resolve(t.metadata)["summary"]
+    assert (s["deleted-records"], s["total-records"], s["total-data-files"], s["total-delete-files"]) == ("10", "5", str(len(t.plan()[0].tasks)), "0") and t.to_df().count() == 5
+    assert {(r.content, r.deleted_files_count) for r in t.manifests().collect()} == {(0, 0), (0, 1), (1, 1)}
+
+
+def test_streams_into_one_table_count_apart(spark, catalog):
+    a, b = (streams.append_sink(catalog, "db.two", n) for n in ("a", "b"))
+    rows = lambda k: spark.range(10 * k, 10 * k + 5)
+    for n in range(3):
+        a(rows(n), n)
+    for n in range(2):
+        b(rows(10 + n), n)
+        b(rows(10 + n), n)
+    assert catalog.load_table("db.two").to_df().count() == 25
+
+
+def test_commits_of_several_tables_are_seen_whole(spark, catalog, monkeypatch):
+    up = lambda v: [{"action": "set-properties", "updates": {"x": v}}]
+    names = ("db.a", "db.b")
+    for n in names:
+        catalog.create_table(n, "id int")
+    load = lambda: [catalog.load_table(n) for n in names]
+    seen = []
+    decide = catalog._decide
+    monkeypatch.setattr(catalog, "_decide", lambda t, d: (seen.append([x.metadata["properties"].get("x") for x in load()]), decide(t, d))[1])
+    made = catalog.stage_table("db.c", "id int")
+    catalog.commit_many([(x, up("1"), []) for x in load()] + [(made, [], [{"type": "assert-create"}])])
+    assert seen == [[None, None]] and [x.metadata["properties"]["x"] for x in load()] == ["1", "1"] and catalog.table_exists("db.c")
+    # Another writer comes between: it decides against the commit that is still open, whose writer is told.
+    other = Catalog(spark, catalog.warehouse)
+    monkeypatch.setattr(catalog, "_decide", lambda t, d: (other.load_table("db.b").update(*up("other")), decide(t, d))[1])
+    with pytest.raises(md.CommitConflict):
+        catalog.commit_many([(x, up("2"), []) for x in load()])
+    monkeypatch.undo()
+    assert [x.metadata["properties"]["x"] for x in load()] == ["1", "other"]
+    catalog.commit_many([(x, up("3"), []) for x in load()])
+    assert [x.metadata["properties"]["x"] for x in load()] == ["3", "3"]
+
+
+def test_stores_without_exclusive_creation_are_refused(spark, monkeypatch):
+    from quern.sources.storage import Storage
+
+    class Fs:
+        able = False
+
+        def hasPathCapability(self, p, name):  # noqa: N802
+            return self.able
+
+    fs, s = Fs(), Storage(spark)
+    monkeypatch.setattr(s, "_fs", lambda path: (path, fs))
+    assert s.exclusive("hdfs://n/x") and not s.exclusive("s3a://b/x")
+    with pytest.raises(NotImplementedError):
+        s.create("s3a://b/x", b"")
+    fs.able = True
+    assert s.exclusive("s3a://b/x")
+    assert Storage(spark, single_writer=True).exclusive("s3a://b/x")
+
+
+def test_tokens_and_vended_credentials(spark, tmp_path):
+    from quern.sources.service import RestCatalog, Service, serve
+
+    service = Service(Catalog(spark, f"file://{tmp_path}/wh"), clients={"id": "pw"})
+    server = serve(service)
+    try:
+        uri = f"http://127.0.0.1:{server.server_port}"
+        with pytest.raises(RuntimeError, match="no valid token"):
+            RestCatalog(spark, uri, f"file://{tmp_path}/wh")
+        with pytest.raises(Exception, match="401"):
+            RestCatalog(spark, uri, f"file://{tmp_path}/wh", {"credential": "id:wrong"})
+        c = RestCatalog(spark, uri, f"file://{tmp_path}/wh", {"credential": "id:pw"})
+        c.create_namespace("a")
+        assert RestCatalog(spark, uri, f"file://{tmp_path}/wh", {"token": c.token()}).namespace_exists("a")
+        c.apply_credentials([{"prefix": "s3://bucket-q/x", "config": {"s3.access-key-id": "k2"}}, {"prefix": "s3", "config": {"s3.access-key-id": "k1"}}])
+        conf = spark._jsc.hadoopConfiguration()
+        assert conf.get("fs.s3a.bucket.bucket-q.access.key") == "k2" and conf.get("fs.s3a.access.key") == "k1"
+        conf.unset("fs.s3a.access.key")
+    finally:
+        server.shutdown()
+
+
 # Records
 
 
