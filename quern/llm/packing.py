@@ -9,6 +9,7 @@ is packed again to the same result, since a split of the input is read in the sa
 from __future__ import annotations
 
 import base64
+import bisect
 import os
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
@@ -67,14 +68,18 @@ class Bins:
         return rest
 
 
-def encoder(path: str):
-    """The tokenizer at ``path`` (a file of ranks), with the splitting pattern published beside it."""
+def load(path: str) -> tuple[str, dict[bytes, int]]:
+    """(splitting pattern, ranks) of the tokenizer at ``path``, a file of ranks whose pattern is published beside it. Read by the driver."""
     import public_tokenizers
-    import tiktoken
 
     with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return public_tokenizers.PATTERN, {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
+def encoder(loaded: tuple[str, dict[bytes, int]]):
+    import tiktoken
+
+    return tiktoken.Encoding("own", pat_str=loaded[0], mergeable_ranks=loaded[1], special_tokens={})
 
 
 def default_tokenizer() -> str:
@@ -84,12 +89,12 @@ def default_tokenizer() -> str:
 def pack(items: Iterable[tuple[int | None, int]], kinds: list[tuple[str, int]], most_open: int, prefix: str) -> Iterator[tuple]:
     """Rows as in OUT for (id, tokens). A closed container becomes the smallest kind that holds what is in it."""
     kinds = sorted(kinds, key=lambda k: (k[1], k[0]))
-    top = kinds[-1][1]
+    sizes, top = [c for _, c in kinds], kinds[-1][1]
     bins, waiting = Bins(top, most_open), defaultdict(list)
 
     def leave(closed: list[tuple[int, int]]) -> Iterator[tuple]:
         for number, used in closed:
-            kind, capacity = next(k for k in kinds if k[1] >= used)
+            kind, capacity = kinds[bisect.bisect_left(sizes, used)]
             for row in waiting.pop(number):
                 yield (*row, f"{prefix}-{number}", kind, capacity)
 
@@ -112,16 +117,17 @@ def containers(docs: DataFrame, kinds: list[tuple[str, int]], tokenizer: str | N
     Rows: doc_id, piece (0 first), token_start and token_end in the text's tokens, container_id, container_kind, capacity_tokens. A text within the
     largest capacity is never cut; a longer one is cut at every ``capacity`` tokens. Null and empty texts have no tokens and lie in any container.
     A null key stays null; repeated keys are texts of their own. Without a kind there is nothing to fill: an error. Each task leaves at most ``most_open``
-    containers with room, each the smallest kind that holds its content.
+    containers with room, each the smallest kind that holds its content. Which texts share a container follows from how the input is split into tasks: another
+    spark.sql.files.maxPartitionBytes gives other containers, as good and as full. The tokenizer is read by the driver and broadcast (its size is that of its vocabulary).
     """
     if not kinds or max(c for _, c in kinds) < 1:
         raise ValueError("no container has any capacity")
-    path = tokenizer or default_tokenizer()
+    shared = docs.sparkSession.sparkContext.broadcast(load(tokenizer or default_tokenizer()))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        tok = encoder(path)
+        tok = encoder(shared.value)
         at = f"{TaskContext.get().partitionId():05d}"
 
         def items():
@@ -147,9 +153,7 @@ def containers(docs: DataFrame, kinds: list[tuple[str, int]], tokenizer: str | N
     return docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t")).mapInPandas(run, OUT)
 
 
-def container_kinds(spark: SparkSession, path: str, most: int = 1000) -> list[tuple[str, int]]:
-    """The distinct kinds of a containers table for the driver, which refuses more than ``most``."""
-    rows = spark.read.parquet(path).where("capacity_tokens > 0").select("container_kind", "capacity_tokens").distinct().limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} kinds of containers")
-    return [(r[0], r[1]) for r in rows]
+def container_kinds(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """The kinds of a containers table, one for each capacity (of several the first by name): no more rows than there are capacities."""
+    rows = spark.read.parquet(path).where("capacity_tokens > 0").groupBy("capacity_tokens").agg(F.min("container_kind").alias("kind")).collect()
+    return sorted(((r.kind, r.capacity_tokens) for r in rows), key=lambda k: (k[1], k[0]))

@@ -21,12 +21,11 @@ KINDS = [("big", 100), ("mid", 40), ("small", 10)]
 
 
 def test_no_container_kind_is_dropped(spark, tmp_path):
-    kinds = lambda n: spark.createDataFrame([("small", 10)] * 1500 + [(f"k{i}", 20 + i) for i in range(n)], "container_kind string, capacity_tokens int").coalesce(1)
-    kinds(999).write.parquet(f"{tmp_path}/a")
-    assert set(packing.container_kinds(spark, f"{tmp_path}/a")) == {("small", 10), *((f"k{i}", 20 + i) for i in range(999))}
-    kinds(1000).write.parquet(f"{tmp_path}/b")
-    with pytest.raises(ValueError):
-        packing.container_kinds(spark, f"{tmp_path}/b")
+    rows = [("small", 10), ("small", 10), ("also", 10), ("none", None), ("zero", 0), *((f"k{i}", 20 + i) for i in range(3000))]
+    spark.createDataFrame(rows, "container_kind string, capacity_tokens int").repartition(7).write.parquet(f"{tmp_path}/a")
+    kinds = packing.container_kinds(spark, f"{tmp_path}/a")
+    assert kinds == [("also", 10), *((f"k{i}", 20 + i) for i in range(3000))]
+    assert {r[5] for r in packing.pack([(1, 3019), (2, 1500), (3, 10)], kinds, 1, "t")} == {"k2999", "k1490"}
 
 
 @settings(max_examples=200, deadline=None)
@@ -60,7 +59,7 @@ def test_best_fit_and_fullest_closes_first():
 
 
 def test_containers_of_texts(spark):
-    tok = packing.encoder(packing.default_tokenizer())
+    tok = packing.encoder(packing.load(packing.default_tokenizer()))
     texts = [(1, "a b c"), (2, None), (3, ""), (None, "x"), (1, "again"), (4, "word " * 3000), (5, "é" * 500)]
     df = spark.createDataFrame(texts, "doc_id bigint, text string").withColumn("container_id", F.lit("clash"))
     rows = packing.containers(df, KINDS).collect()
