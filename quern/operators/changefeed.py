@@ -36,8 +36,9 @@ def _plain(c: Column, t: T.DataType) -> Column:
 
 
 def _rank(at: Column, values: Sequence[tuple[Column, T.DataType]]) -> Column:
-    """What images are compared by: their position, then their values; Spark doesn't order maps, so a hash stands for values that hold any."""
-    return F.struct(at.alias("_at"), *((F.xxhash64(_plain(c, t)) if _has_map(t) else c).alias(f"_{k}") for k, (c, t) in enumerate(values)))
+    """What images are compared by: their position, then their values, nulls least; Spark doesn't order maps, so a hash stands for values that hold any."""
+    hashed = lambda c, t: F.when(c.isNotNull(), F.xxhash64(_plain(c, t)))
+    return F.struct(at.alias("_at"), *((hashed(c, t) if _has_map(t) else c).alias(f"_{k}") for k, (c, t) in enumerate(values)))
 
 
 def _position(order: str, deletes: Column) -> Column:

@@ -7,7 +7,6 @@ fields from schemas, the columns of the layout from rows. What a cast can't take
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 from typing import Any
@@ -283,16 +282,11 @@ def route_of(own: str | None, latest: str | None) -> str | None:
         return None
 
 
-@functools.lru_cache(4096)
-def _route(text: str) -> Any:
-    return json.loads(text)
-
-
 _NESTED = ("struct", "list", "map")
 
 
-def lay_out(text: str | None, route: str | None) -> tuple[list[tuple], dict[str, str | None]]:
-    """(leaves, columns) of a payload: leaves as (path, type, kind, raw, is a map's key), columns as JSON text by name.
+def lay_out(text: str | None, route: Any) -> tuple[list[tuple], dict[str, str | None]]:
+    """(leaves, columns) of a payload by a ``_routes`` (None: as it is): leaves as (path, type, kind, raw, is a map's key), columns as JSON text by name.
 
     Paths have the names of the layout: ``a.b`` for members, ``a[0]`` for elements, ``a{key}`` for the values of maps.
     """
@@ -333,7 +327,7 @@ def lay_out(text: str | None, route: str | None) -> tuple[list[tuple], dict[str,
         for k, v in top.items():
             leaves.append((k, None, kind_of(v), text_of(v), False))
         return leaves, {k: text_of(v) for k, v in top.items()}
-    laid = put("", top, _route(route)) if top or route else {}
+    laid = put("", top, route)
     return leaves, {k: text_of(v) for k, v in (laid or {}).items()}
 
 
@@ -343,7 +337,12 @@ _LAID = "struct<leaves:array<struct<path:string,type:string,kind:string,raw:stri
 def _laid_out(texts, routes):
     import pyarrow as pa
 
-    rows = [lay_out(t, r) for t, r in zip(texts.to_pylist(), routes.to_pylist(), strict=True)]
+    ways: dict[str | None, Any] = {None: None}
+    rows = []
+    for text, route in zip(texts.to_pylist(), routes.to_pylist(), strict=True):
+        if route not in ways:
+            ways[route] = json.loads(route)  # rows of one version have the same
+        rows.append(lay_out(text, ways[route]))
     leaf = pa.struct([("path", pa.string()), ("type", pa.string()), ("kind", pa.string()), ("raw", pa.string()), ("is_key", pa.bool_())])
     names = [f.name for f in leaf]
     leaves = pa.array([[dict(zip(names, x, strict=True)) for x in a] for a, _ in rows], pa.list_(leaf))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.operators import changefeed, compaction, drift, hierarchy, incremental, orphans
 from quern.operators.snapshot_tables import headers
@@ -63,6 +64,24 @@ def p2_files(spark: SparkSession, sf: str) -> DataFrame:
     return changefeed.current_files(e, table(spark, sf, "manifest_list_entries"), [*first, *(n for n in e.schema["data_file"].dataType.names if n not in ("file_path", *first))])
 
 
+def p2_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """``p2_files`` with maps, arrays and binary values as text, so that results compare."""
+    f = p2_files(spark, sf)
+
+    def text(c: T.StructField) -> Column:
+        x, kind = F.col(c.name), c.dataType
+        if isinstance(kind, T.MapType):
+            plain = F.hex if isinstance(kind.valueType, T.BinaryType) else lambda v: v.cast("string")
+            x = F.array_join(F.array_sort(F.transform(F.map_entries(x), lambda e: F.concat(e["key"].cast("string"), F.lit("="), plain(e["value"])))), ",")
+        elif isinstance(kind, T.ArrayType):
+            x = F.array_join(x.cast("array<string>"), ",")
+        elif isinstance(kind, T.BinaryType):
+            x = F.hex(x)
+        return x.alias(c.name)
+
+    return f.select(*map(text, f.schema))
+
+
 def p2_increments(spark: SparkSession, sf: str) -> DataFrame:
     """The same files, from the patches of the first half of the numbers, kept, and those of all entries from a table's last eighth on, which repeats some."""
     values = ["record_count", "file_size_in_bytes"]
@@ -169,7 +188,7 @@ def p6_casts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_outputs, p1_files, p2_found, p2_current, p2_files, p2_increments, p2_on_base, p2_partial, p3_found, p3_paths, p3_full_paths, p3_below, p3_descendants, p4_found, p5_found, p5_report, p6_found, p6_rows, p6_paths, p6_casts)
+    f.__name__: f for f in (p1_found, p1_outputs, p1_files, p2_found, p2_current, p2_files, p2_fields, p2_increments, p2_on_base, p2_partial, p3_found, p3_paths, p3_full_paths, p3_below, p3_descendants, p4_found, p5_found, p5_report, p6_found, p6_rows, p6_paths, p6_casts)
 }
 
 _LOC = "CASE WHEN regexp_matches({0}, '^s3[an]?:/') THEN 's3://' || regexp_replace(regexp_replace({0}, '^s3[an]?:/+', ''), '/+', '/', 'g') ELSE {0} END"
@@ -188,6 +207,15 @@ s AS (SELECT * FROM m WHERE content = 0 AND (coalesce(len < 6144, false) OR coal
 _P2 = f"""WITH {_NUMBERS}, e AS (SELECT table_id, {_LOC.format('data_file.file_path')} file_path, coalesce(sequence_number, s) q, status, data_file.record_count rc, data_file.file_size_in_bytes sz
  FROM manifest_entries LEFT JOIN nums ON p = {_LOC.format('manifest_path')}),
 h AS (SELECT *, row_number() OVER (PARTITION BY table_id, file_path ORDER BY q DESC, (status = 2) DESC, rc DESC NULLS LAST, sz DESC NULLS LAST) n FROM e WHERE q IS NOT NULL)"""
+_MAPS = ("column_sizes", "value_counts", "null_value_counts", "nan_value_counts", "lower_bounds", "upper_bounds")
+_MAP_TEXT = "array_to_string(list_sort(list_transform(map_entries({0}), lambda e: CAST(e.key AS VARCHAR) || '=' || {1})), ',') AS {0}"
+_P2_FIELDS = f"""WITH {_NUMBERS}, e AS (SELECT table_id, {_LOC.format('data_file.file_path')} file_path, coalesce(sequence_number, s) q, status, data_file f FROM manifest_entries LEFT JOIN nums ON p = {_LOC.format('manifest_path')}),
+h AS (SELECT *, row_number() OVER (PARTITION BY table_id, file_path ORDER BY q DESC, (status = 2) DESC, f.record_count DESC NULLS LAST, f.file_size_in_bytes DESC NULLS LAST, f.content DESC NULLS LAST, f.file_format DESC NULLS LAST,
+ {', '.join(f'(f.{m} IS NOT NULL) DESC' for m in _MAPS)}, {', '.join(f'f.{m} DESC NULLS LAST' for m in ('key_metadata', 'split_offsets', 'equality_ids', 'sort_order_id', 'referenced_data_file'))}) n FROM e WHERE q IS NOT NULL),
+x AS (SELECT table_id, file_path, q AS sequence_number, unnest(f) FROM (SELECT * EXCLUDE (f), struct_pack(record_count := f.record_count, file_size_in_bytes := f.file_size_in_bytes, content := f.content, file_format := f.file_format,
+ {', '.join(f'{m} := f.{m}' for m in (*_MAPS, 'key_metadata', 'split_offsets', 'equality_ids', 'sort_order_id', 'referenced_data_file'))}) f FROM h WHERE n = 1 AND status <> 2))
+SELECT table_id, file_path, sequence_number, record_count, file_size_in_bytes, content, file_format, {', '.join(_MAP_TEXT.format(m, 'hex(e.value)' if 'bounds' in m else 'CAST(e.value AS VARCHAR)') for m in _MAPS)},
+ hex(key_metadata) AS key_metadata, array_to_string(split_offsets, ',') AS split_offsets, array_to_string(equality_ids, ',') AS equality_ids, sort_order_id, referenced_data_file FROM x"""
 _ORPHANS = f"""WITH refs AS (
  SELECT 'snapshot' k, l.table_id, CAST(added_snapshot_id AS VARCHAR) key, written_at t FROM manifest_list_entries l
   WHERE added_snapshot_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM snapshots s WHERE s.table_id = l.table_id AND s.snapshot_id = l.added_snapshot_id)
@@ -204,6 +232,7 @@ ORACLE: dict[str, str] = {
     "p1_files": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders",
     "p2_found": f"{_P2} SELECT table_id, file_path, q AS sequence_number FROM h WHERE n = 1 AND status <> 2",
     **dict.fromkeys(("p2_current", "p2_increments", "p2_on_base"), f"{_P2} SELECT table_id, file_path, q AS sequence_number, rc AS record_count, sz AS file_size_in_bytes FROM h WHERE n = 1 AND status <> 2"),
+    "p2_fields": _P2_FIELDS,
     "p2_partial": f"""{_P2}, g AS (SELECT table_id, file_path, max(q) FILTER (status = 2) gone FROM e GROUP BY ALL),
  x AS (SELECT table_id, file_path, arg_max(rc, (q, rc)) FILTER (rc IS NOT NULL AND status <> 2 AND q > coalesce(gone, -1)) rc, arg_max(sz, (q, sz)) FILTER (sz IS NOT NULL AND status <> 2 AND q > coalesce(gone, -1)) sz
   FROM e JOIN g USING (table_id, file_path) GROUP BY ALL)

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The folder of the ``workspace`` that is open, if one is.
+_PLACE: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
@@ -24,7 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_dir(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/quern/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    sub = f"/{_PLACE['sub']}" if "sub" in _PLACE else ""
+    return f"{shared_dir(spark)}/quern/{spark.sparkContext.applicationId}{sub}/{label}-{uuid.uuid4().hex}"
 
 
 def drop_intermediates(spark: SparkSession) -> None:
@@ -32,6 +38,20 @@ def drop_intermediates(spark: SparkSession) -> None:
     drop_dir(spark, f"{shared_dir(spark)}/quern/{spark.sparkContext.applicationId}")
 
 
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[None]:
+    """What operators keep in the shared folder while the block runs is deleted at its end; results must have been written or collected in it."""
+    was = dict(_PLACE)
+    _PLACE["sub"] = f"work-{uuid.uuid4().hex}"
+    own = f"{shared_dir(spark)}/quern/{spark.sparkContext.applicationId}/{_PLACE['sub']}"
+    try:
+        yield
+    finally:
+        _PLACE.clear()
+        _PLACE.update(was)
+        drop_dir(spark, own)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back, so a lost executor costs no recomputation."""
     spark = df.sparkSession
