@@ -38,14 +38,14 @@ def p1_outputs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_files(spark: SparkSession, sf: str) -> DataFrame:
-    """The rows of orders, written as many small files that arrive in two lots, each followed by a compaction, as the live files then hold them."""
-    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    """The rows of stored_files, written as many small files that arrive in two lots, each followed by a compaction, as the live files then hold them."""
+    rows = table(spark, sf, "stored_files").select("file_path", "size_in_bytes")
     at, to, log = (fresh_dir(spark, n) for n in ("small", "merged", "journal"))
-    policy = compaction.Policy(target=4 << 20)
+    policy = compaction.Policy(target=16 << 20)
     for lot in (0, 1):
-        orders.where(F.pmod(F.hash("o_orderkey"), F.lit(2)) == lot).repartition(24, "o_custkey").write.mode("append").parquet(at)
+        rows.where(F.pmod(F.hash("file_path"), F.lit(2)) == lot).repartition(24, "file_path").write.mode("append").parquet(at)
         files = compaction.compact_parquet(spark, at, to, log, policy)
-    return spark.read.schema(orders.schema).parquet(*(r.path for r in files.select("path").collect()))  # as many as the merged files
+    return spark.read.schema(rows.schema).parquet(*(r.path for r in files.select("path").collect()))  # as many as the merged files
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -229,7 +229,7 @@ ORACLE: dict[str, str] = {
     "p1_found": f"WITH {_P1_MEMBERS} SELECT table_id, manifest_path FROM s QUALIFY count(*) OVER (PARTITION BY table_id, spec, d) >= 6",
     "p1_outputs": """SELECT table_id, count(*) AS entries, CAST(sum(rc) AS BIGINT) AS records FROM (SELECT entry_id, arg_min(table_id, arrived_at) table_id, arg_min(data_file.record_count, arrived_at) rc
  FROM manifest_entries GROUP BY 1) GROUP BY 1""",
-    "p1_files": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders",
+    "p1_files": "SELECT file_path, size_in_bytes FROM stored_files",
     "p2_found": f"{_P2} SELECT table_id, file_path, q AS sequence_number FROM h WHERE n = 1 AND status <> 2",
     **dict.fromkeys(("p2_current", "p2_increments", "p2_on_base"), f"{_P2} SELECT table_id, file_path, q AS sequence_number, rc AS record_count, sz AS file_size_in_bytes FROM h WHERE n = 1 AND status <> 2"),
     "p2_fields": _P2_FIELDS,

@@ -617,3 +617,34 @@ def _read_as(t: Tables) -> DataFrame:
         "o_orderkey", as_("o_orderkey", "tinyint").alias("small"), as_("o_totalprice", "bigint").alias("whole"), as_("o_orderkey", "double").alias("wide"), as_("o_orderpriority", "int").alias("number"),
         as_("o_orderkey", "boolean").alias("truth"),
     )
+
+
+# Streams
+
+
+@query("stream_window_counts", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def _stream_windows(t: Tables) -> DataFrame:
+    """Windowed counts by Structured Streaming over all that is there, the state written whole after each batch."""
+    at, cp = fresh_dir(t.spark, "windows"), fresh_dir(t.spark, "progress")
+    schema = t.spark.read.parquet(f"{t.sf}/events.parquet").schema
+    stream = streams.file_stream(t.spark, f"{t.sf}/events.parquet*", schema).withColumn("ts", c("ts").cast("timestamp"))
+    counts = streams.windowed(stream, "ts", "1 hour", "1 hour", ["event_type"], F.count("*").alias("n"))
+    sink = lambda batch, _: batch.write.mode("overwrite").parquet(at)
+    q = counts.writeStream.outputMode("complete").foreachBatch(sink).option("checkpointLocation", cp).trigger(availableNow=True).start()
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise q.exception()
+    return t.spark.read.schema("window_start timestamp, window_end timestamp, event_type string, n bigint").parquet(at).select(c("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
+
+
+@query("stream_into_table", "SELECT event_id, event_type, user_id FROM events")
+def _stream_into(t: Tables) -> DataFrame:
+    """A stream of files into a table, a snapshot per batch."""
+    catalog, cp = _catalog(t), fresh_dir(t.spark, "progress")
+    schema = t.spark.read.parquet(f"{t.sf}/events.parquet").schema
+    stream = streams.file_stream(t.spark, f"{t.sf}/events.parquet*", schema).select("event_id", "event_type", "user_id")
+    q = stream.writeStream.foreachBatch(streams.append_sink(catalog, "q.events", "files")).option("checkpointLocation", cp).trigger(availableNow=True).start()
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise q.exception()
+    return catalog.load_table("q.events").to_df()
