@@ -1 +1,2 @@
-"""Operators on text for training data: packing, leaked evaluation items, sentences. Nothing outside imports this subpackage."""
+"""Operators on text for training data: packing, leaked evaluation items, sentences. Nothing outside imports this
+subpackage."""

@@ -1,11 +1,12 @@
 """Evaluation texts leaking into training text.
 
-Latent semantic retrieval. Texts are reduced to words; passages are windows of words with at least ``run`` words that some item uses (less can't hold a
-leaked run). TF-IDF weights come from all passages, a randomised SVD of the passage-term matrix is summed up over the partitions, and
-passages and item windows are compared as vectors in the latent space. Each vector also carries the length of its part outside that space, so the product
-of two vectors is an upper bound of the exact one and a search by it loses no pair. An index from the rarest word of each item window to the window
-says which pairs are compared. Candidates are then checked word by word: a run of consecutive words for copies, the longest common
-subsequence for paraphrases. Answers are looked up in the whole text of the documents found.
+Latent semantic retrieval. Texts are reduced to words; passages are windows of words with at least ``run`` words that
+some item uses (less can't hold a leaked run). TF-IDF weights come from all passages, a randomised SVD of the
+passage-term matrix is summed up over the partitions, and passages and item windows are compared as vectors in the
+latent space. Each vector also carries the length of its part outside that space, so the product of two vectors is an
+upper bound of the exact one and a search by it loses no pair. An index from the rarest word of each item window to the
+window says which pairs are compared. Candidates are then checked word by word: a run of consecutive words for copies,
+the longest common subsequence for paraphrases. Answers are looked up in the whole text of the documents found.
 
 Items are searched for in blocks whose windows are broadcast, each of a bounded size; the corpus is never gathered.
 """
@@ -48,7 +49,8 @@ def _unescape(m: re.Match) -> str:
 
 
 def words(text: str | None) -> list[str]:
-    """The words of ``text``: lower case, without punctuation, markup, emphasis and invisible characters, escape sequences read."""
+    """The words of ``text``: lower case, without punctuation, markup, emphasis and invisible characters, escape
+    sequences read."""
     if not text:
         return []
     if "\\" in text:
@@ -64,7 +66,8 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(_EMPHASIS.sub("", text).casefold())
 
 
-#: Most columns of the passages' matrix. Where there are more words, some share a column, which only makes products greater: the search still
+#: Most columns of the passages' matrix. Where there are more words, some share a column, which only makes products
+#: greater: the search still
 #: loses nothing, and what is summed up and broadcast keeps its bound whatever the number of items.
 COLUMNS = 1 << 14
 
@@ -109,7 +112,8 @@ BLOCK_BYTES = 64 << 20
 
 
 def column_sets(ids: np.ndarray, columns: int) -> np.ndarray:
-    """The distinct columns of the words in each row of ``ids``, -1 elsewhere: a sparse row of the matrix (an id of -1 stands for a word no item uses)."""
+    """The distinct columns of the words in each row of ``ids``, -1 elsewhere: a sparse row of the matrix (an id of -1
+    stands for a word no item uses)."""
     s = np.sort(np.where(ids >= 0, ids % columns, -1), axis=1)
     again = s[:, 1:] == s[:, :-1]
     s[:, 1:][again] = -1
@@ -117,7 +121,8 @@ def column_sets(ids: np.ndarray, columns: int) -> np.ndarray:
 
 
 def projected(sets: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """The sums of the rows of ``m`` that each row of ``sets`` names. The last row of ``m``, of zeros, is that of column -1."""
+    """The sums of the rows of ``m`` that each row of ``sets`` names. The last row of ``m``, of zeros, is that of column
+    -1."""
     out = np.zeros((len(sets), m.shape[1]), np.float32)
     for k in range(sets.shape[1]):
         own = sets[:, k]
@@ -132,7 +137,8 @@ def weighted(m: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def latent(sets: np.ndarray, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """TF-IDF rows in the space of ``basis`` (already ``weighted``) with the length of what lies outside as one more coordinate: products are upper bounds of exact ones."""
+    """TF-IDF rows in the space of ``basis`` (already ``weighted``) with the length of what lies outside as one more
+    coordinate: products are upper bounds of exact ones."""
     inside = projected(sets, basis)
     squares = np.append(idf * idf, 0).astype(np.float32)[sets].sum(1)
     rest = np.maximum(squares - (inside * inside).sum(1), 0.0)
@@ -140,8 +146,8 @@ def latent(sets: np.ndarray, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
 
 
 def shares(ids: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Each word's share of its column's square, least first; words no item uses have infinite ones. The least n add up to no more than the product with any
-    row that n of the words, repeated ones counted, are in."""
+    """Each word's share of its column's square, least first; words no item uses have infinite ones. The least n add up
+    to no more than the product with any row that n of the words, repeated ones counted, are in."""
     at = np.where(ids >= 0, ids % len(idf), -1)
     times = (at[:, :, None] == at[:, None, :]).sum(2)
     return np.sort(np.where(at >= 0, np.append(idf, 0)[at] ** 2 / times, np.inf), axis=1)
@@ -165,11 +171,15 @@ def _rows_to_array(d: pd.DataFrame, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(d["ids"]), np.int32).reshape(len(d), width)
 
 
-def passages(docs: DataFrame, items: Items, text: str = "text", key: str = "doc_id", steps: int = 2, least: int | None = None) -> DataFrame:
-    """(doc_id, pos, ids): every window of steps * run words, one each run words, with at least run words known to the items. Whole texts are read.
+def passages(
+    docs: DataFrame, items: Items, text: str = "text", key: str = "doc_id", steps: int = 2, least: int | None = None
+) -> DataFrame:
+    """(doc_id, pos, ids): every window of steps * run words, one each run words, with at least run words known to the
+    items. Whole texts are read.
 
-    Any (steps - 1) * run consecutive words lie in one window. The last windows are filled up with unknown words. With ``least`` only windows are given that
-    hold what a pair needs: run known words in a row, or ``least`` of them within (steps - 1) * run words.
+    Any (steps - 1) * run consecutive words lie in one window. The last windows are filled up with unknown words. With
+    ``least`` only windows are given that hold what a pair needs: run known words in a row, or ``least`` of them within
+    (steps - 1) * run words.
     """
     run, vocab = items.run, items.vocab
     fewest = run if least is None else min(run, least)
@@ -199,11 +209,14 @@ def passages(docs: DataFrame, items: Items, text: str = "text", key: str = "doc_
                     out.append((k, int(i), wins[i].tobytes()))
             yield pd.DataFrame(out, columns=["doc_id", "pos", "ids"]).astype({"doc_id": "int64", "pos": "int32"})
 
-    return docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t")).mapInPandas(cut, "doc_id bigint, pos int, ids binary")
+    return docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(
+        F.col(key).cast("bigint").alias("k"), F.col(text).alias("t")
+    ).mapInPandas(cut, "doc_id bigint, pos int, ids binary")
 
 
 def _summed(df: DataFrame, part_sum, shape: tuple[int, ...], width: int, groups: int = 8) -> np.ndarray:
-    """The sum over all passages of ``part_sum(ids)``: one array per task, added up in ``groups`` tasks, then in one, which sends the driver one array.
+    """The sum over all passages of ``part_sum(ids)``: one array per task, added up in ``groups`` tasks, then in one,
+    which sends the driver one array.
 
     Its size is bounded by COLUMNS, whatever the numbers of tasks, passages and items.
     """
@@ -232,7 +245,8 @@ def _summed(df: DataFrame, part_sum, shape: tuple[int, ...], width: int, groups:
 
 
 def basis_of(found: DataFrame, idf: np.ndarray, width: int, rank: int, rounds: int, seed: int) -> np.ndarray:
-    """The leading right singular vectors of the passages' TF-IDF matrix by randomised SVD: sparse rows times a thin matrix, summed over partitions."""
+    """The leading right singular vectors of the passages' TF-IDF matrix by randomised SVD: sparse rows times a thin
+    matrix, summed over partitions."""
     columns = len(idf)
     thin = min(columns, rank + 8)
 
@@ -261,15 +275,18 @@ def basis_of(found: DataFrame, idf: np.ndarray, width: int, rank: int, rounds: i
 
 
 def leaks(
-    docs: DataFrame, eval_rows: list[tuple[int, str | None, str | None]], run: int = 12, rank: int = 256, rounds: int = 2, paraphrase: float | None = None, seed: int = 7
+    docs: DataFrame, eval_rows: list[tuple[int, str | None, str | None]], run: int = 12, rank: int = 256,
+    rounds: int = 2, paraphrase: float | None = None, seed: int = 7
 ) -> DataFrame:
     """(doc_id, item_id, copied, common, answered): the items found in each document, one row per pair.
 
-    ``copied``: at least ``run`` consecutive words of the item (prompt, then answer) stand in the document in order. With ``paraphrase``: pairs are also given
-    where 2 * run words of the document, wherever they begin, and the item have a common subsequence of at least that part of 2 * run words, or of the item's
-    words if it has fewer (``common``: its greatest length, at least ``run`` for copies); ``answered``: the item has an answer and the document holds all of its words,
-    in any place. Items with fewer than ``run`` words, null texts and ids match nothing. Empty inputs give no rows. ``eval_rows`` is one block of items, which each
-    task holds; ``leaks_of`` makes blocks of any number of items.
+    ``copied``: at least ``run`` consecutive words of the item (prompt, then answer) stand in the document in order.
+    With ``paraphrase``: pairs are also given where 2 * run words of the document, wherever they begin, and the item
+    have a common subsequence of at least that part of 2 * run words, or of the item's words if it has fewer
+    (``common``: its greatest length, at least ``run`` for copies); ``answered``: the item has an answer and the
+    document holds all of its words, in any place. Items with fewer than ``run`` words, null texts and ids match
+    nothing. Empty inputs give no rows. ``eval_rows`` is one block of items, which each task holds; ``leaks_of`` makes
+    blocks of any number of items.
     """
     items = Items(eval_rows, run)
     spark = docs.sparkSession
@@ -292,13 +309,18 @@ def leaks(
     per_block = max(1, BLOCK_BYTES // (4 * (rank + 1 + run)))
     pairs = None
     for block in items.blocks(per_block):
-        part = found.mapInPandas(_searcher(spark, items, block, idf, basis, width, paraphrase), "doc_id bigint, item_id bigint, copied boolean, common int")
+        part = found.mapInPandas(
+            _searcher(spark, items, block, idf, basis, width, paraphrase),
+            "doc_id bigint, item_id bigint, copied boolean, common int"
+        )
         pairs = part if pairs is None else pairs.unionByName(part)
     pairs = pairs.groupBy("doc_id", "item_id").agg(F.max("copied").alias("copied"), F.max("common").alias("common"))
     if not paraphrase:
         return pairs.withColumn("answered", F.lit(False))
     pairs = materialise(pairs, "pairs")
-    return pairs.join(_answers(docs, pairs, items), ["doc_id", "item_id"], "left").withColumn("answered", F.coalesce("answered", F.lit(False)))
+    return pairs.join(
+        _answers(docs, pairs, items), ["doc_id", "item_id"], "left"
+    ).withColumn("answered", F.coalesce("answered", F.lit(False)))
 
 
 def needed(n: int, part: float) -> int:
@@ -307,7 +329,8 @@ def needed(n: int, part: float) -> int:
 
 
 def _answers(docs: DataFrame, pairs: DataFrame, items: Items, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, item_id, answered): the pairs whose document holds all words of the item's answer. Only texts of documents in ``pairs`` are read again."""
+    """(doc_id, item_id, answered): the pairs whose document holds all words of the item's answer. Only texts of
+    documents in ``pairs`` are read again."""
     vocab, run = items.vocab, items.run
     answers: dict[int, list[np.ndarray]] = {}
     for i, w, a in zip(items.ids, items.words, items.answers, strict=True):
@@ -319,18 +342,31 @@ def _answers(docs: DataFrame, pairs: DataFrame, items: Items, text: str = "text"
             out = []
             for k, t, ids in zip(d["k"].tolist(), d["t"].tolist(), d["ids"], strict=True):
                 held = {vocab[w] for w in words(t) if w in vocab}
-                out += [(k, i, True) for i in map(int, ids) if any(held.issuperset(a.tolist()) for a in answers.get(i, []))]
-            yield pd.DataFrame(out, columns=["doc_id", "item_id", "answered"]).astype({"doc_id": "int64", "item_id": "int64", "answered": bool})
-
-    here = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t")).where("k is not null and t is not null")
+                out += [
+                    (k, i, True) for i in map(int, ids) if any(held.issuperset(a.tolist()) for a in answers.get(i, []))
+                ]
+            yield pd.DataFrame(out, columns=["doc_id", "item_id", "answered"]).astype(
+                {"doc_id": "int64", "item_id": "int64", "answered": bool}
+            )
+
+    here = docs.select(
+        F.col(key).cast("bigint").alias("k"), F.col(text).alias("t")
+    ).where("k is not null and t is not null")
     wanted = pairs.groupBy(F.col("doc_id").alias("k")).agg(F.collect_set("item_id").alias("ids"))  # at most all items
-    return here.join(wanted, "k").select("k", "t", "ids").mapInPandas(look, "doc_id bigint, item_id bigint, answered boolean").distinct()
+    return here.join(wanted, "k").select("k", "t", "ids").mapInPandas(
+        look, "doc_id bigint, item_id bigint, answered boolean"
+    ).distinct()
 
 
-def _searcher(spark: SparkSession, items: Items, block: list[int], idf: np.ndarray, basis: np.ndarray, width: int, paraphrase: float | None):
-    """The search for the items numbered ``block``, as a function over passages of ``width`` words. What it broadcasts has a bound: the block's windows in the latent space.
+def _searcher(
+    spark: SparkSession, items: Items, block: list[int], idf: np.ndarray, basis: np.ndarray, width: int,
+    paraphrase: float | None
+):
+    """The search for the items numbered ``block``, as a function over passages of ``width`` words. What it broadcasts
+    has a bound: the block's windows in the latent space.
 
-    A window is looked at only in passages that hold its rarest word, by an index from word to windows, and there by the cosine search.
+    A window is looked at only in passages that hold its rarest word, by an index from word to windows, and there by the
+    cosine search.
     """
     run, reach, columns = items.run, 2 * items.run, items.columns
     mine = np.isin(items.owner, block)
@@ -356,7 +392,9 @@ def _searcher(spark: SparkSession, items: Items, block: list[int], idf: np.ndarr
         whole = np.vstack([latent(column_sets(items.words[i][None, :], columns), idf, space) for i in short]).T.copy()
     known = {i: items.ids[i] for i in block}
     texts = [items.words[i] for i in short]
-    shared = spark.sparkContext.broadcast((windows, owner, known, first, query, norm2, space, idf, short, texts, has, col, need, whole))
+    shared = spark.sparkContext.broadcast(
+        (windows, owner, known, first, query, norm2, space, idf, short, texts, has, col, need, whole)
+    )
 
     def common(ids: np.ndarray, text: np.ndarray, least: int) -> int:
         """The longest common subsequence of ``text`` and ``reach`` words of ``ids``; 0 if below ``least``."""
@@ -376,7 +414,9 @@ def _searcher(spark: SparkSession, items: Items, block: list[int], idf: np.ndarr
         upto = np.cumsum(n)
         start = 0
         while start < len(n):
-            end = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + (1 << 14), side="right")))
+            end = max(
+                start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + (1 << 14), side="right"))
+            )
             k = n[start:end]
             before = np.repeat(np.cumsum(k) - k, k)
             yield np.repeat(row[start:end], k), np.repeat(first[word[start:end]], k) + np.arange(k.sum()) - before
@@ -405,7 +445,8 @@ def _searcher(spark: SparkSession, items: Items, block: list[int], idf: np.ndarr
                             out[key] = [True, max(run, out.get(key, [False, 0])[1])]
                 if whole is None:
                     continue
-                # A passage that shares so many words with an item has a product with it of at least the least so many shares.
+                # A passage that shares so many words with an item has a product with it of at least the least so many
+                # shares.
                 floor = shares(ids, idf)[:, : int(need.min())].sum(1, dtype=np.float32) * np.float32(0.999)
                 near_p, near_i = np.nonzero(x @ whole >= floor[:, None])
                 for c in range(0, len(near_p), 1 << 16):
@@ -421,13 +462,16 @@ def _searcher(spark: SparkSession, items: Items, block: list[int], idf: np.ndarr
                         if most > old[1] and (n := common(ids[p], texts[j], max(int(need[j]), old[1] + 1))):
                             out[key] = [old[0], n]
             rows = [(*k, *v) for k, v in out.items()]
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "copied", "common"]).astype({"doc_id": "int64", "item_id": "int64", "copied": bool, "common": "int32"})
+            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "copied", "common"]).astype(
+                {"doc_id": "int64", "item_id": "int64", "copied": bool, "common": "int32"}
+            )
 
     return search
 
 
 def leaks_of(docs: DataFrame, items: DataFrame, block: int = 20_000, **more) -> DataFrame:
-    """``leaks`` for a table of items (item_id, prompt, answer) of any size, ``block`` of them at a time: the driver and the tasks hold one block.
+    """``leaks`` for a table of items (item_id, prompt, answer) of any size, ``block`` of them at a time: the driver and
+    the tasks hold one block.
 
     Each block reads the corpus once. An item_id that is there several times counts as all of its texts.
     """
@@ -444,4 +488,6 @@ def leaks_of(docs: DataFrame, items: DataFrame, block: int = 20_000, **more) ->
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    return every.groupBy("doc_id", "item_id").agg(F.max("copied").alias("copied"), F.max("common").alias("common"), F.max("answered").alias("answered"))
+    return every.groupBy("doc_id", "item_id").agg(
+        F.max("copied").alias("copied"), F.max("common").alias("common"), F.max("answered").alias("answered")
+    )

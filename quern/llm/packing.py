@@ -1,9 +1,10 @@
 """Filling fixed-capacity containers with items.
 
-Bounded-space online best fit: a task keeps a fixed number of open bins in a bitset keyed by free space (an integer whose bit f is set if some
-open bin has f tokens free). An item goes to the bin with the least room that still holds it, found by a shift and the lowest set bit; if none
-does, the fullest bin closes and a new one opens. Memory is bounded by the number of open bins whatever the input, nothing shuffles, and a lost task
-is packed again to the same result, since a split of the input is read in the same order.
+Bounded-space online best fit: a task keeps a fixed number of open bins in a bitset keyed by free space (an integer
+whose bit f is set if some open bin has f tokens free). An item goes to the bin with the least room that still holds it,
+found by a shift and the lowest set bit; if none does, the fullest bin closes and a new one opens. Memory is bounded by
+the number of open bins whatever the input, nothing shuffles, and a lost task is packed again to the same result, since
+a split of the input is read in the same order.
 """
 
 from __future__ import annotations
@@ -69,7 +70,8 @@ class Bins:
 
 
 def load(path: str) -> tuple[str, dict[bytes, int]]:
-    """(splitting pattern, ranks) of the tokenizer at ``path``, a file of ranks whose pattern is published beside it. Read by the driver."""
+    """(splitting pattern, ranks) of the tokenizer at ``path``, a file of ranks whose pattern is published beside it.
+    Read by the driver."""
     import public_tokenizers
 
     with open(path, "rb") as f:
@@ -86,7 +88,9 @@ def default_tokenizer() -> str:
     return os.path.join(os.environ.get("QUERN_TOKENIZERS", "/opt/tokenizers"), "byte_bpe_50k.tiktoken")
 
 
-def pack(items: Iterable[tuple[int | None, int]], kinds: list[tuple[str, int]], most_open: int, prefix: str) -> Iterator[tuple]:
+def pack(
+    items: Iterable[tuple[int | None, int]], kinds: list[tuple[str, int]], most_open: int, prefix: str
+) -> Iterator[tuple]:
     """Rows as in OUT for (id, tokens). A closed container becomes the smallest kind that holds what is in it."""
     kinds = sorted(kinds, key=lambda k: (k[1], k[0]))
     sizes, top = [c for _, c in kinds], kinds[-1][1]
@@ -111,14 +115,19 @@ def pack(items: Iterable[tuple[int | None, int]], kinds: list[tuple[str, int]],
     yield from leave(bins.close())
 
 
-def containers(docs: DataFrame, kinds: list[tuple[str, int]], tokenizer: str | None = None, most_open: int = 64, text: str = "text", key: str = "doc_id") -> DataFrame:
+def containers(
+    docs: DataFrame, kinds: list[tuple[str, int]], tokenizer: str | None = None, most_open: int = 64,
+    text: str = "text", key: str = "doc_id"
+) -> DataFrame:
     """The container of each text, or of each piece of a text longer than the largest container.
 
-    Rows: doc_id, piece (0 first), token_start and token_end in the text's tokens, container_id, container_kind, capacity_tokens. A text within the
-    largest capacity is never cut; a longer one is cut at every ``capacity`` tokens. Null and empty texts have no tokens and lie in any container.
-    A null key stays null; repeated keys are texts of their own. Without a kind there is nothing to fill: an error. Each task leaves at most ``most_open``
-    containers with room, each the smallest kind that holds its content. Which texts share a container follows from how the input is split into tasks: another
-    spark.sql.files.maxPartitionBytes gives other containers, as good and as full. The tokenizer is read by the driver and broadcast (its size is that of its vocabulary).
+    Rows: doc_id, piece (0 first), token_start and token_end in the text's tokens, container_id, container_kind,
+    capacity_tokens. A text within the largest capacity is never cut; a longer one is cut at every ``capacity`` tokens.
+    Null and empty texts have no tokens and lie in any container. A null key stays null; repeated keys are texts of
+    their own. Without a kind there is nothing to fill: an error. Each task leaves at most ``most_open`` containers with
+    room, each the smallest kind that holds its content. Which texts share a container follows from how the input is
+    split into tasks: another spark.sql.files.maxPartitionBytes gives other containers, as good and as full. The
+    tokenizer is read by the driver and broadcast (its size is that of its vocabulary).
     """
     if not kinds or max(c for _, c in kinds) < 1:
         raise ValueError("no container has any capacity")
@@ -154,6 +163,9 @@ def containers(docs: DataFrame, kinds: list[tuple[str, int]], tokenizer: str | N
 
 
 def container_kinds(spark: SparkSession, path: str) -> list[tuple[str, int]]:
-    """The kinds of a containers table, one for each capacity (of several the first by name): no more rows than there are capacities."""
-    rows = spark.read.parquet(path).where("capacity_tokens > 0").groupBy("capacity_tokens").agg(F.min("container_kind").alias("kind")).collect()
+    """The kinds of a containers table, one for each capacity (of several the first by name): no more rows than there
+    are capacities."""
+    rows = spark.read.parquet(path).where("capacity_tokens > 0").groupBy("capacity_tokens").agg(
+        F.min("container_kind").alias("kind")
+    ).collect()
     return sorted(((r.kind, r.capacity_tokens) for r in rows), key=lambda k: (k[1], k[0]))

@@ -1,9 +1,10 @@
 """Sentence boundaries across languages and scripts, in SQL expressions only.
 
-A cell is cut into blocks (headings, list items, quote lines, paragraphs) and a block into sentences by putting a mark before each new piece. Before that, full
-stops that end nothing (decimals, addresses, initials, abbreviations, ordinals) and end marks inside a sentence that goes on are masked by
-private-use characters of the same length. Marks are taken out by the split, masks never change a length, so positions in the masked text are positions in the
-text: restoring a sentence is taking its span.
+A cell is cut into blocks (headings, list items, quote lines, paragraphs) and a block into sentences by putting a mark
+before each new piece. Before that, full stops that end nothing (decimals, addresses, initials, abbreviations, ordinals)
+and end marks inside a sentence that goes on are masked by private-use characters of the same length. Marks are taken
+out by the split, masks never change a length, so positions in the masked text are positions in the text: restoring a
+sentence is taking its span.
 """
 
 from __future__ import annotations
@@ -38,7 +39,9 @@ _NO = r"(?<![\p{L}\p{M}\p{N}_.\ue010])"
 
 
 def _any(words: str) -> str:
-    return "|".join(sorted((w.replace(".", r"[.\ue010]" + _SP + "{0,2}") for w in words.split()), key=len, reverse=True))
+    return "|".join(
+        sorted((w.replace(".", r"[.\ue010]" + _SP + "{0,2}") for w in words.split()), key=len, reverse=True)
+    )
 
 
 _FENCE = r"^[ \t]*\ue002?[ \t]*(?:```|~~~)[\s\S]*?(?:^[ \t]*(?:```|~~~)[ \t]*\ue002?[ \t]*$|\z)"
@@ -54,7 +57,8 @@ def _before(words: str) -> str:
     return r"(?<=" + _NO + r"(?:" + _any(words) + r")\.)"
 
 
-#: (pattern, replacement), in this order. Every pattern begins with the character it is about, so that most positions are passed over at once.
+#: (pattern, replacement), in this order. Every pattern begins with the character it is about, so that most positions
+#: are passed over at once.
 MASKS = [
     # No mask but a cut: a sentence that begins right behind the last one's end, the space being left out.
     (r"([.!?…][\"”»’)]?)" + _NEXT + r"(?<=[\p{Ll}\p{N}][.!?…][\"”»’)]?)", "$1" + CUT),
@@ -62,7 +66,8 @@ MASKS = [
     (r"[.!?](?=[\p{L}\p{N}_/=&%])", MASK),
     (
         r"\.(?:(?=" + _SP + r")(?:"
-        # Initials and single-letter abbreviations (J. R., z. B., p. ex., т. е., д.), but т. д. and т. п. may end a sentence.
+        # Initials and single-letter abbreviations (J. R., z. B., p. ex., т. е., д.), but т. д. and т. п. may end a
+        # sentence.
         + r"(?<=" + _NO + r"\p{L}\.)(?!(?<=т[.\ue010]" + _SP + r"{0,2}[дп]\.)" + _SP + r"+[^\p{Ll}])"
         + r"|(?<=\p{Lu}\ue010\p{Lu}\.)(?=" + _SP + r"+\p{Lu}\p{Ll})"
         # Abbreviations and ordinals.
@@ -86,8 +91,11 @@ MASKS_CASELESS = [
     (r"…(?=…*[\u3040-\u30ff\u3400-\u9fff])", MASK),
 ]
 #: End marks after which a comma, a dash or a small letter goes on with the sentence, also from behind quotes.
-MASK_ON = (_ENDS + r"(?=" + _ENDS + r"*(?:" + _SP + r"?" + _CLOSE + r")*(?:" + _SP + r"*[,;:،؛、，；：—–]|" + _LOWER + r"))", MASK)
-#: Where a mark is put: after end marks and closing marks before a space, after full-width ones, and at spaces between Thai words.
+MASK_ON = (
+    _ENDS + r"(?=" + _ENDS + r"*(?:" + _SP + r"?" + _CLOSE + r")*(?:" + _SP + r"*[,;:،؛、，；：—–]|" + _LOWER + r"))", MASK
+)
+#: Where a mark is put: after end marks and closing marks before a space, after full-width ones, and at spaces between
+#: Thai words.
 CUTS = [(r"(" + _ENDS + r"++" + _CLOSE + r"*+(?:" + _SP + r"?»)?+" + _CLOSE + r"*+)(?=" + _SP + r"+\S)", "$1" + CUT)]
 CUTS_CASELESS = [
     (r"([。！？．]++[”’」』）)】》]*+)(?=" + _SP + r"*[^\s。！？])", "$1" + CUT),
@@ -99,12 +107,21 @@ _RUN = 64
 
 
 def _starts(lengths: Column) -> Column:
-    """The sum of the lengths before each one. Sums are built up by runs, so a cell of many thousand pieces doesn't cost their square."""
+    """The sum of the lengths before each one. Sums are built up by runs, so a cell of many thousand pieces doesn't cost
+    their square."""
     add = lambda a, x: a + x
     total = lambda first, n: F.aggregate(F.slice(lengths, first, n), F.lit(0), add)
-    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _RUN).cast("int")), lambda r: total(r * _RUN + 1, F.lit(_RUN)))
-    before = F.aggregate(runs, F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out")), lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
-    within = lambda run: F.transform(lengths, lambda _, i: F.get(run, (i / _RUN).cast("int")) + total((i - i % _RUN) + 1, i % _RUN))
+    runs = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _RUN).cast("int")),
+        lambda r: total(r * _RUN + 1, F.lit(_RUN))
+    )
+    before = F.aggregate(
+        runs, F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out")), lambda a,
+        x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"]
+    )
+    within = lambda run: F.transform(
+        lengths, lambda _, i: F.get(run, (i / _RUN).cast("int")) + total((i - i % _RUN) + 1, i % _RUN)
+    )
     return F.element_at(F.transform(F.array(before), within), 1)
 
 
@@ -112,20 +129,27 @@ def _pieces(marked: Column) -> Column:
     """The pieces between marks as (start, text), with their position in the text without marks."""
 
     def placed(parts: Column) -> Column:
-        return F.arrays_zip(F.element_at(F.transform(F.array(F.transform(parts, F.length)), _starts), 1).alias("start"), parts.alias("text"))
+        return F.arrays_zip(
+            F.element_at(F.transform(F.array(F.transform(parts, F.length)), _starts), 1).alias("start"),
+            parts.alias("text")
+        )
 
     return F.element_at(F.transform(F.array(F.split(marked, CUT, -1)), placed), 1)
 
 
 def blocks(cell: Column) -> Column:
-    """The blocks of a markdown cell as (start, text), markers included; code, tables and images are blocks of their own."""
+    """The blocks of a markdown cell as (start, text), markers included; code, tables and images are blocks of their
+    own."""
     clean = F.translate(cell, MASK + CUT, "\ufffd" * 2)
     apart = F.regexp_replace(clean, rf"(?m)({_FENCE}|{_IMAGE})", f"{CUT}$1{CUT}")
     line = r"[^\n]*\n"
-    ends = "|".join([
-        _FENCE, r"\n(?=[ \t]*\n)", r"\n(?=[ \t]*(?:#{1,6}[ \t]|>|\||[-*+][ \t]|```|~~~))",
-        r"\n(?=[ \t]*(?:={3,}|-{3,})[ \t]*(?:\n|\z))", r"^[ \t]*(?:={3,}|-{3,})[ \t]*\n", rf"^[ \t]*(?:#{{1,6}}[ \t]|>|\|){line}", rf"^[ \t]*(?:[-*+]|\d+\.)[ \t]{line}(?=[ \t]*\d+\.[ \t])",
-    ])
+    ends = "|".join(
+        [
+            _FENCE, r"\n(?=[ \t]*\n)", r"\n(?=[ \t]*(?:#{1,6}[ \t]|>|\||[-*+][ \t]|```|~~~))",
+            r"\n(?=[ \t]*(?:={3,}|-{3,})[ \t]*(?:\n|\z))", r"^[ \t]*(?:={3,}|-{3,})[ \t]*\n",
+            rf"^[ \t]*(?:#{{1,6}}[ \t]|>|\|){line}", rf"^[ \t]*(?:[-*+]|\d+\.)[ \t]{line}(?=[ \t]*\d+\.[ \t])"
+        ]
+    )
     return _pieces(F.regexp_replace(apart, rf"(?m)({ends})", f"$1{CUT}"))
 
 
@@ -141,24 +165,44 @@ def cut(block: Column) -> Column:
     # Bound by a lambda, the masked text is made once and both branches read it.
     caseless = lambda x: _replaced(_replaced(x, MASKS_CASELESS), [MASK_ON, *CUTS, *CUTS_CASELESS])
     cased = lambda x: _replaced(x, [MASK_ON, *CUTS])
-    return _pieces(F.element_at(F.transform(F.array(masked), lambda x: F.when(x.rlike(r"\p{Lo}"), caseless(x)).otherwise(cased(x))), 1))
+    return _pieces(
+        F.element_at(
+            F.transform(F.array(masked), lambda x: F.when(x.rlike(r"\p{Lo}"), caseless(x)).otherwise(cased(x))), 1
+        )
+    )
 
 
 def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text", cells: str = "cells") -> DataFrame:
-    """(doc_id, sent_start, sent_end): the sentences of the markdown cells, as offsets in the text (code points, end exclusive).
+    """(doc_id, sent_start, sent_end): the sentences of the markdown cells, as offsets in the text (code points, end
+    exclusive).
 
-    A sentence reaches from its first to its last visible character. Null or empty texts, null cells and cells without a span give nothing; a cell that
-    reaches beyond the text ends with it. Pieces without a letter or digit are no sentences. Repeated documents give repeated rows. A block is one
-    paragraph, item or line, so memory is bounded by the longest of these and no row shuffles.
+    A sentence reaches from its first to its last visible character. Null or empty texts, null cells and cells without a
+    span give nothing; a cell that reaches beyond the text ends with it. Pieces without a letter or digit are no
+    sentences. Repeated documents give repeated rows. A block is one paragraph, item or line, so memory is bounded by
+    the longest of these and no row shuffles.
     """
-    d = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("_t"), F.explode(F.filter(F.col(cells), lambda c: c["cell_type"] == "markdown")).alias("_c"))
+    d = docs.select(
+        F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("_t"),
+        F.explode(F.filter(F.col(cells), lambda c: c["cell_type"] == "markdown")).alias("_c")
+    )
     start = F.greatest(F.col("_c.char_start"), F.lit(0))
-    d = d.select("doc_id", start.alias("_at"), F.expr("substring(_t, greatest(_c.char_start, 0) + 1, greatest(_c.char_end - greatest(_c.char_start, 0), 0))").alias("_cell")).where("_cell rlike '\\\\S'")
-    b = d.select("doc_id", "_at", F.explode(blocks(F.col("_cell"))).alias("_b")).select("doc_id", (F.col("_at") + F.col("_b.start")).alias("_at"), F.col("_b.text").alias("_b"))
+    d = d.select(
+        "doc_id", start.alias("_at"),
+        F.expr(
+            "substring(_t, greatest(_c.char_start, 0) + 1, greatest(_c.char_end - greatest(_c.char_start, 0), 0))"
+        ).alias("_cell")
+    ).where("_cell rlike '\\\\S'")
+    b = d.select("doc_id", "_at", F.explode(blocks(F.col("_cell"))).alias("_b")).select(
+        "doc_id", (F.col("_at") + F.col("_b.start")).alias("_at"), F.col("_b.text").alias("_b")
+    )
     b = b.where(~F.col("_b").rlike(r"^\s*(?:```|~~~|\||!\[)") & F.col("_b").rlike(r"[\p{L}\p{N}]"))
     lead = F.length(F.regexp_extract("_b", _MARKER, 0))
-    b = b.withColumn("_lead", lead).select("doc_id", (F.col("_at") + F.col("_lead")).alias("_at"), F.expr("substring(_b, _lead + 1)").alias("_b"))
-    s = b.select("doc_id", "_at", F.explode(cut(F.col("_b"))).alias("_s")).where(F.col("_s.text").rlike(r"[\p{L}\p{N}]"))
+    b = b.withColumn("_lead", lead).select(
+        "doc_id", (F.col("_at") + F.col("_lead")).alias("_at"), F.expr("substring(_b, _lead + 1)").alias("_b")
+    )
+    s = b.select(
+        "doc_id", "_at", F.explode(cut(F.col("_b"))).alias("_s")
+    ).where(F.col("_s.text").rlike(r"[\p{L}\p{N}]"))
     before = F.length(F.regexp_extract("_s.text", rf"^{_UNSEEN}*", 0))
     after = F.length(F.regexp_extract("_s.text", rf"{_UNSEEN}*\z", 0))
     return s.select(
@@ -170,4 +214,7 @@ def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text", cells: s
 def sentence_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", cells: str = "cells") -> DataFrame:
     """``sentences`` with the sentence itself as ``sentence``: joined back by key, which must be unique here."""
     spans = sentences(docs, key, text, cells)
-    return spans.join(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_t")), "doc_id").select("doc_id", "sent_start", "sent_end", F.expr("substring(_t, sent_start + 1, sent_end - sent_start)").alias("sentence"))
+    return spans.join(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_t")), "doc_id").select(
+        "doc_id", "sent_start", "sent_end",
+        F.expr("substring(_t, sent_start + 1, sent_end - sent_start)").alias("sentence")
+    )

@@ -5,7 +5,10 @@ from __future__ import annotations
 from quern.llm.leakage import INLINE, TAGS
 
 # The named character references that the corpus uses.
-_REFERENCES = {"&ouml;": "ö", "&uuml;": "ü", "&auml;": "ä", "&szlig;": "ß", "&quot;": '"', "&lt;": "<", "&gt;": ">", "&nbsp;": " ", "&mdash;": "—", "&amp;": "&"}
+_REFERENCES = {
+    "&ouml;": "ö", "&uuml;": "ü", "&auml;": "ä", "&szlig;": "ß", "&quot;": '"', "&lt;": "<", "&gt;": ">", "&nbsp;": " ",
+    "&mdash;": "—", "&amp;": "&"
+}
 
 
 def _words(text: str) -> str:
