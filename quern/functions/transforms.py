@@ -84,7 +84,14 @@ def _rotate(c: Column, by: int) -> Column:
 
 def _times(c: Column, factor: int) -> Column:
     """Product modulo 2**32 of an unsigned 32-bit value held in a bigint, in halves so that it never overflows."""
-    return _bind(c, lambda x: (x.bitwiseAND(F.lit(0xFFFF)) * F.lit(factor) + F.shiftleft((F.shiftrightunsigned(x, 16) * F.lit(factor)).bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseAND(F.lit(_M32)))
+    return _bind(
+        c,
+        lambda x: (
+            x.bitwiseAND(F.lit(0xFFFF)) * F.lit(factor) + F.shiftleft(
+                (F.shiftrightunsigned(x, 16) * F.lit(factor)).bitwiseAND(F.lit(0xFFFF)), 16
+            )
+        ).bitwiseAND(F.lit(_M32))
+    )
 
 
 def _shifted(c: Column, by: int) -> Column:
@@ -105,7 +112,8 @@ def hash_long(c: Column) -> Column:
 
 
 def bucket(n: int, c: Column, kind: str = "long") -> Column:
-    """Bucket number. ``kind``: long (all whole numbers, dates as days, timestamps as microseconds) or text (strings and binary)."""
+    """Bucket number. ``kind``: long (all whole numbers, dates as days, timestamps as microseconds) or text (strings and
+    binary)."""
     h = hash_long(c) if kind == "long" else _hash_text(c)
     return F.pmod(h.bitwiseAND(F.lit(0x7FFFFFFF)), F.lit(n)).cast("int")
 
@@ -134,11 +142,14 @@ def hours(c: Column) -> Column:
     return (days(c) * 24 + F.hour(c)).cast("int")
 
 
-_SIMPLE: dict[str, Callable[[Column], Column]] = {"identity": lambda c: c, "year": years, "month": months, "day": days, "hour": hours, "void": lambda c: F.lit(None)}
+_SIMPLE: dict[str, Callable[[Column], Column]] = {
+    "identity": lambda c: c, "year": years, "month": months, "day": days, "hour": hours, "void": lambda c: F.lit(None)
+}
 
 
 def transform(name: str, c: Column, kind: str | None = None) -> Column:
-    """The transform called ``name`` (as in a partition spec) of ``c``. ``kind``: int or text, for bucket and truncate (int if not given)."""
+    """The transform called ``name`` (as in a partition spec) of ``c``. ``kind``: int or text, for bucket and truncate
+    (int if not given)."""
     if name in _SIMPLE:
         return _SIMPLE[name](c)
     m = re.fullmatch(r"(bucket|truncate)\[(\d+)\]", name)
@@ -156,7 +167,8 @@ EPOCH = dt.datetime(1970, 1, 1)
 
 
 def physical(kind: str) -> str | None:
-    """How values of a logical type are kept in partitions: int, long, float, double, boolean or string; None for those without bounds."""
+    """How values of a logical type are kept in partitions: int, long, float, double, boolean or string; None for those
+    without bounds."""
     if kind in ("date", "int"):
         return "int"
     if kind in ("long", "time") or kind.startswith("timestamp"):
@@ -173,7 +185,9 @@ def physical_value(kind: str, v: Any) -> Any:
     """A literal as it is kept in partitions: dates as days, times as microseconds."""
     if kind == "date":
         v = dt.date.fromisoformat(v) if isinstance(v, str) else v
-        return (v.date() if isinstance(v, dt.datetime) else v).toordinal() - EPOCH.date().toordinal() if isinstance(v, dt.date) else v
+        return (
+            v.date() if isinstance(v, dt.datetime) else v
+        ).toordinal() - EPOCH.date().toordinal() if isinstance(v, dt.date) else v
     if kind in ("timestamp", "timestamptz"):
         v = dt.datetime.fromisoformat(v) if isinstance(v, str) else v
         if isinstance(v, dt.datetime):
@@ -194,7 +208,8 @@ def physical_column(kind: str, c: Column) -> Column:
 
 
 def apply_value(name: str, kind: str, v: Any) -> Any:
-    """The transform called ``name`` of one value of a ``kind``, as it is kept in partitions. TypeError where it can't be told."""
+    """The transform called ``name`` of one value of a ``kind``, as it is kept in partitions. TypeError where it can't
+    be told."""
     if v is None:
         return None
     v = physical_value(kind, v)
@@ -204,7 +219,10 @@ def apply_value(name: str, kind: str, v: Any) -> Any:
         if not isinstance(v, int):
             raise TypeError(name)
         at = EPOCH + (dt.timedelta(days=v) if kind == "date" else dt.timedelta(microseconds=v))
-        return {"year": at.year - 1970, "month": (at.year - 1970) * 12 + at.month - 1, "day": (at - EPOCH).days, "hour": (at - EPOCH) // dt.timedelta(hours=1)}[name]
+        return {
+            "year": at.year - 1970, "month": (at.year - 1970) * 12 + at.month - 1, "day": (at - EPOCH).days,
+            "hour": (at - EPOCH) // dt.timedelta(hours=1)
+        }[name]
     m = re.fullmatch(r"(bucket|truncate)\[(\d+)\]", name)
     if not m:
         raise TypeError(name)

@@ -1,10 +1,11 @@
 """Applying a stream of inserts, updates and deletes.
 
-A change is a patch: a function from a row to a row. Patches on one key compose associatively once every patch carries the
-position of its change: of two images the later one holds, a deletion empties what lies before it, and of two partial updates
-each column keeps its later value. All of these are maxima over positions, so composing can begin in any chunk of the feed.
-``patches`` therefore reduces as a tree: within each map task, then over range chunks of the positions of each key (a hot key
-is spread over its chunks), then over the keys. ``combine`` composes patches with patches kept from before, ``apply_changes`` applies them to a base.
+A change is a patch: a function from a row to a row. Patches on one key compose associatively once every patch carries
+the position of its change: of two images the later one holds, a deletion empties what lies before it, and of two
+partial updates each column keeps its later value. All of these are maxima over positions, so composing can begin in any
+chunk of the feed. ``patches`` therefore reduces as a tree: within each map task, then over range chunks of the
+positions of each key (a hot key is spread over its chunks), then over the keys. ``combine`` composes patches with
+patches kept from before, ``apply_changes`` applies them to a base.
 """
 
 from __future__ import annotations
@@ -29,16 +30,24 @@ def _plain(c: Column, t: T.DataType) -> Column:
     if not _has_map(t):
         return c
     if isinstance(t, T.MapType):
-        return F.array_sort(F.transform(F.map_entries(c), lambda e: F.struct(e["key"].alias("key"), _plain(e["value"], t.valueType).alias("value"))))
+        return F.array_sort(
+            F.transform(
+                F.map_entries(c),
+                lambda e: F.struct(e["key"].alias("key"), _plain(e["value"], t.valueType).alias("value"))
+            )
+        )
     if isinstance(t, T.ArrayType):
         return F.transform(c, lambda x: _plain(x, t.elementType))
     return F.struct(*(_plain(c[f.name], f.dataType).alias(f.name) for f in t))
 
 
 def _rank(at: Column, values: Sequence[tuple[Column, T.DataType]]) -> Column:
-    """What images are compared by: their position, then their values, nulls least; Spark doesn't order maps, so a hash stands for values that hold any."""
+    """What images are compared by: their position, then their values, nulls least; Spark doesn't order maps, so a hash
+    stands for values that hold any."""
     hashed = lambda c, t: F.when(c.isNotNull(), F.xxhash64(_plain(c, t)))
-    return F.struct(at.alias("_at"), *((hashed(c, t) if _has_map(t) else c).alias(f"_{k}") for k, (c, t) in enumerate(values)))
+    return F.struct(
+        at.alias("_at"), *((hashed(c, t) if _has_map(t) else c).alias(f"_{k}") for k, (c, t) in enumerate(values))
+    )
 
 
 def _position(order: str, deletes: Column) -> Column:
@@ -47,22 +56,29 @@ def _position(order: str, deletes: Column) -> Column:
 
 
 def patches(
-    changes: DataFrame, keys: Sequence[str], order: str, deletes: Column, values: Sequence[str] = (), partial: bool = False, chunk: int = 64
+    changes: DataFrame, keys: Sequence[str], order: str, deletes: Column, values: Sequence[str] = (),
+    partial: bool = False, chunk: int = 64
 ) -> DataFrame:
     """One patch per key: ``keys`` and the function that all its changes amount to, for ``combine`` and ``settle``.
 
-    ``partial=False``: every change carries the whole row; the one with the highest ``order`` holds, deletions first among equals,
-    whenever it arrived. ``partial=True``: a null value leaves the column as it was; each column holds its latest value after the last
-    deletion. Repeated changes change nothing. Changes with a null ``order`` have no place in the sequence and are ignored; null keys
-    are keys of their own. Equal numbers with different values: the greatest value holds (of values that hold maps, the one with the greatest hash), so results don't depend on the input's order.
-    ``chunk``: how many neighbouring numbers make one range chunk of a key.
+    ``partial=False``: every change carries the whole row; the one with the highest ``order`` holds, deletions first
+    among equals, whenever it arrived. ``partial=True``: a null value leaves the column as it was; each column holds its
+    latest value after the last deletion. Repeated changes change nothing. Changes with a null ``order`` have no place
+    in the sequence and are ignored; null keys are keys of their own. Equal numbers with different values: the greatest
+    value holds (of values that hold maps, the one with the greatest hash), so results don't depend on the input's
+    order. ``chunk``: how many neighbouring numbers make one range chunk of a key.
     """
     at = _position(order, deletes)
-    rows = changes.select(*(F.col(k) for k in keys), at.alias("_at"), *(F.col(v).alias(v) for v in values)).where("_at is not null")
+    rows = changes.select(
+        *(F.col(k) for k in keys), at.alias("_at"), *(F.col(v).alias(v) for v in values)
+    ).where("_at is not null")
     chunked = rows.withColumn("_chunk", F.floor(F.col("_at") / (2 * chunk)))
     if partial:
         sets = lambda v: F.when((F.col("_at") % 2 == 0) & F.col(v).isNotNull(), F.struct("_at", v))
-        single = chunked.select(*keys, "_chunk", "_at", F.when(F.col("_at") % 2 == 1, F.col("_at")).alias("_gone"), *(sets(v).alias(v) for v in values))
+        single = chunked.select(
+            *keys, "_chunk", "_at", F.when(F.col("_at") % 2 == 1, F.col("_at")).alias("_gone"),
+            *(sets(v).alias(v) for v in values)
+        )
     elif values:
         single = chunked.select(*keys, "_chunk", F.struct("_at", *values).alias("_image"))
     else:
@@ -71,10 +87,13 @@ def patches(
 
 
 def _reduce(some: DataFrame, by: Sequence[str], partial: bool) -> DataFrame:
-    """The patches of each ``by`` composed into one: whichever of two came later decides, for the row or for each of its columns."""
+    """The patches of each ``by`` composed into one: whichever of two came later decides, for the row or for each of its
+    columns."""
     if "_image" in some.columns:
         image = some.schema["_image"].dataType
-        rank = _rank(F.col("_image._at"), [(F.col("_image")[f.name], f.dataType) for f in image.fields if f.name != "_at"])
+        rank = _rank(
+            F.col("_image._at"), [(F.col("_image")[f.name], f.dataType) for f in image.fields if f.name != "_at"]
+        )
         latest = F.max_by("_image", rank) if _has_map(image) else F.max("_image")
         return some.groupBy(*by).agg(latest.alias("_image"))
     if not partial:
@@ -85,13 +104,17 @@ def _reduce(some: DataFrame, by: Sequence[str], partial: bool) -> DataFrame:
         kind = some.schema[v].dataType[v].dataType
         return F.max_by(v, F.when(F.col(v).isNotNull(), _rank(F.col(v)["_at"], [(F.col(v)[v], kind)])))
 
-    return some.groupBy(*by).agg(F.max("_at").alias("_at"), F.max("_gone").alias("_gone"), *(latest(v).alias(v) for v in values))
+    return some.groupBy(*by).agg(
+        F.max("_at").alias("_at"), F.max("_gone").alias("_gone"), *(latest(v).alias(v) for v in values)
+    )
 
 
 def combine(some: Sequence[DataFrame], keys: Sequence[str], partial: bool = False) -> DataFrame:
-    """Patches composed with patches of the same kind, in any order: composing is associative, and each patch carries its positions.
+    """Patches composed with patches of the same kind, in any order: composing is associative, and each patch carries
+    its positions.
 
-    Patches kept from earlier runs, deletions among them, are a state that late and repeated changes can still be composed with.
+    Patches kept from earlier runs, deletions among them, are a state that late and repeated changes can still be
+    composed with.
     """
     every = some[0]
     for x in some[1:]:
@@ -100,7 +123,8 @@ def combine(some: Sequence[DataFrame], keys: Sequence[str], partial: bool = Fals
 
 
 def settle(some: DataFrame, keys: Sequence[str], partial: bool = False) -> DataFrame:
-    """What the patches do: ``keys``, ``_at`` (position of the holding change), ``_deleted`` and the values; with ``partial``, ``_reset``: what was before is gone."""
+    """What the patches do: ``keys``, ``_at`` (position of the holding change), ``_deleted`` and the values; with
+    ``partial``, ``_reset``: what was before is gone."""
     if not partial:
         flat = some.select(*keys, "_image.*") if "_image" in some.columns else some
         return flat.withColumn("_deleted", F.col("_at") % 2 == 1)
@@ -113,26 +137,33 @@ def settle(some: DataFrame, keys: Sequence[str], partial: bool = False) -> DataF
 
 
 def compose(
-    changes: DataFrame, keys: Sequence[str], order: str, deletes: Column, values: Sequence[str] = (), partial: bool = False, chunk: int = 64
+    changes: DataFrame, keys: Sequence[str], order: str, deletes: Column, values: Sequence[str] = (),
+    partial: bool = False, chunk: int = 64
 ) -> DataFrame:
     """``patches``, settled."""
     return settle(patches(changes, keys, order, deletes, values, partial, chunk), keys, partial)
 
 
 def apply_changes(
-    base: DataFrame, changes: DataFrame, keys: Sequence[str], order: str, deletes: Column, values: Sequence[str], partial: bool = False, chunk: int = 64,
-    position: str | None = None,
+    base: DataFrame, changes: DataFrame, keys: Sequence[str], order: str, deletes: Column, values: Sequence[str],
+    partial: bool = False, chunk: int = 64, position: str | None = None,
 ) -> DataFrame:
     """The state of ``base`` after ``changes``: ``keys`` and ``values``, one row per key that is alive.
 
-    ``base`` has one row per key. Its other columns, and those of ``changes``, are not read. Null keys match each other. Either side may be empty. ``position``: a
-    column of base with the number of the change that made the row (null: none), which the result carries on; a change that base has seen, or one before
-    it, then changes nothing. Deletions leave no row: changes that may come late for them are composed with patches kept (``combine``).
+    ``base`` has one row per key. Its other columns, and those of ``changes``, are not read. Null keys match each other.
+    Either side may be empty. ``position``: a column of base with the number of the change that made the row (null:
+    none), which the result carries on; a change that base has seen, or one before it, then changes nothing. Deletions
+    leave no row: changes that may come late for them are composed with patches kept (``combine``).
     """
-    return apply_patches(base, patches(changes, keys, order, deletes, values, partial, chunk), keys, values, partial, position)
+    return apply_patches(
+        base, patches(changes, keys, order, deletes, values, partial, chunk), keys, values, partial, position
+    )
 
 
-def apply_patches(base: DataFrame, some: DataFrame, keys: Sequence[str], values: Sequence[str], partial: bool = False, position: str | None = None) -> DataFrame:
+def apply_patches(
+    base: DataFrame, some: DataFrame, keys: Sequence[str], values: Sequence[str], partial: bool = False,
+    position: str | None = None
+) -> DataFrame:
     """``apply_changes`` for changes that are patches already."""
     number = F.col(position).cast("bigint") if position else F.lit(None).cast("bigint")
     b = base.select(*keys, *values, number.alias("_number"), F.lit(True).alias("_there")).alias("b")
@@ -151,7 +182,9 @@ def apply_patches(base: DataFrame, some: DataFrame, keys: Sequence[str], values:
         out.append(F.when(patched, F.expr("p._at div 2")).otherwise(F.col("b._number")).alias(position))
     alive = F.when(patched, ~F.col("p._deleted")).otherwise(F.lit(True))
     there = F.col("b._there").isNotNull()
-    return j.where(alive).select(*(F.when(there, F.col(f"b.{k}")).otherwise(F.col(f"p.{k}")).alias(k) for k in keys), *out)
+    return j.where(alive).select(
+        *(F.when(there, F.col(f"b.{k}")).otherwise(F.col(f"p.{k}")).alias(k) for k in keys), *out
+    )
 
 
 FILE_KEYS = ["table_id", "file_path"]
@@ -160,11 +193,13 @@ FILE_KEYS = ["table_id", "file_path"]
 def file_changes(entries: DataFrame, listed: DataFrame, values: Sequence[str] = ()) -> DataFrame:
     """(table_id, file_path, sequence_number, status, values): ``entries`` as changes to the files of tables.
 
-    ``values`` are columns of ``entries`` or fields of data_file. A null sequence_number is the manifest's in ``listed``.
+    ``values`` are columns of ``entries`` or fields of data_file. A null sequence_number is the manifest's in
+    ``listed``.
     """
     inner = {v: F.col(v) if v in entries.columns else F.col(f"data_file.{v}") for v in values}
     e = entries.select(
-        "table_id", "manifest_path", "status", "snapshot_id", "sequence_number", location("data_file.file_path").alias("file_path"), *(c.alias(f"v_{v}") for v, c in inner.items())
+        "table_id", "manifest_path", "status", "snapshot_id", "sequence_number",
+        location("data_file.file_path").alias("file_path"), *(c.alias(f"v_{v}") for v, c in inner.items())
     ).where("file_path is not null")
     named = with_numbers(e, listed)
     return named.select(*FILE_KEYS, "sequence_number", "status", *(F.col(f"v_{v}").alias(v) for v in values))
@@ -175,8 +210,15 @@ def no_files(changes: DataFrame, values: Sequence[str] = ()) -> DataFrame:
     return changes.select(*FILE_KEYS, "sequence_number", *values).limit(0)
 
 
-def current_files(entries: DataFrame, listed: DataFrame, values: Sequence[str] = (), base: DataFrame | None = None, partial: bool = False) -> DataFrame:
-    """(table_id, file_path, sequence_number, values): the files that the changes of ``entries`` leave in each table, applied to ``base`` (none: empty tables)."""
+def current_files(
+    entries: DataFrame, listed: DataFrame, values: Sequence[str] = (), base: DataFrame | None = None,
+    partial: bool = False
+) -> DataFrame:
+    """(table_id, file_path, sequence_number, values): the files that the changes of ``entries`` leave in each table,
+    applied to ``base`` (none: empty tables)."""
     c = file_changes(entries, listed, values)
-    got = apply_changes(no_files(c, values) if base is None else base, c, FILE_KEYS, "sequence_number", F.col("status") == 2, values, partial, position="sequence_number")
+    got = apply_changes(
+        no_files(c, values) if base is None else base, c, FILE_KEYS, "sequence_number", F.col("status") == 2, values,
+        partial, position="sequence_number"
+    )
     return got.select(*FILE_KEYS, "sequence_number", *values)

@@ -1,8 +1,9 @@
 """Schemas that drift between files: one consistent layout per table, and every change of a field.
 
-Documents, rows and schemas alike, are loaded as maps from path to value with the raw JSON type kept. Statistics of paths and types
-are aggregated by file, or by version of a schema, and typed columns are projected from the maps: ids, names and types of
-fields from schemas, the columns of the layout from rows. What a cast can't take is reported with its raw value, not dropped.
+Documents, rows and schemas alike, are loaded as maps from path to value with the raw JSON type kept. Statistics of
+paths and types are aggregated by file, or by version of a schema, and typed columns are projected from the maps: ids,
+names and types of fields from schemas, the columns of the layout from rows. What a cast can't take is reported with its
+raw value, not dropped.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ class _Number(str):
 
 
 def read_json(text: str | None) -> Any:
-    """``text`` as Python values with numbers as written; text that holds JSON text is read again. ValueError if it is none."""
+    """``text`` as Python values with numbers as written; text that holds JSON text is read again. ValueError if it is
+    none."""
     if text is None:
         raise ValueError("no text")
     try:
@@ -80,7 +82,8 @@ def _step(name: str) -> str:
 def flatten(text: str | None) -> list[tuple[str, str, str | None]] | None:
     """(path, kind, value) of all that the JSON object ``text`` holds; None if it is no JSON object.
 
-    Paths are like ``a.b[0].c``; what would be read as part of a path is escaped by a backslash in names. Objects and arrays have a row without value.
+    Paths are like ``a.b[0].c``; what would be read as part of a path is escaped by a backslash in names. Objects and
+    arrays have a row without value.
     """
     try:
         top = read_json(text)
@@ -124,7 +127,8 @@ def _flattened(texts):
 
 
 def path_map(text: Column | str) -> Column:
-    """The path-value map of JSON text, from path to (kind, value); null where it is no JSON object. Equal texts of a batch are read once."""
+    """The path-value map of JSON text, from path to (kind, value); null where it is no JSON object. Equal texts of a
+    batch are read once."""
     return _once(_flattened, _VALUES)(text)
 
 
@@ -134,17 +138,23 @@ def _once(function: Any, kind: str) -> Any:
 
 
 def path_values(rows: DataFrame) -> DataFrame:
-    """``rows`` as (manifest_path, row_pos, payload, values): the payload and its path-value map; repeated rows are kept once."""
-    at = rows.select(location("manifest_path").alias("manifest_path"), "row_pos", "payload", F.xxhash64("payload").alias("_h"))
+    """``rows`` as (manifest_path, row_pos, payload, values): the payload and its path-value map; repeated rows are kept
+    once."""
+    at = rows.select(
+        location("manifest_path").alias("manifest_path"), "row_pos", "payload", F.xxhash64("payload").alias("_h")
+    )
     once = at.dropDuplicates(["manifest_path", "row_pos", "_h"]).drop("_h")
     return once.withColumn("values", path_map("payload"))
 
 
 def path_statistics(rows: DataFrame) -> DataFrame:
-    """(manifest_path, path, raw_type, n): how often each path holds which raw type, by file. Positions in arrays count as one path, ``[]``."""
+    """(manifest_path, path, raw_type, n): how often each path holds which raw type, by file. Positions in arrays count
+    as one path, ``[]``."""
     e = path_values(rows).select("manifest_path", F.explode("values").alias("path", "x"))
     path = F.regexp_replace("path", r"(?<!\\)\[\d+\]", "[]")
-    return e.groupBy("manifest_path", path.alias("path"), F.col("x.kind").alias("raw_type")).agg(F.count("*").alias("n"))
+    return e.groupBy(
+        "manifest_path", path.alias("path"), F.col("x.kind").alias("raw_type")
+    ).agg(F.count("*").alias("n"))
 
 
 # Schemas
@@ -155,67 +165,98 @@ _TYPE = rf"{_FIELD}\.type(?:\.(?:element|key|value))*"
 
 
 def schema_texts(manifests: DataFrame) -> DataFrame:
-    """(table_id, header_id, schema, files): the distinct schema texts with the number of headers that have them. Headers without table_id are left out."""
-    m = manifests.where("table_id is not null").select(F.col("table_id").cast("bigint").alias("table_id"), number("schema_id").alias("header_id"), "schema")
+    """(table_id, header_id, schema, files): the distinct schema texts with the number of headers that have them.
+    Headers without table_id are left out."""
+    m = manifests.where("table_id is not null").select(
+        F.col("table_id").cast("bigint").alias("table_id"), number("schema_id").alias("header_id"), "schema"
+    )
     return m.groupBy("table_id", "header_id", "schema").agg(F.count("*").alias("files"))
 
 
 def schema_documents(texts: DataFrame) -> DataFrame:
-    """``texts`` (with header_id and schema) with ``schema_id``, ``fields`` and ``failed``: each schema projected from its path-value map.
+    """``texts`` (with header_id and schema) with ``schema_id``, ``fields`` and ``failed``: each schema projected from
+    its path-value map.
 
-    ``fields``: array of (field_id, name, type). Lists have a field ``element``, maps ``key`` and ``value``; the type of a struct, list or map is only
-    its kind; blanks inside a type are dropped. ``failed``: the paths at which a schema needs what isn't there or can't be cast (``$``: it is no
-    JSON object with fields). The id is the header's, else that in the JSON.
+    ``fields``: array of (field_id, name, type). Lists have a field ``element``, maps ``key`` and ``value``; the type of
+    a struct, list or map is only its kind; blanks inside a type are dropped. ``failed``: the paths at which a schema
+    needs what isn't there or can't be cast (``$``: it is no JSON object with fields). The id is the header's, else that
+    in the JSON.
     """
     m = texts.withColumn("_values", path_map("schema"))
     at = lambda p: F.try_element_at("_values", p)
     has = lambda p, *kinds: F.coalesce(at(p)["kind"].isin(*kinds), F.lit(False))
     whole = lambda p: at(p)["value"].try_cast("int").isNotNull()
     more = lambda p, s: F.concat(p, F.lit(s))
-    kind = lambda p: F.when(has(p, "object"), at(more(p, ".type"))["value"]).otherwise(F.regexp_replace(at(p)["value"], r"\s+", ""))
+    kind = lambda p: F.when(
+        has(p, "object"), at(more(p, ".type"))["value"]
+    ).otherwise(F.regexp_replace(at(p)["value"], r"\s+", ""))
 
     def node(p: Column) -> Column:
         field = p.endswith(".id")
         base = F.regexp_replace(p, r"[.-]id$", "")
         return F.struct(
-            at(p)["value"].try_cast("int").alias("field_id"), F.when(field, at(more(base, ".name"))["value"]).otherwise(F.regexp_extract(base, r"(\w+)$", 1)).alias("name"),
+            at(p)["value"].try_cast("int").alias("field_id"),
+            F.when(
+                field, at(more(base, ".name"))["value"]
+            ).otherwise(F.regexp_extract(base, r"(\w+)$", 1)).alias("name"),
             F.when(field, kind(more(base, ".type"))).otherwise(kind(base)).alias("type"),
         )
 
     def bad(p: Column) -> Column:
-        field = ~(has(p, "object") & whole(more(p, ".id")) & has(more(p, ".name"), "string") & has(more(p, ".type"), "string", "object"))
+        field = ~(
+            has(p, "object") & whole(more(p, ".id")) & has(more(p, ".name"), "string") & has(
+                more(p, ".type"), "string", "object"
+            )
+        )
         part = lambda n: whole(more(p, f".{n}-id")) & has(more(p, f".{n}"), "string", "object")
         own = at(more(p, ".type"))["value"]
-        good = F.when(own == "struct", has(more(p, ".fields"), "array")).when(own == "list", part("element")).when(own == "map", part("key") & part("value"))
-        return F.when(p.endswith("]"), p.rlike(rf"^{_FIELD}$") & field).otherwise(has(p, "object") & p.rlike(rf"^{_TYPE}$") & ~F.coalesce(good, F.lit(False)))
+        good = F.when(
+            own == "struct", has(more(p, ".fields"), "array")
+        ).when(own == "list", part("element")).when(own == "map", part("key") & part("value"))
+        return F.when(p.endswith("]"), p.rlike(rf"^{_FIELD}$") & field).otherwise(
+            has(p, "object") & p.rlike(rf"^{_TYPE}$") & ~F.coalesce(good, F.lit(False))
+        )
 
     # What ends otherwise is neither a field nor a type nor an id; the patterns are matched only against the rest.
     paths = F.map_keys("_values")
     ends = lambda p, *s: F.substring_index(p, ".", -1).isin(*s)
-    ids = F.filter(paths, lambda p: ends(p, "id", "element-id", "key-id", "value-id") & p.rlike(rf"^(?:{_FIELD}\.id|{_TYPE}\.(?:element|key|value)-id)$"))
+    ids = F.filter(
+        paths,
+        lambda p: ends(p, "id", "element-id", "key-id", "value-id") & p.rlike(
+            rf"^(?:{_FIELD}\.id|{_TYPE}\.(?:element|key|value)-id)$"
+        )
+    )
     failed = F.filter(paths, lambda p: (p.endswith("]") | ends(p, "type", "element", "key", "value")) & bad(p))
-    m = m.withColumn("failed", F.when(F.coalesce(at(F.lit("fields"))["kind"] == "array", F.lit(False)), failed).otherwise(F.array(F.lit("$"))))
+    m = m.withColumn(
+        "failed",
+        F.when(F.coalesce(at(F.lit("fields"))["kind"] == "array", F.lit(False)), failed).otherwise(F.array(F.lit("$")))
+    )
     sid = F.coalesce("header_id", F.trim(at(F.lit("schema-id"))["value"]).try_cast("bigint"))
     return m.select(*texts.columns, sid.alias("schema_id"), F.transform(ids, node).alias("fields"), "failed")
 
 
 def unreadable_schemas(manifests: DataFrame) -> DataFrame:
-    """(table_id, header_id, schema, files, failed): the schema texts that couldn't be read, in how many headers they are, and what failed."""
+    """(table_id, header_id, schema, files, failed): the schema texts that couldn't be read, in how many headers they
+    are, and what failed."""
     return schema_documents(schema_texts(manifests)).where("size(failed) > 0").drop("schema_id", "fields")
 
 
 def field_statistics(manifests: DataFrame) -> DataFrame:
-    """(table_id, schema_id, field_id, name, type, files): in how many headers each version has a field under which name and type.
+    """(table_id, schema_id, field_id, name, type, files): in how many headers each version has a field under which name
+    and type.
 
     Only readable schemas with an id count. A version without fields has a row without field_id.
     """
     d = schema_documents(schema_texts(manifests)).where("size(failed) = 0 and schema_id is not null")
-    f = d.select("table_id", "schema_id", "files", F.explode_outer("fields").alias("f")).select("table_id", "schema_id", "files", "f.*")
+    f = d.select(
+        "table_id", "schema_id", "files", F.explode_outer("fields").alias("f")
+    ).select("table_id", "schema_id", "files", "f.*")
     return f.groupBy("table_id", "schema_id", "field_id", "name", "type").agg(F.sum("files").alias("files"))
 
 
 def versions(manifests: DataFrame) -> DataFrame:
-    """(table_id, schema_id, field_id, name, type): the fields of each version of a table's schema, from ``field_statistics``.
+    """(table_id, schema_id, field_id, name, type): the fields of each version of a table's schema, from
+    ``field_statistics``.
 
     Where headers of one version differ about a field, the reading of most headers is taken, the greatest among equals.
     """
@@ -225,21 +266,41 @@ def versions(manifests: DataFrame) -> DataFrame:
 
 
 def changes(manifests: DataFrame) -> DataFrame:
-    """(table_id, from_schema_id, to_schema_id, field_id, change): what differs between neighbouring versions of a table.
+    """(table_id, from_schema_id, to_schema_id, field_id, change): what differs between neighbouring versions of a
+    table.
 
-    A window over the versions of a table finds the neighbours (versions, not files: few per table); fields are compared by id.
+    A window over the versions of a table finds the neighbours (versions, not files: few per table); fields are compared
+    by id.
     """
     v = materialise(versions(manifests), "versions")
     after = Window.partitionBy("table_id").orderBy("schema_id")
-    near = v.select("table_id", "schema_id").distinct().select("table_id", "schema_id", F.lag("schema_id").over(after).alias("before_id"), F.lead("schema_id").over(after).alias("next_id"))
+    near = v.select("table_id", "schema_id").distinct().select(
+        "table_id", "schema_id", F.lag("schema_id").over(after).alias("before_id"),
+        F.lead("schema_id").over(after).alias("next_id")
+    )
     f = v.where("field_id is not null").join(near, ["table_id", "schema_id"])
-    new = f.where("before_id is not null").select("table_id", F.col("before_id").alias("from_schema_id"), F.col("schema_id").alias("to_schema_id"), "field_id", "name", "type", F.lit(True).alias("new"))
-    old = f.where("next_id is not null").select("table_id", F.col("schema_id").alias("from_schema_id"), F.col("next_id").alias("to_schema_id"), "field_id", "name", "type", F.lit(False).alias("new"))
+    new = f.where("before_id is not null").select(
+        "table_id", F.col("before_id").alias("from_schema_id"), F.col("schema_id").alias("to_schema_id"), "field_id",
+        "name", "type", F.lit(True).alias("new")
+    )
+    old = f.where("next_id is not null").select(
+        "table_id", F.col("schema_id").alias("from_schema_id"), F.col("next_id").alias("to_schema_id"), "field_id",
+        "name", "type", F.lit(False).alias("new")
+    )
     pair = new.unionByName(old).groupBy("table_id", "from_schema_id", "to_schema_id", "field_id").agg(
-        *(F.max(F.when(F.col("new") == side, F.col(c))).alias(f"{c}_{side}".lower()) for c in ("name", "type") for side in (True, False))
+        *(
+            F.max(
+                F.when(F.col("new") == side, F.col(c))
+            ).alias(f"{c}_{side}".lower()) for c in ("name", "type") for side in (True, False)
+        )
+    )
+    both = F.array(
+        F.when(F.col("name_true") != F.col("name_false"), "renamed"),
+        F.when(F.col("type_true") != F.col("type_false"), "retyped")
     )
-    both = F.array(F.when(F.col("name_true") != F.col("name_false"), "renamed"), F.when(F.col("type_true") != F.col("type_false"), "retyped"))
-    kinds = F.when(F.col("name_false").isNull(), F.array(F.lit("added"))).when(F.col("name_true").isNull(), F.array(F.lit("removed"))).otherwise(F.filter(both, lambda x: x.isNotNull()))
+    kinds = F.when(F.col("name_false").isNull(), F.array(F.lit("added"))).when(
+        F.col("name_true").isNull(), F.array(F.lit("removed"))
+    ).otherwise(F.filter(both, lambda x: x.isNotNull()))
     return pair.select("table_id", "from_schema_id", "to_schema_id", "field_id", F.explode(kinds).alias("change"))
 
 
@@ -257,7 +318,8 @@ def _tree(kind: Any) -> Any:
 
 
 def _routes(own: Any, latest: Any) -> Any:
-    """How values of type ``own`` are laid out as ``latest``: a type name for leaves, else [kind, parts]; ``latest`` None: the field is gone, its own type stays."""
+    """How values of type ``own`` are laid out as ``latest``: a type name for leaves, else [kind, parts]; ``latest``
+    None: the field is gone, its own type stays."""
     if latest is None:
         latest = own
     if isinstance(own, str) or isinstance(latest, str) or own[0] != latest[0]:
@@ -286,7 +348,8 @@ _NESTED = ("struct", "list", "map")
 
 
 def lay_out(text: str | None, route: Any) -> tuple[list[tuple], dict[str, str | None]]:
-    """(leaves, columns) of a payload by a ``_routes`` (None: as it is): leaves as (path, type, kind, raw, is a map's key), columns as JSON text by name.
+    """(leaves, columns) of a payload by a ``_routes`` (None: as it is): leaves as (path, type, kind, raw, is a map's
+    key), columns as JSON text by name.
 
     Paths have the names of the layout: ``a.b`` for members, ``a[0]`` for elements, ``a{key}`` for the values of maps.
     """
@@ -343,7 +406,12 @@ def _laid_out(texts, routes):
         if route not in ways:
             ways[route] = json.loads(route)  # rows of one version have the same
         rows.append(lay_out(text, ways[route]))
-    leaf = pa.struct([("path", pa.string()), ("type", pa.string()), ("kind", pa.string()), ("raw", pa.string()), ("is_key", pa.bool_())])
+    leaf = pa.struct(
+        [
+            ("path", pa.string()), ("type", pa.string()), ("kind", pa.string()), ("raw", pa.string()),
+            ("is_key", pa.bool_())
+        ]
+    )
     names = [f.name for f in leaf]
     leaves = pa.array([[dict(zip(names, x, strict=True)) for x in a] for a, _ in rows], pa.list_(leaf))
     columns = pa.array([list(b.items()) for _, b in rows], pa.map_(pa.string(), pa.string()))
@@ -357,7 +425,8 @@ def _routed(own, latest):
 
 
 def _casts(value: Column, kind: Column) -> Column:
-    """``value`` (raw text) in the canonical text of ``kind``; null where it can't be cast. Text stays as it is; a nested kind takes no leaf."""
+    """``value`` (raw text) in the canonical text of ``kind``; null where it can't be cast. Text stays as it is; a
+    nested kind takes no leaf."""
     whole = F.regexp_replace(value, r"^(-?\d+)\.0+$", "$1")
     plain = F.when(value.rlike(r"^-?\d+(\.\d+)?$"), value).otherwise(value.try_cast("decimal(38,18)").cast("string"))
     digits = F.ltrim(F.regexp_extract(plain, r"^-?(\d+)", 1), F.lit("0"))
@@ -365,66 +434,100 @@ def _casts(value: Column, kind: Column) -> Column:
     limits = [F.regexp_extract(kind, r"\((\d+),(\d+)\)", g).try_cast("int") for g in (1, 2)]
     fits = plain.isNotNull() & (F.length(digits) <= limits[0] - limits[1]) & (F.length(part) <= limits[1])
     number_ = F.concat(
-        F.when(plain.startswith("-") & (F.length(F.concat(digits, part)) > 0), "-").otherwise(""), F.when(digits == "", "0").otherwise(digits),
+        F.when(plain.startswith("-") & (F.length(F.concat(digits, part)) > 0), "-").otherwise(""),
+        F.when(digits == "", "0").otherwise(digits),
         F.when(limits[1] > 0, F.concat(F.lit("."), F.rpad(part, limits[1], F.lit("0")))).otherwise(""),
     )
     return (
-        F.when(kind == "int", whole.try_cast("int").cast("string")).when(kind == "long", whole.try_cast("bigint").cast("string"))
-        .when(kind == "float", value.try_cast("float").cast("string")).when(kind == "double", value.try_cast("double").cast("string"))
-        .when(kind == "boolean", value.try_cast("boolean").cast("string")).when(kind == "date", value.try_cast("date").cast("string"))
-        .when(kind.isin("timestamp", "timestamp_ns"), value.try_cast("timestamp_ntz").cast("string"))
-        .when(kind.isin("timestamptz", "timestamptz_ns"), value.try_cast("timestamp").cast("string"))
-        .when(kind.startswith("decimal"), F.when(fits, number_)).when(kind.isin(*_NESTED), F.lit(None).cast("string")).otherwise(value)
+        F.when(kind == "int", whole.try_cast("int").cast("string")).when(kind == "long", whole.try_cast("bigint").cast("string")) .when(kind == "float", value.try_cast("float").cast("string")).when(kind == "double", value.try_cast("double").cast("string")) .when(kind == "boolean", value.try_cast("boolean").cast("string")).when(kind == "date", value.try_cast("date").cast("string")) .when(
+            kind.isin("timestamp", "timestamp_ns"), value.try_cast("timestamp_ntz").cast("string")
+        ) .when(kind.isin("timestamptz", "timestamptz_ns"), value.try_cast("timestamp").cast("string")) .when(kind.startswith(
+            "decimal"
+        ), F.when(fits, number_)).when(kind.isin(*_NESTED), F.lit(None).cast("string")).otherwise(value)
     )
 
 
 def _latest_texts(manifests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(manifest_path, table_id, schema_id) of every manifest, and (table_id, schema_id, route) of every readable version."""
-    read = schema_documents(schema_texts(manifests)).select("table_id", "header_id", "schema", F.md5("schema").alias("_text"), "schema_id", (F.size("failed") == 0).alias("good"))
+    """(manifest_path, table_id, schema_id) of every manifest, and (table_id, schema_id, route) of every readable
+    version."""
+    read = schema_documents(schema_texts(manifests)).select(
+        "table_id", "header_id", "schema", F.md5("schema").alias("_text"), "schema_id",
+        (F.size("failed") == 0).alias("good")
+    )
     d = materialise(read, "schemas")
     own = manifests.select(
-        location("manifest_path").alias("manifest_path"), F.col("table_id").cast("bigint").alias("table_id"), number("schema_id").alias("header_id"), F.md5("schema").alias("_text")
+        location("manifest_path").alias("manifest_path"), F.col("table_id").cast("bigint").alias("table_id"),
+        number("schema_id").alias("header_id"), F.md5("schema").alias("_text")
     ).where("table_id is not null")
     same = [F.col(f"m.{c}").eqNullSafe(F.col(f"d.{c}")) for c in ("table_id", "header_id", "_text")]
-    m = own.alias("m").join(d.alias("d"), same, "left").groupBy("m.manifest_path").agg(F.max("m.table_id").alias("table_id"), F.max("d.schema_id").alias("schema_id"))
+    m = own.alias("m").join(d.alias("d"), same, "left").groupBy("m.manifest_path").agg(
+        F.max("m.table_id").alias("table_id"), F.max("d.schema_id").alias("schema_id")
+    )
     texts = d.where("good and schema_id is not null").groupBy("table_id", "schema_id").agg(F.min("schema").alias("own"))
     last = texts.groupBy("table_id").agg(F.max_by("own", "schema_id").alias("latest"))
-    return m, texts.join(last, "table_id").select("table_id", "schema_id", _once(_routed, "string")("own", "latest").alias("route"))
+    return m, texts.join(last, "table_id").select(
+        "table_id", "schema_id", _once(_routed, "string")("own", "latest").alias("route")
+    )
 
 
 def consistent_rows(rows: DataFrame, manifests: DataFrame) -> DataFrame:
-    """(table_id, manifest_path, row_pos, values, failed, columns): the rows in the layout of their table's latest version, at all levels.
-
-    A value is found under the name its field id had in the schema the file was written with, and is given under the field's latest name, as the
-    canonical text of its latest type; so are members of structs, elements of lists and values of maps. ``values``: map from path to text, of all leaves. A
-    field that the latest version no longer has is given as ``name#id`` in its own type. ``failed``: array of (path, type, kind, raw) of the leaves that couldn't be
-    cast, their JSON type and their value as it was; their value is null. ``columns``: the same layout as JSON text per column, values as they were. Absent
-    and null values are null. Rows of a manifest without a readable schema keep their own names. An unreadable payload has no values but its fields' nulls.
+    """(table_id, manifest_path, row_pos, values, failed, columns): the rows in the layout of their table's latest
+    version, at all levels.
+
+    A value is found under the name its field id had in the schema the file was written with, and is given under the
+    field's latest name, as the canonical text of its latest type; so are members of structs, elements of lists and
+    values of maps. ``values``: map from path to text, of all leaves. A field that the latest version no longer has is
+    given as ``name#id`` in its own type. ``failed``: array of (path, type, kind, raw) of the leaves that couldn't be
+    cast, their JSON type and their value as it was; their value is null. ``columns``: the same layout as JSON text per
+    column, values as they were. Absent and null values are null. Rows of a manifest without a readable schema keep
+    their own names. An unreadable payload has no values but its fields' nulls.
     """
     m, routes = _latest_texts(manifests)
     written = m.join(routes, ["table_id", "schema_id"], "left")
-    at = rows.select(location("manifest_path").alias("manifest_path"), "row_pos", "payload", F.xxhash64("payload").alias("_h"))
+    at = rows.select(
+        location("manifest_path").alias("manifest_path"), "row_pos", "payload", F.xxhash64("payload").alias("_h")
+    )
     once = at.dropDuplicates(["manifest_path", "row_pos", "_h"]).drop("_h")
     r = once.join(written, "manifest_path", "left").withColumn("_laid", _once(_laid_out, _LAID)("payload", "route"))
-    cast = lambda x: F.struct(x["path"].alias("path"), F.when(x["type"].isNull(), x["raw"]).otherwise(_casts(x["raw"], x["type"])).alias("value"), x["type"].alias("type"), x["kind"].alias("kind"), x["raw"].alias("raw"), x["is_key"].alias("is_key"))
+    cast = lambda x: F.struct(
+        x["path"].alias("path"),
+        F.when(x["type"].isNull(), x["raw"]).otherwise(_casts(x["raw"], x["type"])).alias("value"),
+        x["type"].alias("type"), x["kind"].alias("kind"), x["raw"].alias("raw"), x["is_key"].alias("is_key")
+    )
     r = r.withColumn("_cells", F.transform("_laid.leaves", cast))
-    values = F.map_from_entries(F.array_distinct(F.transform(F.filter("_cells", lambda c: ~c["is_key"]), lambda c: F.struct(c["path"], c["value"]))))
+    values = F.map_from_entries(
+        F.array_distinct(
+            F.transform(F.filter("_cells", lambda c: ~c["is_key"]), lambda c: F.struct(c["path"], c["value"]))
+        )
+    )
     bad = F.filter("_cells", lambda c: c["raw"].isNotNull() & c["value"].isNull())
-    failed = F.transform(bad, lambda c: F.struct(c["path"].alias("path"), c["type"].alias("type"), c["kind"].alias("kind"), c["raw"].alias("raw")))
-    return r.select("table_id", "manifest_path", "row_pos", values.alias("values"), failed.alias("failed"), F.col("_laid.columns").alias("columns"))
+    failed = F.transform(
+        bad,
+        lambda c: F.struct(
+            c["path"].alias("path"), c["type"].alias("type"), c["kind"].alias("kind"), c["raw"].alias("raw")
+        )
+    )
+    return r.select(
+        "table_id", "manifest_path", "row_pos", values.alias("values"), failed.alias("failed"),
+        F.col("_laid.columns").alias("columns")
+    )
 
 
 def failed_casts(consistent: DataFrame) -> DataFrame:
-    """(table_id, path, type, kind, n, example): failed casts by table, path (positions and keys left out), type asked for and JSON type found."""
+    """(table_id, path, type, kind, n, example): failed casts by table, path (positions and keys left out), type asked
+    for and JSON type found."""
     f = consistent.select("table_id", F.explode("failed").alias("f"))
     path = F.regexp_replace(F.regexp_replace("f.path", r"\[\d+\]", "[]"), r"\{[^}]*\}", "{}")
-    return f.groupBy("table_id", path.alias("path"), "f.type", "f.kind").agg(F.count("*").alias("n"), F.min("f.raw").alias("example"))
+    return f.groupBy("table_id", path.alias("path"), "f.type", "f.kind").agg(
+        F.count("*").alias("n"), F.min("f.raw").alias("example")
+    )
 
 
 # Names of the format's types in Spark.
 _SPARK = {
-    "int": "int", "long": "bigint", "float": "float", "double": "double", "boolean": "boolean", "date": "date", "timestamp": "timestamp_ntz",
-    "timestamptz": "timestamp", "timestamp_ns": "timestamp_ntz", "timestamptz_ns": "timestamp",
+    "int": "int", "long": "bigint", "float": "float", "double": "double", "boolean": "boolean", "date": "date",
+    "timestamp": "timestamp_ntz", "timestamptz": "timestamp", "timestamp_ns": "timestamp_ntz",
+    "timestamptz_ns": "timestamp"
 }
 
 
@@ -439,17 +542,24 @@ def spark_type(kind: Any) -> str:
 
 
 def typed_table(consistent: DataFrame, manifests: DataFrame, table_id: int) -> DataFrame:
-    """The rows of one table as typed columns of its latest version, nested ones included (keys of maps as text), with _row_pos and _failed beside them.
+    """The rows of one table as typed columns of its latest version, nested ones included (keys of maps as text), with
+    _row_pos and _failed beside them.
 
     The driver reads that one schema. A leaf that couldn't be cast is null in its column and named in _failed.
     """
-    own = schema_documents(schema_texts(manifests.where(F.col("table_id") == table_id))).where("size(failed) = 0 and schema_id is not null")
+    own = schema_documents(
+        schema_texts(manifests.where(F.col("table_id") == table_id))
+    ).where("size(failed) = 0 and schema_id is not null")
     last = own.orderBy(F.desc("schema_id"), "schema").limit(1).select("schema").collect()
     fields = _tree(read_json(last[0].schema) | {"type": "struct"})[1].values() if last else []
     cols = []
     for _, name, kind in fields:
         path, raw = F.col("values")[name], F.col("columns")[name]
-        typed = path.try_cast(T.DataType.fromDDL(spark_type(kind))) if isinstance(kind, str) else F.from_json(raw, spark_type(kind))
+        typed = path.try_cast(
+            T.DataType.fromDDL(spark_type(kind))
+        ) if isinstance(kind, str) else F.from_json(raw, spark_type(kind))
         cols.append(typed.alias(name))
-    return consistent.where(F.col("table_id") == table_id).select(*cols, F.col("row_pos").alias("_row_pos"), F.col("failed").alias("_failed"))
+    return consistent.where(F.col("table_id") == table_id).select(
+        *cols, F.col("row_pos").alias("_row_pos"), F.col("failed").alias("_failed")
+    )
 

@@ -1,11 +1,12 @@
 """References to records that do not exist.
 
-A Bloom filter of the parents' keys, built by one aggregate over them and handed to the scan of the references as scalar subqueries (as Spark's own
-runtime filters are), proves in the scan, before anything is shuffled, that a key it doesn't hold is an orphan. Only the keys it may hold go
-through an exact join: their distinct keys, combined map-side, meet the parents once. What that join finds missing or deleted is few; a filter of it lets
-the second scan of the references pass over all others, and only these are aggregated. The filters have a bound whatever the number of parents: at
-most ``FILTERS`` of 8 MiB (Spark's spark.sql.optimizer.runtime.bloomFilter.maxNumBits), each for its share of the keys' hashes. Where more parents make them
-fuller, more keys are verified and the result is the same.
+A Bloom filter of the parents' keys, built by one aggregate over them and handed to the scan of the references as scalar
+subqueries (as Spark's own runtime filters are), proves in the scan, before anything is shuffled, that a key it doesn't
+hold is an orphan. Only the keys it may hold go through an exact join: their distinct keys, combined map-side, meet the
+parents once. What that join finds missing or deleted is few; a filter of it lets the second scan of the references pass
+over all others, and only these are aggregated. The filters have a bound whatever the number of parents: at most
+``FILTERS`` of 8 MiB (Spark's spark.sql.optimizer.runtime.bloomFilter.maxNumBits), each for its share of the keys'
+hashes. Where more parents make them fuller, more keys are verified and the result is the same.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from pyspark.sql.classic.column import _to_java_column
 from quern.operators.snapshot_tables import location
 from quern.session import materialise
 
-#: Most filters that one set of keys gets, and the keys one filter is made for, at ten bits each (one key in a hundred that isn't there passes).
+#: Most filters that one set of keys gets, and the keys one filter is made for, at ten bits each (one key in a hundred
+#: that isn't there passes).
 FILTERS, FILTER_KEYS = 8, 4_000_000
 
 
@@ -32,9 +34,11 @@ def _column(df: DataFrame, e) -> Column:
 
 
 def bloom(keys: DataFrame, columns: list[str], expected: int) -> DataFrame:
-    """One row with the filters of the keys' 64-bit hashes: filter ``f{k}`` holds those whose remainder is k; null where there are none.
+    """One row with the filters of the keys' 64-bit hashes: filter ``f{k}`` holds those whose remainder is k; null where
+    there are none.
 
-    ``expected``: how many keys there are, at most. Built in one pass and kept in a file of its one row: a plan may name its subquery several times.
+    ``expected``: how many keys there are, at most. Built in one pass and kept in a file of its one row: a plan may name
+    its subquery several times.
     """
     parts = min(FILTERS, -(-expected // FILTER_KEYS)) or 1
     each = max(1000, -(-expected // parts))
@@ -43,7 +47,9 @@ def bloom(keys: DataFrame, columns: list[str], expected: int) -> DataFrame:
     filters = []
     for k in range(parts):
         own = h if parts == 1 else F.when(F.pmod(h, F.lit(parts)) == k, h)  # the aggregate passes over nulls
-        built = agg(_expr(keys, own), _expr(keys, F.lit(each).cast("bigint")), _expr(keys, F.lit(10 * each).cast("bigint")))
+        built = agg(
+            _expr(keys, own), _expr(keys, F.lit(each).cast("bigint")), _expr(keys, F.lit(10 * each).cast("bigint"))
+        )
         filters.append(_column(keys, built.toAggregateExpression()).alias(f"f{k}"))
     return materialise(keys.agg(*filters), "bloom")
 
@@ -57,12 +63,16 @@ def might_contain(df: DataFrame, filters: DataFrame, columns: list[str]) -> Colu
     return F.coalesce(held, F.lit(False))
 
 
-def orphans(refs: DataFrame, parents: DataFrame, carry: list[str], keys: list[str], ref_time: str, gone_time: str | None = None, expected: int | None = None) -> DataFrame:
+def orphans(
+    refs: DataFrame, parents: DataFrame, carry: list[str], keys: list[str], ref_time: str, gone_time: str | None = None,
+    expected: int | None = None
+) -> DataFrame:
     """``carry``, ``keys`` and ``since`` (earliest ``ref_time`` among the orphan references), one row per carry and key.
 
-    A reference is an orphan if no parent has its key, or if the parent's ``gone_time`` (null: it exists) is at or before ``ref_time``.
-    Of several parents with one key the one that exists longest counts. Null keys refer to nothing and are no orphans. Null ``ref_time``:
-    the key counts if it has no parent, with the earliest known time. Extra columns are not read. ``expected``: the number of parents, if it is known.
+    A reference is an orphan if no parent has its key, or if the parent's ``gone_time`` (null: it exists) is at or
+    before ``ref_time``. Of several parents with one key the one that exists longest counts. Null keys refer to nothing
+    and are no orphans. Null ``ref_time``: the key counts if it has no parent, with the earliest known time. Extra
+    columns are not read. ``expected``: the number of parents, if it is known.
     """
     known = F.lit(True)
     for k in keys:
@@ -75,8 +85,14 @@ def orphans(refs: DataFrame, parents: DataFrame, carry: list[str], keys: list[st
     maybe = might_contain(r, bloom(p, keys, parents.count() if expected is None else expected), keys)
     asked = r.where(maybe).select(*keys).distinct()
     last = p.groupBy(*keys).agg(F.max("_gone").alias("_gone"))
-    bad = materialise(asked.join(last, keys, "left").where(F.col("_gone").isNull() | (F.col("_gone") < never)).withColumn("_bad", F.lit(True)), "verified")
-    # Rows that the filter clears are orphans; of the others only those with a key found missing or deleted are looked at again.
+    bad = materialise(
+        asked.join(last, keys, "left").where(
+            F.col("_gone").isNull() | (F.col("_gone") < never)
+        ).withColumn("_bad", F.lit(True)),
+        "verified"
+    )
+    # Rows that the filter clears are orphans; of the others only those with a key found missing or deleted are looked
+    # at again.
     named = might_contain(r, bloom(bad, keys, bad.count()), keys)
     again = r.withColumn("_maybe", maybe).where(~F.col("_maybe") | named).join(bad, keys, "left")
     orphan = ~F.col("_maybe") | (F.col("_bad") & (F.col("_gone").isNull() | (F.col("_gone") <= F.col("_at"))))
@@ -87,30 +103,50 @@ def orphans(refs: DataFrame, parents: DataFrame, carry: list[str], keys: list[st
 KINDS = ("snapshot", "manifest", "data_file")
 
 
-def snapshot_orphans(listed: DataFrame, entries: DataFrame, snapshots: DataFrame, manifests: DataFrame, stored: DataFrame) -> DataFrame:
-    """(ref_kind, table_id, missing_key, ref_day): references of the snapshot tables to snapshots, manifests and files that are missing or deleted.
+def snapshot_orphans(
+    listed: DataFrame, entries: DataFrame, snapshots: DataFrame, manifests: DataFrame, stored: DataFrame
+) -> DataFrame:
+    """(ref_kind, table_id, missing_key, ref_day): references of the snapshot tables to snapshots, manifests and files
+    that are missing or deleted.
 
-    The three kinds are one set of references and one of parents, with the kind as part of the key; a snapshot's key also has its table.
+    The three kinds are one set of references and one of parents, with the kind as part of the key; a snapshot's key
+    also has its table.
     """
     text, nowhere = lambda c: F.col(c).cast("string"), F.lit(-1).cast("bigint")
 
     def ref(kind: int, scope: Column, key: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), scope.alias("scope"), key.alias("key"))
 
-    both = F.explode(F.array(ref(0, F.col("table_id").cast("bigint"), text("added_snapshot_id")), ref(1, nowhere, location("manifest_path"))))
+    both = F.explode(
+        F.array(
+            ref(0, F.col("table_id").cast("bigint"), text("added_snapshot_id")),
+            ref(1, nowhere, location("manifest_path"))
+        )
+    )
     refs = listed.select("table_id", F.col("written_at").alias("at"), both.alias("r")).unionByName(
-        entries.where("status in (0, 1)").select("table_id", F.col("arrived_at").alias("at"), ref(2, nowhere, location("data_file.file_path")).alias("r"))
+        entries.where("status in (0, 1)").select(
+            "table_id", F.col("arrived_at").alias("at"), ref(2, nowhere, location("data_file.file_path")).alias("r")
+        )
     ).select("table_id", "at", "r.*")
     none = F.lit(None).cast("timestamp_ntz")
     there = (
-        snapshots.select(F.lit(0).alias("kind"), F.col("table_id").cast("bigint").alias("scope"), text("snapshot_id").alias("key"), none.alias("gone"))
-        .unionByName(manifests.select(F.lit(1).alias("kind"), nowhere.alias("scope"), location("manifest_path").alias("key"), F.col("deleted_at").alias("gone")))
-        .unionByName(stored.select(F.lit(2).alias("kind"), nowhere.alias("scope"), location("file_path").alias("key"), F.col("deleted_at").alias("gone")))
+        snapshots.select(F.lit(0).alias("kind"), F.col("table_id").cast("bigint").alias("scope"), text("snapshot_id").alias("key"), none.alias("gone")) .unionByName(
+            manifests.select(
+                F.lit(1).alias("kind"), nowhere.alias("scope"), location("manifest_path").alias("key"),
+                F.col("deleted_at").alias("gone")
+            )
+        ) .unionByName(stored.select(
+            F.lit(2).alias("kind"), nowhere.alias("scope"), location("file_path").alias("key"),
+            F.col("deleted_at").alias("gone")
+        ))
     )
     expected = sum(x.count() for x in (snapshots, manifests, stored))  # scans without columns
     found = orphans(refs, there, ["table_id"], ["kind", "scope", "key"], "at", "gone", expected)
     kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1)
-    return found.select(kind.alias("ref_kind"), "table_id", F.col("key").alias("missing_key"), F.date_format("since", "yyyy-MM-dd").alias("ref_day"))
+    return found.select(
+        kind.alias("ref_kind"), "table_id", F.col("key").alias("missing_key"),
+        F.date_format("since", "yyyy-MM-dd").alias("ref_day")
+    )
 
 
 def orphan_report(found: DataFrame) -> DataFrame:

@@ -18,7 +18,8 @@ def location(c: Column | str) -> Column:
 
 
 def number(c: Column | str) -> Column:
-    """A header value written as text, as bigint; blanks around it do not count, anything that is no number gives null."""
+    """A header value written as text, as bigint; blanks around it do not count, anything that is no number gives
+    null."""
     return F.trim(F.col(c) if isinstance(c, str) else c).try_cast("bigint")
 
 
@@ -32,14 +33,16 @@ def headers(manifest_lists: DataFrame) -> DataFrame:
         number("snapshot_id").alias("snapshot_id"), number("parent_snapshot_id").alias("parent_snapshot_id"),
         F.col("table_id").cast("bigint").alias("table_id"), number("sequence_number").alias("sequence_number"),
     ).where("snapshot_id is not null")
-    return h.groupBy("snapshot_id").agg(*(F.max(c).alias(c) for c in ("parent_snapshot_id", "table_id", "sequence_number")))
+    return h.groupBy("snapshot_id").agg(
+        *(F.max(c).alias(c) for c in ("parent_snapshot_id", "table_id", "sequence_number"))
+    )
 
 
 def with_numbers(entries: DataFrame, listed: DataFrame) -> DataFrame:
     """``entries`` with null sequence_number and snapshot_id filled from the manifest's row in ``listed``.
 
-    Only the rows that lack a number are joined: the others never shuffle. A manifest without any known number leaves null.
-    ``manifest_path`` of both sides is read as one spelling.
+    Only the rows that lack a number are joined: the others never shuffle. A manifest without any known number leaves
+    null. ``manifest_path`` of both sides is read as one spelling.
     """
     lacking = F.col("sequence_number").isNull() | F.col("snapshot_id").isNull()
     known = (
@@ -47,7 +50,9 @@ def with_numbers(entries: DataFrame, listed: DataFrame) -> DataFrame:
         .groupBy("_path").agg(F.max("sequence_number").alias("_seq"), F.max("added_snapshot_id").alias("_snap"))
     )
     cols = entries.columns
-    r = entries.where(lacking).select(F.struct(*(f"`{c}`" for c in cols)).alias("r"), location("manifest_path").alias("_path")).join(known, "_path", "left")
+    r = entries.where(lacking).select(
+        F.struct(*(f"`{c}`" for c in cols)).alias("r"), location("manifest_path").alias("_path")
+    ).join(known, "_path", "left")
     fill = {"sequence_number": "_seq", "snapshot_id": "_snap"}
     filled = r.select(*(F.coalesce(f"r.{c}", fill[c]).alias(c) if c in fill else F.col(f"r.`{c}`") for c in cols))
     return entries.where(~lacking).unionByName(filled)

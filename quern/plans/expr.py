@@ -1,7 +1,8 @@
 """Portable predicates: the filter algebra of table scans as objects, as JSON and as Columns.
 
-Comparisons follow two-valued logic: a comparison with null is false, its negation true; ``eq`` of two nulls is true. In the positive part of a filter the bare
-comparison is emitted, which Parquet can push down (null and false drop a row alike); below ``not`` and in projections it is completed to a boolean.
+Comparisons follow two-valued logic: a comparison with null is false, its negation true; ``eq`` of two nulls is true. In
+the positive part of a filter the bare comparison is emitted, which Parquet can push down (null and false drop a row
+alike); below ``not`` and in projections it is completed to a boolean.
 """
 
 from __future__ import annotations
@@ -91,7 +92,8 @@ class Predicate:
         return F.coalesce(self._bare(), F.lit(self._of_null()))
 
     def filter(self) -> Column:
-        """As a filter condition: keeps the same rows as ``column`` and leaves comparisons bare where that is safe, so that they reach the scan."""
+        """As a filter condition: keeps the same rows as ``column`` and leaves comparisons bare where that is safe, so
+        that they reach the scan."""
         if self.op == "and":
             return self.args[0].filter() & self.args[1].filter()
         if self.op == "or":

@@ -1,8 +1,10 @@
-"""A composable query over a DataFrame: filters, projections, flattening, joins, grouping, sets, order and positions, terminals.
+"""A composable query over a DataFrame: filters, projections, flattening, joins, grouping, sets, order and positions,
+terminals.
 
-Every operator returns a new Query whose plan is an ordinary DataFrame plan; only terminals run it. Operators that depend on positions need an order: ``order_by``
-gives one, and where none is given an error says so. Indexes over a whole ordered frame are made without gathering it in one task: rows are range-partitioned by the
-order, counted by partition, and numbered from their partition's first index.
+Every operator returns a new Query whose plan is an ordinary DataFrame plan; only terminals run it. Operators that
+depend on positions need an order: ``order_by`` gives one, and where none is given an error says so. Indexes over a
+whole ordered frame are made without gathering it in one task: rows are range-partitioned by the order, counted by
+partition, and numbered from their partition's first index.
 """
 
 from __future__ import annotations
@@ -56,15 +58,20 @@ def turned(c: Column) -> Column:
 def indexed(df: DataFrame, order: Sequence[Column], name: str = "index") -> DataFrame:
     """``df`` with its position (bigint from 0) in ``order``.
 
-    No task holds more than its range of the rows, the driver sees nothing. The ranges are written once: a second sampling could draw them elsewhere.
+    No task holds more than its range of the rows, the driver sees nothing. The ranges are written once: a second
+    sampling could draw them elsewhere.
     """
     rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
     at = F.monotonically_increasing_id()
-    rows = materialise(rows.withColumns({"__part": F.shiftright(at, 33), "__at": at.bitwiseAND(F.lit((1 << 33) - 1))}), "indexed")
+    rows = materialise(
+        rows.withColumns({"__part": F.shiftright(at, 33), "__at": at.bitwiseAND(F.lit((1 << 33) - 1))}), "indexed"
+    )
     counts = rows.groupBy("__part").agg(F.count("*").alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
     first = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
-    return rows.join(F.broadcast(first), "__part").withColumn(name, F.col("__first") + F.col("__at")).drop("__part", "__at", "__first")
+    return rows.join(F.broadcast(first), "__part").withColumn(
+        name, F.col("__first") + F.col("__at")
+    ).drop("__part", "__at", "__first")
 
 
 class Query:
@@ -101,7 +108,9 @@ class Query:
     def index(self, name: str = "index") -> Query:
         return self._new(indexed(self.df, self._ordered(), name), True)
 
-    def select_many(self, array: Column | str, name: str, *keep: str, outer: bool = False, position: str | None = None) -> Query:
+    def select_many(
+        self, array: Column | str, name: str, *keep: str, outer: bool = False, position: str | None = None
+    ) -> Query:
         """One row per element, beside ``keep`` (all columns if none are named)."""
         base = [F.col(c) for c in keep] or [F.col("*")]
         if position:
@@ -117,11 +126,16 @@ class Query:
 
     def default_if_empty(self, **values: Any) -> Query:
         """One row with ``values`` (else nulls) if there is none."""
-        one = self.df.sparkSession.range(1).select(*(F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in self.df.schema))
+        one = self.df.sparkSession.range(1).select(
+            *(F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in self.df.schema)
+        )
         return self._new(self.df.unionByName(one.where(~self.df.limit(1).select(F.lit(1).alias("x")).exists())))
 
-    def select_many_with(self, work: Callable[..., Any], schema: str, *args: Column | str, keep: Sequence[str] = ()) -> Query:
-        """Escape hatch for flattening: ``work(*values)`` of each row yields tuples of ``schema``, each beside the row's ``keep``. Rows cross to Python in Arrow batches."""
+    def select_many_with(
+        self, work: Callable[..., Any], schema: str, *args: Column | str, keep: Sequence[str] = ()
+    ) -> Query:
+        """Escape hatch for flattening: ``work(*values)`` of each row yields tuples of ``schema``, each beside the row's
+        ``keep``. Rows cross to Python in Arrow batches."""
         import pandas as pd
         from pyspark.sql import types as T
 
@@ -131,13 +145,20 @@ class Query:
 
         def run(parts):
             for d in parts:
-                rows = [(*own, *made) for own, values in zip(d[list(keep)].itertuples(index=False, name=None), d[names].itertuples(index=False, name=None), strict=True) for made in work(*values)]
+                rows = [
+                    (*own, *made) for own,
+                    values in zip(
+                        d[list(keep)].itertuples(index=False, name=None), d[names].itertuples(index=False, name=None),
+                        strict=True
+                    ) for made in work(*values)
+                ]
                 yield pd.DataFrame(rows, columns=out.names)
 
         return self._new(src.mapInPandas(run, out))
 
     def map_batches(self, work: Callable[[Any], Any], schema: str) -> Query:
-        """Escape hatch for what no expression gives: ``work`` gets an iterator of pandas frames and yields such frames, in Arrow batches."""
+        """Escape hatch for what no expression gives: ``work`` gets an iterator of pandas frames and yields such frames,
+        in Arrow batches."""
         return self._new(self.df.mapInPandas(work, schema))
 
     def apply(self, f: Callable[..., Any], kind: str, *cols: Column | str, name: str = "value") -> Query:
@@ -155,7 +176,9 @@ class Query:
             on = on & (left.eqNullSafe(right) if null_safe else left == right)
         return on
 
-    def _joined(self, other: Query, keys: Sequence[tuple[str, str]] | Sequence[str] | str, how: str, composite: bool | None) -> DataFrame:
+    def _joined(
+        self, other: Query, keys: Sequence[tuple[str, str]] | Sequence[str] | str, how: str, composite: bool | None
+    ) -> DataFrame:
         pairs = [(k, k) if isinstance(k, str) else k for k in ([keys] if isinstance(keys, str) else keys)]
         return self.df.alias("l").join(other.df.alias("r"), self._on(other.df, pairs, composite), how)
 
@@ -176,9 +199,12 @@ class Query:
         return self._new(self._joined(other, keys, "left_anti", composite), True)
 
     def theta_join(self, other: Query, on: Column, *cols: Column | str, equal: Sequence[tuple[str, str]] = ()) -> Query:
-        """Any condition. ``equal`` pairs make it an equi join with a residual; without them one side must have at most LOCAL_ROWS rows: it is counted, then broadcast."""
+        """Any condition. ``equal`` pairs make it an equi join with a residual; without them one side must have at most
+        LOCAL_ROWS rows: it is counted, then broadcast."""
         if equal:
-            return self._new(self.df.alias("l").join(other.df.alias("r"), on & self._on(other.df, equal, False)).select(*cols))
+            return self._new(
+                self.df.alias("l").join(other.df.alias("r"), on & self._on(other.df, equal, False)).select(*cols)
+            )
         left, right = self.df, other.df
         if right.limit(LOCAL_ROWS + 1).count() <= LOCAL_ROWS:
             right = F.broadcast(right)
@@ -189,14 +215,21 @@ class Query:
         return self._new(left.alias("l").join(right.alias("r"), on).select(*cols))
 
     def range_join(self, other: Query, point: str, low: str, high: str, width: float, *cols: Column | str) -> Query:
-        """Rows whose ``point`` lies in [low, high] of ``other``, by hash. Numbers are counted in cells of ``width``; a range of any length is cut into a bounded number of
-        aligned blocks of cells, and a point looks up the one block of each level that holds it. Nulls match nothing."""
+        """Rows whose ``point`` lies in [low, high] of ``other``, by hash. Numbers are counted in cells of ``width``; a
+        range of any length is cut into a bounded number of aligned blocks of cells, and a point looks up the one block
+        of each level that holds it. Nulls match nothing."""
         cell = lambda c: F.floor(F.col(c) / width)
-        theirs = other.df.where(F.col(low) <= F.col(high)).withColumn("_b", F.explode(blocks_of(cell(low), cell(high) + 1))).select("*", F.col("_b.level").alias("_level"), F.col("_b.block").alias("_block")).drop("_b")
+        theirs = other.df.where(F.col(low) <= F.col(high)).withColumn(
+            "_b", F.explode(blocks_of(cell(low), cell(high) + 1))
+        ).select("*", F.col("_b.level").alias("_level"), F.col("_b.block").alias("_block")).drop("_b")
         present = theirs.select("_level").distinct()
-        levels = self.df.where(F.col(point).isNotNull()).select("*", F.posexplode(block_at(cell(point))).alias("_level", "_block"))
+        levels = self.df.where(F.col(point).isNotNull()).select(
+            "*", F.posexplode(block_at(cell(point))).alias("_level", "_block")
+        )
         mine = levels.join(F.broadcast(present), "_level", "left_semi")  # at most one row per level
-        on = (F.col("l._level") == F.col("r._level")) & (F.col("l._block") == F.col("r._block")) & (F.col(f"l.{point}") >= F.col(f"r.{low}")) & (F.col(f"l.{point}") <= F.col(f"r.{high}"))
+        on = (F.col("l._level") == F.col("r._level")) & (F.col("l._block") == F.col("r._block")) & (
+            F.col(f"l.{point}") >= F.col(f"r.{low}")
+        ) & (F.col(f"l.{point}") <= F.col(f"r.{high}"))
         return self._new(mine.alias("l").join(theirs.alias("r"), on).select(*cols))
 
     def join_local(self, rows: Sequence[Any], schema: str, keys: Any, *cols: Column | str) -> Query:
@@ -205,16 +238,23 @@ class Query:
         return self.join(Query(F.broadcast(r) if len(rows) <= LOCAL_ROWS else r), keys, *cols)
 
     def group_join(self, other: Query, keys: Any, group: str, *elements: str, composite: bool | None = None) -> Query:
-        """Every row once, with the array of its matches' ``elements``; an empty array if there are none. The array is one cell: for groups that fit one;
-        where the group is only summed up, ``group_join_agg`` does it with no array at all."""
+        """Every row once, with the array of its matches' ``elements``; an empty array if there are none. The array is
+        one cell: for groups that fit one; where the group is only summed up, ``group_join_agg`` does it with no array
+        at all."""
         pairs = [(k, k) if isinstance(k, str) else k for k in ([keys] if isinstance(keys, str) else keys)]
-        g = other.df.groupBy(*(F.col(b).alias(b) for _, b in pairs)).agg(F.collect_list(F.struct(*elements)).alias("_g"))
+        g = other.df.groupBy(*(F.col(b).alias(b) for _, b in pairs)).agg(
+            F.collect_list(F.struct(*elements)).alias("_g")
+        )
         j = self.df.alias("l").join(g.alias("r"), self._on(g, pairs, composite), "left")
-        empty = F.filter(F.array(F.struct(*(F.lit(None).cast(other.df.schema[e].dataType).alias(e) for e in elements))), lambda x: F.lit(False))
+        empty = F.filter(
+            F.array(F.struct(*(F.lit(None).cast(other.df.schema[e].dataType).alias(e) for e in elements))),
+            lambda x: F.lit(False)
+        )
         return self._new(j.select("l.*", F.coalesce("_g", empty).alias(group)))
 
     def group_join_agg(self, other: Query, keys: Any, composite: bool | None = None, **aggs: Column) -> Query:
-        """Every row once, with aggregates of its matches: combined map-side before anything is shuffled, whatever the size of a group. Null where there is no match."""
+        """Every row once, with aggregates of its matches: combined map-side before anything is shuffled, whatever the
+        size of a group. Null where there is no match."""
         pairs = [(k, k) if isinstance(k, str) else k for k in ([keys] if isinstance(keys, str) else keys)]
         g = other.df.groupBy(*(F.col(b).alias(b) for _, b in pairs)).agg(*(c.alias(f"_g_{n}") for n, c in aggs.items()))
         j = self.df.alias("l").join(g.alias("r"), self._on(g, pairs, composite), "left")
@@ -228,16 +268,23 @@ class Query:
     def count_by(self, key: Column, name: str = "key") -> Query:
         return self._new(self.df.groupBy(key.alias(name)).agg(F.count("*").alias("count")))
 
-    def aggregate_by(self, key: Column, seed: Column, step: Callable[[Column, Column], Column], value: Column, order: Column, name: str = "key", result: str = "value") -> Query:
-        """Ordered fold of each group's values. The values of a group are held in one row: for groups of bounded size."""
-        g = self.df.groupBy(key.alias(name)).agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), value.alias("v")))).alias("_vs"))
+    def aggregate_by(
+        self, key: Column, seed: Column, step: Callable[[Column, Column], Column], value: Column, order: Column,
+        name: str = "key", result: str = "value"
+    ) -> Query:
+        """Ordered fold of each group's values. The values of a group are held in one row: for groups of bounded
+        size."""
+        g = self.df.groupBy(key.alias(name)).agg(
+            F.array_sort(F.collect_list(F.struct(order.alias("o"), value.alias("v")))).alias("_vs")
+        )
         return self._new(g.select(name, F.aggregate("_vs", seed, lambda acc, x: step(acc, x["v"])).alias(result)))
 
     def distinct(self) -> Query:
         return self._new(self.df.distinct())
 
     def distinct_by(self, *keys: str) -> Query:
-        """The first row of each key in the order. Spark's group limit leaves one row per key and task before the shuffle, so a hot key costs no more than any."""
+        """The first row of each key in the order. Spark's group limit leaves one row per key and task before the
+        shuffle, so a hot key costs no more than any."""
         return self._new(_first_by(self.df, keys, self._ordered()))
 
     def concat(self, other: Query) -> Query:
@@ -273,7 +320,8 @@ class Query:
         return Query(self.df, [*self._ordered(), *(_col(k) for k in keys)])
 
     def reverse(self, *keys: Column) -> Query:
-        """The rows in the opposite order: each key of the order is turned round. ``keys`` name the turned ones, if given."""
+        """The rows in the opposite order: each key of the order is turned round. ``keys`` name the turned ones, if
+        given."""
         return Query(self.df, list(keys) or [turned(c) for c in self._ordered()])
 
     def shuffle(self, seed: int | None = None) -> Query:
@@ -314,7 +362,9 @@ class Query:
     def chunk(self, n: int, *elements: str, name: str = "items") -> Query:
         i = indexed(self.df, self._ordered(), "__i").withColumn("chunk", F.floor(F.col("__i") / n))
         g = i.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("__i", *elements))).alias("_x"))
-        return self._new(g.select("chunk", F.transform("_x", lambda x: F.struct(*(x[e].alias(e) for e in elements))).alias(name)))
+        return self._new(
+            g.select("chunk", F.transform("_x", lambda x: F.struct(*(x[e].alias(e) for e in elements))).alias(name))
+        )
 
     def zip(self, other: Query, *cols: Column | str) -> Query:
         """Rows paired by position, as many as the shorter side has."""
@@ -328,7 +378,9 @@ class Query:
         return self._edge(-1, row)
 
     def _edge(self, side: int, row: dict[str, Any]) -> Query:
-        one = self.df.sparkSession.range(1).select(*(F.lit(row.get(f.name)).cast(f.dataType).alias(f.name) for f in self.df.schema))
+        one = self.df.sparkSession.range(1).select(
+            *(F.lit(row.get(f.name)).cast(f.dataType).alias(f.name) for f in self.df.schema)
+        )
         both = self.df.withColumn("_edge", F.lit(0)).unionByName(one.withColumn("_edge", F.lit(side)))
         return Query(both, [F.col("_edge"), *self.order])
 
@@ -428,9 +480,15 @@ class Query:
 
     def aggregate(self, seed: Column, step: Callable[[Column, Column], Column], value: Column) -> Any:
         """Ordered fold of all values by one task: its nature; a commuting step is better written as an aggregate."""
-        order = F.struct(*(F.row_number().over(Window.orderBy(*self._ordered())).alias("o"),)) if self.order else F.struct(F.lit(0).alias("o"))
+        order = F.struct(
+            *(F.row_number().over(Window.orderBy(*self._ordered())).alias("o"),)
+        ) if self.order else F.struct(F.lit(0).alias("o"))
         rows = self.df.select(order.alias("o"), value.alias("v"))
-        got = rows.agg(F.aggregate(F.array_sort(F.collect_list(F.struct("o", "v"))), seed, lambda acc, x: step(acc, x["v"])).alias("x"))
+        got = rows.agg(
+            F.aggregate(
+                F.array_sort(F.collect_list(F.struct("o", "v"))), seed, lambda acc, x: step(acc, x["v"])
+            ).alias("x")
+        )
         return got.first()[0]
 
     def any(self, p: Any = None) -> bool:
@@ -449,7 +507,9 @@ class Query:
         a, b = indexed(self.df, self._ordered(), "__i"), indexed(other.df, other._ordered(), "__i")
         if a.columns != b.columns:
             return False
-        pair = a.select(F.col("__i"), F.struct(*self.df.columns).alias("x")).join(b.select(F.col("__i"), F.struct(*other.df.columns).alias("y")), "__i", "full")
+        pair = a.select(F.col("__i"), F.struct(*self.df.columns).alias("x")).join(
+            b.select(F.col("__i"), F.struct(*other.df.columns).alias("y")), "__i", "full"
+        )
         return pair.where(~F.col("x").eqNullSafe(F.col("y"))).isEmpty()
 
     def to_list(self) -> list:

@@ -19,13 +19,18 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     """The manifests that the journal of a compaction names as inputs, once it is written ahead."""
-    return compaction.recorded_manifests(spark, table(spark, sf, "manifest_list_entries")).select("table_id", "manifest_path")
+    return compaction.recorded_manifests(
+        spark, table(spark, sf, "manifest_list_entries")
+    ).select("table_id", "manifest_path")
 
 
 def p1_outputs(spark: SparkSession, sf: str) -> DataFrame:
-    """What each table's manifests hold after compaction in three rounds: over the first half of the time, over all of it, and once more with nothing to do."""
+    """What each table's manifests hold after compaction in three rounds: over the first half of the time, over all of
+    it, and once more with nothing to do."""
     listed = table(spark, sf, "manifest_list_entries")
-    fields = table(spark, sf, "manifest_entries").select("entry_id", "table_id", "manifest_path", "arrived_at", F.col("data_file.record_count").alias("record_count"))
+    fields = table(spark, sf, "manifest_entries").select(
+        "entry_id", "table_id", "manifest_path", "arrived_at", F.col("data_file.record_count").alias("record_count")
+    )
     entries = materialise(compaction.single_entries(fields), "entries")
     low, high = listed.agg(F.min("written_at"), F.max("written_at")).first()
     work = compaction.ManifestCompaction(spark, fresh_dir(spark, "manifests"), fresh_dir(spark, "journal"))
@@ -34,16 +39,21 @@ def p1_outputs(spark: SparkSession, sf: str) -> DataFrame:
         work.run(entries.where(F.col("arrived_at") <= half), listed.where(F.col("written_at") <= half))
     for _ in range(2):
         work.run(entries, listed)
-    return work.entries(entries).groupBy("table_id").agg(F.count("*").alias("entries"), F.sum("record_count").alias("records"))
+    return work.entries(entries).groupBy("table_id").agg(
+        F.count("*").alias("entries"), F.sum("record_count").alias("records")
+    )
 
 
 def p1_files(spark: SparkSession, sf: str) -> DataFrame:
-    """The rows of stored_files, written as many small files that arrive in two lots, each followed by a compaction, as the live files then hold them."""
+    """The rows of stored_files, written as many small files that arrive in two lots, each followed by a compaction, as
+    the live files then hold them."""
     rows = table(spark, sf, "stored_files").select("file_path", "size_in_bytes")
     at, to, log = (fresh_dir(spark, n) for n in ("small", "merged", "journal"))
     policy = compaction.Policy(target=16 << 20)
     for lot in (0, 1):
-        rows.where(F.pmod(F.hash("file_path"), F.lit(2)) == lot).repartition(24, "file_path").write.mode("append").parquet(at)
+        rows.where(
+            F.pmod(F.hash("file_path"), F.lit(2)) == lot
+        ).repartition(24, "file_path").write.mode("append").parquet(at)
         files = compaction.compact_parquet(spark, at, to, log, policy)
     return spark.read.schema(rows.schema).parquet(*(r.path for r in files.select("path").collect()))  # as many as the merged files
 
@@ -54,14 +64,21 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p2_current(spark: SparkSession, sf: str) -> DataFrame:
     """The current files with the two values that the SQL has; ``p2_files`` has all."""
-    return changefeed.current_files(table(spark, sf, "manifest_entries"), table(spark, sf, "manifest_list_entries"), ["record_count", "file_size_in_bytes"])
+    return changefeed.current_files(
+        table(spark, sf, "manifest_entries"), table(spark, sf, "manifest_list_entries"),
+        ["record_count", "file_size_in_bytes"]
+    )
 
 
 def p2_files(spark: SparkSession, sf: str) -> DataFrame:
-    """The current files with every field of their data_file. At equal numbers the values that ``p2_current`` compares come first."""
+    """The current files with every field of their data_file. At equal numbers the values that ``p2_current`` compares
+    come first."""
     e = table(spark, sf, "manifest_entries")
     first = ["record_count", "file_size_in_bytes"]
-    return changefeed.current_files(e, table(spark, sf, "manifest_list_entries"), [*first, *(n for n in e.schema["data_file"].dataType.names if n not in ("file_path", *first))])
+    return changefeed.current_files(
+        e, table(spark, sf, "manifest_list_entries"),
+        [*first, *(n for n in e.schema["data_file"].dataType.names if n not in ("file_path", *first))]
+    )
 
 
 def p2_fields(spark: SparkSession, sf: str) -> DataFrame:
@@ -72,7 +89,14 @@ def p2_fields(spark: SparkSession, sf: str) -> DataFrame:
         x, kind = F.col(c.name), c.dataType
         if isinstance(kind, T.MapType):
             plain = F.hex if isinstance(kind.valueType, T.BinaryType) else lambda v: v.cast("string")
-            x = F.array_join(F.array_sort(F.transform(F.map_entries(x), lambda e: F.concat(e["key"].cast("string"), F.lit("="), plain(e["value"])))), ",")
+            x = F.array_join(
+                F.array_sort(
+                    F.transform(
+                        F.map_entries(x), lambda e: F.concat(e["key"].cast("string"), F.lit("="), plain(e["value"]))
+                    )
+                ),
+                ","
+            )
         elif isinstance(kind, T.ArrayType):
             x = F.array_join(x.cast("array<string>"), ",")
         elif isinstance(kind, T.BinaryType):
@@ -83,7 +107,8 @@ def p2_fields(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_increments(spark: SparkSession, sf: str) -> DataFrame:
-    """The same files, from the patches of the first half of the numbers, kept, and those of all entries from a table's last eighth on, which repeats some."""
+    """The same files, from the patches of the first half of the numbers, kept, and those of all entries from a table's
+    last eighth on, which repeats some."""
     values = ["record_count", "file_size_in_bytes"]
     c = changefeed.file_changes(table(spark, sf, "manifest_entries"), table(spark, sf, "manifest_list_entries"), values)
     top = c.agg(F.max("sequence_number")).first()[0] or 0
@@ -91,12 +116,15 @@ def p2_increments(spark: SparkSession, sf: str) -> DataFrame:
     kept = materialise(some(c.where(F.col("sequence_number") <= top // 2)), "patches")
     late = some(c.where(F.col("sequence_number") > top // 2 - top // 8))
     both = changefeed.combine([late, kept], changefeed.FILE_KEYS)
-    got = changefeed.apply_patches(changefeed.no_files(c, values), both, changefeed.FILE_KEYS, values, position="sequence_number")
+    got = changefeed.apply_patches(
+        changefeed.no_files(c, values), both, changefeed.FILE_KEYS, values, position="sequence_number"
+    )
     return got.select(*changefeed.FILE_KEYS, "sequence_number", *values)
 
 
 def p2_on_base(spark: SparkSession, sf: str) -> DataFrame:
-    """The same files, from a base that holds what was added up to the middle number, with all changes applied to it: those that the base has seen change nothing."""
+    """The same files, from a base that holds what was added up to the middle number, with all changes applied to it:
+    those that the base has seen change nothing."""
     values = ["record_count", "file_size_in_bytes"]
     e, listed = table(spark, sf, "manifest_entries"), table(spark, sf, "manifest_list_entries")
     top = e.agg(F.max("sequence_number")).first()[0] or 0
@@ -106,15 +134,23 @@ def p2_on_base(spark: SparkSession, sf: str) -> DataFrame:
 
 def p2_partial(spark: SparkSession, sf: str) -> DataFrame:
     """The files where a null value leaves what an earlier change has set since the last deletion."""
-    return changefeed.current_files(table(spark, sf, "manifest_entries"), table(spark, sf, "manifest_list_entries"), ["record_count", "file_size_in_bytes"], partial=True)
+    return changefeed.current_files(
+        table(spark, sf, "manifest_entries"), table(spark, sf, "manifest_list_entries"),
+        ["record_count", "file_size_in_bytes"], partial=True
+    )
 
 
 def _trees(spark: SparkSession, sf: str) -> DataFrame:
-    return hierarchy.forest(headers(table(spark, sf, "manifest_lists")), "snapshot_id", "parent_snapshot_id", ["table_id", "sequence_number"])
+    return hierarchy.forest(
+        headers(table(spark, sf, "manifest_lists")), "snapshot_id", "parent_snapshot_id",
+        ["table_id", "sequence_number"]
+    )
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _trees(spark, sf).select(F.col("node").alias("snapshot_id"), F.col("root").alias("root_snapshot_id"), "depth")
+    return _trees(spark, sf).select(
+        F.col("node").alias("snapshot_id"), F.col("root").alias("root_snapshot_id"), "depth"
+    )
 
 
 def p3_paths(spark: SparkSession, sf: str) -> DataFrame:
@@ -122,25 +158,31 @@ def p3_paths(spark: SparkSession, sf: str) -> DataFrame:
     trees = materialise(hierarchy.cut_loops(_trees(spark, sf)), "cut")
     s = hierarchy.path_segments(trees).join(trees.select("node", "looped"), "node")
     return s.select(
-        F.col("node").alias("snapshot_id"), F.col("root").alias("root_snapshot_id"), "depth", "looped", F.col("anchor").alias("anchor_snapshot_id"), F.array_join("segment", ",").alias("segment")
+        F.col("node").alias("snapshot_id"), F.col("root").alias("root_snapshot_id"), "depth", "looped",
+        F.col("anchor").alias("anchor_snapshot_id"), F.array_join("segment", ",").alias("segment")
     )
 
 
 def _asked(trees: DataFrame) -> DataFrame:
-    """The snapshots whose whole paths and descendants are given: all paths together would take the square of a long history."""
+    """The snapshots whose whole paths and descendants are given: all paths together would take the square of a long
+    history."""
     return trees.where("node % 100 = 0").select("node")
 
 
 def p3_full_paths(spark: SparkSession, sf: str) -> DataFrame:
     """The whole path, from the root down, of the snapshots whose id is divisible by 100."""
     trees = materialise(_trees(spark, sf), "trees")
-    return hierarchy.full_paths(trees, _asked(trees)).select(F.col("node").alias("snapshot_id"), F.array_join("path", ",").alias("path"))
+    return hierarchy.full_paths(trees, _asked(trees)).select(
+        F.col("node").alias("snapshot_id"), F.array_join("path", ",").alias("path")
+    )
 
 
 def p3_below(spark: SparkSession, sf: str) -> DataFrame:
     """All descendants of the snapshots whose id is divisible by 100."""
     trees = materialise(_trees(spark, sf), "trees")
-    return hierarchy.descendants(trees, _asked(trees)).select(F.col("ancestor").alias("snapshot_id"), F.col("node").alias("descendant_id"))
+    return hierarchy.descendants(trees, _asked(trees)).select(
+        F.col("ancestor").alias("snapshot_id"), F.col("node").alias("descendant_id")
+    )
 
 
 def p3_descendants(spark: SparkSession, sf: str) -> DataFrame:
@@ -155,7 +197,13 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _orphans(spark: SparkSession, sf: str) -> DataFrame:
-    return orphans.snapshot_orphans(*(table(spark, sf, n) for n in ("manifest_list_entries", "manifest_entries", "snapshots", "manifests", "stored_files")))
+    return orphans.snapshot_orphans(
+        *(
+            table(spark, sf, n) for n in (
+                "manifest_list_entries", "manifest_entries", "snapshots", "manifests", "stored_files"
+            )
+        )
+    )
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -174,7 +222,10 @@ def p6_rows(spark: SparkSession, sf: str) -> DataFrame:
     """file_rows in one layout per table, at all levels; the map as sorted JSON text, so that results compare."""
     r = drift.consistent_rows(table(spark, sf, "file_rows"), table(spark, sf, "manifests"))
     by_path = F.map_from_entries(F.array_sort(F.map_entries("values")))
-    return r.select("table_id", "manifest_path", "row_pos", F.to_json(by_path).alias("values"), F.to_json(F.array_sort("failed")).alias("failed"))
+    return r.select(
+        "table_id", "manifest_path", "row_pos", F.to_json(by_path).alias("values"),
+        F.to_json(F.array_sort("failed")).alias("failed")
+    )
 
 
 def p6_paths(spark: SparkSession, sf: str) -> DataFrame:
@@ -188,7 +239,11 @@ def p6_casts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_outputs, p1_files, p2_found, p2_current, p2_files, p2_fields, p2_increments, p2_on_base, p2_partial, p3_found, p3_paths, p3_full_paths, p3_below, p3_descendants, p4_found, p5_found, p5_report, p6_found, p6_rows, p6_paths, p6_casts)
+    f.__name__: f for f in (
+        p1_found, p1_outputs, p1_files, p2_found, p2_current, p2_files, p2_fields, p2_increments, p2_on_base,
+        p2_partial, p3_found, p3_paths, p3_full_paths, p3_below, p3_descendants, p4_found, p5_found, p5_report,
+        p6_found, p6_rows, p6_paths, p6_casts
+    )
 }
 
 _LOC = "CASE WHEN regexp_matches({0}, '^s3[an]?:/') THEN 's3://' || regexp_replace(regexp_replace({0}, '^s3[an]?:/+', ''), '/+', '/', 'g') ELSE {0} END"

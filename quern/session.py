@@ -16,8 +16,8 @@ _PLACE: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Where it is unset, a local session gets a temporary folder of its own (tests); a session on a cluster is
-    refused, since a machine-local folder would not be seen by the other machines.
+    Where it is unset, a local session gets a temporary folder of its own (tests); a session on a cluster is refused,
+    since a machine-local folder would not be seen by the other machines.
     """
     own = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not own:
@@ -34,13 +34,15 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
 
 
 def drop_intermediates(spark: SparkSession) -> None:
-    """Delete what this application has kept in the shared folder; results that still read it must have been written before."""
+    """Delete what this application has kept in the shared folder; results that still read it must have been written
+    before."""
     drop_dir(spark, f"{shared_dir(spark)}/quern/{spark.sparkContext.applicationId}")
 
 
 @contextmanager
 def workspace(spark: SparkSession) -> Iterator[None]:
-    """What operators keep in the shared folder while the block runs is deleted at its end; results must have been written or collected in it."""
+    """What operators keep in the shared folder while the block runs is deleted at its end; results must have been
+    written or collected in it."""
     was = dict(_PLACE)
     _PLACE["sub"] = f"work-{uuid.uuid4().hex}"
     own = f"{shared_dir(spark)}/quern/{spark.sparkContext.applicationId}/{_PLACE['sub']}"
@@ -53,7 +55,8 @@ def workspace(spark: SparkSession) -> Iterator[None]:
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder and read it back, so a lost executor costs no recomputation."""
+    """Cut the lineage: write ``df`` to the shared folder and read it back, so a lost executor costs no
+    recomputation."""
     spark = df.sparkSession
     at = fresh_dir(spark, label)
     df.write.parquet(at)

@@ -1,4 +1,5 @@
-"""A small Avro object-container codec for manifests: any schema of records, unions, arrays, maps and primitives; codecs null and deflate.
+"""A small Avro object-container codec for manifests: any schema of records, unions, arrays, maps and primitives; codecs
+null and deflate.
 
 Files are decoded by the schema in their own header.
 """
@@ -38,7 +39,9 @@ def _read_long(src: io.BytesIO) -> int:
 
 
 def _kind(schema: Any) -> str:
-    return "union" if isinstance(schema, list) else schema if isinstance(schema, str) else schema["type"] if isinstance(schema["type"], str) else "nested"
+    return "union" if isinstance(schema, list) else schema if isinstance(schema, str) else schema["type"] if isinstance(
+        schema["type"], str
+    ) else "nested"
 
 
 def _names(schema: Any, found: dict[str, Any]) -> dict[str, Any]:
@@ -50,7 +53,9 @@ def _names(schema: Any, found: dict[str, Any]) -> dict[str, Any]:
             found[schema["name"]] = schema
         for key in ("fields", "items", "values", "type"):
             part = schema.get(key)
-            for s in [f["type"] for f in part] if key == "fields" and part else [part] if isinstance(part, (dict, list)) else []:
+            for s in [
+                f["type"] for f in part
+            ] if key == "fields" and part else [part] if isinstance(part, (dict, list)) else []:
                 _names(s, found)
     return found
 
@@ -128,7 +133,11 @@ class Codec:
                     n = -n
                     _read_long(src)
                 for _ in range(n):
-                    items.append(self.read(src, schema["items"]) if k == "array" else (self.read(src, "string"), self.read(src, schema["values"])))
+                    items.append(
+                        self.read(src, schema["items"]) if k == "array" else (
+                            self.read(src, "string"), self.read(src, schema["values"])
+                        )
+                    )
             return items if k == "array" else dict(items)
         if k in ("int", "long"):
             return _read_long(src)
@@ -150,10 +159,17 @@ class Codec:
 _HEADER = Codec({"type": "map", "values": "bytes"})
 
 
-def encode(schema: Any, rows: Iterable[dict], metadata: dict[str, str] | None = None, codec: str = "deflate", block: int = 4000) -> bytes:
+def encode(
+    schema: Any, rows: Iterable[dict], metadata: dict[str, str] | None = None, codec: str = "deflate", block: int = 4000
+) -> bytes:
     out, sync, rec = io.BytesIO(), os.urandom(16), Codec(schema)
     out.write(MAGIC)
-    _HEADER.write(out, {"avro.schema": json.dumps(schema).encode(), "avro.codec": codec.encode()} | {k: v.encode() for k, v in (metadata or {}).items()})
+    _HEADER.write(
+        out,
+        {
+            "avro.schema": json.dumps(schema).encode(), "avro.codec": codec.encode()
+        } | {k: v.encode() for k, v in (metadata or {}).items()}
+    )
     out.write(sync)
 
     def flush(n: int, body: io.BytesIO) -> None:

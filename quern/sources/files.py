@@ -1,4 +1,5 @@
-"""Files and databases outside tables: Parquet, ORC, JSON, CSV and text by Spark's own sources, Avro by the codec of this package, databases by JDBC."""
+"""Files and databases outside tables: Parquet, ORC, JSON, CSV and text by Spark's own sources, Avro by the codec of
+this package, databases by JDBC."""
 
 from __future__ import annotations
 
@@ -29,7 +30,11 @@ def avro_type(schema: Any, named: dict[str, Any] | None = None) -> T.DataType:
     kind = schema if isinstance(schema, str) else schema["type"]
     if isinstance(kind, (dict, list)):
         return avro_type(kind, named)
-    simple = {"null": T.NullType(), "boolean": T.BooleanType(), "int": T.IntegerType(), "long": T.LongType(), "float": T.FloatType(), "double": T.DoubleType(), "bytes": T.BinaryType(), "string": T.StringType(), "fixed": T.BinaryType(), "enum": T.StringType()}
+    simple = {
+        "null": T.NullType(), "boolean": T.BooleanType(), "int": T.IntegerType(), "long": T.LongType(),
+        "float": T.FloatType(), "double": T.DoubleType(), "bytes": T.BinaryType(), "string": T.StringType(),
+        "fixed": T.BinaryType(), "enum": T.StringType()
+    }
     if kind in simple:
         return simple[kind]
     if kind == "array":
@@ -40,7 +45,8 @@ def avro_type(schema: Any, named: dict[str, Any] | None = None) -> T.DataType:
 
 
 def read_avro(spark: SparkSession, path: str, sample: str | None = None) -> DataFrame:
-    """Avro container files below ``path``, each decoded by one task; columns are those of ``sample``, the first file by name if not given."""
+    """Avro container files below ``path``, each decoded by one task; columns are those of ``sample``, the first file by
+    name if not given."""
     storage = Storage(spark)
     first = sample or next((p for p, _, d in storage.list(path) if not d and p.endswith(".avro")), path)
     schema = json.loads(avrofile._HEADER.read(_after_magic(storage.read(first)))["avro.schema"])
@@ -59,7 +65,9 @@ def read_avro(spark: SparkSession, path: str, sample: str | None = None) -> Data
                 if batch:
                     yield pd.DataFrame(batch, columns=names, dtype=object)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.avro").load(path).select("content")
+    files = spark.read.format("binaryFile").option(
+        "recursiveFileLookup", True
+    ).option("pathGlobFilter", "*.avro").load(path).select("content")
     return files.mapInPandas(rows, kind)
 
 
@@ -88,11 +96,16 @@ def write_files(df: DataFrame, path: str, kind: str = "parquet", mode: str = "er
     df.write.mode(mode).options(**own, **options).format(kind).save(path)
 
 
-def read_database(spark: SparkSession, url: str, table: str, split: str | None = None, low: Any = None, high: Any = None, parts: int = 1, **options: Any) -> DataFrame:
+def read_database(
+    spark: SparkSession, url: str, table: str, split: str | None = None, low: Any = None, high: Any = None,
+    parts: int = 1, **options: Any
+) -> DataFrame:
     """A table or query by JDBC, its schema taken from the driver; ``split`` with its bounds reads it in parallel."""
     r = spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**options)
     if split:
-        r = r.option("partitionColumn", split).option("lowerBound", low).option("upperBound", high).option("numPartitions", parts)
+        r = r.option(
+            "partitionColumn", split
+        ).option("lowerBound", low).option("upperBound", high).option("numPartitions", parts)
     return r.load()
 
 

@@ -1,6 +1,8 @@
-"""Typed records: dataclasses to Spark and Arrow schemas, rows to records and back, polymorphic families, converters, hooks, Arrow streams.
+"""Typed records: dataclasses to Spark and Arrow schemas, rows to records and back, polymorphic families, converters,
+hooks, Arrow streams.
 
-Declared on a field with ``dataclasses.field(metadata=column(...))``: another name, a position, another type, metadata, a converter, or leaving it out.
+Declared on a field with ``dataclasses.field(metadata=column(...))``: another name, a position, another type, metadata,
+a converter, or leaving it out.
 """
 
 from __future__ import annotations
@@ -35,15 +37,25 @@ class Converter(Protocol):
     def from_column(self, value: Any) -> Any: ...
 
 
-def column(name: str | None = None, order: int | None = None, type: T.DataType | str | None = None, ignore: bool = False, metadata: dict[str, str] | None = None, converter: Converter | None = None) -> dict:
+def column(
+    name: str | None = None, order: int | None = None, type: T.DataType | str | None = None, ignore: bool = False,
+    metadata: dict[str, str] | None = None, converter: Converter | None = None
+) -> dict:
     """``type``: a Spark type, or the name of a logical type such as decimal(10,2) or timestamptz."""
-    return {"quern": {"name": name, "order": order, "type": Primitive.parse(type).spark if isinstance(type, str) else type, "ignore": ignore, "metadata": metadata or {}, "converter": converter}}
+    return {
+        "quern": {
+            "name": name, "order": order, "type": Primitive.parse(type).spark if isinstance(type, str) else type,
+            "ignore": ignore, "metadata": metadata or {}, "converter": converter
+        }
+    }
 
 
 # The column type of each Python type.
 _SIMPLE: dict[Any, T.DataType] = {
-    bool: T.BooleanType(), int: T.LongType(), float: T.DoubleType(), str: T.StringType(), bytes: T.BinaryType(), bytearray: T.BinaryType(), memoryview: T.BinaryType(),
-    decimal.Decimal: T.DecimalType(38, 18), dt.datetime: T.TimestampType(), dt.date: T.DateType(), dt.time: T.LongType(), dt.timedelta: T.DayTimeIntervalType(), uuid.UUID: T.StringType(),
+    bool: T.BooleanType(), int: T.LongType(), float: T.DoubleType(), str: T.StringType(), bytes: T.BinaryType(),
+    bytearray: T.BinaryType(), memoryview: T.BinaryType(), decimal.Decimal: T.DecimalType(38, 18),
+    dt.datetime: T.TimestampType(), dt.date: T.DateType(), dt.time: T.LongType(), dt.timedelta: T.DayTimeIntervalType(),
+    uuid.UUID: T.StringType()
 }
 
 
@@ -73,7 +85,9 @@ def spark_type(hint: Any) -> T.DataType:
     origin, args = typing.get_origin(hint), typing.get_args(hint)
     if hint in _SIMPLE:
         return _SIMPLE[hint]
-    if origin in (list, set, frozenset, tuple, Sequence, Iterable) or origin is not None and isinstance(origin, type) and issubclass(origin, (list, set, frozenset, tuple, Sequence)):
+    if origin in (list, set, frozenset, tuple, Sequence, Iterable) or origin is not None and isinstance(
+        origin, type
+    ) and issubclass(origin, (list, set, frozenset, tuple, Sequence)):
         return T.ArrayType(spark_type(args[0]), _opt(args[0])[1])
     if origin is dict or origin is not None and isinstance(origin, type) and issubclass(origin, typing.Mapping):
         key = spark_type(args[0])
@@ -103,11 +117,18 @@ def members(cls: type) -> list[Member]:
         inner, nullable = _opt(hints[f.name])
         conv = o.get("converter")
         kind = conv.spark_type if conv else o.get("type") or spark_type(inner)
-        out.append((o["order"] if o.get("order") is not None else 1 << 30, i, Member(f.name, o.get("name") or f.name, inner, nullable, kind, o.get("metadata", {}), conv)))
+        out.append(
+            (
+                o["order"] if o.get("order") is not None else 1 << 30, i,
+                Member(f.name, o.get("name") or f.name, inner, nullable, kind, o.get("metadata", {}), conv)
+            )
+        )
     got = [m for _, _, m in sorted(out, key=lambda x: x[:2])]
     names = [m.name for m in got]
     if len(set(names)) < len(names):
-        raise SchemaError("R004", f"{cls.__name__} has two columns of one name: {sorted({n for n in names if names.count(n) > 1})}")
+        raise SchemaError(
+            "R004", f"{cls.__name__} has two columns of one name: {sorted({n for n in names if names.count(n) > 1})}"
+        )
     return got
 
 
@@ -117,7 +138,12 @@ def schema_of(cls: type, ids: bool = False) -> T.StructType:
     if not ids:
         return s
     t = to_spark(from_spark(s)[0])
-    return T.StructType([T.StructField(a.name, b.dataType, a.nullable, {**(a.metadata or {}), **b.metadata}) for a, b in zip(s.fields, t.fields, strict=True)])
+    return T.StructType(
+        [
+            T.StructField(a.name, b.dataType, a.nullable, {**(a.metadata or {}), **b.metadata}) for a,
+            b in zip(s.fields, t.fields, strict=True)
+        ]
+    )
 
 
 def _out(value: Any, hint: Any, conv: Any = None) -> Any:
@@ -173,14 +199,18 @@ def _in(value: Any, hint: Any, conv: Any = None) -> Any:
 
 
 def _plain_time(value: Any, kind: T.DataType) -> Any:
-    return value.replace(tzinfo=None) if isinstance(kind, T.TimestampNTZType) and isinstance(value, dt.datetime) else value
+    return value.replace(tzinfo=None) if isinstance(
+        kind, T.TimestampNTZType
+    ) and isinstance(value, dt.datetime) else value
 
 
 def to_row(record: Any) -> tuple:
     """``before_serialize`` of the record, if it has one, is called first."""
     if hook := getattr(record, "before_serialize", None):
         hook()
-    return tuple(_plain_time(_out(getattr(record, m.attribute), m.hint, m.converter), m.type) for m in members(type(record)))
+    return tuple(
+        _plain_time(_out(getattr(record, m.attribute), m.hint, m.converter), m.type) for m in members(type(record))
+    )
 
 
 def from_row(cls: type[R], row: Any) -> R:
@@ -223,7 +253,9 @@ def make_class(name: str, schema: T.StructType) -> type:
     for f in schema.fields:
         h = hint(f.dataType, f"{name}_{f.name}")
         meta = {k: v for k, v in (f.metadata or {}).items() if k != FIELD_ID}
-        fields.append((f.name, h | None if f.nullable else h, dataclasses.field(metadata=column(type=f.dataType, metadata=meta))))
+        fields.append(
+            (f.name, h | None if f.nullable else h, dataclasses.field(metadata=column(type=f.dataType, metadata=meta)))
+        )
     return dataclasses.make_dataclass(name, fields)
 
 
@@ -232,7 +264,8 @@ def make_class(name: str, schema: T.StructType) -> type:
 
 @dataclasses.dataclass(frozen=True)
 class Family:
-    """Record classes told apart by a tag column: ``tags`` maps the tag to the class; columns are the union of all, each nullable."""
+    """Record classes told apart by a tag column: ``tags`` maps the tag to the class; columns are the union of all, each
+    nullable."""
 
     tags: dict[str, type]
     tag_column: str = "$type"
@@ -252,7 +285,9 @@ class Family:
         for r in records:
             if type(r) not in tags:
                 raise SchemaError("tag", f"{type(r).__name__} is not in the family")
-            own = dict(zip([m.name for m in members(type(r))], to_row(r), strict=True)) | {self.tag_column: tags[type(r)]}
+            own = dict(
+                zip([m.name for m in members(type(r))], to_row(r), strict=True)
+            ) | {self.tag_column: tags[type(r)]}
             rows.append(tuple(own.get(n) for n in names))
         return spark.createDataFrame(rows, self.schema())
 
@@ -273,7 +308,13 @@ class Family:
         tagged = [d.withColumn(self.tag_column, F.lit(t)) for t, d in parts.items()]
         df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
         have = set(df.columns)
-        return df.select(*(F.col(f"`{f.name}`") if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema()))
+        return df.select(
+            *(
+                F.col(
+                    f"`{f.name}`"
+                ) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema()
+            )
+        )
 
 
 # Arrow
@@ -288,7 +329,12 @@ def to_arrow_schema(kind: T.StructType):
 def describe(cls: type) -> str:
     """The record's columns as JSON, for tools."""
     s = schema_of(cls)
-    fields = [{"name": m.name, "attribute": m.attribute, "type": m.type.simpleString(), "nullable": m.nullable, "metadata": m.metadata} for m in members(cls)]
+    fields = [
+        {
+            "name": m.name, "attribute": m.attribute, "type": m.type.simpleString(), "nullable": m.nullable,
+            "metadata": m.metadata
+        } for m in members(cls)
+    ]
     return json.dumps({"type": cls.__name__, "namespace": cls.__module__, "fields": fields, "schema": s.jsonValue()})
 
 
@@ -347,7 +393,8 @@ def df_to_stream(df: DataFrame, out: io.IOBase) -> None:
 
 
 class CStream:
-    """A frame's rows through Arrow's C stream interface (``__arrow_c_stream__``), for other libraries in the process: batches come as they are asked for, a partition at a time."""
+    """A frame's rows through Arrow's C stream interface (``__arrow_c_stream__``), for other libraries in the process:
+    batches come as they are asked for, a partition at a time."""
 
     def __init__(self, df: DataFrame):
         self.df = df

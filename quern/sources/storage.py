@@ -1,4 +1,5 @@
-"""Small metadata files on any Hadoop file system (file, hdfs, s3a), written whole or not at all. Data files are read and written by Spark itself."""
+"""Small metadata files on any Hadoop file system (file, hdfs, s3a), written whole or not at all. Data files are read
+and written by Spark itself."""
 
 from __future__ import annotations
 
@@ -18,7 +19,8 @@ class AlreadyExists(FileExistsError):
 
 
 class Storage:
-    """Files by path. ``single_writer``: the caller vouches that nobody else writes, so that stores without exclusive creation may be used."""
+    """Files by path. ``single_writer``: the caller vouches that nobody else writes, so that stores without exclusive
+    creation may be used."""
 
     def __init__(self, spark: SparkSession, single_writer: bool = False):
         self.spark, self.single_writer = spark, single_writer
@@ -48,8 +50,9 @@ class Storage:
             stream.close()
 
     def create(self, path: str, data: bytes) -> None:
-        """Write a new file; AlreadyExists if there is one. Of writers at the same time exactly one succeeds: locally by a hard link, elsewhere
-        by the file system's create without overwriting. Where an S3 store doesn't offer conditional puts this is refused, unless ``single_writer``."""
+        """Write a new file; AlreadyExists if there is one. Of writers at the same time exactly one succeeds: locally by
+        a hard link, elsewhere by the file system's create without overwriting. Where an S3 store doesn't offer
+        conditional puts this is refused, unless ``single_writer``."""
         if (own := self.local(path)) is not None:
             os.makedirs(os.path.dirname(own), exist_ok=True)
             tmp = f"{os.path.dirname(own)}/.{uuid.uuid4().hex}"
@@ -67,9 +70,13 @@ class Storage:
         p, fs = self._fs(path)
         conditional = urlparse(path).scheme in ("s3", "s3a", "s3n") and fs.hasPathCapability(p, _CONDITIONAL)
         if not conditional and not self.exclusive(path):
-            raise NotImplementedError(f"{path}: this store can't create files exclusively, so two commits could both succeed; turn on conditional puts or name a single writer")
+            raise NotImplementedError(
+                f"{path}: this store can't create files exclusively, so two commits could both succeed; turn on conditional puts or name a single writer"
+            )
         try:
-            out = fs.createFile(p).overwrite(False).must(_CONDITIONAL, "true").build() if conditional else fs.create(p, False)
+            out = fs.createFile(p).overwrite(False).must(
+                _CONDITIONAL, "true"
+            ).build() if conditional else fs.create(p, False)
             out.write(bytearray(data))
             out.close()  # a conditional put is decided here
         except Exception as e:

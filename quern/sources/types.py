@@ -1,7 +1,7 @@
 """Logical types of tables: parsing, JSON form, field ids, and their Spark types.
 
-A schema is a struct whose fields, list elements and map entries carry ids. Spark columns keep the id in their metadata (``parquet.field.id``), so that files are
-read by id whatever the columns were called when they were written.
+A schema is a struct whose fields, list elements and map entries carry ids. Spark columns keep the id in their metadata
+(``parquet.field.id``), so that files are read by id whatever the columns were called when they were written.
 """
 
 from __future__ import annotations
@@ -118,13 +118,24 @@ def type_to_json(t: Any) -> Any:
     if isinstance(t, Primitive):
         return t.name
     if isinstance(t, ListOf):
-        return {"type": "list", "element-id": t.element_id, "element-required": t.element_required, "element": type_to_json(t.element)}
+        return {
+            "type": "list", "element-id": t.element_id, "element-required": t.element_required,
+            "element": type_to_json(t.element)
+        }
     if isinstance(t, MapOf):
-        return {"type": "map", "key-id": t.key_id, "key": type_to_json(t.key), "value-id": t.value_id, "value-required": t.value_required, "value": type_to_json(t.value)}
+        return {
+            "type": "map", "key-id": t.key_id, "key": type_to_json(t.key), "value-id": t.value_id,
+            "value-required": t.value_required, "value": type_to_json(t.value)
+        }
     fields = []
     for f in t.fields:
         d = {"id": f.id, "name": f.name, "required": f.required, "type": type_to_json(f.type)}
-        d |= {k: v for k, v in (("doc", f.doc), ("initial-default", f.initial_default), ("write-default", f.write_default)) if v is not None}
+        d |= {
+            k: v for k,
+            v in (
+                ("doc", f.doc), ("initial-default", f.initial_default), ("write-default", f.write_default)
+            ) if v is not None
+        }
         fields.append(d)
     return {"type": "struct", "fields": fields}
 
@@ -135,9 +146,19 @@ def type_from_json(x: Any) -> Any:
     if x["type"] == "list":
         return ListOf(x["element-id"], x.get("element-required", False), type_from_json(x["element"]))
     if x["type"] == "map":
-        return MapOf(x["key-id"], type_from_json(x["key"]), x["value-id"], x.get("value-required", False), type_from_json(x["value"]))
+        return MapOf(
+            x["key-id"], type_from_json(x["key"]), x["value-id"], x.get("value-required", False),
+            type_from_json(x["value"])
+        )
     if x["type"] == "struct":
-        return Struct(tuple(Field(f["id"], f["name"], f.get("required", False), type_from_json(f["type"]), f.get("doc"), f.get("initial-default"), f.get("write-default")) for f in x["fields"]))
+        return Struct(
+            tuple(
+                Field(
+                    f["id"], f["name"], f.get("required", False), type_from_json(f["type"]), f.get("doc"),
+                    f.get("initial-default"), f.get("write-default")
+                ) for f in x["fields"]
+            )
+        )
     raise SchemaError("type", f"no such type: {x['type']}")
 
 
@@ -221,7 +242,10 @@ def walk(t: Any, path: str = "") -> list[tuple[int, str, Any]]:
     elif isinstance(t, ListOf):
         out += [(t.element_id, join("element"), t.element), *walk(t.element, join("element"))]
     elif isinstance(t, MapOf):
-        out += [(t.key_id, join("key"), t.key), *walk(t.key, join("key")), (t.value_id, join("value"), t.value), *walk(t.value, join("value"))]
+        out += [
+            (t.key_id, join("key"), t.key), *walk(t.key, join("key")), (t.value_id, join("value"), t.value),
+            *walk(t.value, join("value"))
+        ]
     return out
 
 
@@ -235,7 +259,10 @@ def same_type(a: Any, b: Any) -> bool:
         return a.element_required == b.element_required and same_type(a.element, b.element)
     if isinstance(a, MapOf):
         return a.value_required == b.value_required and same_type(a.key, b.key) and same_type(a.value, b.value)
-    return len(a.fields) == len(b.fields) and all(x.name == y.name and x.required == y.required and same_type(x.type, y.type) for x, y in zip(a.fields, b.fields, strict=True))
+    return len(a.fields) == len(b.fields) and all(
+        x.name == y.name and x.required == y.required and same_type(x.type, y.type) for x,
+        y in zip(a.fields, b.fields, strict=True)
+    )
 
 
 def name_mapping(schema: Schema) -> list[dict]:
@@ -243,11 +270,22 @@ def name_mapping(schema: Schema) -> list[dict]:
 
     def of(t: Any) -> list[dict]:
         if isinstance(t, Struct):
-            return [{"field-id": f.id, "names": [f.name]} | ({"fields": inner} if (inner := of(f.type)) else {}) for f in t.fields]
+            return [
+                {"field-id": f.id, "names": [f.name]} | (
+                    {"fields": inner} if (inner := of(f.type)) else {}
+                ) for f in t.fields
+            ]
         if isinstance(t, ListOf):
-            return [{"field-id": t.element_id, "names": ["element"]} | ({"fields": inner} if (inner := of(t.element)) else {})]
+            return [
+                {"field-id": t.element_id, "names": ["element"]} | (
+                    {"fields": inner} if (inner := of(t.element)) else {}
+                )
+            ]
         if isinstance(t, MapOf):
-            return [{"field-id": i, "names": [n]} | ({"fields": inner} if (inner := of(x)) else {}) for i, n, x in ((t.key_id, "key", t.key), (t.value_id, "value", t.value))]
+            return [
+                {"field-id": i, "names": [n]} | ({"fields": inner} if (inner := of(x)) else {}) for i, n,
+                x in ((t.key_id, "key", t.key), (t.value_id, "value", t.value))
+            ]
         return []
 
     return of(schema.struct)
@@ -258,8 +296,11 @@ def name_mapping(schema: Schema) -> list[dict]:
 _WIDER = {("int", "long"), ("float", "double")}
 
 
-def add_column(s: Schema, name: str, kind: Any, last_id: int, required: bool = False, doc: str | None = None, default: Any = None) -> tuple[Schema, int]:
-    """``default``: what rows written before have in the column, and rows written without it from now on. Gives the schema and its last id."""
+def add_column(
+    s: Schema, name: str, kind: Any, last_id: int, required: bool = False, doc: str | None = None, default: Any = None
+) -> tuple[Schema, int]:
+    """``default``: what rows written before have in the column, and rows written without it from now on. Gives the
+    schema and its last id."""
     if any(f.name == name for f in s.struct.fields):
         raise SchemaError("name", f"{name} is there already")
     t, nxt = (kind, last_id + 2) if not isinstance(kind, T.DataType) else from_spark(kind, last_id + 2)

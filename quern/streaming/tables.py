@@ -13,9 +13,11 @@ from quern.sources.transaction import Transaction
 
 
 def append_sink(catalog: Catalog, ident: Any, stream: str) -> Callable[[DataFrame, int], None]:
-    """For ``writeStream.foreachBatch``: each micro-batch is one snapshot. A batch that is run again finds its number in the table's properties and does nothing.
+    """For ``writeStream.foreachBatch``: each micro-batch is one snapshot. A batch that is run again finds its number in
+    the table's properties and does nothing.
 
-    ``stream`` names the stream for good: streams into one table count their batches apart, and one that is started anew with its checkpoint keeps its name.
+    ``stream`` names the stream for good: streams into one table count their batches apart, and one that is started anew
+    with its checkpoint keeps its name.
     """
     key = f"stream.batch.{stream}"
 
@@ -32,22 +34,30 @@ def append_sink(catalog: Catalog, ident: Any, stream: str) -> Callable[[DataFram
 
 
 def changed_since(catalog: Catalog, ident: Any, start: int | None) -> tuple[DataFrame, int | None]:
-    """(rows appended after snapshot ``start``, the snapshot they reach to): one step of a snapshot-by-snapshot reader."""
+    """(rows appended after snapshot ``start``, the snapshot they reach to): one step of a snapshot-by-snapshot
+    reader."""
     t = catalog.load_table(ident)
     end = t.metadata["current-snapshot-id"]
     return (t.incremental(start, end) if end is not None and end != start else t.to_df().limit(0)), end
 
 
-def windowed(stream: DataFrame, time: str, late: str, width: str, keys: list[str], *aggs: Column, slide: str | None = None) -> DataFrame:
-    """Aggregates by time window and keys; rows later than ``late`` behind the newest are left out. Works on a batch frame alike."""
+def windowed(
+    stream: DataFrame, time: str, late: str, width: str, keys: list[str], *aggs: Column, slide: str | None = None
+) -> DataFrame:
+    """Aggregates by time window and keys; rows later than ``late`` behind the newest are left out. Works on a batch
+    frame alike."""
     w = F.window(time, width, slide) if slide else F.window(time, width)
-    return stream.withWatermark(time, late).groupBy(w.alias("w"), *keys).agg(*aggs).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys, *_names(aggs))
+    return stream.withWatermark(time, late).groupBy(w.alias("w"), *keys).agg(*aggs).select(
+        F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys, *_names(aggs)
+    )
 
 
 def sessions(stream: DataFrame, time: str, late: str, gap: str, keys: list[str], *aggs: Column) -> DataFrame:
     """Aggregates by session: rows of a key no further apart than ``gap``."""
     w = F.session_window(time, gap)
-    return stream.withWatermark(time, late).groupBy(w.alias("w"), *keys).agg(*aggs).select(F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), *keys, *_names(aggs))
+    return stream.withWatermark(time, late).groupBy(w.alias("w"), *keys).agg(*aggs).select(
+        F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), *keys, *_names(aggs)
+    )
 
 
 def _names(aggs: tuple[Column, ...]) -> list[str]:
