@@ -207,6 +207,13 @@ def physical_column(kind: str, c: Column) -> Column:
     return c
 
 
+def in_utc(kind: str, c: Column) -> Column:
+    """An instant as its time of day in UTC, by which the format reckons years to hours, whatever the session's zone; other columns as they are."""
+    if kind != "timestamptz":
+        return c
+    return F.timestamp_add("MICROSECOND", F.unix_micros(c), F.lit("1970-01-01").cast("timestamp_ntz"))
+
+
 def apply_value(name: str, kind: str, v: Any) -> Any:
     """The transform called ``name`` of one value of a ``kind``, as it is kept in partitions. TypeError where it can't
     be told."""

@@ -11,7 +11,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.transforms import physical_column, transform
+from quern.functions.transforms import in_utc, physical_column, transform
 from quern.sources import manifest as mf
 from quern.sources import metadata as md
 from quern.sources.catalog import Catalog, NoSuchTable, Table
@@ -22,7 +22,8 @@ from quern.sources.types import Schema, name_mapping, sql_literal
 def _partition_text(name: str, kind: str, c: Column) -> Column:
     """A partition value as a folder's name: a letter and the value's text in hex, so that any text is a name; null
     stays null."""
-    source = physical_column(kind, c) if name == "identity" or name.startswith(("bucket", "truncate")) else c
+    kept = name == "identity" or name.startswith(("bucket", "truncate"))
+    source = physical_column(kind, c) if kept else in_utc(kind, c)
     text = "text" if kind in ("string", "uuid", "binary") or kind.startswith("fixed") else None
     v = transform(name, source, text).cast("string")
     long = F.raise_error(

@@ -741,6 +741,21 @@ def test_partitions_are_recorded_and_pruned(spark, catalog):
     assert o.to_df().count() == 3 and o.to_df(where=e.eq("k", "")).count() == 1
 
 
+def test_instants_are_partitioned_in_utc(spark, catalog):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        schema = T.DataType.fromDDL("id int, ts timestamp")
+        spec = {"spec-id": 1, "fields": [{"source-id": 2, "field-id": 1000, "name": "d", "transform": "day"}]}
+        catalog.create_table("db.z", schema, spec=spec)
+        rows = [(i, dt.datetime(2020, 1, 1, 22, tzinfo=dt.UTC) + dt.timedelta(hours=i)) for i in range(8)]
+        t = Transaction(catalog, "db.z").append(spark.createDataFrame(rows, schema)).commit()
+        assert {json.loads(r.partition)["d"] for r in t.files().collect()} == {18262, 18263}
+        p = e.gt_eq("ts", dt.datetime(2020, 1, 2, tzinfo=dt.UTC))
+        assert sorted(r.id for r in t.to_df(where=p).collect()) == [2, 3, 4, 5, 6, 7] and len(t.plan(where=p)[0].tasks) == 1
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_deletes_by_sequence_number():
     from quern.sources import planner
 
@@ -817,6 +832,14 @@ def test_commits_of_several_tables_are_seen_whole(spark, catalog, monkeypatch):
         catalog.commit_many([(x, up("2"), []) for x in load()])
     monkeypatch.undo()
     assert [x.metadata["properties"]["x"] for x in load()] == ["1", "other"]
+    fresh, (a, _) = catalog.stage_table("db.d", "id int"), load()
+    with pytest.raises(md.CommitConflict):  # the name taken for a new table is given free
+        catalog.commit_many([
+            (fresh, [], [{"type": "assert-create"}]), (a, up("4"), [{"type": "assert-current-schema-id", "current-schema-id": 9}])
+        ])
+    assert not catalog.table_exists("db.d") and catalog.create_table("db.d", "id int")
+    with pytest.raises(ValueError, match="twice"):
+        catalog.commit_many([(a, up("5"), []), (a, up("6"), [])])
     catalog.commit_many([(x, up("3"), []) for x in load()])
     assert [x.metadata["properties"]["x"] for x in load()] == ["3", "3"]
 
