@@ -91,7 +91,11 @@ def default_tokenizer() -> str:
 def pack(
     items: Iterable[tuple[int | None, int]], kinds: list[tuple[str, int]], most_open: int, prefix: str
 ) -> Iterator[tuple]:
-    """Rows as in OUT for (id, tokens). A closed container becomes the smallest kind that holds what is in it."""
+    """Rows as in OUT for (id, tokens). A closed container becomes the smallest kind that holds what is in it; without
+    any kind there is none."""
+    if not kinds:
+        yield from ((doc, 0, 0, size, None, None, None) for doc, size in items)
+        return
     kinds = sorted(kinds, key=lambda k: (k[1], k[0]))
     sizes, top = [c for _, c in kinds], kinds[-1][1]
     bins, waiting = Bins(top, most_open), defaultdict(list)
@@ -124,13 +128,13 @@ def containers(
     Rows: doc_id, piece (0 first), token_start and token_end in the text's tokens, container_id, container_kind,
     capacity_tokens. A text within the largest capacity is never cut; a longer one is cut at every ``capacity`` tokens.
     Null and empty texts have no tokens and lie in any container. A null key stays null; repeated keys are texts of
-    their own. Without a kind there is nothing to fill: an error. Each task leaves at most ``most_open`` containers with
-    room, each the smallest kind that holds its content. Which texts share a container follows from how the input is
-    split into tasks: another spark.sql.files.maxPartitionBytes gives other containers, as good and as full. The
-    tokenizer is read by the driver and broadcast (its size is that of its vocabulary).
+    their own. Without a kind of any capacity no text has a container: one row each, container, kind and capacity null.
+    Each task leaves at most ``most_open`` containers with room, each the smallest kind that holds its content. Which
+    texts share a container follows from how the input is split into tasks: another spark.sql.files.maxPartitionBytes
+    gives other containers, as good and as full. The tokenizer is read by the driver and broadcast (its size is that of
+    its vocabulary).
     """
-    if not kinds or max(c for _, c in kinds) < 1:
-        raise ValueError("no container has any capacity")
+    kinds = [k for k in kinds if k[1] > 0]
     shared = docs.sparkSession.sparkContext.broadcast(load(tokenizer or default_tokenizer()))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -157,7 +161,7 @@ def containers(
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
         d = pd.DataFrame(rows, columns=names)
-        return d.assign(doc_id=d["doc_id"].astype("Int64"))
+        return d.assign(doc_id=d["doc_id"].astype("Int64"), capacity_tokens=d["capacity_tokens"].astype("Int32"))
 
     return docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t")).mapInPandas(run, OUT)
 

@@ -29,7 +29,7 @@ def p7_kept(spark: SparkSession, sf: str) -> DataFrame:
     full = rows.groupBy("container_id").agg((F.sum("n") > F.max("capacity_tokens")).alias("over"))
     whole = (F.sum("n") == F.max("token_end")) & (F.min("token_start") == 0) & (F.count("*") == F.max("piece") + 1)
     docs = rows.groupBy("doc_id").agg(
-        (~whole).alias("broken"), ((F.count("*") > 1) & (F.sum("n") <= max(c for _, c in kinds))).alias("cut")
+        (~whole).alias("broken"), ((F.count("*") > 1) & (F.sum("n") <= max((c for _, c in kinds), default=0))).alias("cut")
     )
     over = full.agg(F.count_if("over").cast("int").alias("over_full"))
     seen = docs.agg(

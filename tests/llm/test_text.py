@@ -76,8 +76,9 @@ def test_containers_of_texts(spark):
         1: size("a b c") + size("again"), 2: 0, 3: 0, None: size("x"), 4: size("word " * 3000), 5: size("é" * 500)
     }
     assert packing.containers(df.limit(0), KINDS).count() == 0
-    with pytest.raises(ValueError):
-        packing.containers(df, [])
+    none = packing.containers(df, [("zero", 0)]).collect()
+    assert len(none) == len(texts) and all(r.container_id is None and r.capacity_tokens is None for r in none)
+    assert packing.containers(df.limit(0), []).count() == 0
 
 
 def test_containers_are_nearly_full(spark):
