@@ -708,9 +708,7 @@ def test_partitions_are_recorded_and_pruned(spark, catalog):
     for part in (rows[:12], rows[12:]):
         Transaction(catalog, "db.p").append(spark.createDataFrame(part, schema)).commit()
     t = catalog.load_table("db.p")
-    assert sorted(t.to_df().collect()) == sorted(
-        spark.createDataFrame(rows, schema).collect()
-    ) if False else t.to_df().count() == 24
+    assert t.to_df().count() == 24
     known = [json.loads(r.partition) for r in t.files().collect()]
     assert {x["k"] for x in known} == {None, "", "a b/c%=é", "x"} and {
         x["month"] for x in known
