@@ -231,18 +231,21 @@ def recorded_manifests(
 def single_entries(entries: DataFrame) -> DataFrame:
     """``entries`` once each, with ``_key`` and ``_path`` (the manifest's one spelling).
 
-    A repeated entry_id is the same change and is kept once, as it arrived first. Rows without an entry_id are told
-    apart by all their values.
+    A repeated entry_id is the same change and is kept once, as it arrived first; of rows that arrived together the one
+    with the most columns known. Rows without an entry_id are told apart by all their values.
     """
     cols = [c for c in entries.columns if c not in ("_key", "_path")]
     row = F.struct(*(f"`{c}`" for c in cols))
     key = F.coalesce(F.col("entry_id").cast("string"), F.concat(F.lit("row "), F.sha2(F.to_json(row), 256)))
     late = F.coalesce("arrived_at", F.lit("9999-12-31").cast("timestamp_ntz"))
+    unknown = F.lit(0)
+    for c in cols:
+        unknown = unknown + F.col(f"`{c}`").isNull().cast("int")
     e = entries.select(
-        key.alias("_key"), late.alias("_at"),
+        key.alias("_key"), late.alias("_at"), unknown.alias("_unknown"),
         F.struct(location("manifest_path").alias("_path"), row.alias("r")).alias("x")
     )
-    once = e.groupBy("_key").agg(F.min_by("x", F.struct("_at", F.col("x._path"))).alias("x"))
+    once = e.groupBy("_key").agg(F.min_by("x", F.struct("_at", "_unknown", F.col("x._path"))).alias("x"))
     return once.select("_key", "x._path", *(F.col(f"x.r.`{c}`").alias(c) for c in cols))
 
 

@@ -282,8 +282,8 @@ o AS (SELECT k ref_kind, table_id, key missing_key, strftime(min(t), '%Y-%m-%d')
 
 ORACLE: dict[str, str] = {
     "p1_found": f"WITH {_P1_MEMBERS} SELECT table_id, manifest_path FROM s QUALIFY count(*) OVER (PARTITION BY table_id, spec, d) >= 6",
-    "p1_outputs": """SELECT table_id, count(*) AS entries, CAST(sum(rc) AS BIGINT) AS records FROM (SELECT entry_id, arg_min(table_id, arrived_at) table_id, arg_min(data_file.record_count, arrived_at) rc
- FROM manifest_entries GROUP BY 1) GROUP BY 1""",
+    "p1_outputs": f"""SELECT table_id, count(*) AS entries, CAST(sum(rc) AS BIGINT) AS records FROM (SELECT table_id, data_file.record_count rc FROM manifest_entries
+ QUALIFY row_number() OVER (PARTITION BY entry_id ORDER BY arrived_at NULLS LAST, data_file.record_count IS NULL, {_LOC.format('manifest_path')}) = 1) GROUP BY 1""",
     "p1_files": "SELECT file_path, size_in_bytes FROM stored_files",
     "p2_found": f"{_P2} SELECT table_id, file_path, q AS sequence_number FROM h WHERE n = 1 AND status <> 2",
     **dict.fromkeys(("p2_current", "p2_increments", "p2_on_base"), f"{_P2} SELECT table_id, file_path, q AS sequence_number, rc AS record_count, sz AS file_size_in_bytes FROM h WHERE n = 1 AND status <> 2"),

@@ -138,7 +138,7 @@ def test_manifests_take_values_any_row_knows(spark):
     assert sorted(r.manifest_path for r in got) == [f"s3://b/{i}" for i in range(6)]
     e = spark.createDataFrame(
         [
-            (7, "s3a://b/0", at(2), "late"), (7, "s3a://b/0", at(1), "first"), (8, "s3://b/other", at(1), "o"),
+            (7, "s3a://b/0", at(2), "late"), (7, "s3a://b/0", at(1), "first"), (8, "s3://b/other", at(1), "o"), (8, "s3://b/a", at(1), None),
             (None, "s3://b/1", None, "n")
         ],
         "entry_id bigint, manifest_path string, arrived_at timestamp_ntz, x string"
