@@ -159,9 +159,79 @@ def path_statistics(rows: DataFrame) -> DataFrame:
 
 # Schemas
 
-#: Where the path-value map of a schema has fields, types that are objects, and ids of elements, keys and values.
-_FIELD = r"fields\[\d+\](?:\.type(?:\.(?:element|key|value))*\.fields\[\d+\])*"
-_TYPE = rf"{_FIELD}\.type(?:\.(?:element|key|value))*"
+#: Where the path-value map of a schema has fields and types that are objects.
+_FIELD = re.compile(r"fields\[\d+\](?:\.type(?:\.(?:element|key|value))*\.fields\[\d+\])*")
+_TYPE = re.compile(rf"{_FIELD.pattern}\.type(?:\.(?:element|key|value))*")
+_WHOLE = re.compile(r"\s*([+-]?\d{1,18})\s*")
+
+
+def project_schema(
+    values: dict[str, tuple[str, str | None]] | None,
+) -> tuple[int | None, list[tuple[int, str, str]], list[str]]:
+    """(schema-id, fields, failed) from the path-value map of a schema: the typed columns of its fields.
+
+    ``fields``: (field_id, name, type). Lists have a field ``element``, maps ``key`` and ``value``; the type of a struct,
+    list or map is only its kind; blanks inside a type are dropped. ``failed``: the paths at which a schema needs what
+    isn't there or can't be cast (``$``: it is no JSON object with fields).
+    """
+    values = values or {}
+
+    def number_at(path: str, bits: int = 31) -> int | None:
+        m = _WHOLE.fullmatch(values.get(path, ("", None))[1] or "")
+        return int(m[1]) if m and -(1 << bits) <= int(m[1]) < 1 << bits else None
+
+    def type_at(path: str) -> str | None:
+        kind, value = values.get(path, ("", None))
+        if kind == "object":
+            return values.get(f"{path}.type", ("", None))[1]
+        return re.sub(r"\s+", "", value) if kind == "string" else None
+
+    sid = number_at("schema-id", 63)
+    if values.get("fields", ("",))[0] != "array":
+        return sid, [], ["$"]
+    fields: list[tuple[int, str, str]] = []
+    failed = []
+    for path, (kind, _) in values.items():
+        if path.endswith("]") and _FIELD.fullmatch(path):
+            name_kind, name = values.get(f"{path}.name", ("", None))
+            row = (number_at(f"{path}.id"), name if name_kind == "string" else None, type_at(f"{path}.type"))
+            if kind != "object" or None in row:
+                failed.append(path)
+            else:
+                fields.append(row)
+        elif kind == "object" and path.endswith(("type", "element", "key", "value")) and _TYPE.fullmatch(path):
+            own = values.get(f"{path}.type", ("", None))[1]
+            parts = {"struct": (), "list": ("element",), "map": ("key", "value")}.get(own)
+            rows = [(number_at(f"{path}.{n}-id"), n, type_at(f"{path}.{n}")) for n in parts or ()]
+            lacks = own == "struct" and values.get(f"{path}.fields", ("",))[0] != "array"
+            if parts is None or lacks or any(None in r for r in rows):
+                failed.append(path)
+            else:
+                fields += rows
+    return sid, fields, failed
+
+
+_PROJECTED = (
+    "struct<schema_id:bigint,fields:array<struct<field_id:int,name:string,type:string>>,failed:array<string>>"
+)
+
+
+def _projected(texts):
+    import pyarrow as pa
+
+    got = []
+    for text in texts.to_pylist():
+        flat = flatten(text)
+        got.append(project_schema(None if flat is None else {p: (k, v) for p, k, v in flat}))
+    field = pa.struct([("field_id", pa.int32()), ("name", pa.string()), ("type", pa.string())])
+    rows = [[dict(zip(("field_id", "name", "type"), f, strict=True)) for f in fields] for _, fields, _ in got]
+    return pa.StructArray.from_arrays(
+        [
+            pa.array([s for s, _, _ in got], pa.int64()), pa.array(rows, pa.list_(field)),
+            pa.array([f for _, _, f in got], pa.list_(pa.string()))
+        ],
+        ["schema_id", "fields", "failed"],
+    )
 
 
 def schema_texts(manifests: DataFrame) -> DataFrame:
@@ -175,64 +245,10 @@ def schema_texts(manifests: DataFrame) -> DataFrame:
 
 def schema_documents(texts: DataFrame) -> DataFrame:
     """``texts`` (with header_id and schema) with ``schema_id``, ``fields`` and ``failed``: each schema projected from
-    its path-value map.
-
-    ``fields``: array of (field_id, name, type). Lists have a field ``element``, maps ``key`` and ``value``; the type of
-    a struct, list or map is only its kind; blanks inside a type are dropped. ``failed``: the paths at which a schema
-    needs what isn't there or can't be cast (``$``: it is no JSON object with fields). The id is the header's, else that
-    in the JSON.
-    """
-    m = texts.withColumn("_values", path_map("schema"))
-    at = lambda p: F.try_element_at("_values", p)
-    has = lambda p, *kinds: F.coalesce(at(p)["kind"].isin(*kinds), F.lit(False))
-    whole = lambda p: at(p)["value"].try_cast("int").isNotNull()
-    more = lambda p, s: F.concat(p, F.lit(s))
-    kind = lambda p: F.when(
-        has(p, "object"), at(more(p, ".type"))["value"]
-    ).otherwise(F.regexp_replace(at(p)["value"], r"\s+", ""))
-
-    def node(p: Column) -> Column:
-        field = p.endswith(".id")
-        base = F.regexp_replace(p, r"[.-]id$", "")
-        return F.struct(
-            at(p)["value"].try_cast("int").alias("field_id"),
-            F.when(
-                field, at(more(base, ".name"))["value"]
-            ).otherwise(F.regexp_extract(base, r"(\w+)$", 1)).alias("name"),
-            F.when(field, kind(more(base, ".type"))).otherwise(kind(base)).alias("type"),
-        )
-
-    def bad(p: Column) -> Column:
-        field = ~(
-            has(p, "object") & whole(more(p, ".id")) & has(more(p, ".name"), "string") & has(
-                more(p, ".type"), "string", "object"
-            )
-        )
-        part = lambda n: whole(more(p, f".{n}-id")) & has(more(p, f".{n}"), "string", "object")
-        own = at(more(p, ".type"))["value"]
-        good = F.when(
-            own == "struct", has(more(p, ".fields"), "array")
-        ).when(own == "list", part("element")).when(own == "map", part("key") & part("value"))
-        return F.when(p.endswith("]"), p.rlike(rf"^{_FIELD}$") & field).otherwise(
-            has(p, "object") & p.rlike(rf"^{_TYPE}$") & ~F.coalesce(good, F.lit(False))
-        )
-
-    # What ends otherwise is neither a field nor a type nor an id; the patterns are matched only against the rest.
-    paths = F.map_keys("_values")
-    ends = lambda p, *s: F.substring_index(p, ".", -1).isin(*s)
-    ids = F.filter(
-        paths,
-        lambda p: ends(p, "id", "element-id", "key-id", "value-id") & p.rlike(
-            rf"^(?:{_FIELD}\.id|{_TYPE}\.(?:element|key|value)-id)$"
-        )
-    )
-    failed = F.filter(paths, lambda p: (p.endswith("]") | ends(p, "type", "element", "key", "value")) & bad(p))
-    m = m.withColumn(
-        "failed",
-        F.when(F.coalesce(at(F.lit("fields"))["kind"] == "array", F.lit(False)), failed).otherwise(F.array(F.lit("$")))
-    )
-    sid = F.coalesce("header_id", F.trim(at(F.lit("schema-id"))["value"]).try_cast("bigint"))
-    return m.select(*texts.columns, sid.alias("schema_id"), F.transform(ids, node).alias("fields"), "failed")
+    its path-value map by ``project_schema``. The id is the header's, else that in the JSON."""
+    d = texts.withColumn("_d", _once(_projected, _PROJECTED)("schema"))
+    sid = F.coalesce("header_id", "_d.schema_id").alias("schema_id")
+    return d.select(*texts.columns, sid, F.col("_d.fields").alias("fields"), F.col("_d.failed").alias("failed"))
 
 
 def unreadable_schemas(manifests: DataFrame) -> DataFrame:
