@@ -682,3 +682,61 @@ def test_current_files_have_every_field(spark):
     assert set(full.columns) == {"table_id", "file_path", "sequence_number"} | fields
     assert sorted(map(str, full.select(two.columns).collect())) == sorted(map(str, two.collect()))
     assert full.where("lower_bounds is not null and column_sizes is not null").count() > 0
+
+
+def brute_layout(value, own, latest, path=""):
+    """(path, raw value) of the leaves of ``value``, laid out from one schema type to another by plain recursion."""
+    kind = lambda t: t if isinstance(t, str) else t["type"]
+    if latest is None:
+        latest = own
+    if value is None or isinstance(own, str) or isinstance(latest, str) or kind(own) != kind(latest):
+        return [(path, value)]
+    if kind(own) == "struct" and isinstance(value, dict):
+        out, now = [], {f["id"]: f for f in latest["fields"]}
+        for f in own["fields"]:
+            g = now.get(f["id"])
+            name = g["name"] if g else f"{f['name']}#{f['id']}"
+            at = f"{path}.{name}" if path else name
+            out += brute_layout(value.get(f["name"]), f["type"], g["type"] if g else None, at)
+        have = {f["id"] for f in own["fields"]}
+        return out + [(f"{path}.{f['name']}" if path else f["name"], None) for i, f in now.items() if i not in have]
+    if kind(own) == "list" and isinstance(value, list):
+        return [x for i, v in enumerate(value) for x in brute_layout(v, own["element"], latest["element"], f"{path}[{i}]")]
+    if kind(own) == "map" and isinstance(value, dict):
+        return [x for k, v in value.items() for x in brute_layout(v, own["value"], latest["value"], f"{path}{{{k}}}")]
+    return [(path, value)]
+
+
+def test_rows_of_the_test_data_are_laid_out_as_by_hand(spark):
+    m, rows = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("manifests", "file_rows"))
+    texts = {}
+    for r in drift.schema_documents(drift.schema_texts(m)).where("size(failed) = 0 and schema_id is not null").collect():
+        texts[r.table_id, r.schema_id] = min(texts.get((r.table_id, r.schema_id), r.schema), r.schema)
+    last = {t: texts[t, max(s for u, s in texts if u == t)] for t, _ in texts}
+    at = {
+        r.p: (r.t, r.s) for r in m.groupBy(location("manifest_path").alias("p")).agg(
+            F.max("table_id").alias("t"), F.max(F.coalesce(number("schema_id"), F.get_json_object("schema", "$.schema-id").try_cast("bigint"))).alias("s")
+        ).collect()
+    }
+    payload = {}
+    for r in rows.select(location("manifest_path").alias("p"), "row_pos", "payload").collect():
+        payload.setdefault((r.p, r.row_pos), []).append(r.payload)
+    seen = 0
+    for r in drift.consistent_rows(rows, m).collect():
+        texts_here = set(payload[r.manifest_path, r.row_pos])
+        if at.get(r.manifest_path) not in texts or len(texts_here) > 1:
+            continue
+        own, latest = (json.loads(x) | {"type": "struct"} for x in (texts[at[r.manifest_path]], last[r.table_id]))
+        try:
+            value = json.loads(texts_here.pop())
+        except (TypeError, ValueError):
+            value = {}
+        want = dict(brute_layout(value if isinstance(value, dict) else {}, own, latest))
+        failed = {f.path for f in r.failed}
+        assert set(r["values"]) == set(want)
+        for path, raw in want.items():
+            assert (r["values"][path] is None) == (raw is None or path in failed), path
+            if isinstance(raw, str) and r["values"][path] is not None:
+                assert r["values"][path].replace(" ", "T")[:10] == raw.replace(" ", "T")[:10], path
+        seen += 1
+    assert seen > 40
