@@ -1,66 +1,108 @@
 """References to records that do not exist.
 
-A Bloom filter of the parents' keys, built by one aggregate over them and handed to the scan of the references as scalar
-subqueries (as Spark's own runtime filters are), proves in the scan, before anything is shuffled, that a key it doesn't
-hold is an orphan. Only the keys it may hold go through an exact join: their distinct keys, combined map-side, meet the
-parents once. What that join finds missing or deleted is few; a filter of it lets the second scan of the references pass
-over all others, and only these are aggregated. The filters have a bound whatever the number of parents: at most
-``FILTERS`` of 8 MiB (Spark's spark.sql.optimizer.runtime.bloomFilter.maxNumBits), each for its share of the keys'
-hashes. Where more parents make them fuller, more keys are verified and the result is the same.
+A Bloom filter of the parents' keys, built by one pass over their hashes and broadcast to the scan of the references,
+proves in the scan, before anything is shuffled, that a key it doesn't hold is an orphan. Only the keys it may hold go
+through an exact join: their distinct keys, combined map-side, meet the parents once. What that join finds missing or
+deleted is few; a filter of it lets the second scan of the references pass over all others, and only these are
+aggregated. The filters have a bound whatever the number of parents: at most ``FILTERS`` of 8 MiB, each for its share of
+the keys' hashes. Where more parents make them fuller, more keys are verified and the result is the same.
+
+Spark's own test of its filters takes them as scalar subqueries, so each place in a plan that asks one has its copy in
+the driver and in the tasks it sends, several hundred MB of them at the bound. Here the driver has them once, as blocks
+of a broadcast, and only the hashes go to Python.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.classic.column import _to_java_column
 
 from quern.operators.snapshot_tables import location
 from quern.session import materialise
 
-#: Most filters that one set of keys gets, and the keys one filter is made for, at ten bits each (one key in a hundred
-#: that isn't there passes).
-FILTERS, FILTER_KEYS = 8, 4_000_000
-
-
-def _expr(df: DataFrame, c: Column):
-    return df.sparkSession._jvm.org.apache.spark.sql.classic.ExpressionUtils.expression(_to_java_column(c))
-
-
-def _column(df: DataFrame, e) -> Column:
-    from pyspark.sql.classic.column import Column as Classic
+#: Most filters that one set of keys gets, the keys one filter is made for, at ten bits each (one key in a hundred that
+#: isn't there passes), and the most bits of one.
+FILTERS, FILTER_KEYS, FILTER_BITS = 8, 4_000_000, 8 << 23
+
+
+class Filters(NamedTuple):
+    """``shared``: by remainder of the keys' 64-bit hashes the filter of those that have it, none where there are no
+    keys."""
+
+    shared: Broadcast
+    parts: int
+    bits: int
+    probes: int
+
+
+def _places(h: np.ndarray, bits: int, probes: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Probe by probe, the byte and the bit in it where each hash stands in a filter."""
+    x = h.view(np.uint64)
+    at, step = x * np.uint64(0x9E3779B97F4A7C15), (x ^ x >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9) | np.uint64(1)
+    for _ in range(probes):
+        place = (at >> np.uint64(8)) % np.uint64(bits)
+        yield place >> np.uint64(3), (place & np.uint64(7)).astype(np.uint8)
+        at = at + step
+
+
+def _fill(parts: int, bits: int, probes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filled = {}
+        for b in batches:
+            h = b.column(0).to_numpy(zero_copy_only=False)
+            part = h % parts
+            for k in np.unique(part).tolist():
+                own = filled.setdefault(k, np.zeros(bits // 8, np.uint8))
+                for byte, bit in _places(h[part == k], bits, probes):
+                    np.bitwise_or.at(own, byte, np.uint8(1) << bit)
+        for k, own in filled.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k], pa.int32()), pa.array([own.tobytes()], pa.binary())], ["part", "filter"]
+            )
 
-    return Classic(df.sparkSession._jvm.org.apache.spark.sql.classic.ExpressionUtils.column(e))
+    return run
 
 
-def bloom(keys: DataFrame, columns: list[str], expected: int) -> DataFrame:
-    """One row with the filters of the keys' 64-bit hashes: filter ``f{k}`` holds those whose remainder is k; null where
-    there are none.
+def bloom(keys: DataFrame, columns: list[str], expected: int) -> Filters:
+    """The filters of the keys' 64-bit hashes.
 
-    ``expected``: how many keys there are, at most. Built in one pass and kept in a file of its one row: a plan may name
-    its subquery several times.
+    ``expected``: how many keys there are, at most. Of the keys only the hashes are shuffled, each to the task that
+    fills its filter; the driver takes the filters one after another.
     """
     parts = min(FILTERS, -(-expected // FILTER_KEYS)) or 1
     each = max(1000, -(-expected // parts))
-    agg = keys.sparkSession._jvm.org.apache.spark.sql.catalyst.expressions.aggregate.BloomFilterAggregate
-    h = F.xxhash64(*columns)
-    filters = []
-    for k in range(parts):
-        own = h if parts == 1 else F.when(F.pmod(h, F.lit(parts)) == k, h)  # the aggregate passes over nulls
-        built = agg(
-            _expr(keys, own), _expr(keys, F.lit(each).cast("bigint")), _expr(keys, F.lit(10 * each).cast("bigint"))
-        )
-        filters.append(_column(keys, built.toAggregateExpression()).alias(f"f{k}"))
-    return materialise(keys.agg(*filters), "bloom")
+    bits = -(-min(10 * each, FILTER_BITS) // 8) * 8
+    probes = max(1, round(bits / each * 0.693))  # ln 2: what lets the fewest others pass
+    hashes = keys.select(F.xxhash64(*columns).alias("h"))
+    cut = hashes.repartitionById(parts, F.pmod("h", F.lit(parts)).cast("int"))
+    filled = materialise(cut.mapInArrow(_fill(parts, bits, probes), "part int, filter binary"), "bloom")
+    held = {r["part"]: bytes(r["filter"]) for r in filled.toLocalIterator()}
+    return Filters(keys.sparkSession.sparkContext.broadcast(held), parts, bits, probes)
 
 
-def might_contain(df: DataFrame, filters: DataFrame, columns: list[str]) -> Column:
+def might_contain(filters: Filters, columns: list[str]) -> Column:
     """False where the filters prove that the key is not among the parents; an empty filter proves it for every key."""
-    test = df.sparkSession._jvm.org.apache.spark.sql.catalyst.expressions.BloomFilterMightContain
-    h, parts = F.xxhash64(*columns), len(filters.columns)
-    own = [_column(df, test(_expr(df, filters.select(f"f{k}").scalar()), _expr(df, h))) for k in range(parts)]
-    held = own[0] if parts == 1 else F.coalesce(*(F.when(F.pmod(h, F.lit(parts)) == k, c) for k, c in enumerate(own)))
-    return F.coalesce(held, F.lit(False))
+    shared, parts, bits, probes = filters
+
+    def held(h: pa.Array) -> pa.Array:
+        h = h.to_numpy(zero_copy_only=False)
+        part, found = h % parts, np.zeros(len(h), bool)
+        for k, own in shared.value.items():
+            asked = np.flatnonzero(part == k)
+            own, may = np.frombuffer(own, np.uint8), np.ones(len(asked), bool)
+            for byte, bit in _places(h[asked], bits, probes):
+                may &= (own[byte] >> bit & np.uint8(1)).astype(bool)
+            found[asked] = may
+        return pa.array(found)
+
+    # Called nondeterministic so that a plan asks it once a row, not again in each filter and branch it is pushed into.
+    return F.arrow_udf(held, "boolean").asNondeterministic()(F.xxhash64(*columns))
 
 
 def orphans(
@@ -82,7 +124,7 @@ def orphans(
     r = refs.where(known).select(*out, F.col(ref_time).alias("_at"))
     p = parents.where(known).select(*keys, (F.coalesce(F.col(gone_time), never) if gone_time else never).alias("_gone"))
 
-    maybe = might_contain(r, bloom(p, keys, parents.count() if expected is None else expected), keys)
+    maybe = might_contain(bloom(p, keys, parents.count() if expected is None else expected), keys)
     asked = r.where(maybe).select(*keys).distinct()
     last = p.groupBy(*keys).agg(F.max("_gone").alias("_gone"))
     bad = materialise(
@@ -93,8 +135,8 @@ def orphans(
     )
     # Rows that the filter clears are orphans; of the others only those with a key found missing or deleted are looked
     # at again.
-    named = might_contain(r, bloom(bad, keys, bad.count()), keys)
-    again = r.withColumn("_maybe", maybe).where(~F.col("_maybe") | named).join(bad, keys, "left")
+    named = might_contain(bloom(bad, keys, bad.count()), keys)
+    again = r.withColumns({"_maybe": maybe, "_named": named}).where("not _maybe or _named").join(bad, keys, "left")
     orphan = ~F.col("_maybe") | (F.col("_bad") & (F.col("_gone").isNull() | (F.col("_gone") <= F.col("_at"))))
     return again.where(F.coalesce(orphan, F.lit(False))).groupBy(*out).agg(F.min("_at").alias("since"))
 

@@ -2,7 +2,10 @@
 
 import datetime as dt
 import json
+import os
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -511,6 +514,33 @@ def test_orphans_without_parents_and_without_references(spark):
     assert orphans.orphans(refs.limit(0), parents, ["t"], ["k"], "w").count() == 0
 
 
+FULL_FILTERS = """
+import sys
+from pyspark.sql import SparkSession
+sys.path.insert(0, sys.argv[1])
+from quern.operators import orphans
+
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config(
+    "spark.sql.shuffle.partitions", "2"
+).config("spark.checkpoint.dir", "file://" + sys.argv[2]).getOrCreate()
+refs = spark.range(1000).selectExpr("1 as t", "id as k", "timestamp_ntz'2024-01-01' as w")
+parents = spark.range(0, 1000, 2).selectExpr("id as k", "cast(null as timestamp_ntz) as gone")
+got = orphans.orphans(refs.unionByName(refs), parents, ["t"], ["k"], "w", "gone", 40_000_000)
+print("found", sorted(r.k for r in got.collect()) == list(range(1, 1000, 2)))
+"""
+
+
+def test_orphans_with_filters_at_their_bound_fit_a_small_driver(tmp_path):
+    # 64 MiB of filters, as tens of millions of parents have them, in a heap of 450 MB
+    env = os.environ | {"PYSPARK_SUBMIT_ARGS": "--driver-memory 450m pyspark-shell"}
+    env.pop("PYSPARK_GATEWAY_PORT", None)
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    ran = subprocess.run(
+        [sys.executable, "-c", FULL_FILTERS, root, str(tmp_path)], env=env, capture_output=True, text=True, timeout=300
+    )
+    assert "found True" in ran.stdout, ran.stderr[-2000:]
+
+
 # Drift
 
 
