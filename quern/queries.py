@@ -164,25 +164,45 @@ def p3_paths(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _asked(trees: DataFrame) -> DataFrame:
-    """The snapshots whose whole paths and descendants are given: all paths together would take the square of a long
-    history."""
+    """The snapshots that ``p3_full_paths`` and ``p3_below`` are asked for, as their SQL has them; ``p3_all_paths`` and
+    ``p3_all_below`` give those of every snapshot."""
     return trees.where("node % 100 = 0").select("node")
 
 
+def _full_paths(trees: DataFrame, asked: DataFrame) -> DataFrame:
+    return hierarchy.full_paths(trees, asked).select(
+        F.col("node").alias("snapshot_id"), F.array_join("path", ",").alias("path")
+    )
+
+
+def _below(trees: DataFrame, asked: DataFrame) -> DataFrame:
+    return hierarchy.descendants(trees, asked).select(
+        F.col("ancestor").alias("snapshot_id"), F.col("node").alias("descendant_id")
+    )
+
+
 def p3_full_paths(spark: SparkSession, sf: str) -> DataFrame:
     """The whole path, from the root down, of the snapshots whose id is divisible by 100."""
     trees = materialise(_trees(spark, sf), "trees")
-    return hierarchy.full_paths(trees, _asked(trees)).select(
-        F.col("node").alias("snapshot_id"), F.array_join("path", ",").alias("path")
-    )
+    return _full_paths(trees, _asked(trees))
+
+
+def p3_all_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole path, from the root down, of every snapshot: as many ids as the depths add up to."""
+    trees = materialise(_trees(spark, sf), "trees")
+    return _full_paths(trees, trees)
 
 
 def p3_below(spark: SparkSession, sf: str) -> DataFrame:
     """All descendants of the snapshots whose id is divisible by 100."""
     trees = materialise(_trees(spark, sf), "trees")
-    return hierarchy.descendants(trees, _asked(trees)).select(
-        F.col("ancestor").alias("snapshot_id"), F.col("node").alias("descendant_id")
-    )
+    return _below(trees, _asked(trees))
+
+
+def p3_all_below(spark: SparkSession, sf: str) -> DataFrame:
+    """All descendants of every snapshot: as many rows as the depths add up to."""
+    trees = materialise(_trees(spark, sf), "trees")
+    return _below(trees, trees)
 
 
 def p3_descendants(spark: SparkSession, sf: str) -> DataFrame:
@@ -241,8 +261,8 @@ def p6_casts(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         p1_found, p1_outputs, p1_files, p2_found, p2_current, p2_files, p2_fields, p2_increments, p2_on_base,
-        p2_partial, p3_found, p3_paths, p3_full_paths, p3_below, p3_descendants, p4_found, p5_found, p5_report,
-        p6_found, p6_rows, p6_paths, p6_casts
+        p2_partial, p3_found, p3_paths, p3_full_paths, p3_all_paths, p3_below, p3_all_below, p3_descendants, p4_found,
+        p5_found, p5_report, p6_found, p6_rows, p6_paths, p6_casts
     )
 }
 
@@ -303,7 +323,9 @@ ORACLE: dict[str, str] = {
  SELECT id AS snapshot_id, p[1] AS root_snapshot_id, CAST(d AS INTEGER) AS depth, looped, p[a + 1] AS anchor_snapshot_id,
  array_to_string(list_reverse(p[coalesce(a + 2, 1):]), ',') AS segment FROM s""",
     "p3_full_paths": f"""WITH RECURSIVE {_CUT} SELECT id AS snapshot_id, CASE WHEN looped THEN CAST(id AS VARCHAR) ELSE array_to_string(p, ',') END AS path FROM w WHERE id % 100 = 0""",
+    "p3_all_paths": f"""WITH RECURSIVE {_CUT} SELECT id AS snapshot_id, CASE WHEN looped THEN CAST(id AS VARCHAR) ELSE array_to_string(p, ',') END AS path FROM w""",
     "p3_below": f"""WITH RECURSIVE {_CUT} SELECT anc AS snapshot_id, id AS descendant_id FROM (SELECT id, unnest(p) anc FROM w WHERE NOT looped) WHERE anc % 100 = 0 AND anc <> id""",
+    "p3_all_below": f"""WITH RECURSIVE {_CUT} SELECT anc AS snapshot_id, id AS descendant_id FROM (SELECT id, unnest(p) anc FROM w WHERE NOT looped) WHERE anc <> id""",
     "p3_descendants": f"""WITH RECURSIVE {_HEADS}, l AS (SELECT h.id, p.id par FROM heads h LEFT JOIN heads p ON h.par = p.id),
  t AS (SELECT id FROM l WHERE par IS NULL UNION ALL SELECT l.id FROM l JOIN t ON l.par = t.id), g AS (SELECT * FROM l WHERE id IN (SELECT id FROM t)),
  a AS (SELECT id, par anc FROM g WHERE par IS NOT NULL UNION ALL SELECT a.id, g.par FROM a JOIN g ON a.anc = g.id WHERE g.par IS NOT NULL)

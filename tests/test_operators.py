@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quern import queries
 from quern.operators import changefeed, compaction, drift, hierarchy, incremental, orphans
 from quern.operators.snapshot_tables import headers, location, number, with_numbers
 
@@ -369,6 +370,19 @@ def test_paths_and_descendants(spark, length):
     } | dict.fromkeys([*range(1000, 1005), 2000, 3000, 3001, 3002], 0)
 
 
+def test_whole_paths_and_descendants_of_every_snapshot(spark, tmp_path):
+    n = 150  # a history longer than two segments, a loop and a snapshot below it; no id but 100 is divisible by 100
+    links = [*((i, i - 1 if i > 1 else None) for i in range(1, n + 1)), (1001, 1002), (1002, 1001), (1003, 1002)]
+    rows = [(str(k), None if up is None else str(up), 1, str(i)) for i, (k, up) in enumerate(links)]
+    spark.createDataFrame(
+        rows, "snapshot_id string, parent_snapshot_id string, table_id bigint, sequence_number string"
+    ).write.parquet(f"{tmp_path}/manifest_lists.parquet")
+    paths = {k: ",".join(map(str, range(1, k + 1))) for k in range(1, n + 1)} | {k: str(k) for k in (1001, 1002, 1003)}
+    assert sorted(map(tuple, queries.QUERIES["p3_all_paths"](spark, str(tmp_path)).collect())) == sorted(paths.items())
+    below = [(a, k) for a in range(1, n + 1) for k in range(a + 1, n + 1)]
+    assert sorted(map(tuple, queries.QUERIES["p3_all_below"](spark, str(tmp_path)).collect())) == below
+
+
 # Incremental
 
 
