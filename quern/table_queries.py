@@ -3,11 +3,16 @@ Each with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
+import csv
 import dataclasses
 import decimal
 import io
 import json
+import os
+import tempfile
+import zipfile
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,7 +25,7 @@ from quern.sources import avrofile, files, manifest, model
 from quern.sources import metadata as md
 from quern.sources.catalog import Catalog, NoSuchTable, s3a_settings
 from quern.sources.service import RestCatalog, Service, serve
-from quern.sources.storage import AlreadyExists
+from quern.sources.storage import AlreadyExists, Storage
 from quern.sources.transaction import Transaction
 from quern.sources.types import SchemaError
 from quern.streaming import tables as streams
@@ -703,12 +708,47 @@ def _statistics(t: Tables) -> DataFrame:
     return _made(t, row, schema="records bigint, low bigint, high bigint, nulls bigint")
 
 
+def _database_jar(t: Tables, df: DataFrame, table: str) -> str:
+    """The URL of a new Derby database with the rows of ``df`` as ``table``. One in memory is seen by the JVM that made
+    it only, one in a folder can be open in one JVM only; in a jar, which is read-only, every executor can open it."""
+    at = Storage.local(fresh_dir(t.spark, "database"))
+    if at is None:
+        if not t.spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must be a mounted folder: Derby reads a jar by its path")
+        at = tempfile.mkdtemp(prefix="quern-")
+    kinds = {"int": "INTEGER", "bigint": "BIGINT", "string": "CLOB"}
+    columns = ", ".join(f"{name} {kinds[kind]}" for name, kind in df.dtypes)
+    connect = t.spark._jvm.java.sql.DriverManager.getConnection
+    with tempfile.TemporaryDirectory(prefix="quern-") as own:
+        with open(f"{own}/rows.csv", "w", encoding="utf-8", newline="") as f:  # null is no text, "" the empty text
+            csv.writer(f, quoting=csv.QUOTE_NOTNULL, lineterminator="\n").writerows(df.toLocalIterator())
+        db = connect(f"jdbc:derby:{own}/db;create=true")
+        try:
+            s = db.createStatement()
+            s.execute(f"CREATE TABLE {table} ({columns})")
+            s.execute(
+                f"CALL SYSCS_UTIL.SYSCS_IMPORT_TABLE(NULL, '{table.upper()}', '{own}/rows.csv', ',', '\"', 'UTF-8', 0)"
+            )
+        finally:
+            db.close()
+        try:
+            connect(f"jdbc:derby:{own}/db;shutdown=true")
+        except Py4JJavaError as err:
+            if err.java_exception.getSQLState() != "08006":  # that of a database shut down as it should be
+                raise
+        os.makedirs(at, exist_ok=True)
+        with zipfile.ZipFile(f"{at}/db.jar", "w") as jar:  # not compressed: pages are found without reading up to them
+            for folder, _, names in os.walk(f"{own}/db"):
+                for name in names:
+                    jar.write(f"{folder}/{name}", os.path.relpath(f"{folder}/{name}", own))
+    return f"jdbc:derby:jar:({at}/db.jar)db"
+
+
 @query("files_database", NATION)
 def _database(t: Tables) -> DataFrame:
     """A table of a database read by JDBC, in parallel by a column; its schema is the driver's."""
-    url = f"jdbc:derby:memory:quern{abs(hash(fresh_dir(t.spark, 'db')))};create=true"
+    url = _database_jar(t, _nation(t), "nation")
     own = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
-    _nation(t).write.jdbc(url, "nation", properties=own)
     got = files.read_database(t.spark, url, "nation", "n_nationkey", 0, 25, 3, **own)
     return got.toDF(*(x.lower() for x in got.columns))
 

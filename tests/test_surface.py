@@ -1109,6 +1109,52 @@ def test_other_formats(spark, tmp_path):
         files.read_files(spark, "x", "blob")
 
 
+def test_database_on_a_cluster(spark, tmp_path):
+    """Executors that are JVMs of their own read the table that the driver made."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    import pyspark
+
+    names = [
+        None, "", " a ", 'q"uo"te, comma\nline\r\nend', '"', '",', '""', "\\n", "NULL", "\n", "\x00z", "äöü€😀", "x" * 40_000
+    ]
+    rows = [(k, n, None if k == 1 else k - 5) for k, n in enumerate(names)] + [(None, None, None), (3_000, "far", 1)]
+    kinds = "n_nationkey int, n_name string, n_regionkey int"
+    spark.createDataFrame(rows, kinds).write.parquet(f"{tmp_path}/sf/nation.parquet")
+    home = tmp_path / "home"  # the executors' logs go to work in Spark's home
+    (home / "work").mkdir(parents=True)
+    for p in Path(pyspark.__file__).parent.iterdir():
+        if p.name != "work":
+            (home / p.name).symlink_to(p)
+    code = """if True:
+        import sys
+        from pyspark.sql import SparkSession
+        import __spark_entry__
+        at = sys.argv[1]
+        spark = SparkSession.builder.master("local-cluster[2,1,1024]").config(map={
+            "spark.checkpoint.dir": f"file://{at}/shared", "spark.ui.enabled": "false", "spark.executor.memory": "600m"
+        }).getOrCreate()
+        __spark_entry__.queries()["files_database"](spark, f"{at}/sf").write.parquet(f"{at}/out")
+        spark.stop()
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    own = {
+        "PYTHONPATH": root, "SPARK_HOME": str(home), "SPARK_SCALA_VERSION": "2.13", "SPARK_LOCAL_IP": "127.0.0.1",
+        "PYSPARK_PYTHON": sys.executable
+    }
+    env = {k: v for k, v in os.environ.items() if not k.startswith(("PYSPARK_", "SPARK_"))} | own
+    ran = subprocess.run(
+        [sys.executable, "-c", code, str(tmp_path)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300
+    )
+    assert ran.returncode == 0, "\n".join(x for x in ran.stderr.splitlines() if "Caused by" in x or "Error: " in x)
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert got.schema.simpleString() == f"struct<{kinds}>".replace(", ", ",").replace(" ", ":")
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(rows, key=repr)
+
+
 def test_metadata_files(catalog):
     t = catalog.create_table("db.m", "id int")
     path = md.write_file(catalog.storage, t.metadata, 7)
